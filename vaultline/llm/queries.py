@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vaultline.llm import binary_output, bpe, sharding, token_counts
+from vaultline.llm import binary_output, bpe, decontamination, quality_rules, secrets, sharding, token_counts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -25,7 +25,10 @@ def on_documents(operator: Callable[..., DataFrame], *args: object) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op2_token_counts": on_documents(token_counts.op2, TOKENIZER),
+        "op3_quality_rules": lambda spark, d: quality_rules.op3(table(spark, d, "documents"), table(spark, d, "labels")),
         "op4_sharding": on_documents(sharding.op4),
+        "op5_decontamination": lambda spark, d: decontamination.op5(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op6_secrets": on_documents(secrets.op6),
         "op7_bpe": on_documents(bpe.op7, TOKENIZER),
         "op10_token_files": on_documents(binary_output.op10, TOKENIZER),
     }
