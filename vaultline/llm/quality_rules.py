@@ -28,7 +28,7 @@ from vaultline.llm.shared import RangeHash, mix, sliced, texts_of, words_of, wri
 
 MAX_LABELLED = 20_000
 REPEAT_WINDOW = 8
-STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_digits")
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_digits", "n_echo_words")
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 
@@ -51,6 +51,7 @@ def statistics(texts: list[str]) -> dict[str, np.ndarray]:
         "n_upper": per_text((data >= 65) & (data <= 90)),
         "n_exclaim": per_text(data == 33),
         "n_digits": per_text((data >= 48) & (data <= 57)),
+        "n_echo_words": echoed_words(hashes, bounds),
     }
     return {k: v.astype(np.int64) for k, v in out.items()}
 
@@ -80,6 +81,14 @@ def repeated_words(hashes: np.ndarray, bounds: np.ndarray, size: int = REPEAT_WI
     return np.diff(hit[bounds])
 
 
+def echoed_words(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Words of each text that equal the word before them."""
+    echo = np.zeros(len(hashes) + 1, np.int64)
+    echo[2:] = np.cumsum(hashes[1:] == hashes[:-1]) if len(hashes) else 0
+    first = np.minimum(bounds[:-1] + 1, bounds[1:])
+    return echo[bounds[1:]] - echo[first]
+
+
 def with_statistics(docs: DataFrame, keep: list[str], prefix: str = "") -> DataFrame:
     """Columns ``keep`` of ``docs`` and the statistics of its ``text``, named with ``prefix``."""
     fields = [docs.schema[c] for c in keep] + [T.StructField(prefix + s, T.LongType()) for s in STATISTICS]
@@ -104,6 +113,7 @@ FEATURES = {
     "upper_share": ("n_upper", "word_chars"),
     "exclaim_per_word": ("n_exclaim", "n_words"),
     "digit_share": ("n_digits", "word_chars"),
+    "echo_share": ("n_echo_words", "n_words"),
 }
 
 
@@ -168,7 +178,7 @@ def prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray, alive: np.ndarr
     return max((rule[:k] for k in range(1, len(rule) + 1)), key=worth)
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, least: int = 3, longest: int = 4, cuts: int = 48, most: int = 16) -> list[Rule]:
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, least: int = 3, longest: int = 4, cuts: int = 96, most: int = 16) -> list[Rule]:
     """Ordered rules for ``bad`` rows. Every third row prunes and judges, the others grow."""
     held = np.arange(len(bad)) % 3 == 2
     alive = np.ones(len(bad), bool)
@@ -188,11 +198,12 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, le
 
 
 def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
-    """Rules from statistics (with doc_id) and labels (doc_id, quality: 0 is low)."""
+    """Rules from statistics (with doc_id) and labels (doc_id, quality: 0 is low), for what the base rule passes."""
     best = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     features = [feature(f).alias(f) for f in FEATURES]
     rows = (
-        stats.join(best, "doc_id")
+        stats.where(~base_failed())
+        .join(best, "doc_id")
         .select("doc_id", *features, (F.col("_quality") == 0).alias("_bad"))
         .orderBy(F.xxhash64("doc_id"), *FEATURES)
         .limit(max_labelled)
