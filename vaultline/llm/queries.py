@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vaultline.llm import binary_output, bpe, decontamination, quality_rules, secrets, sharding, token_counts
+from vaultline.llm import binary_output, bpe, decontamination, oracles, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, token_counts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -30,9 +30,11 @@ def queries() -> dict[str, Query]:
         "op5_decontamination": lambda spark, d: decontamination.op5(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op6_secrets": on_documents(secrets.op6),
         "op7_bpe": on_documents(bpe.op7, TOKENIZER),
+        "op8_substring_dedup": on_documents(substring_dedup.op8),
+        "op9_suffix_dedup": on_documents(suffix_dedup.op9),
         "op10_token_files": on_documents(binary_output.op10, TOKENIZER),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": oracles.OP5, "op8_substring_dedup": oracles.OP8, "op9_suffix_dedup": oracles.OP9}
