@@ -41,23 +41,3 @@ kept AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id)
 """
-
-OP9 = r"""
-WITH docs AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS w FROM documents),
-windows AS (
-  SELECT doc_id, i, md5(array_to_string(w[i : i + 49], '')) AS s FROM docs, unnest(range(1, len(w) - 48)) AS t(i)),
-firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
-hits AS (SELECT doc_id, i, true AS hit FROM windows JOIN firsts USING (s) WHERE first < doc_id),
-bytes AS (SELECT doc_id, i, w[i] AS b FROM docs, unnest(range(1, len(w) + 1)) AS t(i)),
-marked AS (
-  SELECT doc_id, i, b, coalesce(bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone
-  FROM bytes LEFT JOIN hits USING (doc_id, i)),
-edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM marked),
-kept AS (
-  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
-    string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept
-  FROM edges GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-FROM docs LEFT JOIN kept USING (doc_id)
-"""

@@ -37,4 +37,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": oracles.OP5, "op8_substring_dedup": oracles.OP8, "op9_suffix_dedup": oracles.OP9}
+    return {"op5_decontamination": oracles.OP5, "op8_substring_dedup": oracles.OP8}
