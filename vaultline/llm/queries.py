@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vaultline.llm import binary_output, bpe, decontamination, oracles, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, token_counts
+from vaultline.llm import binary_output, bpe, decontamination, near_dedup, oracles, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, token_counts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,6 +24,7 @@ def on_documents(operator: Callable[..., DataFrame], *args: object) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_near_dedup": on_documents(near_dedup.op1),
         "op2_token_counts": on_documents(token_counts.op2, TOKENIZER),
         "op3_quality_rules": lambda spark, d: quality_rules.op3(table(spark, d, "documents"), table(spark, d, "labels")),
         "op4_sharding": on_documents(sharding.op4),
