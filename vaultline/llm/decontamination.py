@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultline.llm.shared import sliced, texts_of
+from vaultline.llm.shared import sliced, texts_of, written
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -148,3 +148,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return contamination(docs, benchmark)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without contaminated documents. Few documents are, so their ids are joined and the texts of the
+    others stay where they are if the ids are small enough to be broadcast by size."""
+    gone = written(contamination(docs, benchmark, window, block_bytes).where("contaminated").select("doc_id").distinct(), "contaminated")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
