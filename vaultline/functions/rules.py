@@ -68,10 +68,11 @@ def breached(opened: str | Column, priority: str | Column, today: Column) -> Col
     return F.datediff(today, named(opened)) > allowed
 
 
-def category(kind: str | Column) -> Column:
-    """Equipment category by the last word of a type."""
-    last = F.element_at(F.split(F.lower(F.trim(named(kind))), r"\s+"), -1)
-    return F.when(last.isin("copper", "brass"), "conductor").when(last.isin("steel", "nickel"), "structure").when(last == "tin", "enclosure").otherwise("other")
+def category(kind: str | Column, names: dict[str, str], otherwise: str = "other") -> Column:
+    """Equipment category of a type, by a table of names (upper case)."""
+    text = F.upper(F.trim(named(kind)))
+    pairs = F.create_map(*(F.lit(x) for pair in sorted(names.items()) for x in pair))
+    return F.when(text.isNull(), None).otherwise(F.coalesce(F.try_element_at(pairs, text), F.lit(otherwise)))
 
 
 def lifecycle(status: str | Column) -> Column:

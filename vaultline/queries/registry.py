@@ -1,6 +1,27 @@
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+"""All queries of the library, by name."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from vaultline.queries import loads
+from vaultline.queries.bindings import Query, Registry
+
+
+def registry() -> Registry:
+    r = Registry()
+    for module in (loads,):
+        module.register(r)
+    return r
+
+
+def queries() -> dict[str, Query]:
+    return registry().queries
+
+
+def oracle_sql() -> dict[str, str]:
+    return registry().sql
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry().queries["rv1_hub"](spark, sf_dir)
