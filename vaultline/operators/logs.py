@@ -31,7 +31,7 @@ def recent(log: DataFrame, n: int, order: list[str], actor_column: str | None =
 def audit_metrics(log: DataFrame, by: list[str] = ()) -> DataFrame:
     """Counts by status, rates among decisions, completeness and rationale coverage, time span. Ratios without a denominator are null.
 
-    log: status (draft, approved, rejected, changes_requested), actor, at, comment.
+    log: status (draft, approved, rejected, changes_requested), actor, decided_at, comment.
     """
     n = lambda c: F.sum(c.cast("int")).cast("long")
     is_a = lambda v: F.coalesce(F.col("status") == v, F.lit(False))
@@ -43,8 +43,8 @@ def audit_metrics(log: DataFrame, by: list[str] = ()) -> DataFrame:
     return log.groupBy(*by).agg(
         F.count("*").alias("events"), *(n(is_a(s)).alias(s) for s in ("draft", "approved", "rejected", "changes_requested")), n(decided).alias("decisions"),
         ratio(is_a("approved"), is_a("approved") | rejected).alias("approval_rate"), ratio(rejected, is_a("approved") | rejected).alias("rejection_rate"),
-        ratio(named & F.col("at").isNotNull(), decided).alias("completeness"), ratio(why, rejected).alias("rationale_coverage"),
-        F.min("at").alias("first_at"), F.max("at").alias("last_at"),
+        ratio(named & F.col("decided_at").isNotNull(), decided).alias("completeness"), ratio(why, rejected).alias("rationale_coverage"),
+        F.min("decided_at").alias("first_at"), F.max("decided_at").alias("last_at"),
     )
 
 

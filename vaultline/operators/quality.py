@@ -84,10 +84,10 @@ def reconcile(source: DataFrame, source_key: str, hub: DataFrame, hub_key: str,
 
 def audit_log(spark_rows: DataFrame, model: Column, status: Column, n_rows: Column, at: Column) -> DataFrame:
     """Append-only events of loads: model, status, row count, time."""
-    return spark_rows.select(model.alias("model"), status.alias("status"), n_rows.alias("n_rows"), at.alias("at"))
+    return spark_rows.select(model.alias("model"), status.alias("status"), n_rows.alias("n_rows"), at.alias("logged_at"))
 
 
 def audit_status(log: DataFrame) -> DataFrame:
     """The last status of each model with its time, and the time since its start."""
-    last = F.max_by(F.struct("status", "n_rows"), F.struct("at", "status"))
-    return log.groupBy("model").agg(last.alias("l"), F.max("at").alias("at"), F.min("at").alias("started")).select("model", "l.status", "l.n_rows", "at", "started")
+    last = F.max_by(F.struct("status", "n_rows"), F.struct("logged_at", "status"))
+    return log.groupBy("model").agg(last.alias("l"), F.max("logged_at").alias("logged_at"), F.min("logged_at").alias("started")).select("model", "l.status", "l.n_rows", "logged_at", "started")

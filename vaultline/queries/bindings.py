@@ -91,7 +91,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "plan_sats": ((), "SELECT 's' || CAST(c_nationkey AS STRING) AS system_id, CAST(c_custkey % 8 AS INT) AS run_id, 'sat_' || CAST(o_orderkey AS STRING) || CASE WHEN o_orderkey % 5 = 0 THEN '_details' WHEN o_orderkey % 5 = 1 THEN '_operational' WHEN o_orderkey % 5 = 2 THEN '_measurements' ELSE '' END AS name, c_mktsegment AS source_table, 'HK_' || CAST(c_custkey AS STRING) AS parent_hub, CASE WHEN o_orderkey % 10 = 0 THEN 'X_' ELSE 'HD_' END || CAST(o_orderkey AS STRING) AS hashdiff, split(o_orderstatus || ',' || o_orderpriority || CASE WHEN o_orderkey % 4 = 0 THEN ',k' || CAST(c_custkey % 5 AS STRING) ELSE '' END || CASE WHEN o_orderkey % 6 = 0 THEN ',load_dts' ELSE '' END, ',') AS payload, CAST(0.7 AS DOUBLE) AS confidence FROM orders JOIN customer ON o_custkey = c_custkey"),
     "gold_hubs": ((), "SELECT 's' || CAST(c_nationkey AS STRING) AS system_id, c_mktsegment AS source_table, split('k' || CAST((c_custkey + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END) % 5 AS STRING) || CASE WHEN c_custkey % 3 = 0 THEN ',m' || CAST(c_custkey % 7 AS STRING) ELSE '' END, ',') AS business_keys, CASE WHEN c_custkey % 7 = 0 THEN 'gold_' ELSE 'hub_' END || CAST(c_custkey AS STRING) AS name FROM customer WHERE c_custkey % 2 = 0"),
     "catalog": ((), "SELECT DISTINCT 's' || CAST(c_nationkey AS STRING) AS system_id, c_mktsegment AS table_name, 'k' || CAST(c_custkey % 5 AS STRING) AS column_name FROM customer WHERE c_mktsegment <> 'MACHINERY' UNION SELECT DISTINCT 's' || CAST(c_nationkey AS STRING), c_mktsegment, o_orderstatus FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment <> 'MACHINERY'"),
-    "approvals": ((), "SELECT 'p' || CAST(o_custkey AS STRING) AS plan_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS version, CASE WHEN o_orderstatus = 'F' THEN 'approved' WHEN o_orderstatus = 'P' THEN 'rejected' WHEN o_orderkey % 2 = 0 THEN 'draft' ELSE 'changes_requested' END AS status, o_orderpriority AS actor, o_orderdate AS at, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'because' END AS comment, concat('{\"errors\": ', CAST(o_orderkey % 3 AS STRING), '}') AS validation_json FROM orders"),
+    "approvals": ((), "SELECT 'p' || CAST(o_custkey AS STRING) AS plan_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS version, CASE WHEN o_orderstatus = 'F' THEN 'approved' WHEN o_orderstatus = 'P' THEN 'rejected' WHEN o_orderkey % 2 = 0 THEN 'draft' ELSE 'changes_requested' END AS status, o_orderpriority AS actor, o_orderdate AS decided_at, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'because' END AS comment, concat('{\"errors\": ', CAST(o_orderkey % 3 AS STRING), '}') AS validation_json FROM orders"),
     "raters": ((), "SELECT doc_id AS item, quality AS a, toxic AS b FROM labels"),
     "study": ((), "SELECT o_orderstatus AS system_id, CASE WHEN o_orderkey % 2 = 0 THEN 'off' ELSE 'on' END AS condition, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS seed, 'price' AS metric, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2, 3"),
 }

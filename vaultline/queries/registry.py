@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vaultline.queries import loads
+from vaultline.queries import loads, marts
 from vaultline.queries.bindings import Query, Registry
 
 
 def registry() -> Registry:
     r = Registry()
-    for module in (loads,):
+    for module in (loads, marts):
         module.register(r)
     return r
 
@@ -24,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry().queries["rv1_hub"](spark, sf_dir)
+    """Revenue by market segment and month end, over the vault."""
+    return registry().queries["bv7_fact_measures"](spark, sf_dir)
