@@ -75,10 +75,10 @@ def permutation_test(pairs: DataFrame, by: list[str], alternative: str = "two-si
     place = F.row_number().over(Window.partitionBy(*by).orderBy("d")) - 1
     rows = pairs.select(*by, F.col("d").cast("double").alias("d")).withColumn("i", place)
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("d").alias("observed"))
-    exact = sizes.where(F.col("n") <= EXACT).select(*by, "n", "observed", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.col("n").cast("int")) - 1)).alias("k"))
+    exact = sizes.where(F.col("n") <= EXACT).select(*by, "n", "observed", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("n").cast("int")) - 1)).alias("k"))
     drawn = sizes.where(F.col("n") > EXACT).crossJoin(F.broadcast(spark.range(iterations).select(F.col("id").cast("int").alias("k"))))
     flips = exact.unionByName(drawn.select(*by, "n", "observed", "k"))
-    bit = F.when(F.col("n") <= EXACT, F.shiftright(F.col("k"), F.col("i")).bitwiseAND(1)).otherwise(F.xxhash64(*by, "k", "i", F.lit(seed)).bitwiseAND(1))
+    bit = F.when(F.col("n") <= EXACT, F.call_function("shiftright", F.col("k"), F.col("i")).bitwiseAND(1)).otherwise(F.xxhash64(*by, "k", "i", F.lit(seed)).bitwiseAND(1))
     sums = flips.join(rows, by).groupBy(*by, "n", "observed", "k").agg(F.sum(F.when(bit == 0, F.col("d")).otherwise(-F.col("d"))).alias("s"))
     slack = F.lit(1e-9)
     extreme = {
