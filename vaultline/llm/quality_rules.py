@@ -6,7 +6,7 @@ the rows it covers go, and the next rule is grown. The list becomes one ``CASE W
 whose branches are tried in order, and it ends in "keep".
 
 Statistics cover all documents. Rules are fitted on the driver from at most ``max_labelled`` labelled rows
-(those of the lowest hash of doc_id), so what the driver holds is bounded by that parameter.
+(chosen by a hash of doc_id), so what the driver holds is bounded by that parameter.
 
 Cases: null and empty texts have no words and fail the base rule; labels that are null or belong to no
 document are ignored, of a document's several labels the best counts; without labels of both
@@ -201,14 +201,12 @@ def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -
     """Rules from statistics (with doc_id) and labels (doc_id, quality: 0 is low), for what the base rule passes."""
     best = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     features = [feature(f).alias(f) for f in FEATURES]
-    rows = (
-        stats.where(~base_failed())
-        .join(best, "doc_id")
-        .select("doc_id", *features, (F.col("_quality") == 0).alias("_bad"))
-        .orderBy(F.xxhash64("doc_id"), *FEATURES)
-        .limit(max_labelled)
-        .collect()
-    )
+    labelled = stats.where(~base_failed()).join(best, "doc_id").select("doc_id", *features, (F.col("_quality") == 0).alias("_bad"))
+    n = labelled.count()
+    if n > max_labelled:  # by a hash of doc_id, so that tasks send what the sample holds and no more
+        share = int(0.95 * max_labelled / n * (1 << 30))
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).limit(max_labelled)
+    rows = sorted(labelled.collect(), key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15) % (1 << 64))
     bad = np.array([r["_bad"] for r in rows], bool)
     if bad.all() or not bad.any():
         return []
