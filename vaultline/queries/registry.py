@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vaultline.queries import governance, loads, marts
+from vaultline.queries import governance, loads, marts, retrieval
 from vaultline.queries.bindings import Query, Registry
 
 
 def registry() -> Registry:
     r = Registry()
-    for module in (loads, marts, governance):
+    for module in (loads, marts, governance, retrieval):
         module.register(r)
     return r
 
