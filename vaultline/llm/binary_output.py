@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from vaultline.llm.bpe import encoded_batches, encoder
-from vaultline.llm.shared import new_path, parts, plan_bytes
+from vaultline.llm.shared import new_path, parts, text_bytes
 
 EVERY = 256
 
@@ -95,10 +95,10 @@ def id_type(tokenizer: str, end_id: int) -> str:
     return "<u2" if max(encoder(tokenizer).vocab.size - 1, end_id) < 1 << 16 else "<u4"
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int, shard_bytes: int = 16 << 20) -> list[tuple[int, int, int]]:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int, shard_bytes: int = 32 << 20) -> list[tuple[int, int, int]]:
     """Writes the files; returns a (shard, documents, ids) row for each shard, a list as long as the list of files."""
     spark = docs.sparkSession
-    n = parts(spark, plan_bytes(docs), shard_bytes)
+    n = parts(spark, text_bytes(docs), shard_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = opened(folder)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultline.llm.shared import RangeHash, mix, parts, plan_bytes, ragged, sliced, texts_of, words_of, written
+from vaultline.llm.shared import RangeHash, mix, parts, ragged, sliced, text_bytes, texts_of, words_of, written
 
 #: Solves one bucket: (documents, contexts as one flat array, their bounds, window) to a flag for each place in the flat array.
 Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
@@ -245,8 +245,7 @@ def solver(kind: Symbols, solve: Solve) -> Callable[[pa.Table], pa.Table]:
 def found_windows(docs: DataFrame, kind: Symbols, solve: Solve, bucket_anchors: int = 1 << 20, bucket_contexts: int = 1 << 14) -> DataFrame:
     """doc_id and ``places``, a list of binaries: starts (four bytes each) and run lengths (one byte each) of found windows."""
     spark = docs.sparkSession
-    # a file's byte stands for about two of text; words are about six bytes long
-    symbols = plan_bytes(docs) * 2 // (6 if kind.words else 1)
+    symbols = text_bytes(docs) // (6 if kind.words else 1)  # a word is about six bytes long
     expected = symbols * 2 // (kind.window - kind.gram + 2)
     rows = anchor_rows(docs, kind, parts(spark, expected, bucket_anchors))
     finds = written(rows.groupBy("bucket").applyInArrow(settle, FINDS), "anchors")
