@@ -58,7 +58,3 @@ def odd(spark):
     rows = [(None, "a text without an id, of nine words here", "en", "s", 1, 1, "x", 1, "k", "p", "d")]
     rows += [(5, "a row that occurs twice in its table", "en", "s", 1, 1, "x", 1, "k", "p", "d")] * 2
     return spark.createDataFrame(rows, SCHEMA)
-
-
-def by_id(df):
-    return {r["doc_id"]: r.asDict() for r in df.collect()}

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import by_id
+from rows import by_id
 from pyspark.sql import functions as F
 
 from vaultline.llm import decontamination, near_dedup, quality_rules, secrets, sharding, substring_dedup, suffix_dedup

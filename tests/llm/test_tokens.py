@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import by_id
+from rows import by_id
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
