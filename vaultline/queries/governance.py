@@ -19,7 +19,7 @@ TABLES_SQL = f"levels AS (SELECT table_name, max(CASE {RISK} WHEN 'HIGH' THEN 3
 ATOMIC = f"atomic AS (SELECT *, {RISK} AS risk FROM (SELECT * FROM diff UNION ALL SELECT table_name, NULL, CASE category WHEN 'NEW' THEN 'table_added' ELSE 'table_removed' END, NULL, NULL, false FROM changes WHERE category IN ('NEW', 'ORPHANED')))"
 ALL = f"{CATS}, {BOTH}, {DIFF}, {TABLES_SQL}, {ATOMIC} "
 IMPACT = "CASE WHEN change IN ('added', 'table_added') THEN 'additive' WHEN change IN ('removed', 'table_removed', 'type_changed') THEN 'breaking' ELSE 'cosmetic' END"
-SYSTEM = F.substring("table_name", 1, 2)
+SYSTEM = "substring(table_name, 1, 2)"
 
 
 def cats(s: SparkSession, d: str) -> list[DataFrame]:
@@ -63,7 +63,7 @@ def drift(r: Registry) -> None:
     r.add("dr10_confusion", lambda s, d: dr.confusion(judged(s, d), dr.IMPACTS), JUDGED + "SELECT expert, " + ", ".join(f"count(*) FILTER (WHERE predicted = '{x}') AS {x}" for x in dr.IMPACTS) + " FROM j GROUP BY expert")
     r.add("dr11_actionable", lambda s, d: dr.actionable(changes(s, d), cats(s, d)[1]).select("table_name", "column_name", "category"), ALL + "SELECT table_name, column_name, category FROM cat_v2 JOIN changes USING (table_name) WHERE category IN ('NEW', 'DRIFT')")
     r.add("dr11_skipped", lambda s, d: dr.skipped(changes(s, d)), ALL + "SELECT category, count(*) AS n_tables, string_agg(table_name, ',' ORDER BY table_name) FILTER (WHERE r <= 3) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY table_name) AS r FROM changes WHERE category NOT IN ('NEW', 'DRIFT')) GROUP BY category")
-    signals = lambda s, d: dr.risk_snapshot(changes(s, d).withColumn("system_id", SYSTEM), dr.impact(atomic(s, d)).withColumn("system_id", SYSTEM), orphans=True)
+    signals = lambda s, d: dr.risk_snapshot(changes(s, d).withColumn("system_id", F.expr(SYSTEM)), dr.impact(atomic(s, d)).withColumn("system_id", F.expr(SYSTEM)), orphans=True)
     SIG = ALL + f", one AS (SELECT substr(table_name, 1, 2) AS system_id, count(*) FILTER (WHERE category = 'NEW') AS new_, count(*) FILTER (WHERE category = 'ORPHANED') AS orphaned, coalesce(count(*) FILTER (WHERE category = 'DRIFT') / nullif(count(*) FILTER (WHERE category IN ('DRIFT', 'UNCHANGED')), 0), 0) AS share FROM changes GROUP BY 1), broken AS (SELECT substr(table_name, 1, 2) AS system_id, count(*) FILTER (WHERE {IMPACT} = 'breaking') AS breaking FROM atomic GROUP BY 1), sig AS (SELECT o.*, coalesce(breaking, 0) AS breaking FROM one o LEFT JOIN broken USING (system_id)), signals AS (SELECT system_id, 'many_new_tables' AS signal, 'MEDIUM' AS severity, CAST(new_ AS DOUBLE) AS value FROM sig WHERE new_ > 15 UNION ALL SELECT system_id, 'drift_share', 'MEDIUM', share FROM sig WHERE share > 0.4 UNION ALL SELECT system_id, 'breaking_change', 'HIGH', breaking FROM sig WHERE breaking > 0 UNION ALL SELECT system_id, 'orphans', 'LOW', orphaned FROM sig WHERE orphaned > 0) "
     r.add("dr12_risk_snapshot", signals, SIG + "SELECT * FROM signals")
     plan = lambda s, d: dr.risk_plan(projected(s, d, "plan_hubs")[0].where("system_id <> 's3'"), projected(s, d, "plan_hubs")[0])

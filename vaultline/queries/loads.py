@@ -168,8 +168,8 @@ def staged(r: Registry) -> None:
     r.add("stg3_derived_source", lambda s, d: st.stage(table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), [st.Derived("tag", source=["o_orderstatus", "o_orderpriority"]), st.Derived("again", source="o_orderkey")]).select("o_orderkey", "tag", "again"),
           "SELECT o_orderkey, concat_ws(' ', o_orderstatus, o_orderpriority) AS tag, o_orderkey AS again FROM orders")
     r.add("stg4_derived_literal", lambda s, d: st.stage(table(s, d, "customer").select("c_custkey"), [st.Derived("record_source", literal="CRM"), st.Derived("tenant", literal=7)]), "SELECT c_custkey, 'CRM' AS record_source, 7 AS tenant FROM customer")
-    flag = F.when(F.col("event_type") == "error", "D").when(F.col("event_type") == "signup", "I").otherwise("U")
-    r.add("stg5_derive_cdc", lambda s, d: st.derive_cdc(table(s, d, "events").select("event_id", "ts", "event_type"), flag, "ts"),
+    flag = lambda: F.when(F.col("event_type") == "error", "D").when(F.col("event_type") == "signup", "I").otherwise("U")
+    r.add("stg5_derive_cdc", lambda s, d: st.derive_cdc(table(s, d, "events").select("event_id", "ts", "event_type"), flag(), "ts"),
           f"SELECT event_id, ts, event_type, CASE event_type WHEN 'error' THEN 'D' WHEN 'signup' THEN 'I' ELSE 'U' END AS cdc_flag, event_type = 'error' AS is_deleted, ts AS effective_from, ts AS start_date, CASE WHEN event_type = 'error' THEN ts ELSE {END} END AS end_date FROM events")
     holes = lambda s, d: table(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("user_id")).alias("user_id"), F.when(F.col("event_id") % 5 > 0, F.get_json_object("props", "$.k")).alias("k"))
     r.add("stg6_replace_nulls", lambda s, d: st.replace_nulls(holes(s, d), ["user_id"], ["k"]),

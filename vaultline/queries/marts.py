@@ -78,8 +78,8 @@ def business(r: Registry) -> None:
 
     r.add("bv6_fact", lines, "SELECT o_custkey, p_brand, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS quantity, count(*) AS lines FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_custkey, p_brand")
     r.add("bv7_fact_measures", revenue, REVENUE)
-    derived = {"priority_class": F.expr("CASE WHEN o_orderpriority < '3' THEN 'fast' ELSE 'slow' END")}
-    r.add("bv8_bv_sat", lambda s, d: bv.bv_sat(sat_status(s, d), "hk_customer", derived, "o_orderdate", "record_source"),
+    derived = lambda: {"priority_class": F.expr("CASE WHEN o_orderpriority < '3' THEN 'fast' ELSE 'slow' END")}
+    r.add("bv8_bv_sat", lambda s, d: bv.bv_sat(sat_status(s, d), "hk_customer", derived(), "o_orderdate", "record_source"),
           with_sql("sat_status") + f", rules_ AS (SELECT hk_customer, o_orderdate, record_source, CASE WHEN o_orderpriority < '3' THEN 'fast' ELSE 'slow' END AS priority_class FROM sat_status), hashed AS (SELECT *, {diff_sql('priority_class')} AS bv_hashdiff FROM rules_) SELECT hk_customer, bv_hashdiff, priority_class, o_orderdate, record_source FROM (SELECT *, lag(bv_hashdiff) OVER (PARTITION BY hk_customer ORDER BY o_orderdate) AS b FROM hashed) WHERE b IS DISTINCT FROM bv_hashdiff")
     r.add("bv8_user_rules", lambda s, d: sat_status(s, d).select("hk_customer", "o_orderdate", *(c.alias(n) for n, c in bv.checked_rules(sat_status(s, d), {"closed": "o_orderstatus = 'F'", "code": "substr(o_orderpriority, 1, 1)"}).items())),
           with_sql("sat_status") + "SELECT hk_customer, o_orderdate, o_orderstatus = 'F' AS closed, substr(o_orderpriority, 1, 1) AS code FROM sat_status")
@@ -97,20 +97,20 @@ def business(r: Registry) -> None:
 
 
 def derivations(r: Registry) -> None:
-    kv = F.when(F.col("p_partkey") % 10 > 0, F.col("p_size") * 3)
-    r.add("bv12_voltage_tier", lambda s, d: table(s, d, "part").select("p_partkey", rules.voltage_tier(kv).alias("tier")), "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_size * 3 >= 110 THEN 'EHV' WHEN p_size * 3 >= 36 THEN 'HV' WHEN p_size * 3 >= 1 THEN 'MV' ELSE 'LV' END AS tier FROM part")
+    kv = lambda: F.when(F.col("p_partkey") % 10 > 0, F.col("p_size") * 3)
+    r.add("bv12_voltage_tier", lambda s, d: table(s, d, "part").select("p_partkey", rules.voltage_tier(kv()).alias("tier")), "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_size * 3 >= 110 THEN 'EHV' WHEN p_size * 3 >= 36 THEN 'HV' WHEN p_size * 3 >= 1 THEN 'MV' ELSE 'LV' END AS tier FROM part")
     r.add("bv13_vendor", lambda s, d: table(s, d, "part").select("p_partkey", rules.vendor(F.concat(F.lit("  "), "p_brand", F.lit(" "))).alias("vendor")), "SELECT p_partkey, upper(trim(p_brand)) AS vendor FROM part")
-    words = F.when(F.col("event_type") == "view", " Active ").when(F.col("event_type") == "click", "TRUE").when(F.col("event_type") == "error", "Out of Service").when(F.col("event_type") == "signup", None).otherwise("0")
-    r.add("bv14_state", lambda s, d: table(s, d, "events").select("event_id", rules.state(words).alias("state")), "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'in_service' WHEN event_type IN ('error', 'purchase') THEN 'out_of_service' ELSE 'unknown' END AS state FROM events")
-    today = F.lit("2025-01-01").cast("date")
+    words = lambda: F.when(F.col("event_type") == "view", " Active ").when(F.col("event_type") == "click", "TRUE").when(F.col("event_type") == "error", "Out of Service").when(F.col("event_type") == "signup", None).otherwise("0")
+    r.add("bv14_state", lambda s, d: table(s, d, "events").select("event_id", rules.state(words()).alias("state")), "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'in_service' WHEN event_type IN ('error', 'purchase') THEN 'out_of_service' ELSE 'unknown' END AS state FROM events")
+    today = lambda: F.lit("2025-01-01").cast("date")
     age = "date_diff('day', CAST(o_orderdate - to_months(CAST(o_orderkey % 400 AS INT)) AS DATE), DATE '2025-01-01') / 365.0"
-    r.add("bv15_age", lambda s, d: table(s, d, "orders").withColumn("t", F.expr("add_months(o_orderdate, -cast(o_orderkey % 400 as int))")).select("o_orderkey", rules.age_band("t", today).alias("band"), rules.age_years("t", today).alias("years")),
+    r.add("bv15_age", lambda s, d: table(s, d, "orders").withColumn("t", F.expr("add_months(o_orderdate, -cast(o_orderkey % 400 as int))")).select("o_orderkey", rules.age_band("t", today()).alias("band"), rules.age_years("t", today()).alias("years")),
           f"SELECT o_orderkey, CASE WHEN {age} < 10 THEN 'new' WHEN {age} < 25 THEN 'mid' WHEN {age} < 50 THEN 'aged' ELSE 'legacy' END AS band, CAST(floor({age}) AS BIGINT) AS years FROM orders")
-    phases = F.when(F.col("p_size") % 4 == 0, "ABC").when(F.col("p_size") % 4 == 1, "3").when(F.col("p_size") % 4 == 2, "A")
-    r.add("bv16_three_phase", lambda s, d: table(s, d, "part").select("p_partkey", rules.three_phase(phases).alias("three_phase")), "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false END AS three_phase FROM part")
-    day = F.lit("2001-09-01").cast("date")
+    phases = lambda: F.when(F.col("p_size") % 4 == 0, "ABC").when(F.col("p_size") % 4 == 1, "3").when(F.col("p_size") % 4 == 2, "A")
+    r.add("bv16_three_phase", lambda s, d: table(s, d, "part").select("p_partkey", rules.three_phase(phases()).alias("three_phase")), "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false END AS three_phase FROM part")
+    day = lambda: F.lit("2001-09-01").cast("date")
     n = "date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-09-01')"
-    r.add("bv17_incident", lambda s, d: table(s, d, "orders").select("o_orderkey", rules.severity("o_orderpriority").alias("severity"), rules.aging("o_orderdate", day).alias("aging"), rules.breached("o_orderdate", "o_orderpriority", day).alias("is_breached")),
+    r.add("bv17_incident", lambda s, d: table(s, d, "orders").select("o_orderkey", rules.severity("o_orderpriority").alias("severity"), rules.aging("o_orderdate", day()).alias("aging"), rules.breached("o_orderdate", "o_orderpriority", day()).alias("is_breached")),
           f"SELECT o_orderkey, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'CRITICAL' WHEN '2' THEN 'HIGH' WHEN '3' THEN 'MEDIUM' ELSE 'LOW' END AS severity, CASE WHEN {n} <= 7 THEN 'NEW' WHEN {n} <= 30 THEN 'RECENT' WHEN {n} <= 90 THEN 'AGED' ELSE 'STALE' END AS aging, {n} > CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1 WHEN '2' THEN 3 WHEN '3' THEN 7 ELSE 30 END AS is_breached FROM orders")
     r.add("bv18_equipment", lambda s, d: table(s, d, "part").select("p_partkey", rules.category("p_type", KINDS).alias("category")), "SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'basic' WHEN p_type = 'PROMO' THEN 'special' ELSE 'other' END AS category FROM part")
     r.add("bv18_lifecycle", lambda s, d: table(s, d, "orders").select("o_orderkey", rules.lifecycle("o_orderstatus").alias("stage")), "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'planned' WHEN 'P' THEN 'in_progress' WHEN 'F' THEN 'complete' ELSE 'unknown' END AS stage FROM orders")
@@ -200,8 +200,8 @@ def profiling(r: Registry) -> None:
     r.add("pr4_profile_subset", lambda s, d: pr.profile(table(s, d, "lineitem"), ["l_partkey", "l_linenumber"]), profile_sql("lineitem", ["l_partkey", "l_linenumber"]))
     kinds = "CASE WHEN data_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP' WHEN data_type = 'VARCHAR' THEN 'STRING' WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'INTEGER' WHEN data_type = 'DOUBLE' THEN 'FLOAT' ELSE 'UNKNOWN' END"
     r.add("pr5_infer_type", lambda s, d: catalog(s, d).select("table_name", "column_name", pr.infer_type(F.col("raw_dtype")).alias("kind")), f"WITH {CATALOG_SQL} SELECT table_name, column_name, {kinds} AS kind FROM catalog_")
-    override = F.when(F.col("column_name") == "lang", True).when(F.col("column_name") == "load_dts", False)
-    r.add("pr6_is_system", lambda s, d: catalog(s, d).select("table_name", "column_name", pr.is_system(F.when(F.col("ordinal") == 2, F.concat(F.lit("sys_created_"), "column_name")).otherwise(F.col("column_name")), override).alias("is_system")), f"WITH {CATALOG_SQL} SELECT table_name, column_name, ordinal = 2 OR column_name = 'lang' AS is_system FROM catalog_")
+    override = lambda: F.when(F.col("column_name") == "lang", True).when(F.col("column_name") == "load_dts", False)
+    r.add("pr6_is_system", lambda s, d: catalog(s, d).select("table_name", "column_name", pr.is_system(F.when(F.col("ordinal") == 2, F.concat(F.lit("sys_created_"), "column_name")).otherwise(F.col("column_name")), override()).alias("is_system")), f"WITH {CATALOG_SQL} SELECT table_name, column_name, ordinal = 2 OR column_name = 'lang' AS is_system FROM catalog_")
     r.add("pr7_detect_bk", lambda s, d: pr.detect_bk(catalog(s, d)).select("table_name", "business_key"), f"WITH {CATALOG_SQL}, ranked AS (SELECT *, {KEY_RANK} AS rank FROM catalog_) SELECT table_name, arg_min(column_name, rank * 1000 + ordinal) AS business_key FROM ranked GROUP BY table_name")
     flags = " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, is_likely_key FROM ({profile_sql(t, cs)})" for t, cs in {"customer": COLUMNS["customer"], "orders": COLUMNS["orders"], "events": COLUMNS["events"]}.items())
     three = lambda s, d: (catalog(s, d).where(F.col("table_name").isin("customer", "orders", "events")), dq.union_all([pr.profile(table(s, d, t)).withColumn("table_name", F.lit(t)) for t in ("customer", "orders", "events")]))

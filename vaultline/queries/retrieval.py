@@ -118,12 +118,12 @@ def stream_queries(r: Registry) -> None:
 
     r.add("ss4_stream_changes", changed, with_sql("stg_events") + "SELECT hk_user AS key, ts, hd_type AS hashdiff FROM (SELECT *, lag(hd_type) OVER (PARTITION BY hk_user ORDER BY ts, hd_type) AS b FROM stg_events) WHERE b IS DISTINCT FROM hd_type")
     r.add("ss5_late_rows", lambda s, d: bronze.late_rows(table(s, d, "orders").select("o_orderkey", "o_orderdate"), bronze.high_water_mark(old_new(table(s, d, "orders"), "o_orderdate")[0], "o_orderdate"), "o_orderdate"), f"SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate <= TIMESTAMP '{MID}'")
-    kind = F.when(F.col("event_type") == "signup", "I").when(F.col("event_type") == "error", "D").otherwise("U")
+    kind = lambda: F.when(F.col("event_type") == "signup", "I").when(F.col("event_type") == "error", "D").otherwise("U")
     cols = "count(*) AS n_rows, count(*) FILTER (WHERE event_type = 'signup') AS inserted, count(*) FILTER (WHERE event_type NOT IN ('signup', 'error')) AS updated, count(*) FILTER (WHERE event_type = 'error') AS deleted"
     plain = lambda df: df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
-    r.add("ss6_volume_daily", lambda s, d: plain(streams.volume(table(s, d, "events"), F.window("ts", "1 day"), kind)), f"SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS window_end, {cols} FROM events GROUP BY 1, 2")
-    r.add("ss6_volume_sliding", lambda s, d: plain(streams.volume(table(s, d, "events"), F.window("ts", "2 days", "1 day"), kind)), f"SELECT day AS window_start, day + INTERVAL 2 DAY AS window_end, {cols} FROM (SELECT event_type, date_trunc('day', ts)::TIMESTAMP - to_days(CAST(k AS INT)) AS day FROM events, unnest(range(2)) t(k)) GROUP BY 1, 2")
-    r.add("ss6_volume_sessions", lambda s, d: plain(streams.volume(table(s, d, "events"), F.session_window("ts", "6 hours"), kind, ["user_id"])), f"SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, {cols} FROM (SELECT *, sum(new_) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new_ FROM events)) GROUP BY user_id, session")
+    r.add("ss6_volume_daily", lambda s, d: plain(streams.volume(table(s, d, "events"), F.window("ts", "1 day"), kind())), f"SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS window_end, {cols} FROM events GROUP BY 1, 2")
+    r.add("ss6_volume_sliding", lambda s, d: plain(streams.volume(table(s, d, "events"), F.window("ts", "2 days", "1 day"), kind())), f"SELECT day AS window_start, day + INTERVAL 2 DAY AS window_end, {cols} FROM (SELECT event_type, date_trunc('day', ts)::TIMESTAMP - to_days(CAST(k AS INT)) AS day FROM events, unnest(range(2)) t(k)) GROUP BY 1, 2")
+    r.add("ss6_volume_sessions", lambda s, d: plain(streams.volume(table(s, d, "events"), F.session_window("ts", "6 hours"), kind(), ["user_id"])), f"SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, {cols} FROM (SELECT *, sum(new_) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new_ FROM events)) GROUP BY user_id, session")
 
 
 def register(r: Registry) -> None:
