@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from vaultline.llm.shared import sliced, texts_of, written
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
+JUDGED = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 HITS = "doc_id long, n_words long, spans array<int>, items array<string>"
 
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -81,8 +83,16 @@ class WuManber:
         return spans, items
 
 
-def hits(docs: DataFrame, items: list[tuple[str, str | None]], window: int = WINDOW) -> DataFrame:
-    """Of every document its number of words, the occurrences (flat pairs) and the items."""
+def covered(spans: list[int]) -> int:
+    total = last = 0
+    for a, b in sorted(zip(spans[::2], spans[1::2])):
+        total += max(0, b - max(a, last))
+        last = max(last, b)
+    return total
+
+
+def hits(docs: DataFrame, items: list[tuple[str, str | None]], window: int = WINDOW, last: bool = False) -> DataFrame:
+    """Of every document its number of words, the occurrences (flat pairs) and the items; judged at once if this is the only block."""
     search = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,17 +106,25 @@ def hits(docs: DataFrame, items: list[tuple[str, str | None]], window: int = WIN
                 pa.array([[x for span in spans for x in span] for spans, _ in results], pa.list_(pa.int32())),
                 pa.array([sorted(own) for _, own in results], pa.list_(pa.string())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "spans", "items"])
+            out = pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "spans", "items"])
+            yield judged(out) if last else out
 
-    return docs.select("doc_id", "text").mapInArrow(run, HITS)
+    return docs.select("doc_id", "text").mapInArrow(run, JUDGED if last else HITS)
 
 
-def covered(spans: list[int]) -> int:
-    total = last = 0
-    for a, b in sorted(zip(spans[::2], spans[1::2])):
-        total += max(0, b - max(a, last))
-        last = max(last, b)
-    return total
+def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
+    n_words = batch.column(1).to_numpy()
+    n_hit = np.array([covered(x) for x in batch.column(2).to_pylist()], np.int64)
+    own = [sorted(x) for x in batch.column(3).to_pylist()]
+    columns = [
+        batch.column(0),
+        batch.column(1),
+        pa.array(n_hit),
+        pa.array([len(x) for x in own], pa.int64()),
+        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in own], pa.string()),
+        pa.array((n_hit > 0) & (20 * n_hit >= n_words)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -115,35 +133,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(8)), F.lit(0)).cast("long")).first()[0]
     blocks = max(1, -(-size // block_bytes))
     if blocks == 1:
-        found = hits(docs, [tuple(r) for r in items.collect()], window)
-    else:
-        block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
-        each = [hits(docs, [tuple(r) for r in items.where(block == b).collect()], window) for b in range(blocks)]
-        found = each[0]
-        for other in each[1:]:
-            found = found.unionByName(other)
-        found = found.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"),
-            F.flatten(F.collect_list("spans")).alias("spans"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words = batch.column(1).to_numpy()
-            n_hit = np.array([covered(x) for x in batch.column(2).to_pylist()], np.int64)
-            own = [sorted(x) for x in batch.column(3).to_pylist()]
-            columns = [
-                batch.column(0),
-                batch.column(1),
-                pa.array(n_hit),
-                pa.array([len(x) for x in own], pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in own], pa.string()),
-                pa.array((n_hit > 0) & (20 * n_hit >= n_words)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+        return hits(docs, [tuple(r) for r in items.collect()], window, last=True)
+    block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    each = [hits(docs, [tuple(r) for r in items.where(block == b).collect()], window) for b in range(blocks)]
+    found = reduce(DataFrame.unionByName, each).groupBy("doc_id").agg(
+        F.max("n_words").alias("n_words"),
+        F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+    )
+    return found.mapInArrow(lambda batches: map(judged, batches), JUDGED)
 
 
 def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -197,7 +197,7 @@ class PieceTable:
     Holds at most ``room`` pieces and ``room * 8`` values; a full table starts anew.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], dtype: type, room: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[str]], list], dtype: type, room: int = 600_000):
         self.encode, self.dtype, self.room = encode, dtype, room
         self.clear()
 

@@ -53,7 +53,7 @@ def parts(spark: SparkSession, n_bytes: int, per_part: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // per_part))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that the texts of each part hold about ``limit`` bytes (one text at least)."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
@@ -119,8 +119,6 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     gap = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.diff(gap.astype(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if len(starts) and not gap[0] and edge[0] != -1:
-        starts = np.concatenate(([0], starts))
     hashes = RangeHash(mix(data.astype(np.uint64) + np.uint64(1))).of(starts, ends)
     text_ends = np.cumsum(np.array([len(r) + 1 for r in raw], np.int64))
     bounds = np.concatenate(([0], np.searchsorted(starts, text_ends)))
