@@ -50,6 +50,17 @@ def test_large_buckets_by_pivots(docs, texts):
     assert {i: r["class_id"] for i, r in by_id(got).items()} == classes(texts)
 
 
+def test_large_buckets_of_one_template(spark):
+    """200 texts of one template, at 0.76 to each other, and 100 pairs of them at 0.81 that share little more than the template."""
+    template = [f"t{i}" for i in range(304)]
+    rows = [(i, " ".join(template + [f"pair{i // 2}x{k}" for k in range(10)] + [f"own{i}x{k}" for k in range(37)])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes(rows)
+    assert sum(i != c for i, c in want.items()) == 100
+    assert {i: r["class_id"] for i, r in by_id(near_dedup.op1(df)).items()} == want
+    assert {i: r["class_id"] for i, r in by_id(near_dedup.near_duplicates(df, small=2, pivots=1)).items()} == want
+
+
 def test_first_of_class_stays(docs, texts):
     want = classes(texts)
     assert {r["doc_id"] for r in near_dedup.first_of_class(docs).collect()} == {i for i, c in want.items() if i == c}

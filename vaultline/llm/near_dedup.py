@@ -11,8 +11,9 @@ band by band, and candidates are verified on their shingles.
 Documents with equal shingle sets become one node first, so groups of copies cost one row. In a bucket of at
 most ``small`` nodes all pairs are candidates. In a larger one, a pivot (the node of the least hash) meets
 every node; then, until no link is new, one pivot for each component in the bucket (the ``pivots`` largest) meets the
-nodes of the others. So candidates grow with a bucket's size and not its square. Components of verified
-links are the classes.
+nodes of the others. What pivots leave apart is settled by prefixes: nodes of buckets that still hold several
+components are compared across components wherever the rarest elements of their sets do not rule the similarity out, so
+no pair of a bucket is left out. Components of verified links are the classes.
 
 Bands: 16 of 4 coordinates; a pair of similarity 0.8 is missed with probability (1 - 0.8^4)^16 = 0.0002.
 
@@ -37,6 +38,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 SMALL, PIVOTS = 32, 4
+COMMON = 1 << 20
 FINEST = 13
 
 
@@ -240,6 +242,75 @@ def component_pairs(members: DataFrame, pivots: int, similarity: float, seed: in
     return ordered_pairs(heads.join(members, "key").where("head <> label").select("p", "q"), similarity)
 
 
+def rare_first(nodes: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` commonest elements of the nodes (elements), sorted, and their counts. They only order prefixes: any order is right."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int32)), pa.array(n, pa.int64())], ["token", "n"])
+
+    counts = nodes.select("elements").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counts.where("n > 1").orderBy(F.desc("n"), "token").limit(most).toArrow()
+    tokens, n = top.column("token").to_numpy().view(np.uint32), top.column("n").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """The rarest elements of every node (node, label, elements) with their places. Two sets that are similar enough share an
+    element among the first ``size - ceil(similarity size) + 1`` of the larger (all rows) and the fewer of the smaller (``short``)."""
+    tokens, counts = common
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint32) for x in batch.column(2).to_pylist()]
+            size = np.array([len(x) for x in sets], np.int64)
+            flat = np.concatenate([*sets, np.empty(0, np.uint32)])
+            owner = np.repeat(np.arange(len(sets)), size)
+            at = np.minimum(np.searchsorted(tokens, flat), max(len(tokens) - 1, 0))
+            count = np.where(tokens[at] == flat, counts[at], 0) if len(tokens) else np.zeros(len(flat), np.int64)
+            order = np.lexsort((flat, count, owner))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            long = size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
+            short = size - np.ceil(2 * similarity / (1 + similarity) * size - 1e-6).astype(np.int64) + 1
+            keep = place < long[owner]
+            own = owner[keep]
+            columns = [
+                pa.array(flat[order][keep].view(np.int32)),
+                batch.column(0).take(pa.array(own)),
+                batch.column(1).take(pa.array(own)),
+                pa.array(size[own], pa.int32()),
+                pa.array(place[keep], pa.int32()),
+                pa.array(place[keep] < short[own]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "node", "label", "size", "place", "short"])
+
+    return nodes.select("node", "label", "elements").mapInArrow(run, "token int, node long, label long, size int, place int, short boolean")
+
+
+def remaining_pairs(members: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
+    """Every pair of contested nodes of two components that may be similar enough: exact, by prefixes of their sets.
+
+    Under a token, pairs within its largest component are left out before they are formed, so one great class costs its
+    size times that of the others and not its square."""
+    own = members.select(F.col("q.node").alias("node"), "label").distinct()
+    nodes = written(own.join(elements.withColumnRenamed("doc_id", "node"), "node"), "contested")
+    rows = written(prefixes(nodes, rare_first(nodes), similarity), "prefixes")
+    sizes = rows.groupBy("token", "label").agg(F.count("*").alias("n"), F.max("short").alias("s"))
+    heads = sizes.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("head"), F.count("*").alias("labels"), F.max("s").alias("s"))
+    asked = written(rows.join(heads.where("labels > 1 and s"), "token").withColumn("minor", F.col("label") != F.col("head")), "prefixes")
+    t = similarity / (1 + similarity)
+    fits = (
+        (F.col("p.label") != F.col("q.label")) & (F.col("p.size") <= F.col("q.size")) & (F.col("p.size") >= similarity * F.col("q.size") - 1e-6)
+        & (F.least(F.col("p.size") - F.col("p.place"), F.col("q.size") - F.col("q.place")) >= t * (F.col("p.size") + F.col("q.size")) - 1e-6)
+    )
+    side = lambda name, which: asked.where(which).select("token", F.struct("node", "label", "size", "place").alias(name))
+    either = side("p", "short and minor").join(side("q", "true"), "token").where(fits).select("p", "q")
+    mixed = side("p", "short and not minor").join(side("q", "minor"), "token").where(fits).select("p", "q")
+    return ordered_pairs(either.unionByName(mixed), similarity)
+
+
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after more links: only the labels that the links join are a graph now."""
     of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
@@ -273,6 +344,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
             break
         labels = merged(labels, more)
         seed += 1
+    if large.limit(1).count():
+        pairs = written(likely(remaining_pairs(large, elements, similarity), some, similarity), "pairs")
+        more = written(verified(pairs, elements, similarity), "links")
+        if more.limit(1).count():
+            labels = merged(labels, more)
     classes = copies.join(labels, "node", "left").select(*same, F.coalesce("label", "node").alias("class_id"))
     placed = sets.select("doc_id", *same).join(classes, same, "left")
     alone = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("class_id", "doc_id"))
