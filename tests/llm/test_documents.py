@@ -8,7 +8,7 @@ from rows import by_id
 from pyspark.sql import functions as F
 
 from vaultline.llm import decontamination, near_dedup, quality_rules, secrets, sharding, substring_dedup, suffix_dedup
-from vaultline.llm.windows import Symbols, anchors
+from vaultline.llm.windows import Symbols, anchors, covered, found_windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 sha = lambda raw: hashlib.sha256(raw).hexdigest()
@@ -347,6 +347,33 @@ def test_bytes_removed_equal_brute_force(docs, texts):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(raw), sum(gone), spans, sha(kept)), i
 
 
+@pytest.mark.parametrize("kind", [Symbols(True, 50, 16), Symbols(False, 50, 25)])
+def test_hot_anchors_are_split(spark, tmp_path, kind):
+    """A passage that a third of the documents share in different surroundings: no bucket of the method holds all of them."""
+    passage = [f"p{k}" for k in range(60)]
+    own = lambda i, n: [f"d{i}x{k}" for k in range(n)]
+    rows = [(i, " ".join(own(i, 40) + (passage if i % 3 == 0 else []) + own(-i, 40))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    method = (substring_dedup if kind.words else suffix_dedup).solve
+
+    def largest(hot):
+        return max((int(x) for x in (tmp_path / str(hot)).read_text().split()), default=0) if (tmp_path / str(hot)).exists() else 0
+
+    unit = WORD.findall if kind.words else lambda t: list(t.encode())
+    for hot in (10, 1 << 30):
+        path = str(tmp_path / str(hot))
+
+        def solve(docs, flat, bounds, window, path=path, method=method):
+            with open(path, "a") as f:
+                f.write(f"{len(docs)}\n")
+            return method(docs, flat, bounds, window)
+
+        found = {r["doc_id"]: r["places"] for r in found_windows(df, kind, solve, bucket_contexts=8, hot=hot).collect()}
+        for i, (symbols, gone) in removed(rows, unit, 50).items():
+            assert covered(len(symbols), found.get(i), 50).tolist() == gone, i
+    assert largest(10) <= 20 and largest(1 << 30) >= 49
+
+
 def test_anchors_cover_every_window_once(texts):
     for kind in (Symbols(True, 50, 16), Symbols(False, 50, 25)):
         symbols, bounds = kind.of([t or "" for _, t in texts])

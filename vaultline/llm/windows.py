@@ -12,6 +12,10 @@ they are its *context*.
    window that starts in an earlier document.
 3. Both kinds of finds are grouped by document and joined with the texts.
 
+An anchor of more than ``HOT`` contested contexts is *hot*: its contexts do not meet in one bucket. Each of their windows goes
+by (anchor hash, window hash) instead, where aggregates that combine in map tasks keep the least document, so
+a passage that very many documents share within different surroundings makes no uneven bucket.
+
 Map tasks settle copies within their own batch at once, so of a group of thousands of copies each batch sends
 one. Nothing is capped; documents meet only in buckets of anchors, never pairwise.
 """
@@ -32,6 +36,9 @@ from vaultline.llm.shared import RangeHash, mix, parts, ragged, sliced, text_byt
 Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 
+HOT = 2048
+
+
 @dataclass(frozen=True)
 class Symbols:
     """Which symbols a text has; ``dtype`` is what a context is sent as."""
@@ -149,8 +156,8 @@ def per_document(doc: np.ndarray, kind: int, columns: list[np.ndarray]) -> list[
     return [{"doc_id": int(doc[p[0]]), "kind": kind, "places": b"".join(c[p].tobytes() for c in columns)} for p in np.split(order, cuts)] if len(order) else []
 
 
-def settle(table: pa.Table) -> pa.Table:
-    """Finds of one bucket of anchors: kind 0, windows found; kind 1, contested contexts."""
+def settle(table: pa.Table, most: int = HOT) -> pa.Table:
+    """Finds of one bucket of anchors: kind 0, windows found; kind 1, contested contexts; kind 2, those of anchors with over ``most``."""
     rows = table.to_pylist()
     known = [r for r in rows if r["found"]]
     open_rows = [r for r in rows if not r["found"]]
@@ -181,7 +188,9 @@ def settle(table: pa.Table) -> pa.Table:
         spread = np.minimum.reduceat(earliest, begins) != np.maximum.reduceat(earliest, begins)
         contested = ~found & ((contexts > 1) & spread)[group]
         out += per_document(doc[found], 0, [first[found], count[found]])
-        out += per_document(doc[contested], 1, [key[contested], first[contested], count[contested]])
+        hot = (contexts > most)[group]
+        for kind, own in ((1, contested & ~hot), (2, contested & hot)):
+            out += per_document(doc[own], kind, [key[own], first[own], count[own]])
     return pa.Table.from_batches([batch_of(out, FIND_TYPES)])
 
 
@@ -189,29 +198,31 @@ CONTEXTS = "bucket int, docs binary, firsts binary, counts binary, symbols binar
 CONTEXT_TYPES = [("bucket", pa.int32()), *((k, pa.binary()) for k in ("docs", "firsts", "counts", "symbols"))]
 
 
+def places_of(batch: pa.RecordBatch, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchor hash, document, first place (in the text and in the batch) and number of windows of a batch's contested contexts."""
+    out = [[np.empty(0, d)] for d in (np.uint64, np.int64, np.uint32, np.int64, np.uint8)]
+    for i, (doc, lists) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+        for raw in lists:
+            n = len(raw) // 13
+            first = np.frombuffer(raw, np.uint32, n, 8 * n)
+            own = np.frombuffer(raw, np.uint64, n), np.full(n, doc, np.int64), first, first + bounds[i], np.frombuffer(raw, np.uint8, n, 12 * n)
+            for column, x in zip(out, own):
+                column.append(x)
+    return tuple(np.concatenate(x) for x in out)
+
+
 def context_rows(joined: DataFrame, kind: Symbols, buckets: int) -> DataFrame:
     """Contested contexts as symbols. ``joined`` has doc_id, text and the list of contested places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             symbols, bounds = kind.of(texts_of(batch))
-            keys, docs, firsts, starts, counts = [], [], [], [], []
-            for i, (doc, lists) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                for raw in lists:
-                    n = len(raw) // 13
-                    first = np.frombuffer(raw, np.uint32, n, 8 * n)
-                    keys.append(np.frombuffer(raw, np.uint64, n))
-                    firsts.append(first)
-                    starts.append(first + bounds[i])
-                    counts.append(np.frombuffer(raw, np.uint8, n, 12 * n))
-                    docs.append(np.full(n, doc, np.int64))
-            if not keys:
+            key, doc, first, start, count = places_of(batch, bounds)
+            if not len(key):
                 continue
-            key, start, count = np.concatenate(keys), np.concatenate(starts), np.concatenate(counts)
             size = count.astype(np.int64) + kind.window - 1
             bucket = (mix(key) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            doc, first = np.concatenate(docs), np.concatenate(firsts)
             rows = []
             for p in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                 own = symbols[ragged(start[p], size[p])].astype(kind.dtype)
@@ -221,6 +232,33 @@ def context_rows(joined: DataFrame, kind: Symbols, buckets: int) -> DataFrame:
     return joined.select("doc_id", "text", "places").mapInArrow(run, CONTEXTS)
 
 
+def hot_finds(joined: DataFrame, kind: Symbols) -> DataFrame:
+    """Finds among the contexts of hot anchors. Equal windows have equal anchors, so a window is known by its anchor's hash and its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            symbols, bounds = kind.of(texts_of(batch))
+            key, doc, first, start, count = places_of(batch, bounds)
+            if not len(key):
+                continue
+            hashes = RangeHash(symbols if kind.words else mix(np.arange(1, 257, dtype=np.uint64))[symbols])
+            n = count.astype(np.int64)
+            at = ragged(start, n)
+            columns = [np.repeat(key, n).view(np.int64), hashes.of(at, at + kind.window).view(np.int64), np.repeat(doc, n), ragged(first.astype(np.int64), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "window", "doc_id", "place"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, place = (batch.column(k).to_numpy() for k in (0, 1))
+            if len(doc):
+                yield batch_of(per_document(doc, 0, [place.astype(np.uint32), np.ones(len(place), np.uint8)]), FIND_TYPES)
+
+    rows = written(joined.select("doc_id", "text", "places").mapInArrow(run, "key long, window long, doc_id long, place long"), "hot")
+    least = rows.groupBy("key", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
+    later = rows.join(least.select("key", "window", "least"), ["key", "window"]).where("doc_id > least")
+    return later.select("doc_id", "place").mapInArrow(packed, FINDS)
+
+
 def solver(kind: Symbols, solve: Solve) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -242,21 +280,24 @@ def solver(kind: Symbols, solve: Solve) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def found_windows(docs: DataFrame, kind: Symbols, solve: Solve, bucket_anchors: int = 1 << 20, bucket_contexts: int = 1 << 14) -> DataFrame:
+def found_windows(docs: DataFrame, kind: Symbols, solve: Solve, bucket_anchors: int = 1 << 20, bucket_contexts: int = 1 << 14, hot: int = HOT) -> DataFrame:
     """doc_id and ``places``, a list of binaries: starts (four bytes each) and run lengths (one byte each) of found windows."""
     spark = docs.sparkSession
     symbols = text_bytes(docs) // (6 if kind.words else 1)  # a word is about six bytes long
     expected = symbols * 2 // (kind.window - kind.gram + 2)
     rows = anchor_rows(docs, kind, parts(spark, expected, bucket_anchors))
-    finds = written(rows.groupBy("bucket").applyInArrow(settle, FINDS), "anchors")
+    finds = written(rows.groupBy("bucket").applyInArrow(lambda table: settle(table, hot), FINDS), "anchors")
     by_doc = lambda df: df.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    contested = finds.where("kind = 1")
-    n_contested = contested.agg(F.coalesce(F.sum(F.octet_length("places")), F.lit(0)).cast("long")).first()[0] // 13
-    if not n_contested:
-        return by_doc(finds.where("kind = 0"))
-    contexts = context_rows(docs.select("doc_id", "text").join(by_doc(contested).hint("shuffle_hash"), "doc_id"), kind, parts(spark, n_contested, bucket_contexts))
-    solved = written(contexts.groupBy("bucket").applyInArrow(solver(kind, solve), FINDS), "contexts")
-    return by_doc(finds.where("kind = 0").unionByName(solved))
+    with_texts = lambda df: docs.select("doc_id", "text").join(by_doc(df).hint("shuffle_hash"), "doc_id")
+    sizes = finds.where("kind > 0").groupBy("kind").agg(F.sum(F.octet_length("places")).cast("long")).collect()
+    n_contested = {kind_: size // 13 for kind_, size in sizes}
+    found = finds.where("kind = 0")
+    if 1 in n_contested:
+        contexts = context_rows(with_texts(finds.where("kind = 1")), kind, parts(spark, n_contested[1], bucket_contexts))
+        found = found.unionByName(written(contexts.groupBy("bucket").applyInArrow(solver(kind, solve), FINDS), "contexts"))
+    if 2 in n_contested:
+        found = found.unionByName(written(hot_finds(with_texts(finds.where("kind = 2")), kind), "hot"))
+    return by_doc(found)
 
 
 def covered(n: int, lists: list[bytes] | None, window: int) -> np.ndarray:
