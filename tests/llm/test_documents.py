@@ -301,6 +301,36 @@ def test_battery_finds_random_strings(planted):
     assert len([i for i in found if i % 50 == 0]) >= 38 and not [i for i in found if i % 50]
 
 
+def test_decoys_cover_the_whole_text():
+    rnd = np.random.default_rng(8)
+    key = "".join(rnd.choice(list("ABCDEFGHJKLMNPQRSTabcdefghjk0123456789"), 40))
+    word = "".join(rnd.choice(list("thernoai"), 4000))
+    texts = [word[:2000] + " " + key + "7q " + word[2000:], "é" * 300 + word[:130], "password=" + key, word, "", "ab" * 60]
+    taken = [[(2001, 2043)], [], [(0, 49)], [], [], []]
+    assert [secrets.plain(t, x).decode() for t, x in zip(texts, taken)] == [word, word[:130], "", word, "", texts[5]]
+    cells = secrets.decoys(texts, taken)
+    for t, x, own in zip(texts, taken, cells):
+        left = secrets.plain(t, x).decode()
+        cuts = secrets.stretches(left.encode())
+        assert [a for _, a in cuts] == [sum(secrets.LENGTHS[b] for b, _ in cuts[:k]) for k in range(len(cuts))]
+        assert len(left) - sum(secrets.LENGTHS[b] for b, _ in cuts) < secrets.LENGTHS[0]
+        want = Counter(b * secrets.LEVELS + secrets.level(secrets.randomness(left[a : a + secrets.LENGTHS[b]])) for b, a in cuts)
+        assert dict(zip(own[::2], own[1::2])) == want
+    tokens = ["".join(rnd.choice(list(a[:36]), 30)) for a in secrets.ENCODINGS[:6] for _ in range(50)]
+    got = secrets.battery(np.array([list(t.encode()) for t in tokens], np.uint8))
+    assert np.allclose(got, [secrets.randomness(t) for t in tokens])
+
+
+def test_keys_in_the_middle_are_no_decoys(spark, planted):
+    """A source that has random keys in the middle of its texts does not stop others' keys from being found."""
+    rows, df = planted
+    rnd = np.random.default_rng(9)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    hot = [(5000 + i, "plain words here " * 20 + " ".join("".join(rnd.choice(alphabet, 42)) + "7q" for _ in range(6)) + " plain words here" * 20) for i in range(300)]
+    got = by_id(secrets.op6(df.unionByName(spark.createDataFrame(hot, "doc_id long, text string"))))
+    assert len([i for i, _, _ in rows if i % 50 == 0 and got[i]["spans"]]) >= 36
+
+
 def test_redaction(planted):
     rows, df = planted
     out = by_id(secrets.redacted(df.withColumn("n_chars", F.length("text").cast("long"))))

@@ -5,13 +5,15 @@ alphabet that holds it. Three tests ask whether it is a uniform random string of
 chi-squared over the symbols, runs above and below the alphabet's middle, lag-one serial correlation;
 Fisher's method joins them to one p-value. Ordinary text fails the battery, the more surely the longer it is.
 
-False discoveries are held per length band: each document gives one decoy a band, its own letters and digits
-without gaps. The share of decoys that pass at a level, times the candidates, estimates the false
+False discoveries are held per length band by decoys: what is left of each text without base spans and candidates, its ASCII
+letters and digits without gaps, is cut from end to end in stretches of the bands' lengths in turn (from a band that
+the stretch's hash picks), so texts weigh as much as they are long and keys are no decoys. The share of decoys that pass at a level, times the candidates, estimates the false
 among those that pass; the most lenient level whose estimate stays below ``rate`` is the band's. Counts are over all
 documents, and only the table band x level (a fixed size) comes to the driver.
 
 Cases: null and empty texts have no spans; repeated rows repeat their result; texts of any length are
-used whole; in a band without candidates or decoys nothing is flagged.
+used whole; in a band without candidates nothing is flagged, nor in one of fewer than 1 / ``rate`` - 1 decoys
+(99 at 0.01): even if none passes, the estimate (one more than pass, of one more than there are) is then too high.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +42,14 @@ BANDS = (16, 24, 32, 48, 80)
 LEVELS = 48
 RATE = 0.01
 LEAST_P = 1e-3
+_GAPS = bytes(c for c in range(256) if not (c < 128 and chr(c).isalnum()))
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = (
     _DIGIT + "abcdef", _DIGIT + "ABCDEF", _UPPER + "234567", _DIGIT + _LOWER, _DIGIT + _UPPER,
     _DIGIT + _UPPER + _LOWER, _UPPER + _LOWER + _DIGIT + "+/", _UPPER + _LOWER + _DIGIT + "-_", _UPPER + _LOWER + _DIGIT + "+/-_",
 )
+LENGTHS = [b * 5 // 4 for b in BANDS]
 _SETS = [(frozenset(a), {c: i for i, c in enumerate(a)}) for a in ENCODINGS]
 
 
@@ -90,6 +95,40 @@ def randomness(token: str) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
+_MEMBER = np.array([sum((chr(c) in a) << e for e, a in enumerate(ENCODINGS)) for c in range(128)], np.uint16)
+_CODE = np.array([[max(a.find(chr(c)), 0) for c in range(128)] for a in ENCODINGS], np.uint8)
+_SIZE = np.array([len(a) for a in ENCODINGS], np.int64)
+
+
+def tails(z: np.ndarray) -> np.ndarray:
+    return np.array([tail(x) for x in z.tolist()])
+
+
+def battery(tokens: np.ndarray) -> np.ndarray:
+    """``randomness`` of many strings of letters and digits of one length: the rows of a matrix of bytes."""
+    k, n = tokens.shape
+    member = np.bitwise_and.reduce(_MEMBER[tokens], axis=1).astype(np.int64)
+    which = np.log2(member & -member).astype(np.int64)
+    size = _SIZE[which]
+    codes = _CODE[which[:, None], tokens].astype(np.float64)
+    width = int(_SIZE.max())
+    counts = np.bincount((np.arange(k)[:, None] * width + codes.astype(np.int64)).ravel(), minlength=k * width).reshape(k, width)
+    chi, free = (counts.astype(np.float64) ** 2).sum(axis=1) * size / n - n, size - 1
+    ps = [tails(((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / np.sqrt(2 / (9 * free)))]
+    high = codes >= (size / 2)[:, None]
+    above = high.sum(axis=1)
+    mean = 2 * above * (n - above) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)
+    ps.append(np.where(spread > 0, 2 * tails(np.abs(runs - mean) / np.sqrt(np.where(spread > 0, spread, 1))), 1e-9))
+    centred = codes - codes.mean(axis=1)[:, None]
+    square = (centred**2).sum(axis=1)
+    r = (centred[:, 1:] * centred[:, :-1]).sum(axis=1) / np.where(square > 0, square, 1)
+    ps.append(2 * tails(np.abs(r + 1 / n) * math.sqrt(n)))
+    half = -sum(np.log(np.maximum(p, 1e-300)) for p in ps)
+    return np.where((counts > 0).sum(axis=1) < 3, 0.0, np.exp(-half) * (1 + half + half * half / 2))
+
+
 def band(n: int) -> int:
     return sum(n >= b for b in BANDS) - 1
 
@@ -110,14 +149,46 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-def decoys(text: str) -> list[tuple[int, float]]:
-    """For each band, the text's letters and digits without gaps, from the middle of the text."""
-    out = []
-    middle = len(text) // 2
-    plain = "".join(c for c in text[middle : middle + 240] if c.isascii() and c.isalnum())
-    for b, size in enumerate(BANDS):
-        if len(plain) >= size * 5 // 4:
-            out.append((b, randomness(plain[: size * 5 // 4])))
+def plain(text: str, taken: list[tuple[int, int]]) -> bytes:
+    """The text's ASCII letters and digits outside the spans, without gaps."""
+    left, at = [], 0
+    for a, b in sorted(taken):
+        left.append(text[at : max(a, at)])
+        at = max(at, b)
+    return "".join([*left, text[at:]]).encode("ascii", "ignore").translate(None, _GAPS)
+
+
+def stretches(own: bytes) -> list[tuple[int, int]]:
+    """(band, start) of the decoys of one text: end to end, of the bands' lengths in turn; what is left at the end is cut in the longest that fit."""
+    out, at, b = [], 0, zlib.crc32(own) % len(BANDS)
+    while at + LENGTHS[b] <= len(own):
+        out.append((b, at))
+        at, b = at + LENGTHS[b], (b + 1) % len(BANDS)
+    for b in reversed(range(len(BANDS))):
+        while at + LENGTHS[b] <= len(own):
+            out.append((b, at))
+            at += LENGTHS[b]
+    return out
+
+
+def decoys(texts: list[str], taken: list[list[tuple[int, int]]]) -> list[list[int]]:
+    """The cells (band and level) of the decoys of every text, each with its number of decoys (flat pairs)."""
+    own = [plain(*x) for x in zip(texts, taken)]
+    data = np.frombuffer(b"".join(own), np.uint8)
+    cuts = [(i, b, at) for i, x in enumerate(own) for b, at in stretches(x)]
+    begin = np.concatenate(([0], np.cumsum([len(x) for x in own])))
+    text, bands, at = np.array(cuts, np.int64).reshape(-1, 3).T
+    start = begin[text] + at
+    cells = np.zeros(len(cuts), np.int64)
+    for b, n in enumerate(LENGTHS):
+        mine = np.flatnonzero(bands == b)
+        for part in np.split(mine, range(8192, len(mine), 8192)):
+            if len(part):
+                cells[part] = [b * LEVELS + level(p) for p in battery(data[start[part][:, None] + np.arange(n)]).tolist()]
+    out = [[] for _ in texts]
+    keys, counts = np.unique(text * (len(BANDS) * LEVELS) + cells, return_counts=True)
+    for key, n in zip(keys.tolist(), counts.tolist()):
+        out[key // (len(BANDS) * LEVELS)] += [key % (len(BANDS) * LEVELS), n]
     return out
 
 
@@ -125,13 +196,15 @@ SCAN = "doc_id long, base array<int>, found array<int>, bands array<int>, levels
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Base spans, candidates with band and level, and decoys (flat triples and pairs) of every document."""
+    """Base spans, candidates with band and level, and decoys' cells with counts (flat triples and pairs) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ints = pa.list_(pa.int32())
         for batch in sliced(batches):
-            rows = [scanned(t) for t in texts_of(batch)]
-            columns = [batch.column(0).cast(pa.int64()), *(pa.array([r[k] for r in rows], ints) for k in range(5))]
+            texts = texts_of(batch)
+            rows = [scanned(t) for t in texts]
+            taken = [[*zip(base[::3], base[1::3]), *zip(found[::2], found[1::2])] for base, found, _, _ in rows]
+            columns = [batch.column(0).cast(pa.int64()), *(pa.array([r[k] for r in rows], ints) for k in range(4)), pa.array(decoys(texts, taken), ints)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "base", "found", "bands", "levels", "decoys"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCAN)
@@ -145,18 +218,18 @@ def scanned(text: str) -> tuple[list[int], ...]:
         [x for a, b, _ in own for x in (a, b)],
         [band(b - a) for a, b, _ in own],
         [level(p) for _, _, p in own],
-        [b * LEVELS + level(p) for b, p in decoys(text)],
     )
 
 
 def thresholds(scans: DataFrame, rate: float = RATE) -> list[int]:
     """For each band the highest level that is flagged, or -1."""
-    own = scans.select(F.explode(F.zip_with("bands", "levels", lambda b, x: b * LEVELS + x)).alias("cell"), F.lit(1).alias("real"))
-    fake = scans.select(F.explode("decoys").alias("cell"), F.lit(0).alias("real"))
-    table = own.unionByName(fake).groupBy("cell", "real").count().collect()
+    own = scans.select(F.explode(F.zip_with("bands", "levels", lambda b, x: b * LEVELS + x)).alias("cell"), F.lit(1).alias("real"), F.lit(1).alias("n"))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("decoys") / 2).cast("int") - 1), lambda k: F.struct(F.get("decoys", k * 2).alias("cell"), F.get("decoys", k * 2 + 1).alias("n")))
+    fake = scans.where(F.size("decoys") > 0).select(F.explode(pairs).alias("x")).select("x.cell", F.lit(0).alias("real"), "x.n")
+    table = own.unionByName(fake).groupBy("cell", "real").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros((2, len(BANDS) * LEVELS))
     for r in table:
-        counts[r["real"], r["cell"]] = r["count"]
+        counts[r["real"], r["cell"]] = r["n"]
     out = []
     for fake_row, real_row in zip(*counts.reshape(2, len(BANDS), LEVELS)):
         passed, false = np.cumsum(real_row), np.cumsum(fake_row)
@@ -218,7 +291,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
-            clean = [t if t is None else redacted_text(t, all_spans(*scanned(t)[:4], limits)) for t in texts]
+            clean = [t if t is None else redacted_text(t, all_spans(*scanned(t), limits)) for t in texts]
             columns = list(batch.columns)
             columns[at] = pa.array(clean, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
