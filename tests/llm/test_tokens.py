@@ -42,6 +42,29 @@ def test_every_prefix_has_its_count(text):
     assert counts.tolist() == [len(ids_of(library, text[:k])) for k in range(1, len(text) + 1)]
 
 
+def test_pieces_with_equal_polynomials(spark, library):
+    """Pieces of which any polynomial modulo 2^64 has equal hashes, in one batch."""
+    bits = lambda n, a, b: "".join(a if bin(k).count("1") % 2 == 0 else b for k in range(n))
+    rows = [(2 * n + k, bits(n, *pair)) for n in (512, 1024, 2048, 4096) for k, pair in enumerate(("qe", "eq"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    counts, coded, files = by_id(token_counts.op2(df, PATH)), by_id(bpe.op7(df, PATH)), by_id(binary_output.op10(df, PATH))
+    for i, t in rows:
+        ids = ids_of(library, t)
+        assert counts[i]["n_tokens"] == coded[i]["n_tokens"] == files[i]["n_tokens"] - 1 == len(ids)
+        assert coded[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert files[i]["ids_crc32"] == zlib.crc32(np.array([*ids, 2], "<u4").tobytes())
+
+
+def test_table_tells_equal_hashes_apart():
+    from vaultline.llm.pieces import PieceTable
+
+    table = PieceTable(lambda pieces: [[len(p)] for p in pieces], np.int32)
+    text, starts, ends = "aabbbc", np.array([0, 2, 5]), np.array([2, 5, 6])
+    hashes, checks = np.array([7, 7, 8], np.uint64), np.array([1, 2, 3], np.uint64)
+    for _ in range(2):
+        assert table.gather(table.find(hashes, checks, text, starts, ends))[0].tolist() == [2, 3, 1]
+
+
 def test_budget_questions(docs, texts, library):
     got = by_id(token_counts.with_prefix_counts(docs, PATH, budget=20))
     cut = by_id(token_counts.truncated(docs, PATH, 20))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -35,6 +36,7 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.special_pattern = re.compile("|".join(map(re.escape, self.specials)) or "(?!)")
         special_ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
         to_byte = byte_alphabet()
         self.ids = {bytes(to_byte[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special_ids}
@@ -118,7 +120,7 @@ class Split:
         special: list[int] = []
         for t in texts:
             if any(x in t for x in vocab.specials):
-                for part, is_special in cut_specials(t, vocab.specials):
+                for part, is_special in cut_specials(t, vocab.special_pattern):
                     if is_special:
                         special.append(len(segments))
                     segments.append(part)
@@ -150,8 +152,13 @@ class Split:
         self.starts = np.flatnonzero(start)
         self.ends = np.append(self.starts[1:], n) if len(self.starts) else self.starts
         self.bounds = np.searchsorted(self.starts, self.text_bounds)
-        self.range = RangeHash(mix(cp.astype(np.uint64) + np.uint64(1)))
-        self.hashes = self.range.of(self.starts, self.ends)
+        symbols = mix(cp.astype(np.uint64) + np.uint64(1))
+        self.ranges = [RangeHash(symbols, base) for base in RangeHash.BASES]
+        self.special_set = set(self.special)
+
+    def pieces(self, table: "PieceTable", starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The table's slots of pieces of this batch."""
+        return table.find(*(r.of(starts, ends) for r in self.ranges), self.text, starts, ends)
 
     @staticmethod
     def _runs(change: np.ndarray, gap: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,23 +185,20 @@ class Split:
         start[after[after < n]] = True
 
 
-def cut_specials(text: str, specials: list[str]) -> list[tuple[str, bool]]:
+def cut_specials(text: str, pattern: re.Pattern) -> list[tuple[str, bool]]:
     """The text cut at its special strings, leftmost and then longest first."""
     out, at = [], 0
-    while at < len(text):
-        found = [(p, -len(x), x) for x in specials if (p := text.find(x, at)) >= 0]
-        if not found:
-            break
-        p, _, x = min(found)
-        out += [(text[at:p], False), (x, True)]
-        at = p + len(x)
+    for m in pattern.finditer(text):
+        out += [(text[at : m.start()], False), (m[0], True)]
+        at = m.end()
     return [*out, (text[at:], False)]
 
 
 class PieceTable:
     """Values of distinct pieces: ``encode`` turns pieces into integer lists, kept in flat arrays.
 
-    Holds at most ``room`` pieces and ``room * 8`` values; a full table starts anew.
+    A piece is known by two independent 64-bit hashes. One that shares only the first with an entry is encoded by
+    itself. Holds at most ``room`` pieces and ``room * 8`` values; a full table starts anew.
     """
 
     def __init__(self, encode: Callable[[list[str]], list], dtype: type, room: int = 600_000):
@@ -204,11 +208,12 @@ class PieceTable:
     def clear(self) -> None:
         self.keys = np.empty(0, np.uint64)
         self.slots = np.empty(0, np.int64)
+        self.checks = np.zeros(1 << 12, np.uint64)
         self.begin = np.zeros(1 << 12, np.int64)
         self.n, self.used = 0, 0
         self.flat = np.empty(1 << 14, self.dtype)
 
-    def find(self, hashes: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def find(self, hashes: np.ndarray, checks: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Slots of the pieces; unknown ones are encoded first."""
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if self.n > self.room or self.used > self.room * 8:
@@ -217,25 +222,30 @@ class PieceTable:
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == unique[known]
         new = np.flatnonzero(~known)
+        encoded = lambda where: self._append(self.encode([text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]), checks[where])
         if len(new):
-            where = first[new]
-            values = self.encode([text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())])
-            slots = self._append(values)
+            slots = encoded(first[new])
             self.keys = np.insert(self.keys, at[new], unique[new])
             self.slots = np.insert(self.slots, at[new], slots)
             at = np.searchsorted(self.keys, unique)
-        return self.slots[at][inverse]
+        found = self.slots[at][inverse]
+        other = np.flatnonzero(self.checks[found] != checks)
+        if len(other):
+            found[other] = encoded(other)
+        return found
 
-    def _append(self, values: list) -> np.ndarray:
+    def _append(self, values: list, checks: np.ndarray) -> np.ndarray:
         lens = np.fromiter(map(len, values), np.int64, len(values))
         flat = np.concatenate([np.asarray(v, self.dtype) for v in values]) if len(values) and not isinstance(values[0], list) else np.fromiter((x for v in values for x in v), self.dtype, int(lens.sum()))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
         while self.n + len(values) + 1 > len(self.begin):
             self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
+            self.checks = np.concatenate((self.checks, np.zeros_like(self.checks)))
         self.flat[self.used : self.used + len(flat)] = flat
         self.begin[self.n + 1 : self.n + 1 + len(values)] = self.used + np.cumsum(lens)
         slots = np.arange(self.n, self.n + len(values))
+        self.checks[slots] = checks
         self.n += len(values)
         self.used += len(flat)
         return slots
@@ -259,7 +269,7 @@ class Encoder:
         split = Split(self.vocab, texts)
         if not len(split.starts):
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        ids, lens = self.table.gather(self.table.find(split.hashes, split.text, split.starts, split.ends))
+        ids, lens = self.table.gather(split.pieces(self.table, split.starts, split.ends))
         return ids, np.concatenate(([0], np.cumsum(lens)))[split.bounds]
 
 

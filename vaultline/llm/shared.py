@@ -15,14 +15,17 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only in local mode, where none is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        jsc = spark.sparkContext._jsc.sc()
+        context = spark.sparkContext
+        jsc = context._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             import tempfile
 
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vaultline-"))
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="vaultline-"))
         folder = jsc.getCheckpointDir().get()
     return folder.rstrip("/")
 
@@ -82,27 +85,46 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class RangeHash:
-    """64-bit polynomial hashes of any ranges of a symbol array, from one prefix sum."""
+    """64-bit hashes of any ranges of a symbol array, from one prefix sum.
 
-    BASE = 0x9E3779B97F4A7C15 | 1
-    _pow = _inv = np.ones(1, np.uint64)
+    A range of at most ``BLOCK`` symbols is a polynomial modulo 2^64 behind a finaliser. Such polynomials of over a
+    thousand terms have known collisions (Thue-Morse strings, whatever the base), so a longer range is hashed as the
+    sequence of its blocks' finished hashes, again in blocks, until one is left.
+    """
+
+    BLOCK = 128
+    BASES = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, symbols: np.ndarray):
+    def __init__(self, symbols: np.ndarray, base: int = BASES[0]):
         n = len(symbols)
-        cls = type(self)
-        if len(cls._pow) < n + 1:
+        self.base = base
+        if base not in self._powers or len(self._powers[base][0]) < n + 1:
             size = 1 << int(n + 1).bit_length()
-            steps = np.full(size + 1, cls.BASE, np.uint64), np.full(size + 1, pow(cls.BASE, -1, 1 << 64), np.uint64)
+            steps = np.full(size + 1, base, np.uint64), np.full(size + 1, pow(base, -1, 1 << 64), np.uint64)
             for one in steps:
                 one[0] = 1
-            RangeHash._pow, RangeHash._inv = (one.cumprod(dtype=np.uint64) for one in steps)
+            self._powers[base] = tuple(one.cumprod(dtype=np.uint64) for one in steps)
+        self.inverse = self._powers[base][1]
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(symbols * cls._pow[:n], out=self.sums[1:])
+        np.cumsum(symbols * self._powers[base][0][:n], out=self.sums[1:])
 
-    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        raw = (self.sums[b] - self.sums[a]) * RangeHash._inv[a]
+    def short(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        raw = (self.sums[b] - self.sums[a]) * self.inverse[a]
         return mix(raw + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        long = np.flatnonzero(b - a > self.BLOCK)
+        if not len(long):
+            return self.short(a, b)
+        out = self.short(a, np.minimum(b, a + self.BLOCK))
+        n = -(-(b[long] - a[long]) // self.BLOCK)
+        starts = np.repeat(a[long], n) + ragged(np.zeros(len(n), np.int64), n) * self.BLOCK
+        blocks = self.short(starts, np.minimum(starts + self.BLOCK, np.repeat(b[long], n)))
+        ends = np.cumsum(n)
+        out[long] = mix(RangeHash(blocks, self.base).of(ends - n, ends) ^ mix((b[long] - a[long]).astype(np.uint64)))
+        return out
+
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indexes starts[i], ..., starts[i] + lens[i] - 1 for every i, one after another."""

@@ -70,7 +70,7 @@ class Counter:
         split = Split(self.vocab, texts)
         if not len(split.starts):
             return np.empty(0, np.int64), split.text_bounds
-        find = lambda a, b: self.table.find(split.range.of(a, b), split.text, a, b)
+        find = lambda a, b: split.pieces(self.table, a, b)
         values, _ = self.table.gather(find(split.starts, split.ends))
         total = np.cumsum(values, dtype=np.int64)
         before = np.concatenate(([0], total))
@@ -84,7 +84,7 @@ class Counter:
             k = max(np.searchsorted(split.starts, a) - 1, 0)
             text = int(np.searchsorted(split.text_bounds, a, side="right")) - 1
             c = max(int(split.starts[k]), int(split.text_bounds[text])) if split.starts[k] < a else a
-            if any((c, e) in set(split.special) for e in (a,)):
+            if (c, a) in split.special_set:
                 c = a
             for end in range(a + 1, b):
                 total[end - 1] = before[c] + count_text(self.vocab, split.text[c:end])
