@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vaultline.llm.shared import written
@@ -13,7 +13,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round a node takes the least label among its neighbours' and then that label's own label, so
     labels cross long chains in few rounds. Every round is written to the shared folder; only the number
-    of changed labels comes to the driver. A node with very many links is no hot task: labels are
+    of changed labels comes to the driver, with the write itself. A node with very many links is no hot task: labels are
     aggregated before they are shuffled.
     """
     edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
@@ -22,7 +22,8 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         least = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = written(least.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
-        labels = step.select("node", "label")
-        if step.where("old <> label").limit(1).count() == 0:
+        step = least.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
+        changed = Observation()
+        labels = written(step.observe(changed, F.count_if(F.col("old") != F.col("label")).alias("n")), "labels").select("node", "label")
+        if not changed.get["n"]:
             return labels

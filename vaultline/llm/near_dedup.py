@@ -1,24 +1,26 @@
 """MinHash near-duplicate groups with dart signatures.
 
-A document is the set of its five-word shingles (``weighted``: each with its number of occurrences, as that
-many elements). Every element owns a unit square of weight per coordinate and an endless axis of ranks; darts
-fall there as a Poisson process that only the element decides, cell by cell in ranks that double. A document
-looks at the darts of its own elements up to a rank at which each coordinate has one almost surely, about
-t (ln t + 4) darts in all whatever its size, and each coordinate keeps its earliest dart. Two documents
-keep the same dart with a probability that is their (weighted) Jaccard similarity. Coordinates are joined
-band by band, and candidates are verified on their shingles.
-
-Documents with equal shingle sets become one node first, so groups of copies cost one row. In a bucket of at
-most ``small`` nodes all pairs are candidates. In a larger one, a pivot (the node of the least hash) meets
-every node; then, until no link is new, one pivot for each component in the bucket (the ``pivots`` largest) meets the
-nodes of the others. What pivots leave apart is settled by prefixes: nodes of buckets that still hold several
-components are compared across components wherever the rarest elements of their sets do not rule the similarity out, so
-no pair of a bucket is left out. Components of verified links are the classes.
-
-Bands: 16 of 4 coordinates; a pair of similarity 0.8 is missed with probability (1 - 0.8^4)^16 = 0.0002.
-
-Cases: documents of one to four words are one shingle; null and empty texts have none, and each is a class of
-its own; rows that share a doc_id are one document; a null doc_id has a null class; ties take the least doc_id.
+A document is the multiset of its five-word shingles: a shingle that occurs n times has weight n (``weighted=False``: 1). Every
+shingle owns, per coordinate, an endless strip of weight times rank, where darts fall as a Poisson process that only the shingle
+decides, cell by cell: units of weight, and ranks that double. A document looks at the darts inside its own weights up to a rank
+at which each coordinate has one almost surely, about t (ln t + 4) darts in all whatever its size, and each coordinate keeps its
+earliest dart. Two documents keep the same dart with a probability that is their weighted Jaccard similarity. Coordinates are
+joined band by band, and every candidate is verified on the 64-bit hashes of its shingles.
+
+1. Documents with equal multisets become one *node*, so groups of copies cost one row.
+2. In a bucket of at most ``small`` nodes all pairs are candidates. In a larger one, its *pivot* (the node that meets the most
+   others over all large buckets, so near the centre of its family) meets every node. Verified pairs are links; components of
+   links are classes.
+3. Large buckets whose nodes are still in several components are *contested*. Their nodes are compared across components by
+   prefixes: two sets that are similar enough share one of their few rarest elements, so pairs that do not are ruled out
+   exactly and all others are verified. No pair of a bucket is left out, and a family of copies is not compared pairwise,
+   as its copies are in one component by then.
+
+Bands: 20 of 5 coordinates; a pair of similarity 0.8 shares no bucket with probability (1 - 0.8^5)^20 = 0.0004.
+
+Cases: documents of one to four words are one shingle; null and empty texts have none, and each is a class of its own; a null
+doc_id has a null class; rows that share a doc_id but not a text are classed each by its own text; ties take the least doc_id;
+repeated rows are copies; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultline.llm.components import components
@@ -36,14 +38,15 @@ from vaultline.llm.shared import RangeHash, mix, sliced, texts_of, words_of, wri
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 16, 4
-SMALL, PIVOTS = 32, 4
-COMMON = 1 << 20
+BANDS, ROWS = 20, 5
+SMALL = 32
+COMMON = 1 << 17
 FINEST = 13
 
 
-def shingles(texts: list[str], size: int = SHINGLE, weighted: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Elements of all texts, sorted within each, and the index of the text that each belongs to."""
+def shingles(texts: list[str], size: int = SHINGLE, weighted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of all texts, sorted within each, and the index of the text that each belongs to. With ``weighted``, a shingle
+    that occurs n times is n elements: one for each unit of its weight."""
     hashes, _, _, bounds = words_of(texts)
     counts = np.diff(bounds)
     first = np.arange(len(hashes))
@@ -134,11 +137,21 @@ def band_hashes(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out.view(np.int64)
 
 
-SIGNED = "doc_id long, size int, set_a long, set_b long, bands array<long>, sketch binary, elements binary"
+SIGNED = "doc_id long, text_hash long, size int, set_a long, set_b long, bands array<long>"
+SET = ["set_a", "set_b", "size"]
 
 
-def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, weighted: bool = False) -> DataFrame:
-    """Per document: number of elements, two hashes of the set, its bands, a byte of each coordinate, and its elements (four bytes each, sorted)."""
+def set_hashes(elements: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each text's elements, whatever their order."""
+    out = []
+    for salt in (1, 2):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(elements + np.uint64(salt)), dtype=np.uint64)))
+        out.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
+    return out
+
+
+def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, weighted: bool = True) -> DataFrame:
+    """Per document: a hash of its text, its number of elements, two hashes of their set, and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -146,47 +159,64 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SH
             n = len(texts)
             elements, owner = shingles(texts, size, weighted)
             bounds = np.searchsorted(owner, np.arange(n + 1))
-            signature = signatures(elements, owner, n, bands * rows)
-            sketch = signature.astype(np.uint8)
-            banded = band_hashes(signature, rows)
-            sums = []
-            for salt in (1, 2):
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(elements + np.uint64(salt)), dtype=np.uint64)))
-                sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
-            short = elements.astype(np.uint32)
-            columns = [
-                batch.column(0),
-                pa.array(np.diff(bounds), pa.int32()),
-                *map(pa.array, sums),
-                pa.array([x.tolist() if b > a else [] for x, a, b in zip(banded, bounds, bounds[1:])], pa.list_(pa.int64())),
-                pa.array([x.tobytes() for x in sketch], pa.binary()),
-                pa.array([np.sort(short[a:b]).tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "set_a", "set_b", "bands", "sketch", "elements"])
+            banded = band_hashes(signatures(elements, owner, n, bands * rows), rows)[np.diff(bounds) > 0]
+            offsets = np.concatenate(([0], np.cumsum(np.where(np.diff(bounds) > 0, bands, 0)))).astype(np.int32)
+            columns = [batch.column(0), batch.column(2), pa.array(np.diff(bounds), pa.int32()), *map(pa.array, set_hashes(elements, bounds))]
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(banded.ravel())))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "size", "set_a", "set_b", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, SIGNED)
+
+
+def distinct_sets(some: DataFrame) -> DataFrame:
+    """A node for each distinct set: ``first``, the least doc_id that has it, its bands, and ``node``: ``first``, or a hash where
+    one doc_id is the first of several sets."""
+    sets = written(some.groupBy(*SET).agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "sets")
+    heads = sets.groupBy("first").agg(F.min(F.struct("set_a", "set_b")).alias("head"))
+    own = F.struct("set_a", "set_b") == F.col("head")
+    return sets.join(heads, "first").withColumn("node", F.when(own, F.col("first")).otherwise(F.xxhash64("first", "set_a", "set_b"))).drop("head")
+
+
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """Members (key, q) of the buckets of two or more nodes, with the bucket's size ``n``."""
+    spread = nodes.select("node", "size", F.posexplode("bands"))
+    rows = spread.select(F.xxhash64("pos", "col").alias("key"), F.struct("node", "size").alias("q"))
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
 
+def ordered_pairs(df: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (a, b), a < b, of columns p, q; sizes that alone rule the similarity out are left away."""
+    fits = F.least("p.size", "q.size") >= F.lit(similarity) * F.greatest("p.size", "q.size") - 1e-6
+    return df.where(fits & (F.col("p.node") != F.col("q.node"))).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
 
-def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """``pairs`` (a, b) with the column of either node."""
-    left = table.select(F.col("doc_id").alias("a"), F.col(column).alias("x"))
-    right = table.select(F.col("doc_id").alias("b"), F.col(column).alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+
+def first_pairs(shared: DataFrame, small: int, similarity: float) -> DataFrame:
+    """All pairs of small buckets; in large ones, the pivot against all nodes."""
+    few = shared.where(F.col("n") <= small).select("key", "q")
+    within = few.withColumnRenamed("q", "p").join(few, "key").where("p.node < q.node")
+    large = shared.where(F.col("n") > small).withColumn("node", F.col("q.node"))
+    weighed = large.join(large.groupBy("node").agg(F.sum("n").alias("meets")), "node")
+    pivots = weighed.groupBy("key").agg(F.max_by("q", F.struct("meets", F.xxhash64("node"))).alias("p"))
+    across = large.join(pivots, "key")
+    return ordered_pairs(within.select("p", "q").unionByName(across.select("p", "q")), similarity)
 
 
-def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` without those whose sketches agree on so few coordinates that their similarity is surely too low: more than
-    4.8 standard deviations below what is expected (a link is lost with a probability of one in a million)."""
+def elements_of(docs: DataFrame, asked: DataFrame, size: int, weighted: bool) -> DataFrame:
+    """node and its elements (eight bytes each, sorted) for the nodes ``asked`` (node, first and the hashes of the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-                t = x.shape[1]
-                least = t * similarity - 4.8 * np.sqrt(t * similarity * (1 - similarity))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+        seen: set[int] = set()  # of this task: a text that very many rows repeat under one doc_id is sent once
+        for batch in sliced(batches):
+            elements, owner = shingles(texts_of(batch), size, weighted)
+            bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            a, b = set_hashes(elements, bounds)
+            node, want_a, want_b = (batch.column(k).to_numpy() for k in (1, 2, 3))
+            own = [k for k in np.flatnonzero((a == want_a) & (b == want_b)).tolist() if node[k] not in seen and not seen.add(int(node[k]))]
+            sets = [np.sort(elements[bounds[k] : bounds[k + 1]]).tobytes() for k in own]
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(sets, pa.binary())], ["node", "elements"])
 
-    return with_both(pairs, sketches, "sketch").mapInArrow(run, "a long, b long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("first"), "text")
+    return texts.join(asked.hint("shuffle_hash"), "first").select("text", "node", "set_a", "set_b").mapInArrow(run, "node long, elements binary")
 
 
 def verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
@@ -196,50 +226,22 @@ def verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataFr
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = np.sort(np.concatenate((x, y)), kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                ok.append(common >= similarity * (len(x) + len(y) - common))
+                ok.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return with_both(pairs, elements, "elements").mapInArrow(run, "a long, b long")
-
-
-def ordered_pairs(df: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (a, b), a < b, of columns p, q; sizes that alone rule the similarity out are left away."""
-    fits = F.least("p.size", "q.size") >= F.lit(similarity) * F.greatest("p.size", "q.size")
-    return df.where(fits & (F.col("p.node") != F.col("q.node"))).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
-
-
-def shared_buckets(members: DataFrame) -> DataFrame:
-    """Members (key, q) of buckets of two or more, with the bucket's size ``n`` and pivot ``p``: the node of the least hash, the
-    same in many of the buckets of one group."""
-    rows = members.select("key", F.struct("node", "size").alias("q"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("q", F.xxhash64("q.node")).alias("p")).where("n > 1")
-    return rows.join(buckets, "key")
-
-
-def first_pairs(shared: DataFrame, small: int, similarity: float) -> DataFrame:
-    """All pairs of small buckets; in large ones, the pivot against all nodes."""
-    few = shared.where(F.col("n") <= small).select("key", "q")
-    within = few.withColumnRenamed("q", "p").join(few, "key").where("p.node < q.node")
-    across = shared.where(F.col("n") > small)
-    return ordered_pairs(within.select("p", "q").unionByName(across.select("p", "q")), similarity)
+    of = lambda node, name: elements.select(F.col("node").alias(node), F.col("elements").alias(name)).hint("merge")
+    both = pairs.join(of("b", "y"), "b").join(of("a", "x"), "a").select("a", "b", "x", "y")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def contested(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, q, label) of the large buckets that still hold more than one component."""
-    named = large.select("key", "q", F.col("q.node").alias("node")).join(labels, "node", "left").select("key", "q", F.coalesce("label", "node").alias("label"))
+    """Nodes (node, label) of the large buckets that hold more than one component."""
+    named = large.select("key", F.col("q.node").alias("node")).join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     several = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least <> greatest")
-    return named.join(several.select("key"), "key", "left_semi")
-
-
-def component_pairs(members: DataFrame, pivots: int, similarity: float, seed: int) -> DataFrame:
-    """Further candidates of contested buckets: a pivot of each of their largest components against the others' nodes."""
-    parts = members.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("q", F.xxhash64("q.node", F.lit(seed))).alias("p"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "label"))
-    heads = parts.withColumn("r", rank).where(F.col("r") <= pivots).select("key", F.col("label").alias("head"), "p")
-    return ordered_pairs(heads.join(members, "key").where("head <> label").select("p", "q"), similarity)
+    return named.join(several.select("key"), "key", "left_semi").select("node", "label").distinct()
 
 
 def rare_first(nodes: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -247,12 +249,12 @@ def rare_first(nodes: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int32)), pa.array(n, pa.int64())], ["token", "n"])
+            own, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
 
-    counts = nodes.select("elements").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = nodes.select("elements").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where("n > 1").orderBy(F.desc("n"), "token").limit(most).toArrow()
-    tokens, n = top.column("token").to_numpy().view(np.uint32), top.column("n").to_numpy()
+    tokens, n = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(tokens)
     return tokens[order], n[order]
 
@@ -264,9 +266,9 @@ def prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.frombuffer(x, np.uint32) for x in batch.column(2).to_pylist()]
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
             size = np.array([len(x) for x in sets], np.int64)
-            flat = np.concatenate([*sets, np.empty(0, np.uint32)])
+            flat = np.concatenate([*sets, np.empty(0, np.uint64)])
             owner = np.repeat(np.arange(len(sets)), size)
             at = np.minimum(np.searchsorted(tokens, flat), max(len(tokens) - 1, 0))
             count = np.where(tokens[at] == flat, counts[at], 0) if len(tokens) else np.zeros(len(flat), np.int64)
@@ -277,7 +279,7 @@ def prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity
             keep = place < long[owner]
             own = owner[keep]
             columns = [
-                pa.array(flat[order][keep].view(np.int32)),
+                pa.array(flat[order][keep].view(np.int64)),
                 batch.column(0).take(pa.array(own)),
                 batch.column(1).take(pa.array(own)),
                 pa.array(size[own], pa.int32()),
@@ -286,16 +288,15 @@ def prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity
             ]
             yield pa.RecordBatch.from_arrays(columns, ["token", "node", "label", "size", "place", "short"])
 
-    return nodes.select("node", "label", "elements").mapInArrow(run, "token int, node long, label long, size int, place int, short boolean")
+    return nodes.select("node", "label", "elements").mapInArrow(run, "token long, node long, label long, size int, place int, short boolean")
 
 
-def remaining_pairs(members: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
-    """Every pair of contested nodes of two components that may be similar enough: exact, by prefixes of their sets.
+def remaining_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Every pair of contested nodes (node, label, elements) of two components that may be similar enough: exact, by prefixes of
+    their sets.
 
     Under a token, pairs within its largest component are left out before they are formed, so one great class costs its
     size times that of the others and not its square."""
-    own = members.select(F.col("q.node").alias("node"), "label").distinct()
-    nodes = written(own.join(elements.withColumnRenamed("doc_id", "node"), "node"), "contested")
     rows = written(prefixes(nodes, rare_first(nodes), similarity), "prefixes")
     sizes = rows.groupBy("token", "label").agg(F.count("*").alias("n"), F.max("short").alias("s"))
     heads = sizes.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("head"), F.count("*").alias("labels"), F.max("s").alias("s"))
@@ -321,38 +322,32 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(known.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, small: int = SMALL, pivots: int = PIVOTS) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the document's class) and n_shingles of every row of ``docs``."""
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = True, small: int = SMALL) -> DataFrame:
+    """doc_id, text_hash, size, label (the same for all rows of a class; null without one) and class_id (the least doc_id of the
+    class) of every row of ``docs``."""
     sets = written(signed(docs, bands, rows, SHINGLE, weighted), "signatures")
-    some = sets.where("doc_id is not null and size > 0")
-    same = ["set_a", "set_b", "size"]
-    copies = written(some.groupBy(*same).agg(F.min("doc_id").alias("node")), "copies")
-    nodes = some.select("doc_id", "size", "bands").join(copies.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    spread = nodes.select(F.col("doc_id").alias("node"), "size", F.posexplode("bands"))
-    shared = written(shared_buckets(spread.select(F.xxhash64("pos", "col").alias("key"), "node", "size")), "buckets")
+    nodes = written(distinct_sets(sets.where("doc_id is not null and size > 0")), "nodes")
+    shared = written(shared_buckets(nodes), "buckets")
     large = shared.where(F.col("n") > small)
-    pairs = written(likely(first_pairs(shared, small, similarity), some, similarity), "pairs")
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(large.select("q.node")).distinct()
-    elements = written(some.select("doc_id", "elements").join(asked, "doc_id", "left_semi"), "elements")
+    pairs = written(first_pairs(shared, small, similarity), "pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("q.node")).distinct()
+    asked = nodes.select("node", "first", "set_a", "set_b").join(ends, "node", "left_semi")
+    elements = written(elements_of(docs, asked, SHINGLE, weighted), "elements")
     labels = components(written(verified(pairs, elements, similarity), "links"))
-    seed = 1
-    while True:
-        large = written(contested(large, labels), "contested")  # a bucket of one component never has two again
-        pairs = written(likely(component_pairs(large, pivots, similarity, seed), some, similarity), "pairs")
-        more = written(verified(pairs, elements, similarity), "links") if pairs.limit(1).count() else pairs
-        if more.limit(1).count() == 0:
-            break
-        labels = merged(labels, more)
-        seed += 1
-    if large.limit(1).count():
-        pairs = written(likely(remaining_pairs(large, elements, similarity), some, similarity), "pairs")
-        more = written(verified(pairs, elements, similarity), "links")
-        if more.limit(1).count():
-            labels = merged(labels, more)
-    classes = copies.join(labels, "node", "left").select(*same, F.coalesce("label", "node").alias("class_id"))
-    placed = sets.select("doc_id", *same).join(classes, same, "left")
-    alone = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("class_id", "doc_id"))
-    return placed.select("doc_id", alone.cast("long").alias("class_id"), F.col("size").cast("long").alias("n_shingles"))
+    rest = written(contested(large, labels).join(elements, "node"), "contested")
+    if not rest.isEmpty():
+        links = written(verified(written(remaining_pairs(rest, similarity), "pairs"), elements, similarity), "links")
+        if not links.isEmpty():
+            labels = merged(labels, links)
+    of_node = nodes.select(*SET, "first", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    heads = nodes.select("first", "node").join(labels, "node").groupBy("label").agg(F.min("first").alias("head"))
+    classes = of_node.join(heads, "label", "left").select(*SET, "label", F.coalesce("head", "first").alias("class_id"))
+    return sets.select("doc_id", "text_hash", *SET).join(classes, SET, "left").select("doc_id", "text_hash", "size", F.expr("if(doc_id is null, null, label)").alias("label"), F.expr("if(doc_id is null, null, coalesce(class_id, doc_id))").alias("class_id"))
+
+
+def near_duplicates(docs: DataFrame, **options: object) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the document's class) and n_shingles of every row of ``docs``."""
+    return near_classes(docs, **options).select("doc_id", "class_id", F.col("size").cast("long").alias("n_shingles"))
 
 
 def op1(docs: DataFrame) -> DataFrame:
@@ -360,6 +355,16 @@ def op1(docs: DataFrame) -> DataFrame:
 
 
 def first_of_class(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are not the first of their class."""
-    gone = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each class: that of the least doc_id (then of the least text hash). Rows without a class stay."""
+    rows = written(near_classes(docs).where("label is not null").select("doc_id", "text_hash", "label"), "classes")
+    heads = rows.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))
+    gone = rows.join(heads, "label").where(F.struct("doc_id", "text_hash") != F.col("head")).select("doc_id", "text_hash").distinct()
+    repeated = written(rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_hash"), "repeated")
+    keyed = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).hint("shuffle_hash")
+    same = lambda df: (docs["doc_id"].cast("long") == df["_id"]) & (F.xxhash64(docs["text"]) == df["_hash"])
+    gone, again = keyed(gone), keyed(repeated)
+    stay = docs.join(gone, same(gone), "left_anti")
+    if repeated.isEmpty():
+        return stay
+    once = stay.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.join(again, same(again), "left_anti").unionByName(once)
