@@ -245,15 +245,16 @@ def contested(large: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def rare_first(nodes: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` commonest elements of the nodes (elements), sorted, and their counts. They only order prefixes: any order is right."""
+    """The ``most`` commonest elements of the nodes (elements), sorted, and their counts. They only order prefixes: any order is right,
+    so elements that occur once in a batch are not counted there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], ["token", "n"])
 
     counts = nodes.select("elements").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "token").limit(most).toArrow()
+    top = counts.orderBy(F.desc("n"), "token").limit(most).toArrow()
     tokens, n = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(tokens)
     return tokens[order], n[order]
