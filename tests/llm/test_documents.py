@@ -17,13 +17,14 @@ sha = lambda raw: hashlib.sha256(raw).hexdigest()
 # ---- near-duplicates
 
 
-def shingle_set(text):
+def shingle_set(text, weighted=True):
     w = WORD.findall(text or "")
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    counts = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+    return {(x, k) for x, n in counts.items() for k in range(n if weighted else 1)}
 
 
-def classes(texts, least=0.8):
-    sets = {i: shingle_set(t) for i, t in texts}
+def classes(texts, least=0.8, weighted=True):
+    sets = {i: shingle_set(t, weighted) for i, t in texts}
     parent = {i: i for i in sets}
 
     def find(x):
@@ -46,10 +47,17 @@ def test_classes_equal_brute_force(docs, texts):
 
 
 def test_large_buckets_by_pivots(docs, texts):
-    got = near_dedup.near_duplicates(docs, small=2, pivots=2)
+    got = near_dedup.near_duplicates(docs, small=2)
     assert {i: r["class_id"] for i, r in by_id(got).items()} == classes(texts)
 
 
+def test_classes_of_plain_sets(spark):
+    rows = [(1, "a b c d e f " * 9), (2, "a b c d e f " * 5), (3, "a b c d e f " * 8 + "a b c d e"), (4, "p q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {i: r["class_id"] for i, r in by_id(near_dedup.near_duplicates(df, weighted=False)).items()} == classes(rows, weighted=False) == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert {i: r["class_id"] for i, r in by_id(near_dedup.op1(df)).items()} == classes(rows) == {1: 1, 2: 2, 3: 1, 4: 4}
+
+
 def test_large_buckets_of_one_template(spark):
     """200 texts of one template, at 0.76 to each other, and 100 pairs of them at 0.81 that share little more than the template."""
     template = [f"t{i}" for i in range(304)]
@@ -58,7 +66,40 @@ def test_large_buckets_of_one_template(spark):
     want = classes(rows)
     assert sum(i != c for i, c in want.items()) == 100
     assert {i: r["class_id"] for i, r in by_id(near_dedup.op1(df)).items()} == want
-    assert {i: r["class_id"] for i, r in by_id(near_dedup.near_duplicates(df, small=2, pivots=1)).items()} == want
+    assert {i: r["class_id"] for i, r in by_id(near_dedup.near_duplicates(df, small=2)).items()} == want
+
+
+def test_recall_in_a_family_of_thousands(spark):
+    """Copies of one text with edits of very different extent: links of every similarity from 0.8 up are found."""
+    rnd = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(2000):
+        words = list(base)
+        for k in rnd.choice(150, rnd.integers(1, 9), replace=False):
+            words[k] = f"e{rnd.integers(0, 4)}x{k}"
+        rows.append((i, " ".join(words)))
+    got = {i: r["class_id"] for i, r in by_id(near_dedup.op1(spark.createDataFrame(rows, "doc_id long, text string"))).items()}
+    sets = [shingle_set(t) for _, t in rows]
+    found, links = Counter(), Counter()
+    for a, b in rnd.integers(0, 2000, (40_000, 2)).tolist():
+        common = len(sets[a] & sets[b])
+        similarity = common / (len(sets[a]) + len(sets[b]) - common)
+        if a != b and similarity >= 0.8:
+            band = int(similarity * 20)
+            links[band] += 1
+            found[band] += got[a] == got[b]
+    assert len(links) >= 3 and all(found[x] >= 0.9 * n for x, n in links.items())
+
+
+def test_rows_that_share_a_doc_id_are_classed_by_text(spark):
+    long = lambda x, n=40: " ".join(f"{x}{k}" for k in range(n))
+    rows = [(1, long("a")), (1, long("b")), (1, long("b")), (2, long("b")), (3, long("a")), (3, long("c")), (4, long("c")), (5, ""), (5, ""), (None, long("a")), (None, long("a"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["class_id"] or 0) for r in near_dedup.op1(df).collect()))
+    assert got == [(0, 0), (0, 0), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (3, 3), (4, 3), (5, 5), (5, 5)]
+    stay = sorted(((r["doc_id"] or 0, r["text"]) for r in near_dedup.first_of_class(df).collect()))
+    assert stay == [(0, long("a")), (0, long("a")), (1, long("a")), (1, long("b")), (3, long("c")), (5, ""), (5, "")]
 
 
 def test_first_of_class_stays(docs, texts):
@@ -69,7 +110,7 @@ def test_first_of_class_stays(docs, texts):
 def test_darts_estimate_similarity():
     a, b = ["w%d" % i for i in range(400)], ["w%d" % i for i in range(100, 500)]
     texts = [" ".join(a), " ".join(b)]
-    elements, owner = near_dedup.shingles(texts)
+    elements, owner = near_dedup.shingles(texts, weighted=False)
     sig = near_dedup.signatures(elements, owner, 2, 2048)
     sets = [shingle_set(t) for t in texts]
     want = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
@@ -93,6 +134,32 @@ def test_signature_of_a_set_is_its_own():
     assert (together[0] == near_dedup.signatures(e, o, 1)[0]).all() and (together[0] == together[2]).all()
 
 
+# ---- hashes
+
+
+def thue_morse(n, a, b):
+    return "".join(a if bin(k).count("1") % 2 == 0 else b for k in range(n))
+
+
+TWINS = [(thue_morse(n, "q", "e"), thue_morse(n, "e", "q")) for n in (512, 1024, 2048, 4096)]
+
+
+def test_twin_words_differ(spark):
+    """Words that collide in every polynomial modulo 2^64."""
+    own = " ".join(f"w{k}" for k in range(49))
+    rows = [(10 * i + j, f"{own} {word}") for i, pair in enumerate(TWINS) for j, word in enumerate(pair)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r["n_removed"] == 0 for r in substring_dedup.op8(df).collect())
+    bytes_ = by_id(suffix_dedup.op9(df))
+    for i, (raw, gone) in removed(rows, lambda t: list(t.encode()), 50).items():
+        assert bytes_[i]["n_removed"] == sum(gone), i
+    short = spark.createDataFrame([(i, t[-len(w) - 12 :]) for (i, t), w in zip(rows, [w for p in TWINS for w in p])], "doc_id long, text string")
+    assert all(r["doc_id"] == r["class_id"] for r in near_dedup.op1(short).collect())
+    lines = spark.createDataFrame([(i, "\n".join(pair)) for i, pair in enumerate(TWINS)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert all(r["n_dup_lines"] == 0 for r in quality_rules.op3(lines, labels).collect())
+
+
 # ---- quality rules
 
 
@@ -232,15 +299,26 @@ def benchmark(spark, texts):
     return items, spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("block_bytes", [16 << 20, 300])
-def test_contamination_equals_brute_force(docs, texts, benchmark, block_bytes):
+@pytest.mark.parametrize("block_words", [200_000, 40, 20])
+def test_contamination_equals_brute_force(docs, texts, benchmark, block_words):
     small = docs.where("length(text) < 3000 or text is null")
     want = contaminated([x for x in texts if x[1] is None or len(x[1]) < 3000], benchmark[0])
-    got = by_id(decontamination.contamination(small, benchmark[1], block_bytes=block_bytes))
+    got = by_id(decontamination.contamination(small, benchmark[1], block_words=block_words))
     assert {i: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for i, r in got.items()} == want
     assert sum(x[4] for x in want.values()) >= 2
 
 
+@pytest.mark.parametrize("block_words", [200_000, 20])
+def test_contamination_is_judged_row_by_row(spark, benchmark, texts, block_words):
+    bad = next(t for _, t in texts if t and len(t.split()) > 120)
+    rows = [(5, bad, 1), (5, "nothing of it", 2), (None, bad, 3), (None, "nothing of it", 4), (5, bad, 5), (6, None, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    got = decontamination.contamination(df, benchmark[1], block_words=block_words).collect()
+    assert sorted((r["doc_id"] or 0, r["contaminated"]) for r in got) == [(0, False), (0, True), (5, False), (5, True), (5, True), (6, False)]
+    out = decontamination.clean(df, benchmark[1], block_words=block_words)
+    assert out.columns == df.columns and sorted(r["row"] for r in out.collect()) == [2, 4, 6]
+
+
 def test_clean_documents_stay(docs, benchmark):
     gone = {r["doc_id"] for r in decontamination.op5(docs, benchmark[1]).where("contaminated").collect()}
     out = decontamination.clean(docs, benchmark[1])

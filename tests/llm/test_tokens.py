@@ -79,6 +79,15 @@ def test_budget_questions(docs, texts, library):
         assert token_counts.tokens_in_prefix(got[i]["steps"], half) == len(ids_of(library, t[:half]))
 
 
+def test_truncation_row_by_row(spark, library):
+    rows = [(5, "one two three four five", 1), (5, "ten words " * 9, 2), (None, "a b c d e f", 3), (None, None, 4), (5, "one two three four five", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _cut int")
+    got = token_counts.truncated(df, PATH, 3)
+    assert got.columns == df.columns
+    want = sorted((k, library.decode(ids_of(library, t or "")[:3])) for _, t, k in rows)
+    assert sorted((r["_cut"], r["text"]) for r in got.collect()) == want
+
+
 def test_encoding_and_decoding_equal_the_library(docs, texts, library):
     got = by_id(bpe.op7(docs, PATH))
     for i, t in texts:

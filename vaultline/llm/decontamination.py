@@ -6,31 +6,34 @@ may move without missing an occurrence; only a shift of zero leads to the bucket
 in these two words, where the window is compared word for word. Words that stand in no pattern, nearly
 all of a document's, move the window by its whole length.
 
-The patterns are broadcast while the benchmark stays below ``block_bytes``. A larger benchmark is cut in blocks
-below that size; documents stream past each block and the hits of a document are put together.
+The patterns of a benchmark of at most ``block_words`` words are broadcast. A larger one is cut in blocks of about that size
+(very long items in overlapping segments), of which one at a time is on the driver and broadcast; the documents are numbered
+once and stream past each block, which returns the rows with hits only. Either way every row has its own result.
 
 Cases: null and empty texts have no words and are never contaminated; null items and items without words
-match nothing; equal windows in several items count for each of them; repeated documents repeat their
-result; an empty benchmark contaminates nothing; extra columns are ignored.
+match nothing; items without an id hit like others, count as one item and have no name; equal windows in several items count for each of them; rows that repeat, share a doc_id or have none
+are judged each by their own text; an empty benchmark contaminates nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultline.llm.shared import sliced, texts_of, written
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_WORDS = 200_000
 JUDGED = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-HITS = "doc_id long, n_words long, spans array<int>, items array<string>"
+HITS = "row long, spans array<int>, items array<string>"
 
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _TABLE = bytes(b if b >= 128 or b in _KEPT else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -43,113 +46,186 @@ def words(text: str) -> list[bytes]:
 
 class WuManber:
     def __init__(self, items: Iterable[tuple[str, str | None]], window: int = WINDOW):
-        owners: dict[tuple[bytes, ...], set[str]] = {}
+        sizes: dict[int, dict[bytes, tuple[str, ...]]] = {}
         for item, text in items:
             found = words(text or "")
+            own = (item,)
             for i in range(max(1, len(found) - window + 1)) if found else ():
-                owners.setdefault(tuple(found[i : i + window]), set()).add(item)
+                part = found[i : i + window]
+                known = sizes.setdefault(len(part), {})
+                pattern = b" ".join(part)
+                before = known.get(pattern, ())
+                known[pattern] = before if item in before else before + own
         self.groups = []
-        for size in sorted(set(map(len, owners))):
+        for size, owners in sorted(sizes.items()):
             block = min(2, size)
             far = size - block + 1
-            shift: dict[tuple[bytes, ...], int] = {}
-            bucket: dict[tuple[bytes, ...], dict[tuple[bytes, ...], set[str]]] = {}
-            for p in (p for p in owners if len(p) == size):
+            shift: dict[bytes, int] = {}
+            for pattern in owners:
+                part = pattern.split(b" ")
                 for end in range(block, size + 1):
-                    key = p[end - block : end]
+                    key = b" ".join(part[end - block : end])
                     shift[key] = min(shift.get(key, far), size - end)
-                bucket.setdefault(p[size - block :], {})[p] = owners[p]
-            self.groups.append((size, block, far, shift, bucket))
+            self.groups.append((size, block, far, shift, owners))
 
     def search(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Occurrences as (first word, one past the last), and the items that they belong to."""
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
         n = len(text)
-        for size, block, far, shift, bucket in self.groups:
+        for size, block, far, shift, owners in self.groups:
             get = shift.get
             end = size
             while end <= n:
-                key = (text[end - 2], text[end - 1]) if block == 2 else (text[end - 1],)
-                step = get(key, far)
+                step = get(text[end - 2] + b" " + text[end - 1] if block == 2 else text[end - 1], far)
                 if step:
                     end += step
                     continue
-                owner = bucket[key].get(tuple(text[end - size : end]))
+                owner = owners.get(b" ".join(text[end - size : end]))
                 if owner:
                     spans.append((end - size, end))
-                    items |= owner
+                    items.update(owner)
                 end += 1
         return spans, items
 
 
-def covered(spans: list[int]) -> int:
+def covered(spans: list[tuple[int, int]]) -> int:
     total = last = 0
-    for a, b in sorted(zip(spans[::2], spans[1::2])):
+    for a, b in sorted(spans):
         total += max(0, b - max(a, last))
         last = max(last, b)
     return total
 
 
-def hits(docs: DataFrame, items: list[tuple[str, str | None]], window: int = WINDOW, last: bool = False) -> DataFrame:
-    """Of every document its number of words, the occurrences (flat pairs) and the items; judged at once if this is the only block."""
-    search = docs.sparkSession.sparkContext.broadcast(items)
+_made: dict[str, WuManber] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = WuManber(search.value, window)
-        for batch in sliced(batches):
-            found = [words(t) for t in texts_of(batch)]
-            results = [matcher.search(w) for w in found]
-            columns = [
-                batch.column(0).cast(pa.int64()),
-                pa.array([len(w) for w in found], pa.int64()),
-                pa.array([[x for span in spans for x in span] for spans, _ in results], pa.list_(pa.int32())),
-                pa.array([sorted(own) for _, own in results], pa.list_(pa.string())),
-            ]
-            out = pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "spans", "items"])
-            yield judged(out) if last else out
-
-    return docs.select("doc_id", "text").mapInArrow(run, JUDGED if last else HITS)
-
-
-def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
-    n_words = batch.column(1).to_numpy()
-    n_hit = np.array([covered(x) for x in batch.column(2).to_pylist()], np.int64)
-    own = [sorted(x) for x in batch.column(3).to_pylist()]
+
+class Search:
+    """A broadcast block of items; a worker builds its matcher once and keeps the latest one."""
+
+    def __init__(self, docs: DataFrame, items: list[tuple[str, str | None]], window: int):
+        self.name, self.window = uuid.uuid4().hex, window
+        self.items = docs.sparkSession.sparkContext.broadcast(items)
+
+    def matcher(self) -> WuManber:
+        if self.name not in _made:
+            _made.clear()
+            _made[self.name] = WuManber(self.items.value, self.window)
+        return _made[self.name]
+
+
+def judged(ids: pa.Array, n_words: list[int], spans: list[list[tuple[int, int]]], items: list[Iterable[str]]) -> pa.RecordBatch:
+    n_hit = np.array([covered(x) for x in spans], np.int64)
+    size = np.array(n_words, np.int64)
+    own = [sorted(i for i in x if i is not None) for x in items]
     columns = [
-        batch.column(0),
-        batch.column(1),
+        ids,
+        pa.array(size),
         pa.array(n_hit),
-        pa.array([len(x) for x in own], pa.int64()),
+        pa.array([len(x) for x in items], pa.int64()),
         pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in own], pa.string()),
-        pa.array((n_hit > 0) & (20 * n_hit >= n_words)),
+        pa.array((n_hit > 0) & (20 * n_hit >= size)),
     ]
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
-    items = benchmark.select(F.col("item_id").cast("string"), "text")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(8)), F.lit(0)).cast("long")).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    if blocks == 1:
-        return hits(docs, [tuple(r) for r in items.collect()], window, last=True)
-    block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
-    each = [hits(docs, [tuple(r) for r in items.where(block == b).collect()], window) for b in range(blocks)]
-    found = reduce(DataFrame.unionByName, each).groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    )
-    return found.mapInArrow(lambda batches: map(judged, batches), JUDGED)
+def judged_texts(ids: pa.Array, texts: list[str], matcher: WuManber) -> pa.RecordBatch:
+    found = [words(t) for t in texts]
+    results = [matcher.search(w) for w in found]
+    return judged(ids, [len(w) for w in found], [r[0] for r in results], [r[1] for r in results])
+
+
+def in_one_pass(docs: DataFrame, search: Search) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            yield judged_texts(batch.column(0), texts_of(batch), search.matcher())
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, JUDGED)
+
+
+def hits(rows: DataFrame, search: Search) -> DataFrame:
+    """Of every row with hits the occurrences (flat pairs) and the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            out = [(row, *search.matcher().search(words(t))) for row, t in zip(batch.column(0).to_pylist(), texts_of(batch))]
+            out = [r for r in out if r[1]]
+            columns = [pa.array([r[0] for r in out], pa.int64()), pa.array([[x for span in r[1] for x in span] for r in out], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([list(r[2]) for r in out], pa.list_(pa.string()))], ["row", "spans", "items"])
+
+    return rows.select("row", "text").mapInArrow(run, HITS)
+
+
+def block_by_block(rows: DataFrame, blocks: Iterable[Search]) -> DataFrame:
+    """``row`` and the result's columns of numbered rows (row, doc_id, text)."""
+    each = []
+    for search in blocks:
+        each.append(written(hits(rows, search), "hits"))
+        search.items.destroy()
+    found = reduce(DataFrame.unionByName, each).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            spans = [list(zip(x[::2], x[1::2])) if x else [] for x in batch.column(3).to_pylist()]
+            out = judged(batch.column(1), [len(words(t)) for t in texts_of(batch)], spans, [x or () for x in batch.column(4).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out.columns], ["row", *out.schema.names])
+
+    return rows.join(found, "row", "left").select("row", "doc_id", "text", "spans", "items").mapInArrow(run, f"row long, {JUDGED}")
+
+
+def segments(benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """item, text and n_words; an item of over ``most`` words in segments that share ``window - 1`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            out = []
+            for item, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
+                own = words(text)
+                for i in range(0, max(1, len(own) - window + 1), most) if own else ():
+                    part = own[i : i + most + window - 1]
+                    out.append((item, b" ".join(part).decode(), len(part)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["item", "text", "n_words"])
+
+    return benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(run, "item string, text string, n_words long")
+
+
+def searches(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> tuple[int, Iterator[Search]]:
+    """The number of blocks of the benchmark, and the blocks, each collected when its turn comes."""
+    items = segments(benchmark, window, max(window, block_words // 8))
+    n = items.agg(F.coalesce(F.sum("n_words"), F.lit(0)).cast("long")).first()[0]
+    blocks = max(1, -(-n // block_words))
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
+    return blocks, (Search(docs, [tuple(r) for r in items.where(block == b).select("item", "text").collect()], window) for b in range(blocks))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``."""
+    n, blocks = searches(docs, benchmark, window, block_words)
+    if n == 1:
+        return in_one_pass(docs, next(blocks))
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "numbered")
+    return block_by_block(rows, blocks).drop("row")
 
 
 def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return contamination(docs, benchmark)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without contaminated documents. Few documents are, so their ids are joined and the texts of the
-    others stay where they are if the ids are small enough to be broadcast by size."""
-    gone = written(contamination(docs, benchmark, window, block_bytes).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without the rows whose text is contaminated: in the same pass, or for a benchmark of several blocks by row numbers
+    (few rows go, so that their numbers are joined and the others' texts stay where they are if the numbers are small enough)."""
+    n, blocks = searches(docs, benchmark, window, block_words)
+    if n == 1:
+        search = next(blocks)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                verdict = judged_texts(pa.nulls(batch.num_rows, pa.int64()), texts_of(batch), search.matcher())
+                yield batch.filter(pa.compute.invert(verdict.column(5)))
+
+        return docs.mapInArrow(run, docs.schema)
+    name = next(x for x in (f"_row{k}" for k in range(len(docs.columns) + 1)) if x not in docs.columns)
+    rows = written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    numbered = rows.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    gone = written(block_by_block(numbered, blocks).where("contaminated").select(F.col("row").alias(name)), "contaminated")
+    return rows.join(gone, name, "left_anti").select(*docs.columns)

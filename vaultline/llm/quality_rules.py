@@ -197,15 +197,22 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, le
     return rules
 
 
-def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
-    """Rules from statistics (with doc_id) and labels (doc_id, quality: 0 is low), for what the base rule passes."""
-    best = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
+def sample(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """At most ``max_labelled`` labelled doc_ids with their quality, chosen by a hash of doc_id where there are more."""
+    best = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("_quality"))
+    n = best.count()
+    if n <= max_labelled:
+        return best
+    share = int(0.95 * max_labelled / n * (1 << 30))
+    return best.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).limit(max_labelled)
+
+
+def fit(stats: DataFrame, chosen: DataFrame) -> list[Rule]:
+    """Rules from statistics (with doc_id) and the sample of labels (quality 0 is low), for what the base rule passes. Of rows that
+    share a doc_id the least statistics count."""
     features = [feature(f).alias(f) for f in FEATURES]
-    labelled = stats.where(~base_failed()).join(best, "doc_id").select("doc_id", *features, (F.col("_quality") == 0).alias("_bad"))
-    n = labelled.count()
-    if n > max_labelled:  # by a hash of doc_id, so that tasks send what the sample holds and no more
-        share = int(0.95 * max_labelled / n * (1 << 30))
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).limit(max_labelled)
+    known = stats.where(~base_failed()).join(F.broadcast(chosen), "doc_id")
+    labelled = known.groupBy("doc_id").agg(F.min(F.struct((F.col("_quality") == 0).alias("_bad"), *features)).alias("x")).select("doc_id", "x.*")
     rows = sorted(labelled.collect(), key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15) % (1 << 64))
     bad = np.array([r["_bad"] for r in rows], bool)
     if bad.all() or not bad.any():
@@ -231,13 +238,14 @@ def verdict(rules: list[Rule], prefix: str = "") -> Column:
 
 def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
     stats = written(with_statistics(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"]), "statistics")
-    rules = fit(stats, labels)
+    rules = fit(stats, sample(labels))
     return stats.select("doc_id", *STATISTICS[:5], base_failed().alias("base_failed"), verdict(rules).alias("kept"))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the rules reject; a second pass computes the statistics beside the texts."""
+    """``docs`` without the documents that the rules reject; only labelled ones have their statistics computed twice."""
     prefix = "_quality_"
-    stats = written(with_statistics(docs.select("doc_id", "text"), ["doc_id"]), "statistics")
+    chosen = sample(labels)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     judged = with_statistics(docs, docs.columns, prefix)
-    return judged.where(verdict(fit(stats, labels), prefix)).select(*docs.columns)
+    return judged.where(verdict(fit(with_statistics(known, ["doc_id"]), chosen), prefix)).select(*docs.columns)

@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultline.llm.pieces import PieceTable, Split, Vocabulary, vocabulary
@@ -127,10 +127,19 @@ def tokens_in_prefix(table: np.ndarray | bytes, n_chars: int) -> int:
 
 
 def truncated(docs: DataFrame, tokenizer: str, budget: int, column: str = "text") -> DataFrame:
-    """``docs`` with ``column`` cut to its longest prefix of at most ``budget`` tokens."""
-    cut: Column = F.substring(F.coalesce(docs[column], F.lit("")), F.lit(1), F.col("_cut").cast("int"))
-    counts = with_prefix_counts(docs.select("doc_id", F.col(column).alias("text")), tokenizer, budget, False)
-    return docs.join(counts.select("doc_id", F.col("budget_chars").alias("_cut")), "doc_id").withColumn(column, cut).drop("_cut")
+    """``docs`` with ``column`` cut to its longest prefix of at most ``budget`` tokens, row by row (null: empty)."""
+    at = docs.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(tokenizer)
+        for batch in sliced(batches, column):
+            texts = texts_of(batch, column)
+            counts, bounds = count(texts)
+            fits = [np.flatnonzero(counts[a:b] <= budget) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+            cut = pa.array([t[: int(f[-1]) + 1] if len(f) else "" for t, f in zip(texts, fits)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], cut, *batch.columns[at + 1 :]], batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2(docs: DataFrame, tokenizer: str) -> DataFrame:
