@@ -153,3 +153,115 @@ def test_entry_module(spark):
 
     names = entry.queries()
     assert entry.entry(spark).limit(1).count() == 1 and set(entry.oracle_sql()) <= set(names)
+
+
+HUBS = PLAN + "business_keys array<string>, hash_key string"
+LINKS = PLAN + "hash_key string, fk_columns array<string>"
+SATS = PLAN + "parent_hub string, hashdiff string, payload array<string>"
+
+
+def plan_of(spark, hubs=(), links=(), sats=()):
+    return [spark.createDataFrame([("s", 1, *r) for r in rows], schema) for rows, schema in ((hubs, HUBS), (links, LINKS), (sats, SATS))]
+
+
+GOOD = dict(
+    hubs=[("hub_a", "a", ["code"], "HK_A"), ("hub_b", "b", ["id", "name"], "HK_B")],
+    links=[("link_ab", "a", "HK_AB", ["HK_A", "HK_B"])],
+    sats=[("sat_a", "a", "HK_A", "HD_A", ["x"]), ("eff_sat_b", "b", "HK_B", "HD_B", ["y"])],
+)
+
+
+def broken(spark, **parts):
+    rows = scoring.checks(*plan_of(spark, **(GOOD | parts)), plans=spark.createDataFrame([("s", 1)], "system_id string, run_id int"))
+    return {(r["issue"], r["name"]) for r in rows.where("bad").collect()}
+
+
+def test_a_good_plan_breaks_no_rule(spark):
+    assert broken(spark) == set()
+    rows = scoring.checks(*plan_of(spark, **GOOD))
+    assert rows.count() == 1 + 2 * 4 + 4 + 2 * 5 and one(scoring.conformance(rows))["conformance"] == 1.0
+
+
+@pytest.mark.parametrize(
+    ("parts", "want"),
+    [
+        ({"hubs": [], "links": [], "sats": []}, {("empty_plan", "")}),
+        ({"hubs": [("A", "a", ["sys_ID", "row_sk"], "H_A"), GOOD["hubs"][1]], "links": [], "sats": GOOD["sats"][1:]}, {("naming", "A"), ("hash_key_naming", "A"), ("surrogate_business_key", "A"), ("hub_without_satellite", "A")}),
+        ({"links": [("ab", "a", "AB", ["HK_A"]), ("link_x", "a", "HK_X", ["HK_A", "HK_none"])]}, {("naming", "ab"), ("hash_key_naming", "ab"), ("link_under_two_hubs", "ab"), ("link_fk_unresolved", "link_x")}),
+        (
+            {"sats": [*GOOD["sats"], ("s_x", "a", "HK_none", "X", []), ("sat_y", "a", "HK_A", "HD_Y", ["z", "CODE"]), ("sat_z", "a", "HK_A", "HD_Z", ["Load_DTS"])]},
+            {("naming", "s_x"), ("hash_key_naming", "s_x"), ("satellite_orphan", "s_x"), ("satellite_empty_payload", "s_x"), ("payload_key_leak", "sat_y"), ("payload_key_leak", "sat_z")},
+        ),
+        ({"hubs": [("hub_a", "a", [], "HK_A"), GOOD["hubs"][1]]}, set()),
+    ],
+)
+def test_each_convention(spark, parts, want):
+    assert broken(spark, **parts) == want
+
+
+def test_issue_histogram_has_every_type(spark):
+    got = {r["issue"]: r["n"] for r in scoring.issues_by_type(scoring.checks(*plan_of(spark, **(GOOD | {"links": []})))).collect()}
+    assert got == dict.fromkeys(scoring.ISSUES, 0) and len(got) == 10
+
+
+GOLD = "system_id string, source_table string, business_keys array<string>, name string"
+
+
+def recommended(spark, gold, structural=0, payload=0, links=None, **parts):
+    own = plan_of(spark, **(GOOD | parts))
+    plans = spark.createDataFrame([("s", 1)], "system_id string, run_id int")
+    ground = spark.createDataFrame([("s", 1, structural, payload)], "system_id string, run_id int, structural long, fabricated_payload long")
+    counts = None if links is None else spark.createDataFrame([("s", 1, *links)], "system_id string, run_id int, links long, gold_links long")
+    r = one(scoring.verdict(scoring.checks(*own, plans=plans), ground, own[0], spark.createDataFrame(gold, GOLD), counts))
+    return r["verdict"], r["blocking"], r["review"]
+
+
+EQUAL = [("s", "A", ["Code"], "hub_a"), ("s", "b", ["name", "ID"], "Hub_B")]
+
+
+@pytest.mark.parametrize(
+    ("gold", "options", "want"),
+    [
+        (EQUAL, {"links": (1, 1)}, ("APPROVE", "", "")),
+        ([("other", "a", ["x"], "hub_x")], {}, ("REVIEW", "", "no gold 1")),
+        (EQUAL, {"structural": 2}, ("REJECT", "fabricated structure 2", "")),
+        (EQUAL, {"payload": 3}, ("REVIEW", "", "fabricated payload 3")),
+        (EQUAL, {"hubs": [], "sats": []}, ("REJECT", "no hubs 1", "convention link_fk_unresolved 1; missed entity 2")),
+        (EQUAL[:1], {}, ("REVIEW", "", "spurious entity 1")),
+        ([*EQUAL, ("s", "c", ["k"], "hub_c")], {}, ("REVIEW", "", "missed entity 1")),
+        ([EQUAL[0], ("s", "b", ["id", "name"], "bee")], {}, ("REVIEW", "", "naming against gold 1")),
+        (EQUAL, {"links": (3, 1)}, ("REVIEW", "", "over-linking 2")),
+        (EQUAL, {"sats": GOOD["sats"][:1]}, ("REVIEW", "", "convention hub_without_satellite 1")),
+    ],
+)
+def test_verdicts(spark, gold, options, want):
+    assert recommended(spark, gold, **options) == want
+
+
+CATALOG = "system_id string, table_name string, ordinal int, column_name string, raw_dtype string"
+
+
+def catalog_of(spark, *columns):
+    return spark.createDataFrame([("s", "t", k, *(c if isinstance(c, tuple) else (c, "string"))) for k, c in enumerate(columns)], CATALOG)
+
+
+@pytest.mark.parametrize(("columns", "want"), [(("a", "x_key", "b_id", "UUID"), "UUID"), (("a", "x_key", "b_id"), "x_key"), (("a", "b_code", "rowkey"), None), (("Id", "mrid"), "Id")])
+def test_business_key_by_name(spark, columns, want):
+    assert one(profiling.detect_bk(catalog_of(spark, *columns)))["business_key"] == want
+
+
+@pytest.mark.parametrize(
+    ("columns", "likely", "want"),
+    [(("load_ts", "a", "b"), ["b", "load_ts"], "b"), (("a", "x_id", "uid"), [], "uid"), (("a", "customerid"), [], "customerid"), (("created_at", "a", "b"), [], "a"), (("created_at",), [], None)],
+)
+def test_business_key_by_profile(spark, columns, likely, want):
+    flags = spark.createDataFrame([("t", c, c in likely) for c in columns], "table_name string, column_name string, is_likely_key boolean")
+    assert one(profiling.pick_bk(catalog_of(spark, *columns), flags))["business_key"] == want
+
+
+def test_rates_of_change(spark):
+    catalog = catalog_of(spark, "Status", "is_open", "note", ("oil_pressure", "double"), ("face_value", "string"), "id", "cdc_flag", "created_at", ("serial", "bigint"), ("load_factor", "decimal(8,2)"), "statuses")
+    keys = spark.createDataFrame([("t", "ID")], "table_name string, column_name string")
+    seen = spark.createDataFrame([("t", "serial", False, 0.96), ("t", "note", False, 0.94)], "table_name string, column_name string, is_likely_key boolean, cardinality_ratio double")
+    got = {r["column_name"]: r["bucket"] for r in profiling.classify_columns(catalog, keys, seen).collect()}
+    assert got == {"Status": "operational", "is_open": "operational", "note": "details", "oil_pressure": "measurements", "face_value": "details", "load_factor": "measurements", "statuses": "details"}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultline.functions.running import running_sums
+
 
 def append_unique(log: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows to append, rows rejected because the log has their key)."""
@@ -49,11 +51,10 @@ def audit_metrics(log: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def approval_trajectory(log: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """The approval rate among the decisions so far, at each decision of a group."""
-    decided = log.where(F.col("status").isin("approved", "rejected"))
-    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    hit = (F.col("status") == "approved").cast("int")
-    return decided.withColumn("approval_rate", F.round(F.sum(hit).over(so_far) / F.count("*").over(so_far), 4))
+    """The approval rate among the decisions so far, at each decision of a group; ``order`` begins with a number or a time."""
+    decided = log.where(F.col("status").isin("approved", "rejected")).withColumns({"_hit": (F.col("status") == "approved").cast("int"), "_one": F.lit(1)})
+    summed = running_sums(decided, by, order, {"_hits": "_hit", "_ones": "_one"})
+    return summed.select(*log.columns, F.round(F.col("_hits") / F.col("_ones"), 4).alias("approval_rate"))
 
 
 def latest_doc(docs: DataFrame, key: str, order: list[str], text: str) -> DataFrame:

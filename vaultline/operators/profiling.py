@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Type prefixes in the order in which they are tried.
+# Type prefixes with their types (the first that fits counts), names and prefixes of system columns, names and
+# suffixes of keys, and patterns of column names by rate of change.
 TYPES = [
-    ("timestamp", "TIMESTAMP"), ("datetime", "TIMESTAMP"), ("date", "DATE"), ("boolean", "BOOLEAN"), ("bool", "BOOLEAN"), ("uuid", "UUID"), ("json", "JSON"),
-    ("varchar", "STRING"), ("char", "STRING"), ("string", "STRING"), ("text", "STRING"), ("bigint", "INTEGER"), ("smallint", "INTEGER"),
-    ("tinyint", "INTEGER"), ("int", "INTEGER"), ("long", "INTEGER"), ("decimal", "DECIMAL"), ("numeric", "DECIMAL"), ("double", "FLOAT"), ("float", "FLOAT"),
+    ("timestamp", "timestamp"),
+    ("datetime", "timestamp"),
+    ("date", "date"),
+    ("uuid", "uuid"),
+    ("json", "json"),
+    ("bool", "boolean"),
+    ("varchar", "string"),
+    ("char", "string"),
+    ("string", "string"),
+    ("text", "string"),
+    ("bigint", "integer"),
+    ("int", "integer"),
+    ("smallint", "integer"),
+    ("tinyint", "integer"),
+    ("long", "integer"),
+    ("decimal", "float"),
+    ("numeric", "float"),
+    ("double", "float"),
+    ("float", "float"),
+]
+SYSTEM_NAMES = [
+    "record_source", "load_date", "load_datetime", "load_ts", "loaded_at", "dl_loaded_at", "dl_load_date", "dl_load_ts", "ingestion_timestamp", "ingest_ts",
+    "etl_load_ts", "_loaded_at", "created_at", "updated_at", "modified_at", "deleted_at", "sys_created_on", "sys_updated_on", "sys_mod_count",
 ]
-SYSTEM_NAMES = ["load_dts", "record_source", "cdc_flag", "ingested_at", "created_at", "updated_at", "created_by", "updated_by", "rowguid", "modifieddate"]
-SYSTEM_PREFIXES = ["sys_created", "sys_updated", "sys_mod", "mirror_", "_"]
+SYSTEM_PREFIXES = ["__$", "_dl_", "dl__"]
 KEY_NAMES = ["mrid", "id", "uuid"]
-KEY_SUFFIXES = ["_id", "_key", "key", "_mrid", "_uuid", "_code"]
-SPLIT_PATTERNS = {
-    "operational": r"(^|_)(status|state|flag|active|enabled|in_service|connected|stage|phase|level|orderstatus|linestatus|returnflag|priority|orderpriority)($|_)",
-    "measurements": r"(^|_)(value|amount|amt|qty|quantity|price|totalprice|extendedprice|retailprice|acctbal|discount|tax|count|total|rate|percentage|size|chars)($|_)",
-}
+KEY_SUFFIXES = ["_mrid", "_id", "_key", "_uuid"]
+HINT_NAMES = ["mrid", "sys_id", "guid", "uuid", "uid"]
+HINT_SUFFIXES = ["_id", "id", "_key", "_guid", "_uuid"]
+OPERATIONAL = [
+    "^status$", "_status$", "^state$", "_state$", "^connected$", "^is_[a-z0-9_]+$", "^has_[a-z0-9_]+$", "_flag$", "^flag$", "^active$", "^enabled$", "^in_service$",
+    "^operational$", "^current_[a-z0-9_]+$", "^last_[a-z0-9_]+_at$", "^heartbeat$", "_state_at$",
+]
+MEASUREMENTS = [
+    "_reading$", "_value$", "_kw$", "_kwh$", "_kva$", "_mva$", "_mvar$", "_amps?$", "_volts?$", "_celsius$", "_fahrenheit$", "_pressure$", "_temperature$", "_count$",
+    "_total$", "^load_[a-z0-9_]+$", "^measure[d]?_[a-z0-9_]+$",
+]
+NEVER_PAYLOAD = ["^load_dts$", "^load_date$", "^record_source$", "^cdc_flag$", "^effective_from$", "^start_date$", "^end_date$", "^dl_[a-z0-9_]+$", "^__[a-z0-9_]+$"]
+KEY_LIKE = 0.95
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, samples: int = 0, exact: bool = True) -> DataFrame:
@@ -59,49 +89,50 @@ def sample_values(df: DataFrame, columns: list[str], n: int) -> DataFrame:
 
 def infer_type(column: Column) -> Column:
     text = F.lower(F.trim(column))
-    out = F.when(text.isNull(), "UNKNOWN")
+    out = F.when(text.isNull(), "unknown")
     for prefix, kind in TYPES:
         out = out.when(text.startswith(prefix), kind)
-    return out.otherwise("UNKNOWN")
+    return out.otherwise("unknown")
 
 
-def is_system(column: Column, override: Column | None = None) -> Column:
-    name = F.lower(column)
-    flag = name.isin(SYSTEM_NAMES)
-    for p in SYSTEM_PREFIXES:
-        flag |= name.startswith(p)
-    return flag if override is None else F.coalesce(override, flag)
+def starts(column: Column, prefixes: list[str]) -> Column:
+    return reduce(Column.__or__, (column.startswith(p) for p in prefixes))
 
 
-def key_rank(column: Column) -> Column:
-    """0 for an exact key name, 1 and up for suffixes in order, null for neither."""
-    name = F.lower(column)
-    out = F.when(name.isin(KEY_NAMES), 0)
-    for k, s in enumerate(KEY_SUFFIXES, 1):
-        out = out.when(name.endswith(s), k)
-    return out
+def ends(column: Column, suffixes: list[str]) -> Column:
+    return reduce(Column.__or__, (column.endswith(x) for x in suffixes))
+
+
+def is_system(column: Column, override: Column | None = None) -> Column:
+    name = F.lower(F.trim(column))
+    flag = F.coalesce(name.isin(SYSTEM_NAMES) | starts(name, SYSTEM_PREFIXES), F.lit(False))
+    return flag if override is None else F.coalesce(override, flag)
 
 
 def detect_bk(catalog: DataFrame) -> DataFrame:
-    """Each table's business key by name; null where no name fits."""
-    ranked = catalog.withColumn("rank", key_rank(F.col("column_name")))
-    best = F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "ordinal", "column_name")))
-    return ranked.groupBy("system_id", "table_name").agg(best["column_name"].alias("business_key"))
+    """Each table's business key by name: the first column of an exact name, else the first with a key's suffix, else null."""
+    name = F.lower("column_name")
+    tier = F.when(name.isin(KEY_NAMES), 0).when(ends(name, KEY_SUFFIXES), 1)
+    best = F.min(F.when(tier.isNotNull(), F.struct(tier.alias("tier"), "ordinal", "column_name")))
+    return catalog.groupBy("system_id", "table_name").agg(best["column_name"].alias("business_key"))
 
 
 def pick_bk(catalog: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Each table's key: a likely key with a key name, a likely key, a key name, else the first column."""
+    """Each table's key among columns that are no system columns: the first likely key, else of a key's name, else with a key's
+    suffix, else the first column; null where a table has none."""
     flags = profiles.select("table_name", "column_name", "is_likely_key")
-    rows = catalog.join(flags, ["table_name", "column_name"], "left").withColumn("named", key_rank(F.col("column_name")).isNotNull())
-    likely = F.coalesce("is_likely_key", F.lit(False))
-    rank = F.when(likely & F.col("named"), 0).when(likely, 1).when(F.col("named"), 2).otherwise(3)
-    best = F.min(F.struct(rank.alias("rank"), "ordinal", "column_name"))
+    rows = catalog.join(flags, ["table_name", "column_name"], "left")
+    name = F.lower("column_name")
+    tier = F.when(F.coalesce("is_likely_key", F.lit(False)), 0).when(name.isin(HINT_NAMES), 1).when(ends(name, HINT_SUFFIXES), 2).otherwise(3)
+    best = F.min(F.when(~is_system(F.col("column_name")), F.struct(tier.alias("rank"), "ordinal", "column_name")))
     return rows.groupBy("system_id", "table_name").agg(best["column_name"].alias("business_key"), best["rank"].alias("rank"))
 
 
 def singular(column: Column) -> Column:
     name = F.lower(column)
-    return F.when(name.endswith("ies"), F.concat(F.regexp_replace(name, "ies$", ""), F.lit("y"))).when(name.endswith("s") & ~name.endswith("ss"), F.regexp_replace(name, "s$", "")).otherwise(name)
+    cut = lambda n: F.substring(name, F.lit(1), F.length(name) - n)
+    long = F.length(name) > 3
+    return F.when(name.endswith("ies") & long, F.concat(cut(3), F.lit("y"))).when(name.endswith("ses") & long, cut(2)).when(name.endswith("s") & ~name.endswith("ss"), cut(1)).otherwise(name)
 
 
 def detect_fk(catalog: DataFrame, prefix: str = r"^[a-z]_") -> DataFrame:
@@ -121,14 +152,19 @@ def inclusion(child: DataFrame, child_key: str, parent: DataFrame, parent_key: s
     return out.withColumn("included", (F.col("child_values") > 0) & (F.col("found") == F.col("child_values")))
 
 
-def classify_columns(catalog: DataFrame, keys: DataFrame) -> DataFrame:
-    """details, operational or measurements for each payload column; keys (table_name, column_name) are left out."""
-    name, kind = F.lower("column_name"), infer_type(F.col("raw_dtype"))
-    bare = F.regexp_replace(name, "^[a-z]_", "")
-    measured = bare.rlike(SPLIT_PATTERNS["measurements"]) & kind.isin("INTEGER", "DECIMAL", "FLOAT")
-    bucket = F.when(bare.rlike(SPLIT_PATTERNS["operational"]) | (kind == "BOOLEAN"), "operational").when(measured, "measurements").otherwise("details")
-    rows = catalog.join(keys.select("table_name", "column_name"), ["table_name", "column_name"], "left_anti")
-    return rows.where(~is_system(F.col("column_name"))).select("system_id", "table_name", "ordinal", "column_name", bucket.alias("bucket"))
+def classify_columns(catalog: DataFrame, keys: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """details, operational or measurements (numbers only) for each payload column. Left out: ``keys`` (table_name, column_name, in
+    either case), system columns, and columns whose profile is a key's."""
+    name, any_of = F.lower("column_name"), lambda patterns: F.lower("column_name").rlike("|".join(patterns))
+    measured = any_of(MEASUREMENTS) & infer_type(F.col("raw_dtype")).isin("integer", "float")
+    bucket = F.when(any_of(OPERATIONAL), "operational").when(measured, "measurements").otherwise("details")
+    left_out = keys.where("column_name is not null").select("table_name", F.lower("column_name").alias("_name")).distinct()
+    rows = catalog.withColumn("_name", name).join(left_out, ["table_name", "_name"], "left_anti")
+    if profiles is not None:
+        unique = profiles.where(F.col("is_likely_key") | (F.col("cardinality_ratio") >= KEY_LIKE)).select("table_name", "column_name").distinct()
+        rows = rows.join(unique, ["table_name", "column_name"], "left_anti")
+    own = rows.where(~is_system(F.col("column_name")) & ~any_of(NEVER_PAYLOAD))
+    return own.select("system_id", "table_name", "ordinal", "column_name", bucket.alias("bucket"))
 
 
 def split_hint(classified: DataFrame) -> DataFrame:

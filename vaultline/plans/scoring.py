@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from vaultline.plans.cleaning import PLAN, TECHNICAL, named_objects
 
+# Types of issues, names and suffixes of keys that are surrogates.
 ISSUES = [
-    "bad_hub_name", "bad_link_name", "bad_sat_name", "bad_hash_key_name", "bad_hashdiff_name", "no_business_key", "few_link_keys", "empty_payload",
-    "technical_payload", "key_in_payload",
+    "naming", "hash_key_naming", "surrogate_business_key", "link_under_two_hubs", "link_fk_unresolved", "satellite_orphan", "satellite_empty_payload", "payload_key_leak",
+    "hub_without_satellite", "empty_plan",
 ]
+SURROGATE_KEYS = ["id", "sys_id", "guid", "uuid", "pk", "oid", "sk", "rowid"]
+SURROGATE_SUFFIXES = ["_id", "_sk", "_key", "_guid", "_uuid"]
 
 
 def rules_of(df: DataFrame, kind: str, rules: list[tuple[str, Column]]) -> DataFrame:
@@ -20,18 +23,42 @@ def rules_of(df: DataFrame, kind: str, rules: list[tuple[str, Column]]) -> DataF
     return df.select(*PLAN, F.lit(kind).alias("kind"), "name", F.inline(F.array(*cells)))
 
 
-def checks(hubs: DataFrame, links: DataFrame, sats: DataFrame, technical: list[str] = TECHNICAL, hub: str = "hub_", link: str = "link_", sat: str = "sat_", key: str = "HK_", diff: str = "HD_") -> DataFrame:
-    """Every rule of every object: kind, name, issue, bad. Prefixes are parameters."""
-    keys = hubs.groupBy(*PLAN, F.col("hash_key").alias("parent_hub")).agg(F.flatten(F.collect_list("business_keys")).alias("_keys"))
-    owned = sats.join(keys, [*PLAN, "parent_hub"], "left")
+def surrogate(key: Column) -> Column:
+    name = F.lower(key)
+    return reduce(Column.__or__, (name.endswith(x) for x in SURROGATE_SUFFIXES), name.isin(SURROGATE_KEYS))
+
+
+def all_plans(hubs: DataFrame, links: DataFrame, sats: DataFrame, plans: DataFrame | None = None) -> DataFrame:
+    """Every plan that has an object, and those of ``plans`` (which may have none)."""
+    return reduce(DataFrame.unionByName, (df.select(*PLAN) for df in (hubs, links, sats, plans) if df is not None)).distinct()
+
+
+def checks(
+    hubs: DataFrame, links: DataFrame, sats: DataFrame, technical: list[str] = TECHNICAL, plans: DataFrame | None = None, parent: str = "hash_key", hub: str = "hub_", link: str = "link_",
+    sat: tuple[str, ...] = ("sat_", "eff_sat_"), key: str = "HK_", diff: str = "HD_",
+) -> DataFrame:
+    """Every rule of every object: kind, name, issue, bad. A plan has one rule (kind plan, no name), a hub and a link four, a
+    satellite five. ``parent`` is the column of hubs that ``parent_hub`` holds. Prefixes are parameters."""
+    found = hubs.select(*PLAN, F.lit(True).alias("_hubs")).distinct()
+    owned = sats.select(*PLAN, F.col("parent_hub").alias(parent), F.lit(True).alias("_described")).distinct()
+    cells = links.select(*PLAN, "name", F.explode("fk_columns").alias("hash_key")).join(hubs.select(*PLAN, "hash_key", F.lit(True).alias("_known")).distinct(), [*PLAN, "hash_key"], "left")
+    loose = cells.where(F.col("_known").isNull()).select(*PLAN, "name", F.lit(True).alias("_loose")).distinct()
     lower = lambda c: F.transform(c, F.lower)
+    keys = hubs.groupBy(*PLAN, F.col(parent).alias("parent_hub")).agg(F.flatten(F.collect_list(lower("business_keys"))).alias("_keys"))
+    leak = F.arrays_overlap(lower("payload"), F.concat(F.coalesce("_keys", F.array().cast("array<string>")), F.array(*map(F.lit, technical))))
+    starts = lambda column, prefixes: reduce(Column.__or__, (F.col(column).startswith(p) for p in prefixes))
     return (
-        rules_of(hubs, "hub", [("bad_hub_name", ~F.col("name").startswith(hub)), ("bad_hash_key_name", ~F.col("hash_key").startswith(key)), ("no_business_key", F.size("business_keys") == 0)])
-        .unionByName(rules_of(links, "link", [("bad_link_name", ~F.col("name").startswith(link)), ("few_link_keys", F.size(F.array_distinct("fk_columns")) < 2)]))
-        .unionByName(rules_of(owned, "sat", [
-            ("bad_sat_name", ~F.col("name").startswith(sat)), ("bad_hashdiff_name", ~F.col("hashdiff").startswith(diff)), ("empty_payload", F.size("payload") == 0),
-            ("technical_payload", F.arrays_overlap(lower("payload"), F.array(*map(F.lit, technical)))),
-            ("key_in_payload", F.arrays_overlap("payload", F.coalesce("_keys", F.array().cast("array<string>")))),
+        rules_of(all_plans(hubs, links, sats, plans).join(found, PLAN, "left").withColumn("name", F.lit("")), "plan", [("empty_plan", F.col("_hubs").isNull())])
+        .unionByName(rules_of(hubs.join(owned, [*PLAN, parent], "left"), "hub", [
+            ("naming", ~starts("name", [hub])), ("hash_key_naming", ~starts("hash_key", [key])),
+            ("surrogate_business_key", (F.size("business_keys") > 0) & F.forall("business_keys", surrogate)), ("hub_without_satellite", F.col("_described").isNull()),
+        ]))
+        .unionByName(rules_of(links.join(loose, [*PLAN, "name"], "left"), "link", [
+            ("naming", ~starts("name", [link])), ("hash_key_naming", ~starts("hash_key", [key])), ("link_under_two_hubs", F.size("fk_columns") < 2), ("link_fk_unresolved", F.col("_loose").isNotNull()),
+        ]))
+        .unionByName(rules_of(sats.join(keys, [*PLAN, "parent_hub"], "left"), "sat", [
+            ("naming", ~starts("name", list(sat))), ("hash_key_naming", ~starts("hashdiff", [diff])), ("satellite_orphan", F.col("_keys").isNull()),
+            ("satellite_empty_payload", F.size("payload") == 0), ("payload_key_leak", leak),
         ]))
     )
 
@@ -98,12 +125,12 @@ def grounding(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def matched(hubs: DataFrame, gold: DataFrame) -> DataFrame:
-    """Plan hubs and gold hubs side by side, joined by source table and set of keys."""
+def matched(hubs: DataFrame, gold: DataFrame, plans: DataFrame | None = None) -> DataFrame:
+    """Plan hubs and gold hubs side by side, joined by source table and set of keys; gold for each of ``plans`` (those with hubs)."""
     at = lambda df: df.withColumns({"t": F.lower("source_table"), "k": F.array_join(F.array_sort(F.array_distinct(F.transform("business_keys", F.lower))), ",")})
-    mine = at(hubs).select(*PLAN, "t", "k", F.lower("name").alias("plan_name")).dropDuplicates([*PLAN, "t", "k"])
-    runs = hubs.select(*PLAN).distinct()
-    theirs = runs.join(at(gold).select("system_id", "t", "k", F.lower("name").alias("gold_name")).dropDuplicates(["system_id", "t", "k"]), "system_id")
+    mine = at(hubs).groupBy(*PLAN, "t", "k").agg(F.min(F.lower("name")).alias("plan_name"))
+    runs = (hubs if plans is None else plans).select(*PLAN).distinct()
+    theirs = runs.join(at(gold).groupBy("system_id", "t", "k").agg(F.min(F.lower("name")).alias("gold_name")), "system_id")
     return mine.join(theirs, [*PLAN, "t", "k"], "full")
 
 
@@ -148,8 +175,11 @@ def evaluate(hubs: DataFrame, links: DataFrame, sats: DataFrame, gold: DataFrame
 
 
 def aggregate(metrics: DataFrame, by: list[str], names: list[str]) -> DataFrame:
-    """Means over runs; runs without a metric do not count for it."""
-    return metrics.groupBy(*by).agg(F.count("*").alias("n_runs"), *(F.round(F.avg(n), 4).alias(n) for n in names))
+    """Means over runs of metrics of 0 or more, to four places; runs without a metric do not count for it. Millionths are summed and
+    rounded as whole numbers, so neither the order of rows nor binary fractions matter."""
+    millionths = lambda n: F.sum(F.round(F.col(n) * 1_000_000).cast("long"))
+    mean = lambda n: F.floor((2 * millionths(n) + 100 * F.count(n)) / F.nullif(200 * F.count(n), F.lit(0))) / 10_000
+    return metrics.groupBy(*by).agg(F.count("*").alias("n_runs"), *(mean(n).alias(n) for n in names))
 
 
 def ablation_summary(records: DataFrame) -> DataFrame:
@@ -175,12 +205,34 @@ def shift(raw: DataFrame, reviewed: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def verdict(metrics: DataFrame, conformance_least: float = 0.9, grounding_least: float = 0.95, f1_least: float = 0.7) -> DataFrame:
-    """APPROVE, REVIEW or REJECT with reasons; a REJECT reason outweighs others."""
-    cells = [
-        ("fabricated structure", "REJECT", F.col("structural") > 0), ("low grounding", "REVIEW", F.col("grounding") < grounding_least),
-        ("low conformance", "REVIEW", F.col("conformance") < conformance_least), ("low f1", "REVIEW", F.col("f1") < f1_least),
-    ]
-    reasons = F.concat_ws("; ", *(F.when(c, F.lit(t)) for t, _, c in cells))
-    any_of = lambda v: reduce(lambda a, b: a | b, (F.coalesce(c, F.lit(False)) for _, w, c in cells if w == v))
-    return metrics.select(*PLAN, F.when(any_of("REJECT"), "REJECT").when(any_of("REVIEW"), "REVIEW").otherwise("APPROVE").alias("verdict"), reasons.alias("reasons"))
+def counted(level: str, reason: str, n: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), F.lit(reason).alias("reason"), n.cast("long").alias("n"))
+
+
+def verdict(checked: DataFrame, ground: DataFrame, hubs: DataFrame, gold: DataFrame, link_counts: DataFrame | None = None) -> DataFrame:
+    """APPROVE, REVIEW or REJECT of every checked plan, with its reasons and how often each applies.
+
+    REJECT: tables or keys that the source lacks, or no hubs. REVIEW: payload columns that the source lacks, any other broken
+    convention, and against gold: missed or spurious entities, other names, more links (PLAN, links, gold_links) than gold has; a
+    system without gold is never better than REVIEW. APPROVE: nothing of these.
+    """
+    plans = checked.select(*PLAN).distinct()
+    conventions = checked.where("bad").groupBy(*PLAN, "issue").agg(F.count("*").alias("n"))
+    rejecting = F.col("issue") == "empty_plan"
+    rows = [conventions.select(*PLAN, F.when(rejecting, "REJECT").otherwise("REVIEW").alias("level"), F.when(rejecting, "no hubs").otherwise(F.concat(F.lit("convention "), "issue")).alias("reason"), "n")]
+
+    def reasons(df: DataFrame, *cells: Column) -> None:
+        rows.append(df.select(*PLAN, F.inline(F.array(*cells))).where("n > 0"))
+
+    reasons(ground, counted("REJECT", "fabricated structure", F.col("structural")), counted("REVIEW", "fabricated payload", F.col("fabricated_payload")))
+    known = gold.select("system_id").distinct()
+    p, g = F.col("plan_name").isNotNull(), F.col("gold_name").isNotNull()
+    sides = matched(hubs.join(known, "system_id", "left_semi"), gold, plans).groupBy(*PLAN).agg(F.count_if(~p).alias("missed"), F.count_if(~g).alias("spurious"), F.count_if(p & g & (F.col("plan_name") != F.col("gold_name"))).alias("renamed"))
+    reasons(sides, counted("REVIEW", "missed entity", F.col("missed")), counted("REVIEW", "spurious entity", F.col("spurious")), counted("REVIEW", "naming against gold", F.col("renamed")))
+    if link_counts is not None:
+        reasons(link_counts.join(known, "system_id", "left_semi"), counted("REVIEW", "over-linking", F.col("links") - F.col("gold_links")))
+    reasons(plans.join(known, "system_id", "left_anti"), counted("REVIEW", "no gold", F.lit(1)))
+    listed = lambda level: F.array_join(F.array_sort(F.collect_list(F.when(F.col("level") == level, F.concat("reason", F.lit(" "), F.col("n").cast("string"))))), "; ")
+    told = reduce(DataFrame.unionByName, rows).groupBy(*PLAN).agg(listed("REJECT").alias("blocking"), listed("REVIEW").alias("review"))
+    out = plans.join(told, PLAN, "left").na.fill("", ["blocking", "review"])
+    return out.withColumn("verdict", F.when(F.col("blocking") != "", "REJECT").when(F.col("review") != "", "REVIEW").otherwise("APPROVE"))

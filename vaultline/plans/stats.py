@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vaultline.functions.running import running_sums
+
 
 def kappa(pairs: DataFrame, by: list[str] = (), a: str = "a", b: str = "b") -> DataFrame:
     """Cohen's kappa and raw agreement of two raters' labels per group; 1 where chance agreement is 1."""
@@ -46,19 +48,29 @@ def kappa_panel(labels: DataFrame, item: str, annotator: str, label: str) -> Dat
     return kappa(left.join(right, item).where("rater_a < rater_b"), ["rater_a", "rater_b"])
 
 
+EXACT_VALUE = "decimal(18,6)"
+
+
+def drawn_number(digits: int, *parts: Column) -> Column:
+    """A number of so many hexadecimal digits that the parts decide, the same in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, digits), 16, 10).cast("long")
+
+
 def bootstrap_ci(df: DataFrame, group: str, value: str, order: list[str], iterations: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """Percentile interval of each group's mean.
 
-    Rows get a place from 0 in their group; draw i of iteration k takes the place hash(group, k, i, seed) mod n, so any engine or
-    rerun draws the same rows. Iterations are rows that Spark deals out; a group's draws are aggregated, never gathered.
+    Rows get a place from 0 in their group; draw i of iteration k takes the place md5(group, k, i, seed) mod n, so any engine or
+    rerun draws the same rows. Values are summed as decimals, so the order of rows does not matter. Iterations are rows that Spark
+    deals out; a group's draws are aggregated, never gathered.
     """
     place = F.row_number().over(Window.partitionBy(group).orderBy(value, *order)) - 1
-    rows = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"), place.alias("i"))
-    sizes = rows.groupBy(group).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    rows = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast(EXACT_VALUE).alias("v"), place.alias("i"))
+    mean = lambda: F.sum("v").cast("double")
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"), (mean() / F.count("*")).alias("mean"))
     draws = df.sparkSession.range(iterations).withColumnRenamed("id", "k")
     drawn = rows.select(group, "i").join(sizes.select(group, "n"), group).crossJoin(F.broadcast(draws))
-    picks = drawn.select(group, "k", F.pmod(F.xxhash64(group, "k", "i", F.lit(seed)), F.col("n")).cast("int").alias("i"))
-    means = picks.groupBy(group, "k", "i").agg(F.count("*").alias("times")).join(rows, [group, "i"]).groupBy(group, "k").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
+    picks = drawn.select(group, "k", F.pmod(drawn_number(12, F.col(group), F.col("k"), F.col("i"), F.lit(seed)), F.col("n")).cast("int").alias("i"))
+    means = picks.join(rows, [group, "i"]).groupBy(group, "k").agg((mean() / F.count("*")).alias("m"))
     tail = (1 - level) / 2
     ends = F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail)))
     bounds = means.groupBy(group).agg(ends.alias("e"))
@@ -70,23 +82,21 @@ EXACT = 18
 
 def permutation_test(pairs: DataFrame, by: list[str], alternative: str = "two-sided", iterations: int = 20_000, seed: int = 42) -> DataFrame:
     """Paired sign-flip test of the mean difference (``d``) per group: all 2^n flips up to 18 pairs, else seeded draws with the
-    observed one counted in."""
+    observed one counted in. Sums are decimals, so equal ones are equal and no order of rows matters."""
     spark = pairs.sparkSession
     place = F.row_number().over(Window.partitionBy(*by).orderBy("d")) - 1
-    rows = pairs.select(*by, F.col("d").cast("double").alias("d")).withColumn("i", place)
+    rows = pairs.select(*by, F.col("d").cast(EXACT_VALUE).alias("d")).withColumn("i", place)
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("d").alias("observed"))
     exact = sizes.where(F.col("n") <= EXACT).select(*by, "n", "observed", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("n").cast("int")) - 1)).alias("k"))
     drawn = sizes.where(F.col("n") > EXACT).crossJoin(F.broadcast(spark.range(iterations).select(F.col("id").cast("int").alias("k"))))
     flips = exact.unionByName(drawn.select(*by, "n", "observed", "k"))
-    bit = F.when(F.col("n") <= EXACT, F.call_function("shiftright", F.col("k"), F.col("i")).bitwiseAND(1)).otherwise(F.xxhash64(*by, "k", "i", F.lit(seed)).bitwiseAND(1))
+    coin = drawn_number(4, *map(F.col, by), F.col("k"), F.col("i"), F.lit(seed))
+    bit = F.when(F.col("n") <= EXACT, F.call_function("shiftright", F.col("k"), F.col("i")).bitwiseAND(1)).otherwise(coin.bitwiseAND(1))
     sums = flips.join(rows, by).groupBy(*by, "n", "observed", "k").agg(F.sum(F.when(bit == 0, F.col("d")).otherwise(-F.col("d"))).alias("s"))
-    slack = F.lit(1e-9)
-    extreme = {
-        "two-sided": F.abs("s") >= F.abs("observed") - slack, "greater": F.col("s") >= F.col("observed") - slack, "less": F.col("s") <= F.col("observed") + slack,
-    }[alternative]
+    extreme = {"two-sided": F.abs("s") >= F.abs("observed"), "greater": F.col("s") >= F.col("observed"), "less": F.col("s") <= F.col("observed")}[alternative]
     hits = sums.groupBy(*by, "n", "observed").agg(F.sum(extreme.cast("int")).alias("hits"), F.count("*").alias("flips"))
     p = F.when(F.col("n") <= EXACT, F.col("hits") / F.col("flips")).otherwise((F.col("hits") + 1) / (F.col("flips") + 1))
-    return hits.select(*by, F.col("n").cast("long").alias("n"), F.round(F.col("observed") / F.col("n"), 6).alias("mean_difference"), F.round(p, 6).alias("p_value"))
+    return hits.select(*by, F.col("n").cast("long").alias("n"), F.round(F.col("observed").cast("double") / F.col("n"), 6).alias("mean_difference"), F.round(p, 6).alias("p_value"))
 
 
 def magnitude(delta: Column) -> Column:
@@ -97,8 +107,7 @@ def magnitude(delta: Column) -> Column:
 def cliffs_delta(rows: DataFrame, by: list[str], side: str, value: str) -> DataFrame:
     """Cliff's delta of side 'a' against side 'b' per group, by cumulative counts over distinct values: no pairs are formed."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.sum((F.col(side) == "a").cast("long")).alias("na"), F.sum((F.col(side) == "b").cast("long")).alias("nb"))
-    before = Window.partitionBy(*by, F.lit(1)).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("below", F.coalesce(F.sum("nb").over(before), F.lit(0)))
+    ranked = running_sums(counts, by, ["v"], {"upto": "nb"}).withColumn("below", F.col("upto") - F.col("nb"))
     sums = ranked.groupBy(*by).agg(F.sum(F.col("na") * F.col("below")).alias("more"), F.sum(F.col("na") * F.col("nb")).alias("same"), F.sum("na").alias("na"), F.sum("nb").alias("nb"))
     less = F.col("na") * F.col("nb") - F.col("more") - F.col("same")
     delta = F.when((F.col("na") > 0) & (F.col("nb") > 0), (F.col("more") - less) / (F.col("na") * F.col("nb")))
@@ -116,7 +125,7 @@ def paired(records: DataFrame, metric: str, a: str, b: str) -> DataFrame:
 def compare(pairs: DataFrame, iterations: int = 2000, seed: int = 42) -> DataFrame:
     """Means, difference with interval, p-value and effect of paired values (system_id, seed, va, vb)."""
     rows = pairs.withColumn("d", F.col("vb") - F.col("va"))
-    means = rows.groupBy("system_id").agg(F.count("*").alias("n"), F.round(F.avg("va"), 6).alias("mean_a"), F.round(F.avg("vb"), 6).alias("mean_b"))
+    means = rows.groupBy("system_id").agg(F.count("*").alias("n"), *(F.round(F.sum(F.col(c).cast(EXACT_VALUE)).cast("double") / F.count("*"), 6).alias(n) for c, n in (("va", "mean_a"), ("vb", "mean_b"))))
     test = permutation_test(rows, ["system_id"], seed=seed).drop("n")
     sides = rows.select("system_id", F.lit("b").alias("side"), F.col("va").alias("v")).unionByName(rows.select("system_id", F.lit("a").alias("side"), F.col("vb").alias("v")))
     effect = cliffs_delta(sides, ["system_id"], "side", "v").select("system_id", "delta", "magnitude")

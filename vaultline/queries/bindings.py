@@ -67,6 +67,24 @@ def with_sql(*parts: str) -> str:
     return "WITH " + ", ".join(out) + " "
 
 
+#: Column names and types that meet and miss each rule of names.
+SAMPLE_NAMES = """mrid id uuid Site_MRID order_id part_key row_uuid sys_id guid uid customerid site_guid rowkey name identity
+record_source load_date load_datetime load_ts loaded_at dl_loaded_at dl_load_date dl_load_ts ingestion_timestamp ingest_ts etl_load_ts _loaded_at created_at
+Updated_At modified_at deleted_at sys_created_on sys_updated_on sys_mod_count __$start_lsn _dl_batch dl__run _private load_dts cdc_flag effective_from start_date
+end_date dl_run __seq status order_status state grid_state connected is_open has_alarm late_flag flag active enabled in_service operational current_phase
+last_seen_at heartbeat grid_state_at meter_reading face_value out_kw out_kwh out_kva out_mva out_mvar out_amp out_amps out_volt out_volts out_celsius
+out_fahrenheit oil_pressure oil_temperature error_count grand_total load_factor measure_a measured_b statuses total value""".split()
+SAMPLE_TYPES = [
+    "TIMESTAMP_NTZ", "datetime2", "date", " uuid ", "jsonb", "boolean", "varchar(20)", "CHAR(1)", "string", "text", "bigint", "int4", "smallint", "tinyint", "long",
+    "decimal(10,2)", "NUMERIC", "double", "float8", "geometry", "array<int>", "interval",
+]
+
+
+def one_of(column: str, values: list[str]) -> str:
+    """SQL that picks a value by a column's remainder."""
+    return f"CASE {column} % {len(values)} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+
+
 #: name -> (parts that it needs, SQL). Parts above the line are for DuckDB alone; projections are for both engines.
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "stg_orders": ((), f"SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_orderdate, {key_sql('o_custkey')} AS hk_customer, {key_sql('o_orderkey')} AS hk_order, {key_sql('o_orderkey', 'o_custkey')} AS hk_order_customer, {diff_sql('o_orderstatus', 'o_orderpriority')} AS hd_status, {diff_sql('o_orderstatus')} AS hd_state, {diff_sql('o_orderpriority')} AS hd_priority, 'ORDERS' AS record_source FROM orders"),
@@ -86,14 +104,16 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "cat_v1": ((), "SELECT 't' || CAST(p_partkey % 200 AS STRING) AS table_name, 'c' || CAST(p_partkey AS STRING) AS column_name, p_type AS raw_dtype, p_partkey % 20 = 0 AS is_key FROM part"),
     "cat_v2": ((), "SELECT 't' || CAST(p_partkey % 200 AS STRING) AS table_name, 'c' || CAST(p_partkey AS STRING) AS column_name, CASE WHEN p_partkey % 7 = 0 THEN p_brand ELSE p_type END AS raw_dtype, p_partkey % 20 = 0 AS is_key FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 200 <> 7 AND p_partkey % 200 < 180 OR p_partkey % 200 >= 190 UNION ALL SELECT 't' || CAST(p_partkey % 180 AS STRING), 'n' || CAST(p_partkey AS STRING), p_type, false FROM part WHERE p_partkey % 13 = 0 AND p_partkey % 180 <> 7 UNION ALL SELECT 'x' || CAST(p_size AS STRING), 'c' || CAST(p_partkey AS STRING), p_type, false FROM part WHERE p_partkey % 17 = 0"),
     "runs": ((), "SELECT c_nationkey AS n, c_custkey % 8 AS r, min(c_custkey) AS lo, max(c_custkey) AS hi FROM customer GROUP BY c_nationkey, c_custkey % 8"),
-    "plan_hubs": ((), "SELECT 's' || CAST(c_nationkey AS STRING) AS system_id, CAST(c_custkey % 8 AS INT) AS run_id, 'hub_' || CAST(c_custkey AS STRING) AS name, c_mktsegment AS source_table, split('k' || CAST(c_custkey % 5 AS STRING) || CASE WHEN c_custkey % 3 = 0 THEN ',m' || CAST(c_custkey % 7 AS STRING) ELSE '' END, ',') AS business_keys, CASE WHEN c_custkey % 9 = 0 THEN 'X_' ELSE 'HK_' END || CAST(c_custkey AS STRING) AS hash_key, CAST(0.45 + 0.2 * (c_custkey % 3) AS DOUBLE) AS confidence FROM customer"),
-    "plan_links": (("runs",), "SELECT 's' || CAST(c_nationkey AS STRING) AS system_id, CAST(c_custkey % 8 AS INT) AS run_id, 'link_' || CAST(o_orderkey AS STRING) AS name, o_orderpriority AS source_table, 'HK_L_' || CAST(o_orderkey AS STRING) AS hash_key, split('HK_' || CAST(o_custkey AS STRING) || CASE WHEN o_orderkey % 4 = 0 THEN ',HK_' || CAST(o_custkey AS STRING) WHEN o_orderkey % 4 = 1 THEN ',HK_none' WHEN o_orderkey % 4 = 2 THEN ',HK_' || CAST(lo AS STRING) ELSE ',HK_' || CAST(hi AS STRING) END, ',') AS fk_columns, CAST(0.8 AS DOUBLE) AS confidence FROM orders JOIN customer ON o_custkey = c_custkey JOIN runs ON n = c_nationkey AND r = c_custkey % 8"),
-    "plan_sats": ((), "SELECT 's' || CAST(c_nationkey AS STRING) AS system_id, CAST(c_custkey % 8 AS INT) AS run_id, 'sat_' || CAST(o_orderkey AS STRING) || CASE WHEN o_orderkey % 5 = 0 THEN '_details' WHEN o_orderkey % 5 = 1 THEN '_operational' WHEN o_orderkey % 5 = 2 THEN '_measurements' ELSE '' END AS name, c_mktsegment AS source_table, 'HK_' || CAST(c_custkey AS STRING) AS parent_hub, CASE WHEN o_orderkey % 10 = 0 THEN 'X_' ELSE 'HD_' END || CAST(o_orderkey AS STRING) AS hashdiff, split(o_orderstatus || ',' || o_orderpriority || CASE WHEN o_orderkey % 4 = 0 THEN ',k' || CAST(c_custkey % 5 AS STRING) ELSE '' END || CASE WHEN o_orderkey % 6 = 0 THEN ',load_dts' ELSE '' END, ',') AS payload, CAST(0.7 AS DOUBLE) AS confidence FROM orders JOIN customer ON o_custkey = c_custkey"),
+    "plan_hubs": ((), "SELECT 's' || CAST(c_nationkey AS STRING) AS system_id, CAST(c_custkey % 8 AS INT) AS run_id, CASE WHEN c_custkey % 19 = 0 THEN 'h_' ELSE 'hub_' END || CAST(c_custkey AS STRING) AS name, c_mktsegment AS source_table, split(CASE WHEN c_custkey % 11 = 0 THEN 'Sys_ID' WHEN c_custkey % 13 = 0 THEN 'acct_sk' ELSE 'k' || CAST(c_custkey % 5 AS STRING) END || CASE WHEN c_custkey % 3 = 0 THEN ',m' || CAST(c_custkey % 7 AS STRING) ELSE '' END, ',') AS business_keys, CASE WHEN c_custkey % 9 = 0 THEN 'X_' ELSE 'HK_' END || CAST(c_custkey AS STRING) AS hash_key, CAST(0.45 + 0.2 * (c_custkey % 3) AS DOUBLE) AS confidence FROM customer"),
+    "plan_links": (("runs",), "SELECT 's' || CAST(c_nationkey AS STRING) AS system_id, CAST(c_custkey % 8 AS INT) AS run_id, CASE WHEN o_orderkey % 29 = 0 THEN 'lnk_' ELSE 'link_' END || CAST(o_orderkey AS STRING) AS name, o_orderpriority AS source_table, CASE WHEN o_orderkey % 31 = 0 THEN 'L_' ELSE 'HK_L_' END || CAST(o_orderkey AS STRING) AS hash_key, split('HK_' || CAST(o_custkey AS STRING) || CASE WHEN o_orderkey % 37 = 0 THEN '' WHEN o_orderkey % 4 = 0 THEN ',HK_' || CAST(o_custkey AS STRING) WHEN o_orderkey % 4 = 1 THEN ',HK_none' WHEN o_orderkey % 4 = 2 THEN ',HK_' || CAST(lo AS STRING) ELSE ',HK_' || CAST(hi AS STRING) END, ',') AS fk_columns, CAST(0.8 AS DOUBLE) AS confidence FROM orders JOIN customer ON o_custkey = c_custkey JOIN runs ON n = c_nationkey AND r = c_custkey % 8"),
+    "plan_sats": ((), "SELECT 's' || CAST(c_nationkey AS STRING) AS system_id, CAST(c_custkey % 8 AS INT) AS run_id, CASE WHEN o_orderkey % 8 = 1 THEN 'eff_sat_' WHEN o_orderkey % 17 = 0 THEN 's_' ELSE 'sat_' END || CAST(o_orderkey AS STRING) || CASE WHEN o_orderkey % 5 = 0 THEN '_details' WHEN o_orderkey % 5 = 1 THEN '_operational' WHEN o_orderkey % 5 = 2 THEN '_measurements' ELSE '' END AS name, c_mktsegment AS source_table, 'HK_' || CAST(c_custkey AS STRING) AS parent_hub, CASE WHEN o_orderkey % 10 = 0 THEN 'X_' ELSE 'HD_' END || CAST(o_orderkey AS STRING) AS hashdiff, split(o_orderstatus || ',' || o_orderpriority || CASE WHEN o_orderkey % 4 = 0 THEN ',k' || CAST(c_custkey % 5 AS STRING) ELSE '' END || CASE WHEN o_orderkey % 6 = 0 THEN ',load_dts' ELSE '' END, ',') AS payload, CAST(0.7 AS DOUBLE) AS confidence FROM orders JOIN customer ON o_custkey = c_custkey"),
     "gold_hubs": ((), "SELECT 's' || CAST(c_nationkey AS STRING) AS system_id, c_mktsegment AS source_table, split('k' || CAST((c_custkey + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END) % 5 AS STRING) || CASE WHEN c_custkey % 3 = 0 THEN ',m' || CAST(c_custkey % 7 AS STRING) ELSE '' END, ',') AS business_keys, CASE WHEN c_custkey % 7 = 0 THEN 'gold_' ELSE 'hub_' END || CAST(c_custkey AS STRING) AS name FROM customer WHERE c_custkey % 2 = 0"),
     "catalog": ((), "SELECT DISTINCT 's' || CAST(c_nationkey AS STRING) AS system_id, c_mktsegment AS table_name, 'k' || CAST(c_custkey % 5 AS STRING) AS column_name FROM customer WHERE c_mktsegment <> 'MACHINERY' UNION SELECT DISTINCT 's' || CAST(c_nationkey AS STRING), c_mktsegment, o_orderstatus FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment <> 'MACHINERY'"),
+    "catalog_names": ((), f"SELECT 's' AS system_id, 't' || CAST(p_partkey % 40 AS STRING) AS table_name, CAST(p_partkey AS INT) AS ordinal, {one_of('p_partkey', SAMPLE_NAMES)} AS column_name, {one_of('p_size', SAMPLE_TYPES)} AS raw_dtype FROM part"),
+    "catalog_profiles": (("catalog_names",), "SELECT table_name, column_name, max(ordinal % 37) = 0 AS is_likely_key, CAST(max(ordinal) % 20 AS DOUBLE) / 20 AS cardinality_ratio FROM catalog_names GROUP BY table_name, column_name"),
     "approvals": ((), "SELECT 'p' || CAST(o_custkey AS STRING) AS plan_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS version, CASE WHEN o_orderstatus = 'F' THEN 'approved' WHEN o_orderstatus = 'P' THEN 'rejected' WHEN o_orderkey % 2 = 0 THEN 'draft' ELSE 'changes_requested' END AS status, o_orderpriority AS actor, o_orderdate AS decided_at, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'because' END AS comment, concat('{\"errors\": ', CAST(o_orderkey % 3 AS STRING), '}') AS validation_json FROM orders"),
     "raters": ((), "SELECT doc_id AS item, quality AS a, toxic AS b FROM labels"),
-    "study": ((), "SELECT o_orderstatus AS system_id, CASE WHEN o_orderkey % 2 = 0 THEN 'off' ELSE 'on' END AS condition, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS seed, 'price' AS metric, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2, 3"),
+    "study": ((), "SELECT o_orderstatus AS system_id, CASE WHEN o_orderkey % 2 = 0 THEN 'off' ELSE 'on' END AS condition, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS seed, 'price' AS metric, floor((2 * sum(CAST(round(o_totalprice * 100) AS BIGINT)) + count(*)) / (2 * count(*))) / 100 AS value FROM orders GROUP BY 1, 2, 3"),
 }
 
 

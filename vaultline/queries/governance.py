@@ -150,9 +150,26 @@ def plans(r: Registry) -> None:
     r.add("pl10_shrink_ok", shrunk, PLANS + OBJECTS + ", counts AS (SELECT system_id, run_id, kind, count(*) AS b, count(*) FILTER (WHERE length(name) % 2 = 0 OR kind = 'hub') AS a FROM objects GROUP BY ALL) SELECT system_id, run_id, bool_and(a >= 0.7 * b OR b - a <= 1) AS accepted FROM counts GROUP BY ALL")
 
 
-CHECKS = ", keys_ AS (SELECT system_id, run_id, hash_key AS parent_hub, flatten(list(business_keys)) AS ks FROM plan_hubs GROUP BY ALL), checked AS (SELECT system_id, run_id, 'hub' AS kind, name, 'bad_hub_name' AS issue, NOT starts_with(name, 'hub_') AS bad FROM plan_hubs UNION ALL SELECT system_id, run_id, 'hub', name, 'bad_hash_key_name', NOT starts_with(hash_key, 'HK_') FROM plan_hubs UNION ALL SELECT system_id, run_id, 'hub', name, 'no_business_key', len(business_keys) = 0 FROM plan_hubs UNION ALL SELECT system_id, run_id, 'link', name, 'bad_link_name', NOT starts_with(name, 'link_') FROM plan_links UNION ALL SELECT system_id, run_id, 'link', name, 'few_link_keys', len(list_distinct(fk_columns)) < 2 FROM plan_links UNION ALL SELECT system_id, run_id, 'sat', name, 'bad_sat_name', NOT starts_with(name, 'sat_') FROM plan_sats UNION ALL SELECT system_id, run_id, 'sat', name, 'bad_hashdiff_name', NOT starts_with(hashdiff, 'HD_') FROM plan_sats UNION ALL SELECT system_id, run_id, 'sat', name, 'empty_payload', len(payload) = 0 FROM plan_sats UNION ALL SELECT system_id, run_id, 'sat', name, 'technical_payload', list_contains(payload, 'load_dts') FROM plan_sats UNION ALL SELECT s.system_id, s.run_id, 'sat', s.name, 'key_in_payload', coalesce(list_has_any(payload, ks), false) FROM plan_sats s LEFT JOIN keys_ k USING (system_id, run_id, parent_hub))"
+CHECKS = """, hub_keys AS (SELECT system_id, run_id, hash_key AS parent_hub, list_transform(flatten(list(business_keys)), lambda x: lower(x)) AS ks FROM plan_hubs GROUP BY ALL),
+loose AS (SELECT DISTINCT l.system_id, l.run_id, l.name FROM (SELECT system_id, run_id, name, unnest(fk_columns) AS k FROM plan_links) l WHERE NOT EXISTS (SELECT 1 FROM plan_hubs h WHERE h.system_id = l.system_id AND h.run_id = l.run_id AND h.hash_key = l.k)),
+every AS (SELECT system_id, run_id FROM plan_hubs UNION SELECT system_id, run_id FROM plan_links UNION SELECT system_id, run_id FROM plan_sats),
+checked AS (
+SELECT system_id, run_id, 'plan' AS kind, '' AS name, 'empty_plan' AS issue, NOT EXISTS (SELECT 1 FROM plan_hubs h WHERE h.system_id = e.system_id AND h.run_id = e.run_id) AS bad FROM every e
+UNION ALL SELECT system_id, run_id, 'hub', name, 'naming', name NOT LIKE 'hub!_%' ESCAPE '!' FROM plan_hubs
+UNION ALL SELECT system_id, run_id, 'hub', name, 'hash_key_naming', hash_key NOT LIKE 'HK!_%' ESCAPE '!' FROM plan_hubs
+UNION ALL SELECT system_id, run_id, 'hub', name, 'surrogate_business_key', len(business_keys) > 0 AND len(list_filter(business_keys, lambda k: NOT regexp_matches(lower(k), '^(id|sys_id|guid|uuid|pk|oid|sk|rowid)$|_(id|sk|key|guid|uuid)$'))) = 0 FROM plan_hubs
+UNION ALL SELECT system_id, run_id, 'hub', name, 'hub_without_satellite', (system_id, run_id, hash_key) NOT IN (SELECT (system_id, run_id, parent_hub) FROM plan_sats) FROM plan_hubs
+UNION ALL SELECT system_id, run_id, 'link', name, 'naming', name NOT LIKE 'link!_%' ESCAPE '!' FROM plan_links
+UNION ALL SELECT system_id, run_id, 'link', name, 'hash_key_naming', hash_key NOT LIKE 'HK!_%' ESCAPE '!' FROM plan_links
+UNION ALL SELECT system_id, run_id, 'link', name, 'link_under_two_hubs', len(fk_columns) < 2 FROM plan_links
+UNION ALL SELECT system_id, run_id, 'link', name, 'link_fk_unresolved', (system_id, run_id, name) IN (SELECT (system_id, run_id, name) FROM loose) FROM plan_links
+UNION ALL SELECT system_id, run_id, 'sat', name, 'naming', NOT regexp_matches(name, '^(eff_)?sat_') FROM plan_sats
+UNION ALL SELECT system_id, run_id, 'sat', name, 'hash_key_naming', hashdiff NOT LIKE 'HD!_%' ESCAPE '!' FROM plan_sats
+UNION ALL SELECT s.system_id, s.run_id, 'sat', s.name, 'satellite_orphan', ks IS NULL FROM plan_sats s LEFT JOIN hub_keys k USING (system_id, run_id, parent_hub)
+UNION ALL SELECT system_id, run_id, 'sat', name, 'satellite_empty_payload', len(payload) = 0 FROM plan_sats
+UNION ALL SELECT s.system_id, s.run_id, 'sat', s.name, 'payload_key_leak', list_has_any(list_transform(payload, lambda x: lower(x)), list_concat(coalesce(ks, []), ['load_dts', 'record_source', 'cdc_flag', 'ingested_at'])) FROM plan_sats s LEFT JOIN hub_keys k USING (system_id, run_id, parent_hub))"""
 RADIUS = ", used AS (SELECT system_id, run_id, unnest(list_distinct(fk_columns)) AS hash_key FROM plan_links UNION ALL SELECT system_id, run_id, parent_hub FROM plan_sats), counts AS (SELECT system_id, run_id, hash_key, count(*) AS radius FROM used GROUP BY ALL), radius AS (SELECT h.system_id, h.run_id, h.name, h.hash_key, coalesce(c.radius, 0) AS radius FROM plan_hubs h LEFT JOIN counts c USING (system_id, run_id, hash_key))"
-GOLD = with_sql("plan_hubs", "gold_hubs") + ", mine AS (SELECT DISTINCT ON (system_id, run_id, t, k) system_id, run_id, t, k, lower(name) AS p FROM (SELECT *, lower(source_table) AS t, array_to_string(list_sort(list_distinct(list_transform(business_keys, lambda x: lower(x)))), ',') AS k FROM plan_hubs)), theirs AS (SELECT DISTINCT system_id, lower(source_table) AS t, array_to_string(list_sort(list_distinct(list_transform(business_keys, lambda x: lower(x)))), ',') AS k FROM gold_hubs), want AS (SELECT system_id, run_id, t, k, true AS g FROM theirs JOIN (SELECT DISTINCT system_id, run_id FROM plan_hubs) USING (system_id)), m AS (SELECT system_id, run_id, t, k, p, g FROM mine FULL JOIN want USING (system_id, run_id, t, k)) "
+GOLD = with_sql("plan_hubs", "gold_hubs") + ", mine AS (SELECT system_id, run_id, t, k, min(lower(name)) AS p FROM (SELECT *, lower(source_table) AS t, array_to_string(list_sort(list_distinct(list_transform(business_keys, lambda x: lower(x)))), ',') AS k FROM plan_hubs) GROUP BY ALL), theirs AS (SELECT DISTINCT system_id, lower(source_table) AS t, array_to_string(list_sort(list_distinct(list_transform(business_keys, lambda x: lower(x)))), ',') AS k FROM gold_hubs), want AS (SELECT system_id, run_id, t, k, true AS g FROM theirs JOIN (SELECT DISTINCT system_id, run_id FROM plan_hubs) USING (system_id)), m AS (SELECT system_id, run_id, t, k, p, g FROM mine FULL JOIN want USING (system_id, run_id, t, k)) "
 GRADE = "round(count(*) FILTER (WHERE p IS NOT NULL AND g) / nullif(count(p), 0), 4) AS precision, round(count(*) FILTER (WHERE p IS NOT NULL AND g) / nullif(count(g), 0), 4) AS recall, round(2 * count(*) FILTER (WHERE p IS NOT NULL AND g) / nullif(count(p) + count(g), 0), 4) AS f1"
 REFS = ", refs AS (SELECT system_id, run_id, 'table' AS kind, lower(source_table) AS t, NULL AS c FROM (SELECT system_id, run_id, source_table FROM plan_hubs UNION ALL SELECT system_id, run_id, source_table FROM plan_links UNION ALL SELECT system_id, run_id, source_table FROM plan_sats) UNION ALL SELECT system_id, run_id, 'key', lower(source_table), lower(unnest(business_keys)) FROM plan_hubs UNION ALL SELECT system_id, run_id, 'payload', lower(source_table), lower(unnest(payload)) FROM plan_sats), known AS (SELECT r.*, CASE WHEN kind = 'table' THEN (system_id, t) IN (SELECT (system_id, lower(table_name)) FROM catalog) ELSE (system_id, t, c) IN (SELECT (system_id, lower(table_name), lower(column_name)) FROM catalog) END AS ok FROM refs r)"
 
@@ -169,9 +186,9 @@ def scores(r: Registry) -> None:
 
     def covered(s: SparkSession, d: str) -> DataFrame:
         hubs, sats = projected(s, d, "plan_hubs", "plan_sats")
-        return ev.coverage(sats.where("run_id < 5").select("system_id", "run_id", "source_table"), hubs.select("system_id", "source_table"))
+        return ev.coverage(sats.select("system_id", "run_id", "source_table"), hubs.select("system_id", "source_table"))
 
-    r.add("ev3_coverage", covered, PLANS + ", plans_ AS (SELECT DISTINCT system_id, run_id FROM plan_sats WHERE run_id < 5), want AS (SELECT * FROM plans_ JOIN (SELECT DISTINCT system_id, source_table FROM plan_hubs) USING (system_id)), used AS (SELECT DISTINCT system_id, run_id, source_table, 1 AS hit FROM plan_sats WHERE run_id < 5) SELECT system_id, run_id, round(count(hit) / count(*), 4) AS coverage, coalesce(string_agg(source_table, ',' ORDER BY source_table) FILTER (WHERE hit IS NULL), '') AS uncovered FROM want LEFT JOIN used USING (system_id, run_id, source_table) GROUP BY ALL")
+    r.add("ev3_coverage", covered, PLANS + ", plans_ AS (SELECT DISTINCT system_id, run_id FROM plan_sats), want AS (SELECT * FROM plans_ JOIN (SELECT DISTINCT system_id, source_table FROM plan_hubs) USING (system_id)), used AS (SELECT DISTINCT system_id, run_id, source_table, 1 AS hit FROM plan_sats) SELECT system_id, run_id, round(count(hit) / count(*), 4) AS coverage, coalesce(string_agg(source_table, ',' ORDER BY source_table) FILTER (WHERE hit IS NULL), '') AS uncovered FROM want LEFT JOIN used USING (system_id, run_id, source_table) GROUP BY ALL")
     r.add("ev4_blast_radius", lambda s, d: ev.blast_radius(*three(s, d)), PLANS + RADIUS + " SELECT * FROM radius")
     r.add("ev4_hotspots", lambda s, d: ev.hotspots(ev.blast_radius(*three(s, d)), 20), PLANS + RADIUS + " SELECT * FROM radius ORDER BY radius DESC, name, system_id, run_id LIMIT 20")
 
@@ -197,46 +214,84 @@ def scores(r: Registry) -> None:
     wide = with_sql("plan_hubs", "plan_links", "plan_sats", "catalog") + OBJECTS + CHECKS + REFS + "," + GOLD[GOLD.index(" mine AS"):] + f", sizes AS (SELECT system_id, run_id, count(*) FILTER (WHERE kind = 'hub') AS n_hubs, count(*) FILTER (WHERE kind = 'link') AS n_links, count(*) FILTER (WHERE kind = 'sat') AS n_sats FROM objects GROUP BY ALL), conf AS (SELECT system_id, run_id, round(avg(CAST(NOT bad AS INT)), 6) AS conformance, count(*) FILTER (WHERE bad) AS n_issues FROM checked GROUP BY ALL), ground AS (SELECT system_id, run_id, {G} FROM known GROUP BY ALL), graded AS (SELECT system_id, run_id, {GRADE} FROM m GROUP BY ALL), wide AS (SELECT * FROM sizes LEFT JOIN conf USING (system_id, run_id) LEFT JOIN ground USING (system_id, run_id) LEFT JOIN graded USING (system_id, run_id))"
     wide = wide.replace("WITH ", with_sql("gold_hubs").rstrip() + ", ", 1)
     r.add("ev10_evaluate", lambda s, d: metrics(s, d).drop("naming"), wide + " SELECT * FROM wide")
-    r.add("ev11_aggregate", lambda s, d: ev.aggregate(metrics(s, d), ["system_id"], ["conformance", "grounding", "f1"]), wide + " SELECT system_id, count(*) AS n_runs, round(avg(conformance), 4) AS conformance, round(avg(grounding), 4) AS grounding, round(avg(f1), 4) AS f1 FROM wide GROUP BY system_id")
+    r.add("ev11_aggregate", lambda s, d: ev.aggregate(metrics(s, d), ["system_id"], ["conformance", "grounding", "f1"]), wide + " SELECT system_id, count(*) AS n_runs, " + ", ".join(f"floor((2 * sum(CAST(round({m} * 1000000) AS BIGINT)) + 100 * count({m})) / nullif(200 * count({m}), 0)) / 10000 AS {m}" for m in ("conformance", "grounding", "f1")) + " FROM wide GROUP BY system_id")
     records = lambda s, d: table(s, d, "orders").select(F.col("o_orderpriority").alias("arm"), (F.col("o_custkey") % 100).alias("case_id"), F.round(F.col("o_totalprice") / 1000, 3).alias("score"), (F.col("o_orderkey") % 60).alias("latency"))
     r.add("ev12_ablation", lambda s, d: ev.ablation_summary(records(s, d)), "SELECT o_orderpriority AS arm, count(*) AS n, count(DISTINCT o_custkey % 100) AS cases, round(avg(round(o_totalprice / 1000, 3)), 4) AS score, round(avg(o_orderkey % 60), 4) AS latency FROM orders GROUP BY 1")
 
     def summary(s: SparkSession, d: str) -> DataFrame:
-        o = table(s, d, "orders").where("o_orderpriority < '4'")
+        o = table(s, d, "orders")
         return ev.summarise(o.select(F.col("o_orderstatus").alias("system_id"), F.col("o_orderpriority").alias("condition"), (F.col("o_orderkey") % 1000).alias("value"), F.create_map(F.concat(F.lit("i"), (F.col("o_orderkey") % 3).cast("string")), F.col("o_custkey") % 5).alias("issues")))
 
-    r.add("ev13_summarise", summary, "WITH o AS (SELECT o_orderstatus AS system_id, o_orderpriority AS condition, o_orderkey % 1000 AS value, 'i' || CAST(o_orderkey % 3 AS VARCHAR) AS issue, o_custkey % 5 AS k FROM orders WHERE o_orderpriority < '4'), c AS (SELECT system_id, condition, issue, sum(k) AS k FROM o GROUP BY ALL) SELECT system_id, condition, round(avg(value), 3) AS mean_value, count(*) AS n, any_value(h.histogram) AS histogram FROM o JOIN (SELECT system_id, condition, string_agg(issue || ':' || CAST(k AS VARCHAR), ',' ORDER BY issue) AS histogram FROM c GROUP BY ALL) h USING (system_id, condition) GROUP BY system_id, condition")
+    r.add("ev13_summarise", summary, "WITH o AS (SELECT o_orderstatus AS system_id, o_orderpriority AS condition, o_orderkey % 1000 AS value, 'i' || CAST(o_orderkey % 3 AS VARCHAR) AS issue, o_custkey % 5 AS k FROM orders), c AS (SELECT system_id, condition, issue, sum(k) AS k FROM o GROUP BY ALL) SELECT system_id, condition, round(avg(value), 3) AS mean_value, count(*) AS n, any_value(h.histogram) AS histogram FROM o JOIN (SELECT system_id, condition, string_agg(issue || ':' || CAST(k AS VARCHAR), ',' ORDER BY issue) AS histogram FROM c GROUP BY ALL) h USING (system_id, condition) GROUP BY system_id, condition")
     hist = lambda s, d, m: table(s, d, "orders").where(f"o_orderkey % 2 = {m}").groupBy(F.col("o_orderpriority").alias("issue"), (F.col("o_custkey") % 40).alias("run")).agg(F.count("*").alias("n"))
     hsql = lambda m: f"SELECT o_orderpriority AS issue, o_custkey % 40 AS run, count(*) AS n FROM orders WHERE o_orderkey % 2 = {m} GROUP BY ALL"
     r.add("ev14_shift", lambda s, d: ev.shift(hist(s, d, 0), hist(s, d, 1), ["issue", "run"]), f"SELECT issue, run, greatest(b - a, 0) AS resolved, greatest(a - b, 0) AS introduced, least(a, b) AS persisted, a - b AS net FROM (SELECT issue, run, coalesce(x.n, 0) AS b, coalesce(y.n, 0) AS a FROM ({hsql(0)}) x FULL JOIN ({hsql(1)}) y USING (issue, run))")
-    r.add("ev15_verdict", lambda s, d: ev.verdict(metrics(s, d)), wide + " SELECT system_id, run_id, CASE WHEN structural > 0 THEN 'REJECT' WHEN coalesce(grounding < 0.95, false) OR coalesce(conformance < 0.9, false) OR coalesce(f1 < 0.7, false) THEN 'REVIEW' ELSE 'APPROVE' END AS verdict, concat_ws('; ', CASE WHEN structural > 0 THEN 'fabricated structure' END, CASE WHEN grounding < 0.95 THEN 'low grounding' END, CASE WHEN conformance < 0.9 THEN 'low conformance' END, CASE WHEN f1 < 0.7 THEN 'low f1' END) AS reasons FROM wide")
+
+    def judged(s: SparkSession, d: str) -> DataFrame:
+        hubs, links, sats, gold, cat = projected(s, d, "plan_hubs", "plan_links", "plan_sats", "gold_hubs", "catalog")
+        gold = gold.where("system_id <> 's5'")
+        expected = gold.groupBy("system_id").agg(F.count("*").alias("gold_links"))
+        produced = links.groupBy("system_id", "run_id").agg(F.count("*").alias("links")).join(expected, "system_id")
+        return ev.verdict(ev.checks(hubs, links, sats), ev.grounding(ev.references(hubs, links, sats), cat), hubs, gold, produced)
+
+    VERDICT = """, want_ AS (SELECT system_id, run_id, t, k, g FROM (SELECT system_id, lower(source_table) AS t, array_to_string(list_sort(list_distinct(list_transform(business_keys, lambda x: lower(x)))), ',') AS k, min(lower(name)) AS g FROM gold_hubs WHERE system_id <> 's5' GROUP BY ALL) JOIN every USING (system_id)),
+have_ AS (SELECT system_id, run_id, t, k, p FROM mine WHERE system_id IN (SELECT system_id FROM want_)),
+sides AS (SELECT system_id, run_id, count(*) FILTER (WHERE p IS NULL) AS missed, count(*) FILTER (WHERE g IS NULL) AS spurious, count(*) FILTER (WHERE p <> g) AS renamed FROM have_ FULL JOIN want_ USING (system_id, run_id, t, k) GROUP BY ALL),
+reasons AS (
+SELECT system_id, run_id, CASE issue WHEN 'empty_plan' THEN 'REJECT' ELSE 'REVIEW' END AS level, CASE issue WHEN 'empty_plan' THEN 'no hubs' ELSE 'convention ' || issue END AS reason, count(*) AS n FROM checked WHERE bad GROUP BY ALL
+UNION ALL SELECT system_id, run_id, 'REJECT', 'fabricated structure', structural FROM ground UNION ALL SELECT system_id, run_id, 'REVIEW', 'fabricated payload', fabricated_payload FROM ground
+UNION ALL SELECT system_id, run_id, 'REVIEW', 'missed entity', missed FROM sides UNION ALL SELECT system_id, run_id, 'REVIEW', 'spurious entity', spurious FROM sides UNION ALL SELECT system_id, run_id, 'REVIEW', 'naming against gold', renamed FROM sides
+UNION ALL SELECT l.system_id, run_id, 'REVIEW', 'over-linking', n - w FROM (SELECT system_id, run_id, count(*) AS n FROM plan_links GROUP BY ALL) l JOIN (SELECT system_id, count(*) AS w FROM gold_hubs WHERE system_id <> 's5' GROUP BY 1) USING (system_id)
+UNION ALL SELECT system_id, run_id, 'REVIEW', 'no gold', 1 FROM every WHERE system_id NOT IN (SELECT system_id FROM gold_hubs WHERE system_id <> 's5')),
+told AS (SELECT system_id, run_id, coalesce(string_agg(reason || ' ' || CAST(n AS VARCHAR), '; ' ORDER BY reason || ' ' || CAST(n AS VARCHAR)) FILTER (WHERE level = 'REJECT'), '') AS blocking, coalesce(string_agg(reason || ' ' || CAST(n AS VARCHAR), '; ' ORDER BY reason || ' ' || CAST(n AS VARCHAR)) FILTER (WHERE level = 'REVIEW'), '') AS review FROM reasons WHERE n > 0 GROUP BY ALL)
+SELECT system_id, run_id, coalesce(blocking, '') AS blocking, coalesce(review, '') AS review, CASE WHEN blocking <> '' THEN 'REJECT' WHEN review <> '' THEN 'REVIEW' ELSE 'APPROVE' END AS verdict FROM every LEFT JOIN told USING (system_id, run_id)"""
+    r.add("ev15_verdict", judged, wide + VERDICT)
 
 
 def statistics(r: Registry) -> None:
     KAPPA = "SELECT CAST(n AS BIGINT) AS n, CAST(n - agree AS BIGINT) AS disagreements, round(agree / n, 6) AS agreement, round(CASE WHEN pe >= 1 THEN 1.0 ELSE (agree / n - pe) / (1 - pe) END, 6) AS kappa"
     r.add("st1_kappa", lambda s, d: stats.kappa(*projected(s, d, "raters")), with_sql("raters") + f"{KAPPA} FROM (SELECT count(*) AS n, count(*) FILTER (WHERE a = b) AS agree, (SELECT sum(na * nb) FROM (SELECT a AS l, count(*) AS na FROM raters GROUP BY 1) JOIN (SELECT b AS l, count(*) AS nb FROM raters GROUP BY 1) USING (l)) / (count(*) * count(*)) AS pe FROM raters)")
     r.add("st1_distribution", lambda s, d: stats.label_distribution(projected(s, d, "raters")[0], "a"), with_sql("raters") + "SELECT CAST(a AS VARCHAR) AS label, count(*) AS n FROM raters GROUP BY 1")
-    r.add("st2_gold_labels", lambda s, d: stats.gold_labels(projected(s, d, "gold_hubs")[0].where("name like '%1'"), projected(s, d, "plan_hubs")[0].select("system_id", "source_table").distinct()), with_sql("plan_hubs", "gold_hubs") + "SELECT system_id, source_table, CASE count(g.n) WHEN 0 THEN 'exclude' WHEN 1 THEN 'hub' ELSE 'split' END AS label FROM (SELECT DISTINCT system_id, source_table FROM plan_hubs) t LEFT JOIN (SELECT system_id, source_table, 1 AS n FROM gold_hubs WHERE name LIKE '%1') g USING (system_id, source_table) GROUP BY ALL")
+    r.add("st2_gold_labels", lambda s, d: stats.gold_labels(projected(s, d, "gold_hubs")[0], projected(s, d, "plan_hubs")[0].select("system_id", "source_table").distinct()), with_sql("plan_hubs", "gold_hubs") + "SELECT system_id, source_table, CASE count(g.n) WHEN 0 THEN 'exclude' WHEN 1 THEN 'hub' ELSE 'split' END AS label FROM (SELECT DISTINCT system_id, source_table FROM plan_hubs) t LEFT JOIN (SELECT system_id, source_table, 1 AS n FROM gold_hubs) g USING (system_id, source_table) GROUP BY ALL")
     r.add("st3_majority", lambda s, d: stats.majority(table(s, d, "conversations").select("conv_id", "role", "turn"), "conv_id", "role", "turn"), "WITH c AS (SELECT conv_id, role, count(*) AS votes, min(turn) AS f FROM conversations GROUP BY ALL) SELECT conv_id, role, votes FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY votes DESC, f) AS n FROM c) WHERE n = 1")
-    panel = lambda s, d: table(s, d, "orders").where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("item"), F.col("o_orderpriority").alias("rater")).agg(F.max("o_orderstatus").alias("label"))
-    P = "WITH l AS (SELECT o_custkey AS item, o_orderpriority AS rater, max(o_orderstatus) AS label FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL), p AS (SELECT x.rater AS rater_a, y.rater AS rater_b, x.label AS a, y.label AS b FROM l x JOIN l y ON x.item = y.item AND x.rater < y.rater), t AS (SELECT rater_a, rater_b, count(*) AS n, count(*) FILTER (WHERE a = b) AS agree FROM p GROUP BY ALL), e AS (SELECT rater_a, rater_b, sum(na * nb) AS c FROM (SELECT rater_a, rater_b, a AS l, count(*) AS na FROM p GROUP BY ALL) JOIN (SELECT rater_a, rater_b, b AS l, count(*) AS nb FROM p GROUP BY ALL) USING (rater_a, rater_b, l) GROUP BY ALL) "
+    panel = lambda s, d: table(s, d, "orders").groupBy(F.col("o_custkey").alias("item"), F.col("o_orderpriority").alias("rater")).agg(F.max("o_orderstatus").alias("label"))
+    P = "WITH l AS (SELECT o_custkey AS item, o_orderpriority AS rater, max(o_orderstatus) AS label FROM orders GROUP BY ALL), p AS (SELECT x.rater AS rater_a, y.rater AS rater_b, x.label AS a, y.label AS b FROM l x JOIN l y ON x.item = y.item AND x.rater < y.rater), t AS (SELECT rater_a, rater_b, count(*) AS n, count(*) FILTER (WHERE a = b) AS agree FROM p GROUP BY ALL), e AS (SELECT rater_a, rater_b, sum(na * nb) AS c FROM (SELECT rater_a, rater_b, a AS l, count(*) AS na FROM p GROUP BY ALL) JOIN (SELECT rater_a, rater_b, b AS l, count(*) AS nb FROM p GROUP BY ALL) USING (rater_a, rater_b, l) GROUP BY ALL) "
     r.add("st4_kappa_panel", lambda s, d: stats.kappa_panel(panel(s, d), "item", "rater", "label"), P + KAPPA.replace("SELECT ", "SELECT rater_a, rater_b, ", 1) + " FROM (SELECT rater_a, rater_b, n, agree, c / (n * n) AS pe FROM t JOIN e USING (rater_a, rater_b))")
 
+    monthly = "SELECT o_orderpriority AS g, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS m, floor((2 * sum(CAST(round(o_totalprice * 100) AS BIGINT)) + count(*)) / (2 * count(*))) / 100 AS v FROM orders GROUP BY 1, 2"
+
     def interval(s: SparkSession, d: str) -> DataFrame:
-        monthly = table(s, d, "orders").groupBy("o_orderpriority", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).agg(F.round(F.avg("o_totalprice"), 2).alias("v"))
-        return stats.bootstrap_ci(monthly, "o_orderpriority", "v", ["y", "m"])
+        table(s, d, "orders").createOrReplaceTempView("orders")
+        return rounded(stats.bootstrap_ci(s.sql(monthly), "g", "v", ["m"]))
+
+    rounded = lambda df: df.withColumns({c: F.round(c, 6) for c in ("mean", "low", "high")})
+    HEX = lambda c, n: f"CAST('0x' || substr(md5({c}), 1, {n}) AS BIGINT)"
 
-    r.add("st5_bootstrap_ci", interval)
+    def boot_sql(rows: str, order: str, iterations: int) -> str:
+        """Parts rows_, sizes, means and ends over a relation of (g, v and order columns)."""
+        draw = HEX("concat_ws('|', g, k, i, 42)", 12)
+        return f"rows_ AS (SELECT g, CAST(v AS DECIMAL(18,6)) AS v, row_number() OVER (PARTITION BY g ORDER BY v, {order}) - 1 AS i FROM {rows}), sizes AS (SELECT g, count(*) AS n, CAST(sum(v) AS DOUBLE) / count(*) AS mean FROM rows_ GROUP BY g), picks AS (SELECT g, k, {draw} % n AS i FROM (SELECT g, i, n, unnest(range({iterations})) AS k FROM rows_ JOIN sizes USING (g))), means AS (SELECT g, k, CAST(sum(v) AS DOUBLE) / count(*) AS m FROM picks JOIN rows_ USING (g, i) GROUP BY ALL), ends AS (SELECT g, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY g)"
+
+    r.add("st5_bootstrap_ci", interval, f"WITH base AS ({monthly}), {boot_sql('base', 'm', 10_000)} SELECT g, n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM sizes JOIN ends USING (g)")
     pairs = lambda s, d: stats.paired(projected(s, d, "study")[0], "price", "off", "on")
-    yearly = lambda s, d: pairs(s, d).where("seed div 12 = 1996").withColumn("d", F.round(F.col("vb") - F.col("va"), 2))
-    FLIP = with_sql("study") + ", pairs AS (SELECT a.system_id, a.seed, round(b.value - a.value, 2) AS d FROM study a JOIN study b USING (system_id, seed) WHERE a.condition = 'off' AND b.condition = 'on' AND a.seed // 12 = 1996), rows_ AS (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY system_id) AS n, sum(d) OVER (PARTITION BY system_id) AS observed FROM pairs), flips AS (SELECT system_id, n, observed, k, sum(CASE WHEN (k >> i) & 1 = 0 THEN d ELSE -d END) AS s FROM rows_, unnest(range(CAST(1 << n AS BIGINT))) t(k) GROUP BY ALL) SELECT system_id, n, round(observed / n, 6) AS mean_difference, round(count(*) FILTER (WHERE abs(s) >= abs(observed) - 1e-9) / count(*), 6) AS p_value FROM flips GROUP BY system_id, n, observed"
+    yearly = lambda s, d: pairs(s, d).where("seed div 12 = 1996").withColumn("d", F.col("vb") - F.col("va"))
+    PAIRS = with_sql("study") + ", pairs AS (SELECT a.system_id, a.seed, a.value AS va, b.value AS vb, CAST(b.value - a.value AS DECIMAL(18,6)) AS d FROM study a JOIN study b USING (system_id, seed) WHERE a.condition = 'off' AND b.condition = 'on'), "
+    FLIP = PAIRS + "rows_ AS (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY system_id) AS n, sum(d) OVER (PARTITION BY system_id) AS observed FROM pairs WHERE seed // 12 = 1996), flips AS (SELECT system_id, n, observed, k, sum(CASE WHEN (k >> i) & 1 = 0 THEN d ELSE -d END) AS s FROM rows_, unnest(range(CAST(1 << n AS BIGINT))) t(k) GROUP BY ALL) SELECT system_id, n, round(CAST(observed AS DOUBLE) / n, 6) AS mean_difference, round(count(*) FILTER (WHERE abs(s) >= abs(observed)) / count(*), 6) AS p_value FROM flips GROUP BY system_id, n, observed"
     r.add("st6_permutation", lambda s, d: stats.permutation_test(yearly(s, d), ["system_id"]), FLIP)
-    r.add("st6_permutation_sampled", lambda s, d: stats.permutation_test(pairs(s, d).withColumn("d", F.col("vb") - F.col("va")), ["system_id"], "greater"))
+
+    def flip_sql(extreme: str, iterations: int) -> str:
+        """Parts flipped and test over pairs: all flips up to 18 pairs, else hashed draws."""
+        sign = f"CASE WHEN n <= 18 THEN (k >> i) & 1 ELSE {HEX("concat_ws('|', system_id, k, i, 42)", 4)} % 2 END"
+        return f"placed AS (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY system_id) AS n, sum(d) OVER (PARTITION BY system_id) AS observed FROM pairs), flipped AS (SELECT system_id, n, observed, k, sum(CASE WHEN {sign} = 0 THEN d ELSE -d END) AS s FROM (SELECT *, unnest(range(CASE WHEN n <= 18 THEN CAST(1 << least(n, 18) AS BIGINT) ELSE {iterations} END)) AS k FROM placed) GROUP BY ALL), test AS (SELECT system_id, n, round(CAST(observed AS DOUBLE) / n, 6) AS mean_difference, round(CASE WHEN n <= 18 THEN hits / flips ELSE (hits + 1) / (flips + 1) END, 6) AS p_value FROM (SELECT system_id, n, observed, count(*) FILTER (WHERE {extreme}) AS hits, count(*) AS flips FROM flipped GROUP BY ALL))"
+
+    r.add("st6_permutation_sampled", lambda s, d: stats.permutation_test(pairs(s, d).withColumn("d", F.col("vb") - F.col("va")), ["system_id"], "greater"), PAIRS + flip_sql("s >= observed", 20_000) + " SELECT system_id, n, mean_difference, p_value FROM test")
     sided = lambda s, d: table(s, d, "orders").select("o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, "a").otherwise("b").alias("side"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
     DELTA = "WITH x AS (SELECT o_orderpriority, o_orderkey % 3 = 0 AS a, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders), c AS (SELECT o_orderpriority, v, count(*) FILTER (WHERE a) AS na, count(*) FILTER (WHERE NOT a) AS nb FROM x GROUP BY ALL), w AS (SELECT *, coalesce(sum(nb) OVER (PARTITION BY o_orderpriority ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c), t AS (SELECT o_orderpriority, sum(na) AS n_a, sum(nb) AS n_b, sum(na * below) AS more, sum(na * nb) AS same FROM w GROUP BY 1), z AS (SELECT *, (more - (n_a * n_b - more - same)) / (n_a * n_b) AS x FROM t) SELECT o_orderpriority, CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b, round(x, 6) AS delta, CASE WHEN abs(x) < 0.147 THEN 'negligible' WHEN abs(x) < 0.33 THEN 'small' WHEN abs(x) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude FROM z"
     r.add("st7_cliffs_delta", lambda s, d: stats.cliffs_delta(sided(s, d), ["o_orderpriority"], "side", "v"), DELTA)
-    r.add("st8_compare", lambda s, d: stats.compare(pairs(s, d)))
-    r.add("st9_significance", lambda s, d: stats.significance(projected(s, d, "study")[0].where("system_id <> 'P' or condition = 'on'"), "price", "off", "on"))
+    EFFECT = "effect AS (SELECT system_id, round(x, 6) AS delta, CASE WHEN abs(x) < 0.147 THEN 'negligible' WHEN abs(x) < 0.33 THEN 'small' WHEN abs(x) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude FROM (SELECT a.system_id, (count(*) FILTER (WHERE b.vb > a.va) - count(*) FILTER (WHERE b.vb < a.va)) / count(*) AS x FROM pairs a JOIN pairs b USING (system_id) GROUP BY 1)), means_ AS (SELECT system_id, count(*) AS n, round(CAST(sum(CAST(va AS DECIMAL(18,6))) AS DOUBLE) / count(*), 6) AS mean_a, round(CAST(sum(CAST(vb AS DECIMAL(18,6))) AS DOUBLE) / count(*), 6) AS mean_b FROM pairs GROUP BY 1)"
+    COMPARE = PAIRS + flip_sql("abs(s) >= abs(observed)", 20_000) + ", diffs AS (SELECT system_id AS g, seed, d AS v FROM pairs), " + boot_sql("diffs", "seed", 2000) + ", " + EFFECT + ", compared AS (SELECT m.system_id, m.n, mean_a, mean_b, mean_difference, p_value, delta, magnitude, round(low, 6) AS low, round(high, 6) AS high FROM means_ m JOIN test USING (system_id) JOIN effect USING (system_id) JOIN ends ON ends.g = m.system_id)"
+    r.add("st8_compare", lambda s, d: stats.compare(pairs(s, d)), COMPARE + " SELECT * FROM compared")
+    r.add("st9_significance", lambda s, d: stats.significance(projected(s, d, "study")[0].where("system_id <> 'P' or condition = 'on'"), "price", "off", "on"), COMPARE + " SELECT DISTINCT s.system_id, c.* EXCLUDE (system_id), CASE WHEN c.n IS NULL THEN 'no common seed' END AS note FROM study s LEFT JOIN (SELECT * FROM compared WHERE system_id <> 'P') c USING (system_id)")
     r.add("st10_self_consistency", lambda s, d: stats.self_consistency(agreeing(s, d)), SAME_PRINTS + "SELECT system_id, round(max(n) / sum(n), 6) AS self_consistency FROM (SELECT system_id, fingerprint, count(*) AS n FROM prints GROUP BY ALL) GROUP BY 1")
     r.add("st11_idempotency", lambda s, d: stats.idempotency(agreeing(s, d)), SAME_PRINTS + "SELECT system_id, round(coalesce(avg(CAST(fingerprint = f AS INT)) FILTER (WHERE run_id <> r), 1.0), 6) AS idempotency FROM prints JOIN (SELECT system_id, arg_min(fingerprint, run_id) AS f, min(run_id) AS r FROM prints GROUP BY 1) USING (system_id) GROUP BY 1")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -130,9 +131,9 @@ def materialised(r: Registry) -> None:
     def laid(s: SparkSession, d: str) -> DataFrame:
         path = shared_path(s, "layout")
         sinks.layout(table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"), ["l_partkey"]).write.parquet(path)
-        return s.read.parquet(path).where("l_partkey between 100 and 120")
+        return s.read.parquet(path)
 
-    r.add("snk7_layout", laid, "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_partkey BETWEEN 100 AND 120")
+    r.add("snk7_layout", laid, "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem")
 
     def deduped(s: SparkSession, d: str) -> DataFrame:
         return sinks.deduplicated(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"), ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey"])
@@ -140,17 +141,32 @@ def materialised(r: Registry) -> None:
     r.add("snk_deduplicated", deduped, "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC) AS r FROM lineitem) WHERE r = 1")
 
     def strategies(s: SparkSession, d: str) -> DataFrame:
-        rows = sorted(sinks.STRATEGY.items())
-        used = s.createDataFrame(rows, "kind string, strategy string")
-        stg = stg_orders(s, d)
-        counts = {"hub": rv.load_hub(stg, "hk_customer", ["o_custkey"], "o_orderdate", "record_source"), "link": rv.load_link(stg, "hk_order_customer", ["hk_order", "hk_customer"], "o_orderdate", "record_source")}
-        loaded = None
-        for kind, df in counts.items():
-            one = sinks.materialise(kind, df, shared_path(s, kind)).agg(F.count("*").alias("n_rows")).withColumn("kind", F.lit(kind))
-            loaded = one if loaded is None else loaded.unionByName(one)
-        return used.join(loaded, "kind").select("kind", "strategy", "n_rows")
-
-    r.add("snk8_strategy", strategies, with_sql("hub_customer", "link_oc") + "SELECT 'hub' AS kind, 'append' AS strategy, count(*) AS n_rows FROM hub_customer UNION ALL SELECT 'link', 'append', count(*) FROM link_oc")
+        """Every kind of entity materialised as its strategy says, those that replace or merge twice."""
+        o, stg = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.year("o_orderdate").alias("y")), stg_orders(s, d)
+        even, third = o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0")
+        loads = {
+            "bronze": [even, third], "staging": [stg], "hub": [rv.load_hub(stg, "hk_customer", ["o_custkey"], "o_orderdate", "record_source")],
+            "link": [rv.load_link(stg, "hk_order_customer", ["hk_order", "hk_customer"], "o_orderdate", "record_source")], "sat": [sat_status(s, d)],
+            "eff_sat": [even, sinks.merge_on(even, third, ["o_orderkey"])], "bv_sat": [o.select("o_custkey", "o_orderstatus").distinct()], "pit": [o, even.where("y = 1996")],
+            "bridge": [o, third], "dim": [even], "fact": [third],
+        }
+        counts = []
+        for kind, batches in loads.items():
+            at = f"snk8_{kind}" if sinks.STRATEGY[kind] == "view" else shared_path(s, kind)
+            for df in batches:
+                stored = sinks.materialise(kind, df, at, ["y"])
+            counts.append(stored.agg(F.count("*").alias("n_rows")).withColumns({"kind": F.lit(kind), "strategy": F.lit(sinks.STRATEGY[kind])}))
+        return reduce(DataFrame.unionByName, counts)
+
+    n = lambda kind, how, source, where="true": f"SELECT '{kind}' AS kind, '{how}' AS strategy, count(*) AS n_rows FROM {source} WHERE {where}"
+    even, third = "o_orderkey % 2 = 0", "o_orderkey % 3 = 0"
+    KINDS = [
+        "SELECT 'bronze' AS kind, 'append' AS strategy, count(*) FILTER (WHERE o_orderkey % 2 = 0) + count(*) FILTER (WHERE o_orderkey % 3 = 0) AS n_rows FROM orders", n("staging", "view", "orders"),
+        n("hub", "append", "hub_customer"), n("link", "append", "link_oc"), n("sat", "append", "sat_status"), n("eff_sat", "merge", "orders", f"{even} OR {third}"),
+        n("bv_sat", "append", "(SELECT DISTINCT o_custkey, o_orderstatus FROM orders)"), n("pit", "overwrite_partitions", "orders", f"year(o_orderdate) <> 1996 OR {even}"),
+        n("bridge", "table", "orders", third), n("dim", "view", "orders", even), n("fact", "view", "orders", third),
+    ]
+    r.add("snk8_strategy", strategies, with_sql("hub_customer", "link_oc", "sat_status") + " UNION ALL ".join(KINDS))
 
 
 def staged(r: Registry) -> None:

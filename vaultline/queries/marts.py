@@ -186,7 +186,16 @@ def profiles(s: SparkSession, d: str) -> DataFrame:
 
 
 CATALOG_SQL = "catalog_ AS (SELECT table_name, column_name, ordinal_position AS ordinal, data_type FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + "))"
-KEY_RANK = "CASE WHEN lower(column_name) IN ('mrid', 'id', 'uuid') THEN 0 " + " ".join(f"WHEN lower(column_name) LIKE '%{x.replace('_', '!_')}' ESCAPE '!' THEN {k}" for k, x in enumerate(pr.KEY_SUFFIXES, 1)) + " END"
+NAMES_SQL = with_sql("catalog_names", "catalog_profiles")
+KEYED = "keyed AS (SELECT *, CASE WHEN lower(column_name) IN ('mrid', 'id', 'uuid') THEN 0 WHEN regexp_matches(lower(column_name), '_(mrid|id|key|uuid)$') THEN 1 END AS tier FROM catalog_names), found AS (SELECT table_name, arg_min(column_name, tier * 10000000 + ordinal) AS business_key FROM keyed GROUP BY table_name)"
+SYSTEM = "(lower(column_name) IN ('record_source', 'load_date', 'load_datetime', 'load_ts', 'loaded_at', 'dl_loaded_at', 'dl_load_date', 'dl_load_ts', 'ingestion_timestamp', 'ingest_ts', 'etl_load_ts', '_loaded_at', 'created_at', 'updated_at', 'modified_at', 'deleted_at', 'sys_created_on', 'sys_updated_on', 'sys_mod_count') OR regexp_matches(lower(column_name), '^(__[$]|_dl_|dl__)'))"
+HINTED = "CASE WHEN coalesce(is_likely_key, false) THEN 0 WHEN lower(column_name) IN ('mrid', 'sys_id', 'guid', 'uuid', 'uid') THEN 1 WHEN regexp_matches(lower(column_name), '(id|_key)$') THEN 2 ELSE 3 END"
+FULL = {
+    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": COLUMNS["customer"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "orders": COLUMNS["orders"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+}
+FKS = "SELECT DISTINCT c.table_name, c.column_name, p.table_name AS parent_table FROM catalog_ c JOIN (SELECT DISTINCT table_name, regexp_replace(table_name, 's$', '') AS stem FROM catalog_) p ON c.table_name <> p.table_name AND regexp_replace(lower(c.column_name), '^[a-z]_', '') IN (p.stem || '_id', p.stem || 'id', p.stem || '_key', p.stem || 'key')"
 
 
 def profiling(r: Registry) -> None:
@@ -196,17 +205,16 @@ def profiling(r: Registry) -> None:
     sample = lambda s, d: pr.profile(table(s, d, "customer"), samples=5).select("column_name", F.array_join("samples", "|").alias("samples"))
     few = lambda c: f"SELECT '{c}' AS column_name, string_agg(v, '|' ORDER BY v) AS samples FROM (SELECT DISTINCT substr(CAST({c} AS VARCHAR), 1, 200) AS v FROM customer ORDER BY v LIMIT 5)"
     r.add("pr2_samples", lambda s, d: sample(s, d).where("column_name <> 'c_acctbal'"), " UNION ALL ".join(few(c) for c in COLUMNS["customer"] if c != "c_acctbal"))
-    r.add("pr3_likely_keys", lambda s, d: profiles(s, d).where(pr.likely_key(pr.is_system(F.col("column_name")))).select("table_name", "column_name"), " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name FROM {t} HAVING count(*) > 0 AND count({c}) = count(*) AND round(count(DISTINCT {c}) / count(*), 6) >= 0.99" for t, cs in {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": COLUMNS["customer"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "orders": COLUMNS["orders"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]}.items() for c in cs))
+    r.add("pr3_likely_keys", lambda s, d: profiles(s, d).where(pr.likely_key(pr.is_system(F.col("column_name")))).select("table_name", "column_name"), " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name FROM {t} HAVING count(*) > 0 AND count({c}) = count(*) AND round(count(DISTINCT {c}) / count(*), 6) >= 0.99" for t, cs in FULL.items() for c in cs))
     r.add("pr4_profile_subset", lambda s, d: pr.profile(table(s, d, "lineitem"), ["l_partkey", "l_linenumber"]), profile_sql("lineitem", ["l_partkey", "l_linenumber"]))
-    kinds = "CASE WHEN data_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP' WHEN data_type = 'VARCHAR' THEN 'STRING' WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'INTEGER' WHEN data_type = 'DOUBLE' THEN 'FLOAT' ELSE 'UNKNOWN' END"
-    r.add("pr5_infer_type", lambda s, d: catalog(s, d).select("table_name", "column_name", pr.infer_type(F.col("raw_dtype")).alias("kind")), f"WITH {CATALOG_SQL} SELECT table_name, column_name, {kinds} AS kind FROM catalog_")
-    override = lambda: F.when(F.col("column_name") == "lang", True).when(F.col("column_name") == "load_dts", False)
-    r.add("pr6_is_system", lambda s, d: catalog(s, d).select("table_name", "column_name", pr.is_system(F.when(F.col("ordinal") == 2, F.concat(F.lit("sys_created_"), "column_name")).otherwise(F.col("column_name")), override()).alias("is_system")), f"WITH {CATALOG_SQL} SELECT table_name, column_name, ordinal = 2 OR column_name = 'lang' AS is_system FROM catalog_")
-    r.add("pr7_detect_bk", lambda s, d: pr.detect_bk(catalog(s, d)).select("table_name", "business_key"), f"WITH {CATALOG_SQL}, ranked AS (SELECT *, {KEY_RANK} AS rank FROM catalog_) SELECT table_name, arg_min(column_name, rank * 1000 + ordinal) AS business_key FROM ranked GROUP BY table_name")
-    flags = " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, is_likely_key FROM ({profile_sql(t, cs)})" for t, cs in {"customer": COLUMNS["customer"], "orders": COLUMNS["orders"], "events": COLUMNS["events"]}.items())
-    three = lambda s, d: (catalog(s, d).where(F.col("table_name").isin("customer", "orders", "events")), dq.union_all([pr.profile(table(s, d, t)).withColumn("table_name", F.lit(t)) for t in ("customer", "orders", "events")]))
-    r.add("pr8_pick_bk", lambda s, d: pr.pick_bk(*three(s, d)).select("table_name", "business_key", "rank"), f"WITH {CATALOG_SQL}, flags AS ({flags}), ranked AS (SELECT table_name, column_name, ordinal, CASE WHEN is_likely_key AND {KEY_RANK} IS NOT NULL THEN 0 WHEN is_likely_key THEN 1 WHEN {KEY_RANK} IS NOT NULL THEN 2 ELSE 3 END AS rank FROM catalog_ JOIN flags USING (table_name, column_name)) SELECT table_name, arg_min(column_name, rank * 1000 + ordinal) AS business_key, min(rank) AS rank FROM ranked GROUP BY table_name")
-    r.add("pr9_detect_fk", lambda s, d: pr.detect_fk(catalog(s, d)).select("table_name", "column_name", "parent_table"), f"WITH {CATALOG_SQL} SELECT DISTINCT c.table_name, c.column_name, p.table_name AS parent_table FROM catalog_ c JOIN (SELECT DISTINCT table_name, regexp_replace(table_name, 's$', '') AS stem FROM catalog_) p ON c.table_name <> p.table_name AND regexp_replace(lower(c.column_name), '^[a-z]_', '') IN (p.stem || '_id', p.stem || 'id', p.stem || '_key', p.stem || 'key')")
+    named = lambda s, d: projected(s, d, "catalog_names")[0]
+    kinds = "CASE WHEN regexp_matches(t, '^(timestamp|datetime)') THEN 'timestamp' WHEN starts_with(t, 'date') THEN 'date' WHEN starts_with(t, 'uuid') THEN 'uuid' WHEN starts_with(t, 'json') THEN 'json' WHEN starts_with(t, 'bool') THEN 'boolean' WHEN regexp_matches(t, '^(varchar|char|string|text)') THEN 'string' WHEN regexp_matches(t, '^(bigint|int|smallint|tinyint|long)') THEN 'integer' WHEN regexp_matches(t, '^(decimal|numeric|double|float)') THEN 'float' ELSE 'unknown' END"
+    r.add("pr5_infer_type", lambda s, d: named(s, d).select("ordinal", "raw_dtype", pr.infer_type(F.col("raw_dtype")).alias("kind")), NAMES_SQL + f"SELECT ordinal, raw_dtype, {kinds} AS kind FROM (SELECT *, lower(trim(raw_dtype)) AS t FROM catalog_names)")
+    override = lambda: F.when(F.col("column_name") == "name", True).when(F.col("column_name") == "load_ts", False)
+    r.add("pr6_is_system", lambda s, d: named(s, d).select("ordinal", "column_name", pr.is_system(F.col("column_name")).alias("by_name"), pr.is_system(F.col("column_name"), override()).alias("is_system")), NAMES_SQL + f"SELECT ordinal, column_name, {SYSTEM} AS by_name, CASE column_name WHEN 'name' THEN true WHEN 'load_ts' THEN false ELSE {SYSTEM} END AS is_system FROM catalog_names")
+    r.add("pr7_detect_bk", lambda s, d: pr.detect_bk(named(s, d)).select("table_name", "business_key"), NAMES_SQL + f", {KEYED} SELECT * FROM found")
+    r.add("pr8_pick_bk", lambda s, d: pr.pick_bk(*projected(s, d, "catalog_names", "catalog_profiles")).select("table_name", "business_key", "rank"), NAMES_SQL + f", ranked AS (SELECT table_name, column_name, ordinal, CASE WHEN NOT {SYSTEM} THEN {HINTED} END AS tier FROM catalog_names LEFT JOIN catalog_profiles USING (table_name, column_name)) SELECT table_name, arg_min(column_name, tier * 10000000 + ordinal) AS business_key, min(tier) AS rank FROM ranked GROUP BY table_name")
+    r.add("pr9_detect_fk", lambda s, d: pr.detect_fk(catalog(s, d)).select("table_name", "column_name", "parent_table"), f"WITH {CATALOG_SQL} {FKS}")
 
     def included(s: SparkSession, d: str) -> DataFrame:
         pairs = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("orders", "o_orderkey", "customer", "c_custkey")]
@@ -214,17 +222,22 @@ def profiling(r: Registry) -> None:
 
     inc = lambda a, b, c, k: f"SELECT count(*) AS child_values, count(*) FILTER (WHERE {b} IN (SELECT {k} FROM {c})) AS found, count(*) = count(*) FILTER (WHERE {b} IN (SELECT {k} FROM {c})) AS included, '{a}.{b}>{c}.{k}' AS pair FROM (SELECT DISTINCT {b} FROM {a})"
     r.add("pr10_inclusion", included, " UNION ALL ".join([inc("orders", "o_custkey", "customer", "c_custkey"), inc("lineitem", "l_orderkey", "orders", "o_orderkey"), inc("customer", "c_nationkey", "nation", "n_nationkey"), inc("orders", "o_orderkey", "customer", "c_custkey")]))
-    keys = lambda s, d: pr.detect_bk(catalog(s, d)).select("table_name", F.col("business_key").alias("column_name"))
-    classed = lambda s, d: pr.classify_columns(catalog(s, d), keys(s, d))
-    bare = "regexp_replace(lower(column_name), '^[a-z]_', '')"
-    buckets = f"ranked AS (SELECT *, {KEY_RANK} AS rank FROM catalog_), keys_ AS (SELECT table_name, arg_min(column_name, rank * 1000 + ordinal) AS column_name FROM ranked GROUP BY table_name), classed AS (SELECT table_name, ordinal, column_name, CASE WHEN regexp_matches({bare}, '{pr.SPLIT_PATTERNS['operational']}') THEN 'operational' WHEN regexp_matches({bare}, '{pr.SPLIT_PATTERNS['measurements']}') AND data_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'measurements' ELSE 'details' END AS bucket FROM catalog_ WHERE (table_name, column_name) NOT IN (SELECT (table_name, column_name) FROM keys_ WHERE column_name IS NOT NULL))"
-    r.add("pr11_classify", lambda s, d: classed(s, d).select("table_name", "column_name", "bucket"), f"WITH {CATALOG_SQL}, {buckets} SELECT table_name, column_name, bucket FROM classed")
+    keys = lambda s, d: pr.detect_bk(named(s, d)).select("table_name", F.col("business_key").alias("column_name"))
+    classed = lambda s, d: pr.classify_columns(named(s, d), keys(s, d), projected(s, d, "catalog_profiles")[0])
+    changing = "'^(status|state|connected|flag|active|enabled|in_service|operational|heartbeat|is_[a-z0-9_]+|has_[a-z0-9_]+|current_[a-z0-9_]+|last_[a-z0-9_]+_at)$|_(status|state|flag|state_at)$'"
+    measures = "'_(reading|value|kw|kwh|kva|mva|mvar|amps?|volts?|celsius|fahrenheit|pressure|temperature|count|total)$|^(load|measured?)_[a-z0-9_]+$'"
+    never = "'^(load_dts|load_date|record_source|cdc_flag|effective_from|start_date|end_date|dl_[a-z0-9_]+|__[a-z0-9_]+)$'"
+    payload = f"payload AS (SELECT n.*, {kinds} AS kind FROM (SELECT *, lower(trim(raw_dtype)) AS t FROM catalog_names LEFT JOIN catalog_profiles USING (table_name, column_name) WHERE NOT {SYSTEM} AND NOT regexp_matches(lower(column_name), {never}) AND NOT coalesce(is_likely_key OR cardinality_ratio >= 0.95, false)) n WHERE (table_name, lower(column_name)) NOT IN (SELECT (table_name, lower(business_key)) FROM found WHERE business_key IS NOT NULL))"
+    buckets = f"{KEYED}, {payload}, classed AS (SELECT table_name, ordinal, column_name, CASE WHEN regexp_matches(lower(column_name), {changing}) THEN 'operational' WHEN regexp_matches(lower(column_name), {measures}) AND kind IN ('integer', 'float') THEN 'measurements' ELSE 'details' END AS bucket FROM payload)"
+    r.add("pr11_classify", lambda s, d: classed(s, d).select("table_name", "ordinal", "column_name", "bucket"), NAMES_SQL + f", {buckets} SELECT table_name, ordinal, column_name, bucket FROM classed")
     own = lambda b: f"coalesce(string_agg(column_name, ',' ORDER BY ordinal) FILTER (WHERE bucket = '{b}'), '') AS {b}"
     n = lambda b: f"count(*) FILTER (WHERE bucket = '{b}')"
-    r.add("pr12_split_hint", lambda s, d: pr.split_hint(classed(s, d)).drop("system_id"), f"WITH {CATALOG_SQL}, {buckets} SELECT table_name, {own('details')}, {own('operational')}, {own('measurements')}, greatest({n('operational')}, {n('measurements')}) >= 2 AND {n('details')} >= 1 AS split, CASE WHEN {n('measurements')} >= 2 THEN 'high' WHEN {n('operational')} >= 2 THEN 'medium' ELSE 'low' END AS velocity FROM classed GROUP BY table_name")
+    r.add("pr12_split_hint", lambda s, d: pr.split_hint(classed(s, d)).drop("system_id"), NAMES_SQL + f", {buckets} SELECT table_name, {own('details')}, {own('operational')}, {own('measurements')}, greatest({n('operational')}, {n('measurements')}) >= 2 AND {n('details')} >= 1 AS split, CASE WHEN {n('measurements')} >= 2 THEN 'high' WHEN {n('operational')} >= 2 THEN 'medium' ELSE 'low' END AS velocity FROM classed GROUP BY table_name")
     cs = ["o_orderstatus", "o_orderpriority"]
     r.add("pr13_change_rate", lambda s, d: pr.change_rate(table(s, d, "orders"), "o_custkey", "o_orderdate", cs, ["o_orderkey"]), " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(avg(CAST({c} IS DISTINCT FROM b AS INT)), 6) AS change_rate FROM (SELECT {c}, lag({c}) OVER w AS b, row_number() OVER w AS v FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE v > 1" for c in cs))
-    r.add("pr14_infer_model", lambda s, d: pr.infer_model(catalog(s, d).where(F.col("table_name").isin(NAMES)), profiles(s, d)))
+    flags = " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, is_likely_key FROM ({profile_sql(t, cs)})" for t, cs in FULL.items())
+    MODEL = f"WITH {CATALOG_SQL.replace(', '.join(repr(t) for t in TABLES), ', '.join(repr(t) for t in NAMES))}, flags AS ({flags}), keys_ AS (SELECT table_name, arg_min(column_name, {HINTED} * 1000 + ordinal) AS column_name FROM catalog_ LEFT JOIN flags USING (table_name, column_name) GROUP BY table_name), fks AS ({FKS}) SELECT 'hub' AS kind, 'hub_' || table_name AS name, table_name AS source_table, column_name AS columns FROM keys_ UNION ALL SELECT DISTINCT 'link', 'link_' || table_name || '_' || parent_table, table_name, table_name || ',' || parent_table FROM fks UNION ALL SELECT 'sat', 'sat_' || table_name, table_name, string_agg(column_name, ',' ORDER BY ordinal) FROM catalog_ WHERE (table_name, column_name) NOT IN (SELECT (table_name, column_name) FROM keys_) AND (table_name, column_name) NOT IN (SELECT (table_name, column_name) FROM fks) GROUP BY table_name"
+    r.add("pr14_infer_model", lambda s, d: pr.infer_model(catalog(s, d).where(F.col("table_name").isin(NAMES)), profiles(s, d)), MODEL)
 
 
 def register(r: Registry) -> None:

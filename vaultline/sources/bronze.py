@@ -22,14 +22,16 @@ def high_water_mark(target: DataFrame, ts: str) -> object:
 
 
 def incremental_scan(source: DataFrame, target: DataFrame | None, ts: str) -> DataFrame:
-    """Source rows newer than the target's latest; all of them when there is no target or it is empty."""
+    """Source rows newer than the target's latest; all of them when there is no target or it is empty. Beside a mark, rows without a
+    time are never new: see ``late_rows``."""
     mark = None if target is None else high_water_mark(target, ts)
     return source if mark is None else source.where(F.col(ts) > F.lit(mark))
 
 
 def late_rows(source: DataFrame, mark: object, ts: str) -> DataFrame:
-    """The complement of an incremental scan: rows at or below the mark, for a side table."""
-    return source.where(F.col(ts) <= F.lit(mark))
+    """The complement of an incremental scan, for a side table: rows at or below the mark, and those without a time. Without a mark
+    the scan takes all rows and nothing is late."""
+    return source.where(F.lit(False)) if mark is None else source.where((F.col(ts) <= F.lit(mark)) | F.col(ts).isNull())
 
 
 def stamp(df: DataFrame, source: str, at: Column | None = None) -> DataFrame:

@@ -44,10 +44,30 @@ def stream_vault(stream: DataFrame, load: Callable[[DataFrame, DataFrame], DataF
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def update_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """A stream of updated aggregates: each micro-batch's changed rows in a folder named for its id (see ``latest_update``)."""
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return df.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_update(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key's row of the last micro-batch that changed it."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_row"))
+    return last.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest))
+
+
+def timed(stream: DataFrame, ts: str, watermark: str) -> DataFrame:
+    """The stream with a watermark; event time has to be a timestamp for that."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+
+
 def stream_hub_keys(stream: DataFrame, key: str, ts: str, watermark: str = "1 day") -> DataFrame:
-    """First-seen keys of a stream; event time has to be a timestamp for a watermark."""
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
-    return timed.select(key, ts).dropDuplicatesWithinWatermark([key])
+    """First-seen keys of a stream."""
+    return timed(stream, ts, watermark).select(key, ts).dropDuplicatesWithinWatermark([key])
 
 
 class ChangeDetector(StatefulProcessor):
@@ -76,7 +96,7 @@ def stream_changes(stream: DataFrame, key: str, ts: str, diff: str) -> DataFrame
 
 
 def volume(events: DataFrame, window: Column, kind: Column, by: list[str] = ()) -> DataFrame:
-    """Rows inserted, updated and deleted per window (``F.window`` or ``F.session_window``)."""
+    """Rows inserted, updated and deleted per window (``F.window`` or ``F.session_window``) of a table or a stream with a watermark."""
     n = lambda c: F.sum((kind == c).cast("int")).cast("long")
     out = events.groupBy(window.alias("w"), *by).agg(F.count("*").alias("n_rows"), n("I").alias("inserted"), n("U").alias("updated"), n("D").alias("deleted"))
     return out.select(*by, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_rows", "inserted", "updated", "deleted")
