@@ -97,6 +97,26 @@ def test_encoding_and_decoding_equal_the_library(docs, texts, library):
         assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+@pytest.mark.parametrize(("long_text", "long_leaf"), [(1000, 64), (0, 700)])
+def test_long_pieces_are_dealt_out(docs, texts, library, long_text, long_leaf):
+    got, plain = by_id(bpe.op7(docs, PATH, long_text, long_leaf)), by_id(bpe.encode(docs, PATH, long_text, long_leaf))
+    assert len(got) == len(plain) == len(texts)
+    for i, t in texts:
+        ids = ids_of(library, t or "")
+        assert plain[i]["ids"] == ids and got[i]["n_tokens"] == plain[i]["n_tokens"] == len(ids)
+        assert got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_text_of_several_megabytes(spark, library):
+    rnd = random.Random(9)
+    long = "".join(rnd.choice("abcdefgh") for _ in range(300_000)) + " " + "word it's " * 150_000 + "=" * 200_000
+    df = spark.createDataFrame([(1, long), (1, "short"), (None, long[:100_000])], "doc_id long, text string")
+    want = sorted(hashlib.sha256(",".join(map(str, ids_of(library, t))).encode()).hexdigest() for t in (long, "short", long[:100_000]))
+    assert sorted(r["ids_sha256"] for r in bpe.op7(df, PATH).collect()) == want
+    assert sorted(r["n_tokens"] for r in token_counts.op2(df, PATH).collect()) == sorted(len(ids_of(library, t)) for t in (long, "short", long[:100_000]))
+
+
 def test_round_trip(docs, texts):
     back = by_id(bpe.decode(bpe.encode(docs, PATH), PATH))
     assert all(back[i]["text"] == (t or "") for i, t in texts)

@@ -1,10 +1,13 @@
 """BPE encoding and decoding, long unsplit pieces by tree concatenation.
 
-A piece is a text's stretch that no merge leaves. Short pieces are encoded at once. A long piece is
-cut in leaves that the library encodes as one batch; neighbours are then joined pairwise, level by
-level: the tokens around the join are encoded again as one window, which doubles until its first
-token is the left side's own and its last the right side's own. Adjacent tokens that fit pairwise are
-the encoding of their text, and the two common tokens carry the fit across both borders.
+A piece is a text's stretch that no merge leaves. Short pieces are encoded at once. A long piece is cut in leaves, which are
+encoded each by itself; neighbours are then joined pairwise, level by level: the tokens around the join are encoded again as one
+window, which doubles until its first token is the left side's own and its last the right side's own. Adjacent tokens that fit
+pairwise are the encoding of their text, and the two common tokens carry the fit across both borders.
+
+A piece of over ``leaf`` characters is such a tree inside its batch. In a text of over ``long_text`` characters, pieces of over
+``long_leaf`` characters are dealt out leaf by leaf as rows, so that halves are encoded in parallel on all executors, and each
+level of the tree is one join of the table of encoded stretches with itself; only the last step brings a text's ids together.
 
 Cases: a null or empty text gives no ids and decodes to the empty text; text of any length is used
 whole; rows are independent, so repeated rows repeat their result, and extra columns are ignored.
@@ -18,11 +21,13 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from vaultline.llm.pieces import Encoder, Vocabulary
-from vaultline.llm.shared import sliced, texts_of
+from vaultline.llm.pieces import Encoder, Split, Vocabulary, vocabulary
+from vaultline.llm.shared import sliced, texts_of, written
 
 LEAF = 256
+LONG_TEXT, LONG_LEAF = 1 << 16, 1 << 14
 
 
 def joined(vocab: Vocabulary, left: list[int], right: list[int]) -> list[int]:
@@ -71,15 +76,84 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterat
         yield batch, [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+STRETCH = "row long, part int, leaf long, ids array<int>"
+
+
+def stretches(texts: DataFrame, tokenizer: str, long_leaf: int) -> DataFrame:
+    """row, part, leaf and text: a text (row, text) in parts, each either a long piece in leaves or all that stands between two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(tokenizer)
+        for batch in sliced(batches):
+            out = []
+            for row, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
+                split = Split(vocab, [text])
+                cuts = [(int(a), int(b)) for a, b in zip(split.starts, split.ends) if b - a > long_leaf]
+                at = part = 0
+                for a, b in [*cuts, (len(text), len(text))]:
+                    if a > at:
+                        out.append((row, part, 0, text[at:a]))
+                    out += [(row, part + 1, k, text[i : min(b, i + long_leaf)]) for k, i in enumerate(range(a, b, long_leaf))]
+                    at, part = b, part + 2
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.string()))], ["row", "part", "leaf", "text"])
+
+    return texts.select("row", "text").mapInArrow(run, "row long, part int, leaf long, text string")
+
+
+def encoded_stretches(parts: DataFrame, tokenizer: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, ids in encoded_batches(batches, tokenizer):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.list_(pa.int32()))], ["row", "part", "leaf", "ids"])
+
+    return parts.mapInArrow(run, STRETCH)
+
+
+def next_level(level: DataFrame, tokenizer: str) -> DataFrame:
+    """Neighbouring stretches of one piece joined pairwise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(tokenizer)
+        for batch in batches:
+            ids = [x if y is None else joined(vocab, x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.list_(pa.int32()))], ["row", "part", "leaf", "ids"])
+
+    half = lambda odd, name: level.where(F.col("leaf") % 2 == odd).select("row", "part", (F.col("leaf") - odd).alias("at"), F.col("ids").alias(name))
+    pairs = half(0, "x").join(half(1, "y"), ["row", "part", "at"], "left")
+    return pairs.select("row", "part", (F.col("at") / 2).cast("long").alias("leaf"), "x", "y").mapInArrow(run, STRETCH)
+
+
+def long_ids(texts: DataFrame, tokenizer: str, long_leaf: int) -> DataFrame:
+    """row and ids of long texts (row, text), encoded leaf by leaf."""
+    dealt = stretches(texts, tokenizer, long_leaf)
+    level = written(encoded_stretches(dealt.repartition("row", "part", "leaf"), tokenizer), "leaves")
+    most = level.agg(F.max("leaf")).first()[0] or 0
+    while most > 0:
+        level, most = written(next_level(level, tokenizer), "level"), most // 2
+    parts = F.array_sort(F.collect_list(F.struct("part", "ids")))
+    return level.groupBy("row").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"))
+
+
+def long_apart(docs: DataFrame, tokenizer: str, long_text: int, long_leaf: int) -> tuple[DataFrame, DataFrame | None]:
+    """The texts (doc_id, text) to be encoded batch by batch, and doc_id and ids of the long ones, if there are any."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    is_long = F.coalesce(F.length("text") > long_text, F.lit(False))
+    texts = written(own.where(is_long).withColumn("row", F.monotonically_increasing_id()), "long")
+    if texts.isEmpty():
+        return own, None
+    return own.where(~is_long), texts.select("row", "doc_id").join(long_ids(texts, tokenizer, long_leaf), "row").select("doc_id", "ids")
+
+
+def encode(docs: DataFrame, tokenizer: str, long_text: int = LONG_TEXT, long_leaf: int = LONG_LEAF) -> DataFrame:
     """doc_id, n_tokens and ids (array of int) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ids in encoded_batches(batches, tokenizer):
-            columns = [batch.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
+            columns = [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    short, long = long_apart(docs, tokenizer, long_text, long_leaf)
+    out = short.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return out if long is None else out.unionByName(long.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids"))
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -98,18 +172,29 @@ def decoded(vocab: Vocabulary, ids: list[int]) -> str:
     return b"".join(map(vocab.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def op7(docs: DataFrame, tokenizer: str) -> DataFrame:
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digests(vocab: Vocabulary, doc_ids: pa.Array, lists: list[list[int]]) -> pa.RecordBatch:
+    digest = lambda raw: hashlib.sha256(raw).hexdigest()
+    columns = [
+        doc_ids,
+        pa.array([len(x) for x in lists], pa.int64()),
+        pa.array([digest(",".join(map(str, x)).encode()) for x in lists], pa.string()),
+        pa.array([digest(decoded(vocab, x).encode()) for x in lists], pa.string()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def op7(docs: DataFrame, tokenizer: str, long_text: int = LONG_TEXT, long_leaf: int = LONG_LEAF) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = encoder(tokenizer).vocab
-        digest = lambda raw: hashlib.sha256(raw).hexdigest()
         for batch, ids in encoded_batches(batches, tokenizer):
-            lists = [x.tolist() for x in ids]
-            columns = [
-                batch.column(0).cast(pa.int64()),
-                pa.array([len(x) for x in lists], pa.int64()),
-                pa.array([digest(",".join(map(str, x)).encode()) for x in lists], pa.string()),
-                pa.array([digest(decoded(vocab, x).encode()) for x in lists], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            yield digests(vocabulary(tokenizer), batch.column(0), [x.tolist() for x in ids])
+
+    def of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield digests(vocabulary(tokenizer), batch.column(0), batch.column(1).to_pylist())
+
+    short, long = long_apart(docs, tokenizer, long_text, long_leaf)
+    out = short.mapInArrow(run, DIGESTS)
+    return out if long is None else out.unionByName(long.mapInArrow(of_ids, DIGESTS))
