@@ -489,6 +489,25 @@ def test_anchors_cover_every_window_once(texts):
         assert a.count.sum() == sum(max(0, n - 49) for n in np.diff(bounds)) and a.count.max() <= kind.window - kind.gram + 1
 
 
+@pytest.mark.parametrize("kind", [Symbols(True, 50, 16), Symbols(False, 50, 25)])
+def test_runs_of_equal_symbols_have_few_anchors(kind):
+    texts = ["a " * 9000 if kind.words else "a" * 9000, " x" * 70 + " y" * 70, "=-" * 700, "ab cd ef " * 300]
+    symbols, bounds = kind.of(texts)
+    a = anchors(symbols, bounds, kind)
+    assert a.count.sum() == sum(max(0, n - 49) for n in np.diff(bounds)) and (a.count <= kind.window - kind.gram + 1).all()
+    assert (a.owner == 0).sum() <= 2 + 9000 / (kind.window - kind.gram + 1)
+
+
+def test_repeated_symbols_across_documents(spark):
+    rows = [(k, t) for k, t in enumerate([" a" * 300, "b " * 80 + "a " * 120, "=-" * 400 + "x" * 200, "-" + "=-" * 90 + " a" * 70, "a b " * 100, "b " + "a b " * 60])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words, raw = by_id(substring_dedup.op8(df)), by_id(suffix_dedup.op9(df))
+    for i, (symbols, gone) in removed(rows, WORD.findall, 50).items():
+        assert words[i]["n_removed"] == sum(gone), i
+    for i, (symbols, gone) in removed(rows, lambda t: list(t.encode()), 50).items():
+        assert raw[i]["n_removed"] == sum(gone), i
+
+
 def test_solvers_agree():
     rnd = np.random.default_rng(7)
     for _ in range(30):

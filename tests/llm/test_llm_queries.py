@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from vaultline.llm import bpe, queries
+from vaultline.llm import bpe, oracles, queries
 from vaultline.llm.queries import TOKENIZER, table
 
 
@@ -26,6 +26,13 @@ def test_query_equals_sql(spark, sf, con, name):
     assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("name", sorted(oracles.COLUMNS))
+def test_columns_equal_sql(spark, sf, con, name):
+    sql = oracles.COLUMNS[name]
+    columns = [d[0] for d in con.execute(f"SELECT * FROM ({sql}) LIMIT 0").description]
+    assert sorted(map(tuple, queries.queries()[name](spark, sf).select(*columns).collect())) == sorted(con.execute(sql).fetchall())
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
 

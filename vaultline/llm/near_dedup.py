@@ -225,8 +225,8 @@ def verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.sort(np.concatenate((x, y)), kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 ok.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)

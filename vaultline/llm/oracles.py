@@ -41,3 +41,44 @@ kept AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id)
 """
+
+OP9 = r"""
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+windows AS (SELECT doc_id, i, md5_number(array_slice(b, i, i + 49)) AS h FROM docs, unnest(range(1, octet_length(b) - 48)) AS t(i)),
+firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (h) WHERE first < doc_id),
+marks AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new_ FROM hits),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT *, sum(new_) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marks) GROUP BY doc_id, g),
+gaps AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS a, a AS z FROM spans
+  UNION ALL SELECT doc_id, max(z), 2147483647 FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, unhex(string_agg(hex(array_slice(b, a, z - 1)), '' ORDER BY a)) AS kept FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(coalesce(kept, b)) AS kept_sha256
+FROM docs LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+_TEXT = "coalesce(text, '')"
+_WORDS = rf"regexp_extract_all({_TEXT}, '[^\x20\x09-\x0D]+')"
+
+#: SQL for those columns of other queries that SQL can express.
+COLUMNS = {
+    "op2_token_counts": f"SELECT doc_id, CAST(octet_length(encode({_TEXT})) AS BIGINT) AS n_bytes FROM documents",
+    "op3_quality_rules": rf"""
+WITH docs AS (SELECT doc_id, {_TEXT} AS t, {_WORDS} AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS h FROM docs, unnest(range(1, len(w) - 6)) AS x(i)),
+twice AS (SELECT doc_id, h FROM windows GROUP BY ALL HAVING count(*) > 1),
+repeated AS (
+  SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM windows JOIN twice USING (doc_id, h)) GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM docs)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * len(w) AS base_failed
+FROM docs JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)""",
+    "op4_sharding": f"SELECT doc_id, CAST(octet_length(encode({_TEXT})) + 1 AS BIGINT) AS size, 'rows' AS law FROM documents",
+    "op6_secrets": rf"""
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(t, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
+FROM (SELECT doc_id, {_TEXT} AS t FROM documents)""",
+}

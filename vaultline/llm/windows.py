@@ -1,9 +1,9 @@
 """Exact search for windows of symbols that also start in a document with a smaller doc_id.
 
 Symbols are words or bytes. Every window of ``window`` symbols has one *anchor*: the ``gram`` symbols inside it
-whose hash is least (the last of equals). Equal windows have equal anchors, and about two anchors in
-``window - gram + 2`` symbols serve all windows. The windows of one anchor occurrence are consecutive; together
-they are its *context*.
+whose hash is least (of equals the one of the window before while it is inside, else the last, so a run of equal symbols has
+few). Equal windows have equal anchors, and about two anchors in ``window - gram + 2`` symbols serve all windows. The windows of
+one anchor occurrence are consecutive; together they are its *context*.
 
 1. Anchors, as (anchor hash, context hash, document, place), go to buckets by anchor hash. Where two documents
    have the same context, all windows of the later one are found. An anchor that documents share in
@@ -91,13 +91,33 @@ def anchors(symbols: np.ndarray, bounds: np.ndarray, kind: Symbols) -> Anchors:
     start = np.flatnonzero(owner[: n - window + 1] == owner[window - 1 :])
     if not len(start):
         return Anchors(empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64))
-    place = (low - (least[start] & low)).astype(np.int64)
+    place = steady((low - (least[start] & low)).astype(np.int64), start, grams)
     head = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
     first = start[head]
     count = np.diff(np.append(head, len(start)))
     return Anchors(owner[first], first, count, grams[place[head]], hashes.of(first, first + count - 1 + window))
 
 
+def steady(place: np.ndarray, start: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Places of the windows' anchors, where a window keeps its predecessor's anchor as long as that is inside it and no greater."""
+    key = grams[place]
+    same = (start[1:] == start[:-1] + 1) & (key[1:] == key[:-1])
+    moved = np.flatnonzero(same & (place[1:] != place[:-1]))
+    edges = np.flatnonzero(~same)
+    last = len(start) - 1
+    done = -1
+    for m in moved.tolist():
+        if m < done:
+            continue  # in a stretch that is finished
+        k = int(np.searchsorted(edges, m))
+        i, done = (int(edges[k - 1]) + 1 if k else 0), int(edges[k]) if k < len(edges) else last
+        while i <= done:
+            j = min(done, i + int(place[i] - start[i]))
+            place[i : j + 1] = place[i]
+            i = j + 1
+    return place
+
+
 ROWS = "bucket int, found boolean, keys binary, contexts binary, docs binary, firsts binary, counts binary"
 FINDS = "doc_id long, kind int, places binary"
 
