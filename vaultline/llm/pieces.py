@@ -11,8 +11,9 @@ import json
 import os
 import re
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import ahocorasick
 import numpy as np
 
 from vaultline.llm.shared import RangeHash, mix, ragged
@@ -78,6 +79,15 @@ class Vocabulary:
             parts = out
         return [self.ids[p] for p in parts]
 
+    @cached_property
+    def endings(self) -> ahocorasick.Automaton:
+        """Finds at every end position the tokens that end there, the longest first; a byte is a character of Latin-1."""
+        out = ahocorasick.Automaton()
+        for token, i in self.ids.items():
+            out.add_word(token.decode("latin-1"), (i, len(token)))
+        out.make_automaton()
+        return out
+
     def fits(self, a: int, b: int) -> bool:
         """Whether tokens a, b stand side by side in the encoding of their joined bytes."""
         key = a << 32 | b

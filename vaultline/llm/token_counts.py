@@ -27,16 +27,21 @@ LIMIT = 1024
 
 
 def prefix_counts(vocab: Vocabulary, piece: bytes) -> list[int]:
-    """The number of tokens of each prefix (0 to all bytes) of one piece."""
+    """The number of tokens of each prefix (0 to all bytes) of one piece: one pass of an automaton of the vocabulary over it."""
     n = len(piece)
     last, count = [-1] * (n + 1), [0] * (n + 1)
-    ids, fits, longest = vocab.ids, vocab.fits, vocab.longest
-    for end in range(1, n + 1):
-        for begin in range(max(0, end - longest), end):
-            token = ids.get(piece[begin:end])
-            if token is not None and (begin == 0 or fits(last[begin], token)):
-                last[end], count[end] = token, count[begin] + 1
-                break
+    fits, known = vocab.fits, vocab.pairs
+    for at, (token, size) in vocab.endings.iter(piece.decode("latin-1")):
+        end = at + 1
+        if count[end]:
+            continue
+        begin = end - size
+        if begin:
+            before = last[begin]
+            ok = known.get(before << 32 | token)
+            if not (fits(before, token) if ok is None else ok):
+                continue
+        last[end], count[end] = token, count[begin] + 1
     return count
 
 
@@ -45,7 +50,7 @@ def count_text(vocab: Vocabulary, text: str) -> int:
     return sum(prefix_counts(vocab, text[a:b].encode())[-1] for _, (a, b) in vocab.tokenizer.pre_tokenizer.pre_tokenize_str(text))
 
 
-def steps(vocab: Vocabulary, piece: str) -> np.ndarray:
+def steps(vocab: Vocabulary, piece: str) -> list[int]:
     """Differences between the token counts of a piece's prefixes, one for each character."""
     if piece in vocab.special_ids:
         counts = [0, *(count_text(vocab, piece[:k]) for k in range(1, len(piece))), 1]
@@ -57,7 +62,7 @@ def steps(vocab: Vocabulary, piece: str) -> np.ndarray:
         if len(raw) != len(piece):
             ends = [i for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
             counts = [0, *(counts[i] for i in ends)]
-    return np.diff(np.asarray(counts, np.int32)).astype(np.int8)
+    return [b - a for a, b in zip(counts, counts[1:])]
 
 
 class Counter:
