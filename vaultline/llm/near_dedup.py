@@ -298,7 +298,7 @@ def remaining_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
 
     Under a token, pairs within its largest component are left out before they are formed, so one great class costs its
     size times that of the others and not its square."""
-    rows = written(prefixes(nodes, rare_first(nodes), similarity), "prefixes")
+    rows = written(prefixes(nodes.repartition("node"), rare_first(nodes), similarity), "prefixes")
     sizes = rows.groupBy("token", "label").agg(F.count("*").alias("n"), F.max("short").alias("s"))
     heads = sizes.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("head"), F.count("*").alias("labels"), F.max("s").alias("s"))
     asked = written(rows.join(heads.where("labels > 1 and s"), "token").withColumn("minor", F.col("label") != F.col("head")), "prefixes")
