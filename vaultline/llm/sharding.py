@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_SOURCE = 1 << 16
+MOST_SOURCES = 1 << 12
 
 
 def communication_matrix(sources: list[int], shards: int, seed: int) -> np.ndarray:
@@ -39,7 +40,7 @@ def shuffled_shards(df: DataFrame, shards: int, key: list[str], seed: int = 7, r
     """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard)."""
     spark = df.sparkSession
     total = df.count()
-    n_sources = max(1, -(-total // rows_per_source))
+    n_sources = max(1, min(MOST_SOURCES, -(-total // rows_per_source)))  # the matrix on the driver stays small
     rank = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *key)
     placed = df.withColumn("_source", F.pmod(rank("source"), F.lit(n_sources)).cast("int"))
     counts = dict(map(tuple, placed.groupBy("_source").count().collect()))
