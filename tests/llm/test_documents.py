@@ -455,6 +455,19 @@ def test_bytes_removed_equal_brute_force(docs, texts):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(raw), sum(gone), spans, sha(kept)), i
 
 
+@pytest.mark.parametrize("bucket_windows", [1 << 20, 100])
+def test_every_word_is_removed_by_an_automaton(docs, texts, bucket_windows):
+    """Passages of equal contexts are followed too, by several tasks where very many documents copy one."""
+    kind = Symbols(True, 50, 16)
+    df = docs.select("doc_id", "text")
+    found = lambda follow: {r["doc_id"]: r["places"] for r in found_windows(df, kind, substring_dedup.solve, follow=follow, bucket_windows=bucket_windows).collect()}
+    got = found(substring_dedup.follow)
+    for i, (symbols, gone) in removed(texts, WORD.findall, 50).items():
+        assert covered(len(symbols), got.get(i), 50).tolist() == gone, i
+    blind = found(lambda known, asked, window: [np.zeros(len(x), bool) for x in asked])
+    assert sum(covered(len(WORD.findall(t or "")), blind.get(i), 50).sum() for i, t in texts) < 0.8 * sum(sum(g) for _, g in removed(texts, WORD.findall, 50).values())
+
+
 @pytest.mark.parametrize("kind", [Symbols(True, 50, 16), Symbols(False, 50, 25)])
 def test_hot_anchors_are_split(spark, tmp_path, kind):
     """A passage that a third of the documents share in different surroundings: no bucket of the method holds all of them."""

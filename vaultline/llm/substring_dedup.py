@@ -106,6 +106,19 @@ def solve(docs: np.ndarray, flat: np.ndarray, bounds: np.ndarray, window: int) -
     return flags
 
 
+def follow(known: list[np.ndarray], asked: list[np.ndarray], window: int) -> list[np.ndarray]:
+    """Streams passages past the automaton of an earlier document's passages; flags where matching windows start."""
+    automaton = SuffixAutomaton()
+    for sequence in known:
+        automaton.add(sequence.tolist())
+    out = []
+    for sequence in asked:
+        flags = np.zeros(len(sequence), bool)
+        flags[np.flatnonzero(np.array(automaton.statistics(sequence.tolist())) >= window) - (window - 1)] = True
+        out.append(flags)
+    return out
+
+
 KEPT = "doc_id long, n_words long, n_removed long, kept binary"
 
 
@@ -127,7 +140,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
             flags = [covered(len(t.encode().split()), p, window) for t, p in zip(texts, batch.column(2).to_pylist())]
             yield kept_rows(batch.column(0), texts, flags)
 
-    return with_windows(docs, Symbols(True, window, gram), solve).mapInArrow(run, KEPT)
+    return with_windows(docs, Symbols(True, window, gram), solve, follow).mapInArrow(run, KEPT)
 
 
 def remove_known(docs: DataFrame, reference: DataFrame, window: int = WINDOW, limit: int = REFERENCE_BYTES) -> DataFrame:

@@ -6,11 +6,14 @@ few). Equal windows have equal anchors, and about two anchors in ``window - gram
 one anchor occurrence are consecutive; together they are its *context*.
 
 1. Anchors, as (anchor hash, context hash, document, place), go to buckets by anchor hash. Where two documents
-   have the same context, all windows of the later one are found. An anchor that documents share in
-   different contexts is *contested*: only some windows may be equal there.
+   have the same context, all windows of the later one are found, and it is known where the earlier one has them. An anchor
+   that documents share in different contexts is *contested*: only some windows may be equal there.
 2. The contested contexts, one per distinct context, go to buckets as symbols, where ``solve`` finds each
    window that starts in an earlier document.
-3. Both kinds of finds are grouped by document and joined with the texts.
+3. What was found by equal contexts counts as it is, or (with ``follow``) names passages to compare: a document's consecutive finds
+   in one earlier document are one passage, which goes with that document's to a bucket of *it*, as symbols, and ``follow``
+   finds the windows. An earlier document that very many copy is sent to several buckets, each with a part of them.
+4. All finds are grouped by document and joined with the texts.
 
 An anchor of more than ``HOT`` contested contexts is *hot*: its contexts do not meet in one bucket. Each of their windows goes
 by (anchor hash, window hash) instead, where aggregates that combine in map tasks keep the least document, so
@@ -34,6 +37,8 @@ from vaultline.llm.shared import RangeHash, mix, parts, ragged, sliced, text_byt
 
 #: Solves one bucket: (documents, contexts as one flat array, their bounds, window) to a flag for each place in the flat array.
 Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
+#: Compares passages with an earlier document's: (its passages, the asked ones, window) to the flags of each asked passage.
+Follow = Callable[[list[np.ndarray], list[np.ndarray], int], list[np.ndarray]]
 
 
 HOT = 2048
@@ -118,7 +123,7 @@ def steady(place: np.ndarray, start: np.ndarray, grams: np.ndarray) -> np.ndarra
     return place
 
 
-ROWS = "bucket int, found boolean, keys binary, contexts binary, docs binary, firsts binary, counts binary"
+ROWS = "bucket int, found boolean, keys binary, contexts binary, docs binary, firsts binary, counts binary, refs binary, ref_firsts binary"
 FINDS = "doc_id long, kind int, places binary"
 
 
@@ -133,7 +138,8 @@ def batch_of(rows: list[dict], schema: list[tuple[str, pa.DataType]]) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in schema], [k for k, _ in schema])
 
 
-ROW_TYPES = [("bucket", pa.int32()), ("found", pa.bool_()), *((k, pa.binary()) for k in ("keys", "contexts", "docs", "firsts", "counts"))]
+ROW_TYPES = [("bucket", pa.int32()), ("found", pa.bool_()), *((k, pa.binary()) for k in ("keys", "contexts", "docs", "firsts", "counts", "refs", "ref_firsts"))]
+FOUND = ("firsts", np.uint32), ("counts", np.uint8), ("refs", np.int64), ("ref_firsts", np.uint32)
 FIND_TYPES = [("doc_id", pa.int64()), ("kind", pa.int32()), ("places", pa.binary())]
 
 
@@ -148,19 +154,19 @@ def anchor_rows(docs: DataFrame, kind: Symbols, buckets: int) -> DataFrame:
             order = np.lexsort((doc, context, a.key))
             head = np.ones(len(order), bool)
             head[1:] = (a.key[order][1:] != a.key[order][:-1]) | (context[order][1:] != context[order][:-1])
-            earliest = doc[order][np.flatnonzero(head)][np.cumsum(head) - 1] if len(order) else doc
-            later = np.empty(len(order), bool)
-            later[order] = doc[order] > earliest
+            earliest = np.empty(len(order), np.int64)  # the row of the batch's earliest document with the same context
+            earliest[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1] if len(order) else order
+            later = doc > doc[earliest]
             bucket = (a.key % np.uint64(buckets)).astype(np.int32)
             columns = {"keys": a.key, "contexts": context, "docs": doc, "firsts": first, "counts": a.count.astype(np.uint8)}
             # six bytes of a context's hash travel, low four and high two apart
             cut = {k: v[~later] for k, v in columns.items()}
             rows = []
-            for row in by_bucket(bucket[~later], cut, {"found": False}):
+            for row in by_bucket(bucket[~later], cut, {"found": False, "refs": b"", "ref_firsts": b""}):
                 context = np.frombuffer(row["contexts"], np.uint64)
                 row["contexts"] = context.astype(np.uint32).tobytes() + (context >> np.uint64(32)).astype(np.uint16).tobytes()
                 rows.append(row)
-            known = {k: columns[k][later] for k in ("docs", "firsts", "counts")}
+            known = {k: columns[k][later] for k in ("docs", "firsts", "counts")} | {"refs": doc[earliest[later]], "ref_firsts": first[earliest[later]]}
             for row in by_bucket((doc[later] % buckets).astype(np.int32), known, {"found": True, "keys": b"", "contexts": b""}):
                 rows.append(row)
             if rows:
@@ -177,12 +183,13 @@ def per_document(doc: np.ndarray, kind: int, columns: list[np.ndarray]) -> list[
 
 
 def settle(table: pa.Table, most: int = HOT) -> pa.Table:
-    """Finds of one bucket of anchors: kind 0, windows found; kind 1, contested contexts; kind 2, those of anchors with over ``most``."""
+    """Finds of one bucket of anchors: kind 0, contexts that an earlier document has (and where); kind 1, contested contexts; kind 2,
+    those of anchors with over ``most``."""
     rows = table.to_pylist()
     known = [r for r in rows if r["found"]]
     open_rows = [r for r in rows if not r["found"]]
     join = lambda name, kind, own: np.frombuffer(b"".join(r[name] for r in own), kind)
-    out = per_document(join("docs", np.int64, known), 0, [join("firsts", np.uint32, known), join("counts", np.uint8, known)])
+    out = per_document(join("docs", np.int64, known), 0, [join(name, kind, known) for name, kind in FOUND])
     key = join("keys", np.uint64, open_rows)
     context = [np.empty(0, np.uint64)]
     for r in open_rows:
@@ -200,58 +207,144 @@ def settle(table: pa.Table, most: int = HOT) -> pa.Table:
         key, context, doc, first, count = key[pick], context[pick], doc[pick], first[pick], count[pick]
         new_key = np.append(True, key[1:] != key[:-1])
         new_context = new_key | np.append(True, context[1:] != context[:-1])
-        earliest = doc[np.flatnonzero(new_context)][np.cumsum(new_context) - 1]
+        ref = np.flatnonzero(new_context)[np.cumsum(new_context) - 1]
+        earliest = doc[ref]
         found = doc > earliest
         group = np.cumsum(new_key) - 1
         contexts = np.bincount(group, new_context)
         begins = np.flatnonzero(new_key)
         spread = np.minimum.reduceat(earliest, begins) != np.maximum.reduceat(earliest, begins)
         contested = ~found & ((contexts > 1) & spread)[group]
-        out += per_document(doc[found], 0, [first[found], count[found]])
+        out += per_document(doc[found], 0, [first[found], count[found], earliest[found], first[ref[found]]])
         hot = (contexts > most)[group]
         for kind, own in ((1, contested & ~hot), (2, contested & hot)):
             out += per_document(doc[own], kind, [key[own], first[own], count[own]])
     return pa.Table.from_batches([batch_of(out, FIND_TYPES)])
 
 
-CONTEXTS = "bucket int, docs binary, firsts binary, counts binary, symbols binary"
-CONTEXT_TYPES = [("bucket", pa.int32()), *((k, pa.binary()) for k in ("docs", "firsts", "counts", "symbols"))]
+CONTEXTS = "bucket int, role int, docs binary, firsts binary, sizes binary, refs binary, symbols binary"
+CONTEXT_TYPES = [("bucket", pa.int32()), ("role", pa.int32()), *((k, pa.binary()) for k in ("docs", "firsts", "sizes", "refs", "symbols"))]
+CONTESTED, PASSAGE, REFERENCE = 1, 3, 4  # kinds of places, and roles of symbols
 
 
 def places_of(batch: pa.RecordBatch, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     """Anchor hash, document, first place (in the text and in the batch) and number of windows of a batch's contested contexts."""
     out = [[np.empty(0, d)] for d in (np.uint64, np.int64, np.uint32, np.int64, np.uint8)]
     for i, (doc, lists) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-        for raw in lists:
-            n = len(raw) // 13
-            first = np.frombuffer(raw, np.uint32, n, 8 * n)
-            own = np.frombuffer(raw, np.uint64, n), np.full(n, doc, np.int64), first, first + bounds[i], np.frombuffer(raw, np.uint8, n, 12 * n)
-            for column, x in zip(out, own):
-                column.append(x)
+        for own in lists:
+            if own["kind"] in (1, 2):
+                raw = own["places"]
+                n = len(raw) // 13
+                first = np.frombuffer(raw, np.uint32, n, 8 * n)
+                columns = np.frombuffer(raw, np.uint64, n), np.full(n, doc, np.int64), first, first + bounds[i], np.frombuffer(raw, np.uint8, n, 12 * n)
+                for column, x in zip(out, columns):
+                    column.append(x)
     return tuple(np.concatenate(x) for x in out)
 
 
-def context_rows(joined: DataFrame, kind: Symbols, buckets: int) -> DataFrame:
-    """Contested contexts as symbols. ``joined`` has doc_id, text and the list of contested places."""
+def passages_of(batch: pa.RecordBatch, bounds: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Role, document, first place (in the text and in the batch), number of symbols and bucket number of a batch's passages."""
+    out = [np.empty((6, 0), np.int64)]
+    for i, (doc, lists) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+        rows = {role: np.concatenate([np.empty((0, 4), np.int64), *(np.frombuffer(x["places"], np.int64).reshape(-1, 4) for x in lists if x["kind"] == role)]) for role in (PASSAGE, REFERENCE)}
+        for role, (first, n, ref, parts_) in [(PASSAGE, rows[PASSAGE].T), *(((REFERENCE, merged_spans(rows[REFERENCE])),) if len(rows[REFERENCE]) else ())]:
+            size = n + window - 1
+            if role == REFERENCE:  # once for each part of the documents that copy it
+                part = ragged(np.zeros(len(parts_), np.int64), parts_)
+                first, size, ref = (np.repeat(x, parts_) for x in (first, size, ref))
+            else:
+                part = (mix(first + doc * 31) % np.maximum(parts_, 1).astype(np.uint64)).astype(np.int64)
+            key = mix(mix(ref) + part.astype(np.uint64)).view(np.int64)
+            out.append(np.stack([np.full(len(first), role), np.full(len(first), doc), first, first + bounds[i], size, key]))
+    return tuple(np.concatenate(out, axis=1))
+
+
+def merged_spans(rows: np.ndarray) -> np.ndarray:
+    """Spans of windows (first, number, document, parts) of one document, those that touch as one."""
+    first, n = rows[:, 0], rows[:, 1]
+    order = np.argsort(first, kind="stable")
+    end = np.maximum.accumulate((first + n)[order])
+    head = np.append(True, first[order][1:] > end[:-1])
+    at = np.flatnonzero(head)
+    return np.stack([first[order][at], end[np.append(at[1:], len(rows)) - 1] - first[order][at], rows[order[at], 2], rows[order[at], 3]])
+
+
+def symbol_rows(joined: DataFrame, kind: Symbols, buckets: int) -> DataFrame:
+    """Contested contexts and passages as symbols. ``joined`` has doc_id, text and the lists of places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             symbols, bounds = kind.of(texts_of(batch))
             key, doc, first, start, count = places_of(batch, bounds)
-            if not len(key):
-                continue
-            size = count.astype(np.int64) + kind.window - 1
-            bucket = (mix(key) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
+            sets = [(np.full(len(key), CONTESTED), doc, first, start, count.astype(np.int64) + kind.window - 1, key.view(np.int64)), passages_of(batch, bounds, kind.window)]
+            role, doc, first, start, size, ref = (np.concatenate(x) for x in zip(*sets))
+            bucket = (mix(ref.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((bucket, role))
             rows = []
-            for p in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            for p in np.split(order, np.flatnonzero(np.diff(bucket[order]) | np.diff(role[order])) + 1) if len(order) else ():
                 own = symbols[ragged(start[p], size[p])].astype(kind.dtype)
-                rows.append({"bucket": int(bucket[p[0]]), "docs": doc[p].tobytes(), "firsts": first[p].tobytes(), "counts": count[p].tobytes(), "symbols": own.tobytes()})
-            yield batch_of(rows, CONTEXT_TYPES)
+                columns = {"docs": doc[p], "firsts": first[p].astype(np.uint32), "sizes": size[p].astype(np.uint32), "refs": ref[p], "symbols": own}
+                rows.append({"bucket": int(bucket[p[0]]), "role": int(role[p[0]])} | {k: v.tobytes() for k, v in columns.items()})
+            if rows:
+                yield batch_of(rows, CONTEXT_TYPES)
 
     return joined.select("doc_id", "text", "places").mapInArrow(run, CONTEXTS)
 
 
+RUNS = "ref long, ref_first int, n int, doc_id long, first int"
+
+
+def runs(found: DataFrame) -> DataFrame:
+    """A document's consecutive finds in one earlier document as one passage. ``found``: doc_id and its places of kind 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.empty((5, 0), np.int64)]
+            for doc, lists in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                first, n, ref, ref_first = (np.concatenate(x).astype(np.int64) for x in zip(*map(found_places, lists)))
+                order = np.lexsort((first, first - ref_first, ref))
+                first, n, ref, ref_first = first[order], n[order], ref[order], ref_first[order]
+                head = np.ones(len(first), bool)
+                head[1:] = (first[1:] != first[:-1] + n[:-1]) | (ref[1:] != ref[:-1]) | (ref_first[1:] - ref_first[:-1] != first[1:] - first[:-1])
+                at = np.flatnonzero(head)
+                out.append(np.stack([ref[at], ref_first[at], np.add.reduceat(n, at), np.full(len(at), doc), first[at]]))
+            columns = np.concatenate(out, axis=1)
+            types = pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["ref", "ref_first", "n", "doc_id", "first"])
+
+    return found.select("doc_id", "places").mapInArrow(run, RUNS)
+
+
+def found_places(raw: bytes) -> tuple[np.ndarray, ...]:
+    n = len(raw) // 17
+    out, at = [], 0
+    for _, kind in FOUND:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return tuple(out)
+
+
+def asked_passages(wanted: DataFrame, most: int) -> DataFrame:
+    """Places of kind PASSAGE and REFERENCE for ``wanted`` runs: (first, number of windows, earlier document, its parts), eight bytes each."""
+
+    def packed(kind: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                doc, *rest = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
+                order = np.argsort(doc, kind="stable")
+                cells = np.stack(rest, axis=1)
+                cuts = np.split(order, np.flatnonzero(np.diff(doc[order])) + 1) if len(order) else []
+                yield batch_of([{"doc_id": int(doc[p[0]]), "kind": kind, "places": cells[p].tobytes()} for p in cuts], FIND_TYPES)
+
+        return run
+
+    parts_ = wanted.groupBy("ref").agg(F.ceil(F.sum("n") / most).cast("long").alias("parts"))
+    sized = wanted.join(parts_, "ref")
+    asked = sized.select("doc_id", "first", "n", "ref", "parts").mapInArrow(packed(PASSAGE), FINDS)
+    known = sized.select(F.col("ref").alias("doc_id"), F.col("ref_first").alias("first"), "n", "ref", "parts").distinct().mapInArrow(packed(REFERENCE), FINDS)
+    return asked.unionByName(known)
+
+
 def hot_finds(joined: DataFrame, kind: Symbols) -> DataFrame:
     """Finds among the contexts of hot anchors. Equal windows have equal anchors, so a window is known by its anchor's hash and its own."""
 
@@ -279,28 +372,58 @@ def hot_finds(joined: DataFrame, kind: Symbols) -> DataFrame:
     return later.select("doc_id", "place").mapInArrow(packed, FINDS)
 
 
-def solver(kind: Symbols, solve: Solve) -> Callable[[pa.Table], pa.Table]:
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+@dataclass
+class Bucket:
+    """Documents, first places, symbols and their bounds of one role in a bucket, in document order."""
+
+    doc: np.ndarray
+    first: np.ndarray
+    ref: np.ndarray
+    flat: np.ndarray
+    bounds: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[dict], kind: Symbols) -> Bucket:
         join = lambda name, dtype: np.frombuffer(b"".join(r[name] for r in rows), dtype)
-        doc, first, count = join("docs", np.int64), join("firsts", np.uint32), join("counts", np.uint8)
-        symbols = join("symbols", kind.dtype)
-        size = count.astype(np.int64) + kind.window - 1
-        begin = np.cumsum(size) - size
+        doc, first, size, ref, symbols = join("docs", np.int64), join("firsts", np.uint32), join("sizes", np.uint32).astype(np.int64), join("refs", np.int64), join("symbols", kind.dtype)
         order = np.argsort(doc, kind="stable")
-        flat = symbols[ragged(begin[order], size[order])]
-        bounds = np.concatenate(([0], np.cumsum(size[order])))
-        flags = solve(doc[order], flat, bounds, kind.window)
+        begin = np.cumsum(size) - size
+        return cls(doc[order], first[order], ref[order], symbols[ragged(begin[order], size[order])], np.concatenate(([0], np.cumsum(size[order]))))
+
+    def finds(self, flags: np.ndarray) -> pa.Table:
+        """The places where windows start that ``flags`` names."""
         hit = np.flatnonzero(flags)
-        owner = np.searchsorted(bounds, hit, side="right") - 1
-        place = first[order][owner] + (hit - bounds[owner]).astype(np.uint32)
-        rows = per_document(doc[order][owner], 0, [place, np.ones(len(place), np.uint8)])
-        return pa.Table.from_batches([batch_of(rows, FIND_TYPES)])
+        owner = np.searchsorted(self.bounds, hit, side="right") - 1
+        place = self.first[owner] + (hit - self.bounds[owner]).astype(np.uint32)
+        return pa.Table.from_batches([batch_of(per_document(self.doc[owner], 0, [place, np.ones(len(place), np.uint8)]), FIND_TYPES)])
+
+
+def solver(kind: Symbols, solve: Solve) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        own = Bucket.of(table.to_pylist(), kind)
+        return own.finds(solve(own.doc, own.flat, own.bounds, kind.window))
 
     return run
 
 
-def found_windows(docs: DataFrame, kind: Symbols, solve: Solve, bucket_anchors: int = 1 << 20, bucket_contexts: int = 1 << 14, hot: int = HOT) -> DataFrame:
+def follower(kind: Symbols, follow: Follow) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        known, asked = (Bucket.of([r for r in rows if r["role"] == role], kind) for role in (REFERENCE, PASSAGE))
+        flags = np.zeros(len(asked.flat), bool)
+        cut = lambda x, k: x.flat[x.bounds[k] : x.bounds[k + 1]]
+        for ref in np.unique(asked.ref).tolist():
+            mine = np.flatnonzero(asked.ref == ref).tolist()
+            for k, found in zip(mine, follow([cut(known, k) for k in np.flatnonzero(known.ref == ref).tolist()], [cut(asked, k) for k in mine], kind.window)):
+                flags[asked.bounds[k] : asked.bounds[k + 1]] = found
+        return asked.finds(flags)
+
+    return run
+
+
+def found_windows(
+    docs: DataFrame, kind: Symbols, solve: Solve, bucket_anchors: int = 1 << 20, bucket_contexts: int = 1 << 14, hot: int = HOT, follow: Follow | None = None, bucket_windows: int = 1 << 20
+) -> DataFrame:
     """doc_id and ``places``, a list of binaries: starts (four bytes each) and run lengths (one byte each) of found windows."""
     spark = docs.sparkSession
     symbols = text_bytes(docs) // (6 if kind.words else 1)  # a word is about six bytes long
@@ -308,18 +431,33 @@ def found_windows(docs: DataFrame, kind: Symbols, solve: Solve, bucket_anchors:
     rows = anchor_rows(docs, kind, parts(spark, expected, bucket_anchors))
     finds = written(rows.groupBy("bucket").applyInArrow(lambda table: settle(table, hot), FINDS), "anchors")
     by_doc = lambda df: df.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    with_texts = lambda df: docs.select("doc_id", "text").join(by_doc(df).hint("shuffle_hash"), "doc_id")
-    sizes = finds.where("kind > 0").groupBy("kind").agg(F.sum(F.octet_length("places")).cast("long")).collect()
-    n_contested = {kind_: size // 13 for kind_, size in sizes}
-    found = finds.where("kind = 0")
-    if 1 in n_contested:
-        contexts = context_rows(with_texts(finds.where("kind = 1")), kind, parts(spark, n_contested[1], bucket_contexts))
-        found = found.unionByName(written(contexts.groupBy("bucket").applyInArrow(solver(kind, solve), FINDS), "contexts"))
-    if 2 in n_contested:
+    by_kind = lambda df: df.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "places")).alias("places"))
+    with_texts = lambda df: docs.select("doc_id", "text").join(by_kind(df).hint("shuffle_hash"), "doc_id")
+    sizes = finds.groupBy("kind").agg(F.sum(F.octet_length("places")).cast("long")).collect()
+    bytes_of = dict(map(tuple, sizes))
+    equal, asked, n = finds.where("kind = 0"), finds.where("kind = 1"), bytes_of.get(1, 0) // 13
+    if follow is None:
+        found = equal.mapInArrow(without_references, FINDS)
+    else:
+        wanted = written(runs(by_doc(equal)), "runs")
+        asked, n = asked.unionByName(asked_passages(wanted, bucket_windows)), n + bytes_of.get(0, 0) // 17
+        found = equal.where("false")
+    if n:
+        passages = written(symbol_rows(with_texts(asked), kind, parts(spark, n, bucket_contexts)), "passages")
+        found = found.unionByName(written(passages.where(f"role = {CONTESTED}").groupBy("bucket").applyInArrow(solver(kind, solve), FINDS), "contexts"))
+        if follow is not None:
+            found = found.unionByName(written(passages.where(f"role <> {CONTESTED}").groupBy("bucket").applyInArrow(follower(kind, follow), FINDS), "followed"))
+    if 2 in bytes_of:
         found = found.unionByName(written(hot_finds(with_texts(finds.where("kind = 2")), kind), "hot"))
     return by_doc(found)
 
 
+def without_references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        places = pa.array([raw[: len(raw) // 17 * 5] for raw in batch.column(2).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], places], ["doc_id", "kind", "places"])
+
+
 def covered(n: int, lists: list[bytes] | None, window: int) -> np.ndarray:
     """Flags of the ``n`` symbols that a found window covers."""
     change = np.zeros(n + 1, np.int64)
@@ -332,7 +470,7 @@ def covered(n: int, lists: list[bytes] | None, window: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def with_windows(docs: DataFrame, kind: Symbols, solve: Solve) -> DataFrame:
+def with_windows(docs: DataFrame, kind: Symbols, solve: Solve, follow: Follow | None = None) -> DataFrame:
     """doc_id, text and ``places`` (null where nothing was found) of every row of ``docs``."""
-    found = found_windows(docs.select(F.col("doc_id").cast("long"), "text"), kind, solve)
+    found = found_windows(docs.select(F.col("doc_id").cast("long"), "text"), kind, solve, follow=follow)
     return docs.select(F.col("doc_id").cast("long"), "text").join(found.hint("shuffle_hash"), "doc_id", "left")
