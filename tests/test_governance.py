@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import numpy as np
 import pytest
 
 from vaultline.operators import logs, profiling, similarity
@@ -124,6 +125,19 @@ def test_approximate_search_recall(spark, sf):
     assert exact.intersect(found).count() >= 0.9 * exact.count()
 
 
+def test_approximate_search_prunes_where_neighbours_are_close(spark):
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(100, 32))
+    rows = [(i, (centres[i % 100] + 0.15 * rnd.normal(size=32)).tolist()) for i in range(2000)]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = base.where("vec_id % 50 = 0")
+    exact = similarity.cosine_topk(base, asked, 5, dimension=32).select("query_id", "neighbour")
+    found = similarity.lsh_topk(base, asked, 5, bits=10, tables=8).select("query_id", "neighbour")
+    assert exact.intersect(found).count() >= 0.9 * exact.count()
+    units = lambda df: similarity.unit_vectors(df, "vec_id", "embedding")
+    assert similarity.lsh_candidates(units(base), units(asked), "vec_id", 8, 10).count() < 0.05 * 40 * 2000
+
+
 PLAN = "system_id string, run_id int, name string, source_table string, "
 
 
