@@ -169,9 +169,10 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SH
 
 
 def distinct_sets(some: DataFrame) -> DataFrame:
-    """A node for each distinct set: ``first``, the least doc_id that has it, its bands, and ``node``: ``first``, or a hash where
-    one doc_id is the first of several sets."""
-    sets = written(some.groupBy(*SET).agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "sets")
+    """A node for each distinct set: ``first``, the least doc_id that has it, the hash of a text of it, its bands, and ``node``:
+    ``first``, or a hash where one doc_id is the first of several sets."""
+    least = some.groupBy(*SET).agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), F.first("bands").alias("bands"))
+    sets = written(least.select(*SET, F.col("x.doc_id").alias("first"), F.col("x.text_hash").alias("text_hash"), "bands"), "sets")
     heads = sets.groupBy("first").agg(F.min(F.struct("set_a", "set_b")).alias("head"))
     own = F.struct("set_a", "set_b") == F.col("head")
     return sets.join(heads, "first").withColumn("node", F.when(own, F.col("first")).otherwise(F.xxhash64("first", "set_a", "set_b"))).drop("head")
@@ -202,7 +203,7 @@ def first_pairs(shared: DataFrame, small: int, similarity: float) -> DataFrame:
 
 
 def elements_of(docs: DataFrame, asked: DataFrame, size: int, weighted: bool) -> DataFrame:
-    """node and its elements (eight bytes each, sorted) for the nodes ``asked`` (node, first and the hashes of the set)."""
+    """node and its elements (eight bytes each, sorted) for the nodes ``asked`` (node, first, text_hash and the hashes of the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task: a text that very many rows repeat under one doc_id is sent once
@@ -215,8 +216,8 @@ def elements_of(docs: DataFrame, asked: DataFrame, size: int, weighted: bool) ->
             sets = [np.sort(elements[bounds[k] : bounds[k + 1]]).tobytes() for k in own]
             yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(sets, pa.binary())], ["node", "elements"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("first"), "text")
-    return texts.join(asked.hint("shuffle_hash"), "first").select("text", "node", "set_a", "set_b").mapInArrow(run, "node long, elements binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("first"), F.xxhash64("text").alias("text_hash"), "text")
+    return texts.join(asked.hint("shuffle_hash"), ["first", "text_hash"]).select("text", "node", "set_a", "set_b").mapInArrow(run, "node long, elements binary")
 
 
 def verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
@@ -332,7 +333,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     large = shared.where(F.col("n") > small)
     pairs = written(first_pairs(shared, small, similarity), "pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("q.node")).distinct()
-    asked = nodes.select("node", "first", "set_a", "set_b").join(ends, "node", "left_semi")
+    asked = nodes.select("node", "first", "text_hash", "set_a", "set_b").join(ends, "node", "left_semi")
     elements = written(elements_of(docs, asked, SHINGLE, weighted), "elements")
     labels = components(written(verified(pairs, elements, similarity), "links"))
     rest = written(contested(large, labels).join(elements, "node"), "contested")
