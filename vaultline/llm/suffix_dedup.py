@@ -3,10 +3,10 @@
 A string of 50 bytes that also starts in a document with a smaller doc_id is removed from the later one.
 ``windows`` narrows the corpus to the short contexts that can match and deals them into buckets. In a bucket
 the contexts form one collection: each round puts one more symbol, from the right, before the suffix of every
-context, so the matrix of sorted suffixes takes one row per context and the transform (the symbol before each
-row's suffix) and the common prefix of each row with the one above are brought up to date in one sequential
-pass. At the end, rows whose common prefix is 50 or more stand together, and each group's earliest
-document keeps its bytes.
+context, so the matrix of sorted suffixes takes one row per context. Where a row goes is counted in the transform (the symbol
+before each row's suffix): after the rows of lesser symbols, and those of its own symbol that stand above the row it extends. The
+transform and the common prefix of each row with the one above are brought up to date in one sequential pass. At the end, rows
+whose common prefix is 50 or more stand together, and each group's earliest document keeps its bytes.
 
 A bucket's transform, row map and common prefixes are flat arrays that every round reads and writes once in order;
 with bounded buckets they fit in a task's memory, so they are not put in files.
@@ -36,62 +36,80 @@ class Collection:
     """Sorted suffixes of short strings, longer by one symbol of each string with every round."""
 
     def __init__(self, flat: np.ndarray, bounds: np.ndarray, cap: int):
-        self.bounds, self.cap = bounds, cap
-        self.n = len(bounds) - 1
-        self.size = np.diff(bounds)
+        self.cap = cap
+        n, size = len(bounds) - 1, np.diff(bounds)
         # symbols from 1 up; 0 stands before every string and after the last
-        padded = np.zeros(len(flat) + self.n + cap, np.uint16)
-        self.begin = bounds[:-1] + np.arange(self.n) + 1  # place of each string's first symbol
-        padded[np.arange(len(flat)) + np.repeat(np.arange(self.n) + 1, self.size)] = flat.astype(np.uint16) + 1
-        self.padded = padded
-        self.ahead = np.lib.stride_tricks.sliding_window_view(np.append(padded, np.zeros(cap, np.uint16)), cap)
+        self.padded = np.zeros(len(flat) + n + cap, np.uint16)
+        self.padded[np.arange(len(flat)) + np.repeat(np.arange(n) + 1, size)] = flat.astype(np.uint16) + 1
+        self.begin = bounds[:-1] + np.arange(n) + 1  # place of each string's first symbol
+        self.end = np.zeros(len(self.padded), np.int32)  # of the string that a place belongs to
+        self.end[1 : len(flat) + n + 1] = np.repeat(self.begin + size, size + 1)
+        self.ahead = np.lib.stride_tricks.sliding_window_view(np.append(self.padded, np.zeros(cap, np.uint16)), cap)
         # rows: the empty suffix of each string
-        self.string = np.arange(self.n)
-        self.place = self.begin + self.size
-        self.before = padded[self.place - 1]
-        self.common = np.zeros(self.n, np.int16)
+        self.place = (self.begin + size).astype(np.int32)
+        self.before = self.padded[self.place - 1]
+        self.common = np.zeros(n, np.int16)
+        self.latest = np.arange(n)  # the rows of the strings' longest suffixes so far
 
     def rounds(self) -> None:
-        for step in range(int(self.size.max(initial=0))):
-            self.insert(step)
+        while len(self.latest):
+            self.insert()
 
-    def insert(self, step: int) -> None:
+    def insert(self) -> None:
         """One symbol of each string that has one left."""
-        live = np.flatnonzero(self.before)
-        order = live[np.argsort(self.before[live], kind="stable")]
-        string = np.concatenate((np.arange(self.n), self.string[order]))
-        place = np.concatenate((self.begin + self.size, self.place[order] - 1))
-        new = place == (self.begin + self.size)[string] - 1 - step
-        common = np.empty(len(place), np.int16)
-        common[~new] = self.common
-        touched = new.copy()
-        touched[1:] |= new[:-1]
-        rows = np.flatnonzero(touched)
-        rows = rows[rows > 0]
-        common[rows] = self._common(string, place, rows)
-        common[0] = 0
-        self.string, self.place, self.common = string, place, common
-        self.before = self.padded[place - 1]
-
-    def _common(self, string: np.ndarray, place: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        ends = (self.begin + self.size)[string]
-        left = np.minimum(ends[rows] - place[rows], ends[rows - 1] - place[rows - 1])
-        differ = self.ahead[place[rows]] != self.ahead[place[rows - 1]]
+        symbol = self.before[self.latest]
+        older = self.before.copy()
+        older[self.latest] = 0
+        by_symbol = np.argsort(older, kind="stable")  # of the rows whose extension is a row already
+        count = np.bincount(older, minlength=258)
+        start = np.cumsum(count) - count
+        order = np.lexsort((self.latest, symbol))
+        order = order[symbol[order] > 0]
+        rows, symbol = self.latest[order], symbol[order]
+        above = np.empty(len(rows), np.int64)
+        edges = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1])).tolist() if len(rows) else []
+        for a, b in zip(edges, [*edges[1:], len(rows)]):
+            c = int(symbol[a])
+            above[a:b] = start[c] - count[0] + np.searchsorted(by_symbol[start[c] : start[c] + count[c]], rows[a:b])
+        at = above + len(self.begin) + np.arange(len(rows))  # below the empty suffixes and the new rows above
+        place = self.place[rows] - 1
+        kept = np.ones(len(self.place) + len(at), bool)
+        kept[at] = False
+        self.place = self._merged(self.place, place, kept, at)
+        self.before = self._merged(self.before, self.padded[place - 1], kept, at)
+        self.common = self._merged(self.common, np.zeros(len(at), np.int16), kept, at)
+        near = ~kept
+        near[1:] |= ~kept[:-1]
+        near[:1] = False
+        touched = np.flatnonzero(near)
+        self.common[touched] = self._common(touched)
+        self.latest = at
+
+    @staticmethod
+    def _merged(old: np.ndarray, new: np.ndarray, kept: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.empty(len(kept), old.dtype)
+        out[kept] = old
+        out[at] = new
+        return out
+
+    def _common(self, rows: np.ndarray) -> np.ndarray:
+        a, b = self.place[rows], self.place[rows - 1]
+        differ = self.ahead[a] != self.ahead[b]
         size = np.where(differ.any(axis=1), differ.argmax(axis=1), self.cap)
-        return np.minimum(size, np.minimum(left, self.cap)).astype(np.int16)
+        return np.minimum(size, np.minimum(self.end[a] - a, self.end[b] - b)).astype(np.int16)
 
 
 def solve(docs: np.ndarray, flat: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
     """Flags the starts of windows that occur in an earlier document."""
     c = Collection(flat, bounds, window)
     c.rounds()
+    string = np.searchsorted(c.begin, c.place, side="right") - 1  # an empty suffix's place is before the next string's first
     group = np.cumsum(c.common < window) - 1
-    doc = docs[c.string]
+    doc = docs[string]
     earliest = np.minimum.reduceat(doc, np.flatnonzero(np.append(True, group[1:] != group[:-1])))
-    whole = (c.begin + c.size)[c.string] - c.place >= window
-    hit = whole & (doc > earliest[group])
+    hit = (c.end[c.place] - c.place >= window) & (doc > earliest[group])
     flags = np.zeros(len(flat), bool)
-    flags[c.place[hit] - 1 - c.string[hit]] = True
+    flags[c.place[hit] - 1 - string[hit]] = True
     return flags
 
 
