@@ -131,7 +131,7 @@ def by_bucket(bucket: np.ndarray, columns: dict[str, np.ndarray], fixed: dict[st
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     for part in np.split(order, cuts) if len(order) else ():
-        yield {"bucket": int(bucket[part[0]]), **fixed, **{k: v[part].tobytes() for k, v in columns.items()}}
+        yield fixed | {"bucket": int(bucket[part[0]])} | {k: v[part].tobytes() for k, v in columns.items()}
 
 
 def batch_of(rows: list[dict], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -143,7 +143,9 @@ FOUND = ("firsts", np.uint32), ("counts", np.uint8), ("refs", np.int64), ("ref_f
 FIND_TYPES = [("doc_id", pa.int64()), ("kind", pa.int32()), ("places", pa.binary())]
 
 
-def anchor_rows(docs: DataFrame, kind: Symbols, buckets: int) -> DataFrame:
+def anchor_rows(docs: DataFrame, kind: Symbols, buckets: int, refs: bool = True) -> DataFrame:
+    """Anchors by bucket, and finds within batches (``refs``: with where the earlier document has them)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -166,8 +168,10 @@ def anchor_rows(docs: DataFrame, kind: Symbols, buckets: int) -> DataFrame:
                 context = np.frombuffer(row["contexts"], np.uint64)
                 row["contexts"] = context.astype(np.uint32).tobytes() + (context >> np.uint64(32)).astype(np.uint16).tobytes()
                 rows.append(row)
-            known = {k: columns[k][later] for k in ("docs", "firsts", "counts")} | {"refs": doc[earliest[later]], "ref_firsts": first[earliest[later]]}
-            for row in by_bucket((doc[later] % buckets).astype(np.int32), known, {"found": True, "keys": b"", "contexts": b""}):
+            known = {k: columns[k][later] for k in ("docs", "firsts", "counts")}
+            if refs:
+                known |= {"refs": doc[earliest[later]], "ref_firsts": first[earliest[later]]}
+            for row in by_bucket((doc[later] % buckets).astype(np.int32), known, {"found": True, "keys": b"", "contexts": b"", "refs": b"", "ref_firsts": b""}):
                 rows.append(row)
             if rows:
                 yield batch_of(rows, ROW_TYPES)
@@ -182,14 +186,14 @@ def per_document(doc: np.ndarray, kind: int, columns: list[np.ndarray]) -> list[
     return [{"doc_id": int(doc[p[0]]), "kind": kind, "places": b"".join(c[p].tobytes() for c in columns)} for p in np.split(order, cuts)] if len(order) else []
 
 
-def settle(table: pa.Table, most: int = HOT) -> pa.Table:
-    """Finds of one bucket of anchors: kind 0, contexts that an earlier document has (and where); kind 1, contested contexts; kind 2,
+def settle(table: pa.Table, most: int = HOT, refs: bool = True) -> pa.Table:
+    """Finds of one bucket of anchors: kind 0, contexts that an earlier document has (``refs``: and where); kind 1, contested contexts; kind 2,
     those of anchors with over ``most``."""
     rows = table.to_pylist()
     known = [r for r in rows if r["found"]]
     open_rows = [r for r in rows if not r["found"]]
     join = lambda name, kind, own: np.frombuffer(b"".join(r[name] for r in own), kind)
-    out = per_document(join("docs", np.int64, known), 0, [join(name, kind, known) for name, kind in FOUND])
+    out = per_document(join("docs", np.int64, known), 0, [join(name, kind, known) for name, kind in (FOUND if refs else FOUND[:2])])
     key = join("keys", np.uint64, open_rows)
     context = [np.empty(0, np.uint64)]
     for r in open_rows:
@@ -215,7 +219,7 @@ def settle(table: pa.Table, most: int = HOT) -> pa.Table:
         begins = np.flatnonzero(new_key)
         spread = np.minimum.reduceat(earliest, begins) != np.maximum.reduceat(earliest, begins)
         contested = ~found & ((contexts > 1) & spread)[group]
-        out += per_document(doc[found], 0, [first[found], count[found], earliest[found], first[ref[found]]])
+        out += per_document(doc[found], 0, [first[found], count[found], *((earliest[found], first[ref[found]]) if refs else ())])
         hot = (contexts > most)[group]
         for kind, own in ((1, contested & ~hot), (2, contested & hot)):
             out += per_document(doc[own], kind, [key[own], first[own], count[own]])
@@ -428,36 +432,30 @@ def found_windows(
     spark = docs.sparkSession
     symbols = text_bytes(docs) // (6 if kind.words else 1)  # a word is about six bytes long
     expected = symbols * 2 // (kind.window - kind.gram + 2)
-    rows = anchor_rows(docs, kind, parts(spark, expected, bucket_anchors))
-    finds = written(rows.groupBy("bucket").applyInArrow(lambda table: settle(table, hot), FINDS), "anchors")
+    refs = follow is not None
+    rows = anchor_rows(docs, kind, parts(spark, expected, bucket_anchors), refs)
+    finds = written(rows.groupBy("bucket").applyInArrow(lambda table: settle(table, hot, refs), FINDS), "anchors")
     by_doc = lambda df: df.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     by_kind = lambda df: df.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "places")).alias("places"))
     with_texts = lambda df: docs.select("doc_id", "text").join(by_kind(df).hint("shuffle_hash"), "doc_id")
     sizes = finds.groupBy("kind").agg(F.sum(F.octet_length("places")).cast("long")).collect()
     bytes_of = dict(map(tuple, sizes))
     equal, asked, n = finds.where("kind = 0"), finds.where("kind = 1"), bytes_of.get(1, 0) // 13
-    if follow is None:
-        found = equal.mapInArrow(without_references, FINDS)
-    else:
+    found = equal
+    if refs:
         wanted = written(runs(by_doc(equal)), "runs")
         asked, n = asked.unionByName(asked_passages(wanted, bucket_windows)), n + bytes_of.get(0, 0) // 17
         found = equal.where("false")
     if n:
         passages = written(symbol_rows(with_texts(asked), kind, parts(spark, n, bucket_contexts)), "passages")
         found = found.unionByName(written(passages.where(f"role = {CONTESTED}").groupBy("bucket").applyInArrow(solver(kind, solve), FINDS), "contexts"))
-        if follow is not None:
+        if refs:
             found = found.unionByName(written(passages.where(f"role <> {CONTESTED}").groupBy("bucket").applyInArrow(follower(kind, follow), FINDS), "followed"))
     if 2 in bytes_of:
         found = found.unionByName(written(hot_finds(with_texts(finds.where("kind = 2")), kind), "hot"))
     return by_doc(found)
 
 
-def without_references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        places = pa.array([raw[: len(raw) // 17 * 5] for raw in batch.column(2).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], places], ["doc_id", "kind", "places"])
-
-
 def covered(n: int, lists: list[bytes] | None, window: int) -> np.ndarray:
     """Flags of the ``n`` symbols that a found window covers."""
     change = np.zeros(n + 1, np.int64)
