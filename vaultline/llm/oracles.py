@@ -26,6 +26,62 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN words_hit USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+def crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text of ASCII characters; reads the list ``crc`` of one table, ``crc_table``."""
+    bytes_ = f"list_transform(range(1, length({text}) + 1), lambda k: CAST(ord(substr({text}, k, 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {bytes_}), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda i:
+  list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc)"""
+
+
+def _merkle(tree: str, levels: int) -> str:
+    """CTEs over ``{tree}0`` (tree, r, n, d) and ``{tree}f0`` (tree, r, n, leaf, d, proof): the nodes of each level, then each leaf's fold and proof."""
+    out = []
+    for k in range(1, levels + 1):
+        out.append(f"{tree}{k} AS MATERIALIZED (SELECT tree, r // 2 AS r, any_value(n) AS n, sha256(string_agg(d, '' ORDER BY r)) AS d FROM {tree}{k - 1} WHERE n > {1 << (k - 1)} GROUP BY tree, r // 2)")
+        beside = f"SELECT tree, xor(r, 1) AS beside, d AS s FROM {tree}{k - 1}"
+        out.append(
+            f"{tree}f{k} AS MATERIALIZED (SELECT f.tree, r, n, leaf, CASE WHEN n <= {1 << (k - 1)} THEN d WHEN (r >> {k - 1}) % 2 = 1 THEN sha256(coalesce(s, '') || d) ELSE sha256(d || coalesce(s, '')) END AS d,"
+            f" CASE WHEN n <= {1 << (k - 1)} THEN proof ELSE proof || coalesce(s, '') END AS proof FROM {tree}f{k - 1} AS f LEFT JOIN ({beside}) AS b ON f.tree = b.tree AND r >> {k - 1} = beside)"
+        )
+    return ",\n".join(out)
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+def _tops(tree: str, levels: int) -> str:
+    return " UNION ALL ".join(f"SELECT tree, d FROM {tree}{k} WHERE n <= {1 << k}" + (f" AND n > {1 << (k - 1)}" if k else "") for k in range(levels + 1))
+
+
+OP13 = f"""
+WITH {CRC_TABLE},
+docs AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_leaf('n_chars')} AS leaf,
+    CASE WHEN {crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {_leaf('(n_chars + 1)')} ELSE {_leaf('n_chars')} END AS changed
+  FROM documents, crc_table),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY tree) AS n FROM docs),
+l0 AS MATERIALIZED (SELECT tree, r, n, leaf AS d FROM placed),
+lf0 AS MATERIALIZED (SELECT tree, r, n, leaf, changed AS d, '' AS proof FROM placed),
+{_merkle("l", 20)},
+subroots AS MATERIALIZED ({_tops("l", 20)}),
+t0 AS MATERIALIZED (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS r, count(*) OVER () AS n, d, tree AS of_ FROM subroots),
+joined AS MATERIALIZED (
+  SELECT t0.r, t0.n, lf20.tree, lf20.r AS own, leaf, lf20.d, proof, t0.d AS subroot FROM lf20 JOIN t0 ON lf20.tree = t0.of_),
+tf0 AS MATERIALIZED (SELECT '' AS tree, r, n, tree || '|' || own AS leaf, d, proof FROM joined),
+{_merkle("t", 6)},
+root AS ({_tops("t", 6)})
+SELECT doc_id, placed.leaf, subroot, root.d AS root, sha256(tf6.proof) AS proof_sha256, tf6.d AS folded_root, tf6.d = root.d AS verified
+FROM placed JOIN joined ON placed.tree = joined.tree AND placed.r = joined.own JOIN tf6 ON tf6.leaf = joined.tree || '|' || joined.own, root
+"""
+
 OP8 = r"""
 WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM docs, unnest(range(1, len(w) - 48)) AS t(i)),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vaultline.llm import binary_output, bpe, decontamination, near_dedup, oracles, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, token_counts
+from vaultline.llm import binary_output, bpe, decontamination, merkle, near_dedup, oracles, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, token_counts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -34,8 +34,9 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": on_documents(substring_dedup.op8),
         "op9_suffix_dedup": on_documents(suffix_dedup.op9),
         "op10_token_files": on_documents(binary_output.op10, TOKENIZER),
+        "op13_merkle_manifest": on_documents(merkle.op13),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": oracles.OP5, "op8_substring_dedup": oracles.OP8, "op9_suffix_dedup": oracles.OP9}
+    return {"op5_decontamination": oracles.OP5, "op8_substring_dedup": oracles.OP8, "op9_suffix_dedup": oracles.OP9, "op13_merkle_manifest": oracles.OP13}
