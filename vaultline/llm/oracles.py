@@ -137,4 +137,11 @@ SELECT doc_id, CAST(len(list_filter(regexp_extract_all(t, '([Pp][Aa][Ss][Ss][Ww]
   CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access,
   CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
 FROM (SELECT doc_id, {_TEXT} AS t FROM documents)""",
+    "op12_embedding_whitening": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT) + 1000000) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+each AS (SELECT vec_id, i, x[i] AS x, sum(x[i]) OVER (PARTITION BY i) AS s, count(*) OVER (PARTITION BY i) AS n FROM v, unnest(range(1, len(x) + 1)) AS t(i)),
+rows_ AS (SELECT vec_id, any_value(n) AS n, CAST(sum((n * x - s) * (n * x - s)) AS BIGINT) AS deviation FROM each GROUP BY vec_id)
+SELECT vec_id, CAST(component AS INTEGER) AS component, n, deviation FROM rows_, unnest(range(1, 33)) AS c(component)""",
 }
