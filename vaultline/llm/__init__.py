@@ -1 +1 @@
-"""Training-data operators: near-duplicates, tokens, rules, shards, contamination, secrets."""
+"""Training-data operators: near-duplicates, tokens, rules, shards, contamination, secrets, toxicity, whitening, manifests."""

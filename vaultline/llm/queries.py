@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vaultline.llm import binary_output, bpe, decontamination, merkle, near_dedup, oracles, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, token_counts, whitening
+from vaultline.llm import binary_output, bpe, decontamination, merkle, near_dedup, oracles, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, token_counts, toxicity, whitening
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -34,6 +34,7 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": on_documents(substring_dedup.op8),
         "op9_suffix_dedup": on_documents(suffix_dedup.op9),
         "op10_token_files": on_documents(binary_output.op10, TOKENIZER),
+        "op11_toxicity": lambda spark, d: toxicity.op11(table(spark, d, "documents"), table(spark, d, "labels")),
         "op12_embedding_whitening": lambda spark, d: whitening.op12(table(spark, d, "embeddings")),
         "op13_merkle_manifest": on_documents(merkle.op13),
     }
