@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vaultline.functions.search import below
+
 STRETCHES = 64
 
 
@@ -19,8 +21,7 @@ def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str,
     number = F.col(order[0]) if dict(df.dtypes)[order[0]].startswith(("int", "bigint", "double", "float", "decimal")) else F.unix_micros(F.col(order[0]).cast("timestamp"))
     number = number.cast("double")
     edges = df.agg(F.percentile_approx(number, [k / stretches for k in range(1, stretches)], 10_000)).first()[0] or []
-    at = reduce(lambda a, e: a + F.when(number > e, 1).otherwise(0), sorted(set(edges)), F.lit(0))
-    cut = df.withColumn("_stretch", at)
+    cut = df.withColumn("_stretch", below(number, sorted(set(edges))))
     parts = cut.groupBy(*by, "_stretch").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
     before = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(*(F.col(c).alias(f"_of_{c}") for c in (*by, "_stretch")), *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in sums))

@@ -13,6 +13,7 @@ from vaultline.operators import raw_vault as rv
 from vaultline.operators import staging as st
 from vaultline.queries.bindings import END, GHOST, TABLES, Registry, diff_sql, key_sql, projected, stg_events, stg_li, stg_orders, table, with_sql
 from vaultline.sources import bronze, sinks
+from vaultline.sources.versioned import VersionedTable
 
 MID = "1998-01-01 00:00:00"
 
@@ -109,10 +110,20 @@ def materialised(r: Registry) -> None:
 
     def merged(s: SparkSession, d: str) -> DataFrame:
         o = table(s, d, "orders").select("o_orderkey", "o_orderstatus")
-        delta = o.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"))
+        delta = o.where("o_orderkey % 2 = 1 OR o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
         return sinks.merge_on(o.where("o_orderkey % 2 = 0"), delta, ["o_orderkey"])
 
-    r.add("snk4_merge_on", merged, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+    r.add("snk4_merge_on", merged, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+
+    def swapped(s: SparkSession, d: str) -> DataFrame:
+        """Three versions of a table in yearly folders, each merged with the one before and then made current."""
+        o = table(s, d, "orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").alias("y"))
+        stored = VersionedTable(s, shared_path(s, "merge"), ["y"])
+        for rows, status in (("o_orderkey % 2 = 0", "o_orderstatus"), ("o_orderkey % 2 = 1 OR y = 1996", "'odd or 1996'"), ("o_orderkey % 5 = 0 AND y > 1996", "'fifth'")):
+            stored.merge(o.where(rows).withColumn("o_orderstatus", F.expr(status)), ["o_orderkey", "y"])
+        return stored.read()
+
+    r.add("snk4_merge_versions", swapped, "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 AND y > 1996 THEN 'fifth' WHEN o_orderkey % 2 = 1 OR y = 1996 THEN 'odd or 1996' ELSE o_orderstatus END AS o_orderstatus, y FROM (SELECT *, CAST(year(o_orderdate) AS INT) AS y FROM orders)")
 
     def parted(s: SparkSession, d: str) -> DataFrame:
         path = shared_path(s, "parts")
@@ -135,6 +146,12 @@ def materialised(r: Registry) -> None:
 
     r.add("snk7_layout", laid, "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem")
 
+    def curved(s: SparkSession, d: str) -> DataFrame:
+        rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.trunc("l_shipdate", "year").alias("ship_year"))
+        return sinks.write_layout(rows, shared_path(s, "layout"), ["l_partkey", "l_suppkey"], "ship_year")
+
+    r.add("snk7_layout_partitioned", curved, "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(date_trunc('year', l_shipdate) AS DATE) AS ship_year FROM lineitem")
+
     def deduped(s: SparkSession, d: str) -> DataFrame:
         return sinks.deduplicated(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"), ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey"])
 
@@ -147,14 +164,14 @@ def materialised(r: Registry) -> None:
         loads = {
             "bronze": [even, third], "staging": [stg], "hub": [rv.load_hub(stg, "hk_customer", ["o_custkey"], "o_orderdate", "record_source")],
             "link": [rv.load_link(stg, "hk_order_customer", ["hk_order", "hk_customer"], "o_orderdate", "record_source")], "sat": [sat_status(s, d)],
-            "eff_sat": [even, sinks.merge_on(even, third, ["o_orderkey"])], "bv_sat": [o.select("o_custkey", "o_orderstatus").distinct()], "pit": [o, even.where("y = 1996")],
+            "eff_sat": [even, third], "bv_sat": [o.select("o_custkey", "o_orderstatus").distinct()], "pit": [o, even.where("y = 1996")],
             "bridge": [o, third], "dim": [even], "fact": [third],
         }
         counts = []
         for kind, batches in loads.items():
             at = f"snk8_{kind}" if sinks.STRATEGY[kind] == "view" else shared_path(s, kind)
             for df in batches:
-                stored = sinks.materialise(kind, df, at, ["y"])
+                stored = sinks.materialise(kind, df, at, ["y"], ["o_orderkey", "y"])
             counts.append(stored.agg(F.count("*").alias("n_rows")).withColumns({"kind": F.lit(kind), "strategy": F.lit(sinks.STRATEGY[kind])}))
         return reduce(DataFrame.unionByName, counts)
 
@@ -303,9 +320,8 @@ def raw_vault(r: Registry) -> None:
 
     def eff_batches(s: SparkSession, d: str) -> DataFrame:
         stored, path = None, shared_path(s, "eff")
-        for k, batch in enumerate(batches(stg_li(s, d), "l_shipdate", ["1997-01-01 00:00:00", "1999-06-01 00:00:00"])):
-            delta = rv.load_eff_sat(batch, *EFF, existing=stored)
-            stored = sinks.as_table(delta if stored is None else sinks.merge_on(stored, delta, ["hk_part", "start_date"]), f"{path}/{k}")
+        for batch in batches(stg_li(s, d), "l_shipdate", ["1997-01-01 00:00:00", "1999-06-01 00:00:00"]):
+            stored = sinks.materialise("eff_sat", rv.load_eff_sat(batch, *EFF, existing=stored), path, keys=["hk_part", "start_date"])
         return stored
 
     r.add("rv11_eff_sat_incremental", eff_batches, with_sql("eff_part") + "SELECT * FROM eff_part")
