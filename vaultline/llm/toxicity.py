@@ -42,6 +42,8 @@ MAX_LABELLED = 20_000
 MOST_ROWS = 4_000_000
 #: Rows of a broadcast list of labelled texts, of about 24 bytes each.
 MOST_LESSONS = 200_000
+#: Counts that a task adds up before it passes them on.
+HELD_ROWS = 1_000_000
 BOUNDARY = 0x20
 FEATURES = "per_symbol", "worst_window", "worst_word"
 
@@ -100,14 +102,26 @@ def counts(docs: DataFrame, known: DataFrame) -> DataFrame:
         lessons = F.broadcast(lessons)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, limit=8_000_000):
+        held: list[np.ndarray] = []  # rows: gram, toxic, ordinary
+
+        def summed() -> np.ndarray:
+            rows = np.concatenate(held, axis=1)
+            kinds, which = np.unique(rows[0], return_inverse=True)
+            return np.stack([kinds, *(np.bincount(which, weights=r, minlength=len(kinds)).astype(np.int64) for r in rows[1:])])
+
+        for batch in sliced(batches):
             words = Words(texts_of(batch))
             toxic = np.repeat(batch.column(1).to_numpy(), np.diff(words.bounds))
             per_word = [np.bincount(words.kind, weights=toxic == c, minlength=len(words.hashes)) for c in (1, 0)]
             gram, word = words.grams()
             kinds, which = np.unique(gram, return_inverse=True)
-            sums = [np.bincount(which, weights=w[word], minlength=len(kinds)).astype(np.int64) for w in per_word]
-            yield pa.record_batch([pa.array(kinds), *map(pa.array, sums)], ["gram", "toxic", "ordinary"])
+            held.append(np.stack([kinds, *(np.bincount(which, weights=w[word], minlength=len(kinds)).astype(np.int64) for w in per_word)]))
+            if sum(h.shape[1] for h in held) > HELD_ROWS:
+                held = [summed()]
+                if held[0].shape[1] > HELD_ROWS // 2:
+                    yield pa.record_batch(list(map(pa.array, held.pop())), ["gram", "toxic", "ordinary"])
+        if held:
+            yield pa.record_batch(list(map(pa.array, summed())), ["gram", "toxic", "ordinary"])
 
     each = texts.join(lessons, ["doc_id", "hash"]).select("text", "toxic").mapInArrow(counted, "gram long, toxic long, ordinary long")
     return written(each.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "grams")
@@ -197,7 +211,7 @@ def by_broadcast(docs: DataFrame, rows: DataFrame) -> DataFrame:
             at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
             return keys[at] == gram, ratios[at]
 
-        for batch in sliced(batches, limit=8_000_000):
+        for batch in sliced(batches):
             words = Words(texts_of(batch))
             gram, word = words.grams()
             kinds, which = np.unique(gram, return_inverse=True)
