@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vaultline.functions.hashing import GHOST_KEY, hashdiff
+from vaultline.functions.search import lower_bound
 from vaultline.operators.raw_vault import end_of_time, load_sat, no_ghost
 
 GHOST_DATE = "1900-01-01 00:00:00"
@@ -25,31 +26,53 @@ def as_of_dates(spark: SparkSession, start: str, end: str, grain: str = "day", b
     return dates.select(F.col("d").cast("timestamp_ntz").alias("as_of_date"))
 
 
-def valid_on(sat: DataFrame, pk: str, ldts: str, spine: DataFrame) -> DataFrame:
-    """(pk, as_of_date, load date): each version at the spine's dates on which it is the latest.
-
-    The spine comes along as one array (a row), so each version finds its dates by itself: no range join.
-    """
-    days = spine.agg(F.array_sort(F.collect_set("as_of_date")).alias("_days"))
-    until = F.lead(ldts).over(Window.partitionBy(pk).orderBy(ldts))
-    versions = sat.select(pk, ldts).distinct().withColumn("_until", until).crossJoin(F.broadcast(days))
-    inside = F.filter("_days", lambda d: (d >= F.col(ldts)) & (F.col("_until").isNull() | (d < F.col("_until"))))
-    return versions.select(pk, ldts, F.explode(inside).alias("as_of_date"))
+def pit(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, state: DataFrame | None = None) -> DataFrame:
+    """For each hub key and date, each satellite's latest load date and key; ghost values where it has none yet.
 
+    Versions of all satellites are one stream. A version finds the first of the spine's dates on or after it (binary search in the spine,
+    which comes along as one array), of those that share key and date the latest counts, which map tasks combine, so neither many
+    versions of a key nor many satellites add a shuffle; then each key's dates carry the latest so far forward.
 
-def pit(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str) -> DataFrame:
-    """For each hub key and date, each satellite's latest load date and key; ghost values where it has none yet."""
-    out = hub.select(pk).crossJoin(F.broadcast(spine))
+    ``state`` holds what earlier versions amount to: rows (pk, {name}_ldts) as of a date before the spine's first, as in ``pit_state``.
+    """
+    names = [name for name, _, _ in sats]
+    marks = hub.select(pk).withColumns({f"{n}_ldts": F.lit(None).cast("timestamp_ntz") for n in names}).withColumn("_hub", F.lit(1))
     for name, sat, ldts in sats:
-        valid = valid_on(sat, pk, ldts, spine).select(pk, "as_of_date", F.col(ldts).alias(f"{name}_ldts"))
-        out = out.join(valid, [pk, "as_of_date"], "left").withColumn(f"{name}_pk", F.when(F.col(f"{name}_ldts").isNull(), GHOST_KEY).otherwise(F.col(pk)))
-        out = out.withColumn(f"{name}_ldts", F.coalesce(f"{name}_ldts", F.lit(GHOST_DATE).cast("timestamp_ntz")))
-    return out
-
-
-def pit_since(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, since: str) -> DataFrame:
-    """The point-in-time rows of dates after ``since``, to overwrite just their partitions."""
-    return pit(hub, spine.where(F.col("as_of_date") > F.lit(since).cast("timestamp_ntz")), sats, pk)
+        own = [F.col(ldts).cast("timestamp_ntz").alias(f"{n}_ldts") if n == name else F.lit(None).cast("timestamp_ntz").alias(f"{n}_ldts") for n in names]
+        marks = marks.unionByName(sat.where(F.col(ldts).isNotNull()).select(pk, *own, F.lit(None).cast("int").alias("_hub")))
+    if state is not None:
+        known = [F.when(F.col(f"{n}_ldts") > F.lit(GHOST_DATE).cast("timestamp_ntz"), F.col(f"{n}_ldts")).alias(f"{n}_ldts") for n in names]
+        marks = marks.unionByName(state.select(pk, *known, F.lit(None).cast("int").alias("_hub")))
+    days = spine.agg(F.array_sort(F.collect_set("as_of_date")).alias("_days"))
+    at = F.greatest(*(F.col(f"{n}_ldts") for n in names)) if len(names) > 1 else F.col(f"{names[0]}_ldts")
+    slot = F.when(F.col("_hub") == 1, -1).otherwise(lower_bound(F.col("_days"), at))
+    placed = marks.crossJoin(F.broadcast(days)).withColumn("_slot", slot).where(F.col("_slot") < F.size("_days"))
+    latest = placed.groupBy(pk, "_slot").agg(*(F.max(f"{n}_ldts").alias(f"{n}_ldts") for n in names))
+    by_slot = F.map_from_entries(F.collect_list(F.struct("_slot", F.struct(*(f"{n}_ldts" for n in names)).alias("_mark"))))
+    keys = latest.groupBy(pk).agg(by_slot.alias("_marks")).where(F.map_contains_key("_marks", -1))
+    dated = keys.crossJoin(F.broadcast(days)).select(pk, "_marks", F.posexplode("_days").alias("_slot", "as_of_date"))
+    so_far = Window.partitionBy(pk).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    out = dated.select(pk, "as_of_date", *(F.max(F.try_element_at("_marks", F.col("_slot"))[f"{n}_ldts"]).over(so_far).alias(f"{n}_ldts") for n in names))
+    ghost = F.lit(GHOST_DATE).cast("timestamp_ntz")
+    cells = [c for n in names for c in (F.coalesce(f"{n}_ldts", ghost).alias(f"{n}_ldts"), F.when(F.col(f"{n}_ldts").isNull(), GHOST_KEY).otherwise(F.col(pk)).alias(f"{n}_pk"))]
+    return out.select(pk, "as_of_date", *cells)
+
+
+def pit_state(pit_rows: DataFrame, at: str) -> DataFrame:
+    """The snapshot that a next run carries forward: a stored point-in-time table's rows of one date."""
+    return pit_rows.where(F.col("as_of_date") == F.lit(at).cast("timestamp_ntz"))
+
+
+def pit_since(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, since: str, state: DataFrame | None = None) -> DataFrame:
+    """The point-in-time rows of dates after ``since``, to overwrite just their partitions.
+
+    With ``state``, the snapshot of ``since``, satellites are read only after that date (a literal that reaches the scan); a version that
+    was loaded late, with an older date than the snapshot, needs a run without it.
+    """
+    mark = F.lit(since).cast("timestamp_ntz")
+    if state is not None:
+        sats = [(name, sat.where(F.col(ldts) > mark), ldts) for name, sat, ldts in sats]
+    return pit(hub, spine.where(F.col("as_of_date") > mark), sats, pk, state)
 
 
 def active(eff_sat: DataFrame, as_of: Column | None = None) -> DataFrame:

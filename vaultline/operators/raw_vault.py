@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vaultline.functions.bloom import bloom, maybe_in
 from vaultline.functions.hashing import END_OF_TIME, GHOST_KEY
+from vaultline.sources.versioned import VersionedTable
 
 Stages = DataFrame | list[DataFrame]
 
@@ -32,8 +38,18 @@ def first_seen(rows: DataFrame, pk: str, order: list[str], rest: list[str]) -> D
     return best.select(pk, *(F.col(f"_first.{c}").alias(c) for c in [*rest, *order]))
 
 
-def absent(rows: DataFrame, existing: DataFrame | None, key: str) -> DataFrame:
-    return rows if existing is None else rows.join(existing.select(key), key, "left_anti")
+def touched(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """Of the stored rows those whose key the batch may hold: a Bloom filter of the batch's keys is tested where history is scanned,
+    so a small batch neither shuffles nor aggregates what it doesn't touch."""
+    return maybe_in(existing, bloom(batch.select(key), key), key)
+
+
+def absent(rows: DataFrame, existing: DataFrame | None, key: str, batch: DataFrame | None = None) -> DataFrame:
+    """Rows whose key is not stored; with ``batch``, the rows' source, stored keys outside of it are left away first."""
+    if existing is None:
+        return rows
+    stored = existing.select(key)
+    return rows.join(stored if batch is None else touched(stored, batch, key), key, "left_anti")
 
 
 def load_hub(stages: Stages, pk: str, nk: list[str] | list[list[str]], ldts: str, src: str, existing: DataFrame | None = None) -> DataFrame:
@@ -41,7 +57,7 @@ def load_hub(stages: Stages, pk: str, nk: list[str] | list[list[str]], ldts: str
     per_stage = nk if nk and isinstance(nk[0], list) else [nk]
     names = per_stage[0]
     rows = united(stages, [[pk, *own, ldts, src] for own in per_stage], [pk, *names, ldts, src])
-    return absent(first_seen(rows.where(F.col(pk).isNotNull()), pk, [ldts, src], names), existing, pk)
+    return absent(first_seen(rows.where(F.col(pk).isNotNull()), pk, [ldts, src], names), existing, pk, rows)
 
 
 def load_link(stages: Stages, pk: str, fks: list[str] | list[list[str]], ldts: str, src: str, existing: DataFrame | None = None, roles: list[str] | None = None) -> DataFrame:
@@ -49,7 +65,7 @@ def load_link(stages: Stages, pk: str, fks: list[str] | list[list[str]], ldts: s
     per_stage = fks if fks and isinstance(fks[0], list) else [fks]
     names = roles or per_stage[0]
     rows = united(stages, [[pk, *own, ldts, src] for own in per_stage], [pk, *names, ldts, src]).dropna(subset=[pk, *names])
-    return absent(first_seen(rows, pk, [ldts, src], names), existing, pk)
+    return absent(first_seen(rows, pk, [ldts, src], names), existing, pk, rows)
 
 
 def load_same_as(pairs: DataFrame, pk: str, master: str, duplicate: str, ldts: str, src: str, existing: DataFrame | None = None) -> DataFrame:
@@ -69,12 +85,13 @@ def latest(stored: DataFrame, pk: str, ldts: str, diff: str) -> DataFrame:
 
 
 def load_sat(stg: DataFrame, pk: str, diff: str, payload: list[str], ldts: str, src: str, eff: str | None = None, existing: DataFrame | None = None) -> DataFrame:
-    """Rows whose hashdiff differs from the version just before, in the batch or stored; stored history is read as its heads only."""
+    """Rows whose hashdiff differs from the version just before, in the batch or stored; of stored history only the heads of keys that
+    the batch may hold are aggregated."""
     columns = list(dict.fromkeys([pk, diff, *payload, *([eff] if eff else []), ldts, src]))
     batch = one_per_load(stg.select(*columns).where(F.col(pk).isNotNull()), pk, ldts, diff)
     before: Column = F.lag(diff).over(Window.partitionBy(pk).orderBy(ldts))
     if existing is not None:
-        batch = batch.join(latest(existing, pk, ldts, diff), pk, "left").where(F.col("_ldts").isNull() | (F.col(ldts) > F.col("_ldts")))
+        batch = batch.join(latest(touched(existing, stg, pk), pk, ldts, diff), pk, "left").where(F.col("_ldts").isNull() | (F.col(ldts) > F.col("_ldts")))
         before = F.coalesce(before, F.col("_diff"))
     changed = batch.withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.col(diff)))
     return changed.select(*columns)
@@ -117,12 +134,20 @@ def no_ghost(df: DataFrame, pk: str) -> DataFrame:
     return df.where(F.col(pk) != GHOST_KEY)
 
 
-def load_ma_sat(stg: DataFrame, pk: str, diff: str, payload: list[str], ldts: str, src: str) -> DataFrame:
-    """A set of rows per (key, load date); the whole set is stored when it differs from the set before."""
+def load_ma_sat(stg: DataFrame, pk: str, diff: str, payload: list[str], ldts: str, src: str, existing: DataFrame | None = None) -> DataFrame:
+    """A set of rows per (key, load date); the whole set is stored when it differs from the set before, in the batch or stored.
+
+    With ``existing``, sets of dates up to a key's last stored one are known already and left out; of stored history only the heads of
+    keys that the batch may hold are aggregated.
+    """
     rows = stg.select(pk, diff, *payload, ldts, src).where(F.col(pk).isNotNull()).dropDuplicates([pk, ldts, diff])
     sets = rows.groupBy(pk, ldts).agg(F.md5(F.array_join(F.array_sort(F.collect_list(diff)), "||")).alias("set_hashdiff"))
-    before = F.lag("set_hashdiff").over(Window.partitionBy(pk).orderBy(ldts))
-    changed = sets.withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.col("set_hashdiff"))).drop("_before")
+    before: Column = F.lag("set_hashdiff").over(Window.partitionBy(pk).orderBy(ldts))
+    if existing is not None:
+        heads = latest(touched(existing, stg, pk), pk, ldts, "set_hashdiff")
+        sets = sets.join(heads, pk, "left").where(F.col("_ldts").isNull() | (F.col(ldts) > F.col("_ldts")))
+        before = F.coalesce(before, F.col("_diff"))
+    changed = sets.withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.col("set_hashdiff"))).select(pk, ldts, "set_hashdiff")
     return rows.join(changed, [pk, ldts]).select(pk, "set_hashdiff", diff, *payload, ldts, src)
 
 
@@ -142,17 +167,78 @@ def load_record_tracking(stg: DataFrame, pk: str, ldts: str, batch_date: Column,
 
 @dataclass
 class VaultSpec:
-    """A vault: how to stage each source, and loaders by entity name and kind (hub, link, sat, eff_sat)."""
+    """A vault: how to stage each source, loaders by entity name and kind (hub, link, sat, eff_sat), and the keys that merged entities have."""
 
     stages: dict[str, Callable[[SparkSession], DataFrame]]
-    entities: list[tuple[str, str, Callable[[dict[str, DataFrame], DataFrame | None], DataFrame]]] = field(default_factory=list)
+    entities: list[tuple[str, str, Callable[[Mapping[str, DataFrame], DataFrame | None], DataFrame]]] = field(default_factory=list)
+    merge_keys: dict[str, list[str]] = field(default_factory=dict)
 
 
 ORDER = {"hub": 0, "link": 1, "sat": 2, "eff_sat": 3}
 
 
 def load_vault(spark: SparkSession, spec: VaultSpec, existing: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Lazy rows to add for each entity, in dependency order; each source is staged once."""
+    """Lazy rows to add for each entity, in dependency order. Nothing is kept between entities, so each that is written stages its
+    source anew; ``run_vault`` stages once and writes."""
     staged = {name: make(spark) for name, make in spec.stages.items()}
     stored = existing or {}
     return {name: load(staged, stored.get(name)) for name, _, load in sorted(spec.entities, key=lambda e: ORDER[e[1]])}
+
+
+class Staged(dict[str, DataFrame]):
+    """Staged sources; those that failed raise their own error when asked for."""
+
+    def __init__(self, frames: dict[str, DataFrame], errors: dict[str, Exception]):
+        super().__init__(frames)
+        self.errors = errors
+
+    def __missing__(self, name: str) -> DataFrame:
+        raise self.errors.get(name) or KeyError(name)
+
+
+def side_by_side(spark: SparkSession, tasks: dict[str, Callable[[], int]], workers: int) -> dict[str, int | Exception]:
+    """Each task's result or error; so many run at once, and one that fails stops no other."""
+
+    def tried(task: Callable[[], int]) -> int | Exception:
+        try:
+            return task()
+        except Exception as e:  # noqa: BLE001  the caller has it in the outcome
+            return e
+
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        running = {name: pool.submit(inheritable_thread_target(spark)(tried), task) for name, task in tasks.items()}
+        return {name: r.result() for name, r in running.items()}
+
+
+def run_vault(spark: SparkSession, spec: VaultSpec, path: str, workers: int = 4) -> DataFrame:
+    """Loads one batch into the versioned tables under ``path`` and returns entity, kind, status (OK or FAILED), n_rows and error.
+
+    Every source is staged once, into files that all its entities read. Hubs come first, then links, satellites and effectivity
+    satellites; the writes of one kind run side by side. Each entity becomes current by itself, by its pointer: one that fails keeps its
+    version, the others go on, and the batch can be run again, since loaders leave out what is stored.
+    """
+    work = f"{path}/_staging/{uuid.uuid4().hex}"
+    frames: dict[str, DataFrame] = {}
+
+    def stage(name: str) -> int:
+        df = spec.stages[name](spark)
+        df.write.parquet(f"{work}/{name}")
+        frames[name] = spark.read.schema(df.schema).parquet(f"{work}/{name}")
+        return 0
+
+    def load(name: str, kind: str, loader: Callable[[Mapping[str, DataFrame], DataFrame | None], DataFrame]) -> int:
+        target, seen = VersionedTable(spark, f"{path}/{name}"), Observation()
+        rows = loader(staged, target.read()).observe(seen, F.count("*").alias("n"))
+        target.merge(rows, spec.merge_keys[name]) if name in spec.merge_keys else target.append(rows)
+        return int(seen.get["n"])
+
+    failed = side_by_side(spark, {name: partial(stage, name) for name in spec.stages}, workers)
+    staged = Staged(frames, {name: e for name, e in failed.items() if isinstance(e, Exception)})
+    out = []
+    for kind in sorted(ORDER, key=ORDER.__getitem__):
+        own = [e for e in spec.entities if e[1] == kind]
+        done = side_by_side(spark, {e[0]: partial(load, *e) for e in own}, workers)
+        out += [(n, kind, "FAILED", None, str(r).split("\n")[0]) if isinstance(r, Exception) else (n, kind, "OK", r, None) for n, r in done.items()]
+    at = spark._jvm.org.apache.hadoop.fs.Path(work)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return spark.createDataFrame(out, "entity string, kind string, status string, n_rows long, error string")

@@ -351,6 +351,28 @@ def raw_vault(r: Registry) -> None:
     names = ["hub_customer", "link_oc", "sat_status", "eff_part"]
     r.add("rv14_load_vault", whole, with_sql(*names) + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows, CASE WHEN count(*) > 0 THEN 'OK' ELSE 'WARN' END AS status FROM {n}" for n in names))
 
+    def stored(s: SparkSession, d: str) -> DataFrame:
+        """Two batches, the second of which holds all rows, into stored tables; then what each of them has."""
+        path = shared_path(s, "vault")
+        loaders = [
+            ("hub_customer", "hub", lambda g, old: rv.load_hub(g["orders"], *HUB, existing=old)),
+            ("link_oc", "link", lambda g, old: rv.load_link(g["orders"], "hk_order_customer", ["hk_order", "hk_customer"], "o_orderdate", "record_source", old)),
+            ("sat_status", "sat", lambda g, old: rv.load_sat(g["orders"], *SAT, existing=old)), ("sat_priority", "sat", lambda g, old: rv.load_sat(g["orders"], *PRIORITY, existing=old)),
+            ("eff_part", "eff_sat", lambda g, old: rv.load_eff_sat(g["li"], *EFF, existing=old)),
+        ]
+        for part in (0, None):
+            first = lambda df, ts, part=part: df if part is None else old_new(df, ts)[0]
+            sources_ = {"orders": lambda sp, first=first: first(stg_orders(sp, d), "o_orderdate"), "li": lambda sp, first=first: first(stg_li(sp, d), "l_shipdate")}
+            spec = rv.VaultSpec(sources_, loaders if part is None else loaders[::-1], {"eff_part": ["hk_part", "start_date"]})
+            failed = rv.run_vault(s, spec, path).where("status <> 'OK'").collect()
+            if failed:
+                raise RuntimeError(str(failed))
+        digests = [VersionedTable(s, f"{path}/{n}").read().agg(F.count("*").alias("n_rows"), F.count_distinct(F.col(k)).alias("n_keys")).withColumn("entity", F.lit(n)) for n, k in KEYS.items()]
+        return reduce(DataFrame.unionByName, digests)
+
+    KEYS = {"hub_customer": "hk_customer", "link_oc": "hk_order_customer", "sat_status": "hd_status", "sat_priority": "hd_priority", "eff_part": "hk_part_supplier"}
+    r.add("rv14_run_vault", stored, with_sql(*KEYS) + " UNION ALL ".join(f"SELECT count(*) AS n_rows, count(DISTINCT {k}) AS n_keys, '{n}' AS entity FROM {n}" for n, k in KEYS.items()))
+
     def same_as(s: SparkSession, d: str) -> DataFrame:
         p = table(s, d, "part").select("p_name", "p_brand", "p_partkey", F.lit("2000-01-01 00:00:00").cast("timestamp_ntz").alias("load_dts"), F.lit("PART").alias("record_source"))
         first = p.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("master"))
@@ -358,12 +380,20 @@ def raw_vault(r: Registry) -> None:
         return rv.load_same_as(pairs.withColumn("hk_same", hash_key(["master", "p_partkey"])), "hk_same", "hk_master", "hk_duplicate", "load_dts", "record_source")
 
     r.add("rv15_same_as", same_as, f"SELECT {key_sql('master', 'p_partkey')} AS hk_same, {key_sql('master')} AS hk_master, {key_sql('p_partkey')} AS hk_duplicate, TIMESTAMP '2000-01-01 00:00:00' AS load_dts, 'PART' AS record_source FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS master FROM part) WHERE master <> p_partkey")
+
+    def ma_batches(s: SparkSession, d: str) -> DataFrame:
+        rows, stored_ = stg_li(s, d).withColumn("hd_line", hashdiff(["l_linenumber", "l_partkey", "quantity"])), VersionedTable(s, shared_path(s, "ma"))
+        for batch in batches(rows, "l_shipdate", ["1996-12-31 00:00:00", "1999-06-30 00:00:00"]):
+            stored_.append(rv.load_ma_sat(batch, "hk_order", "hd_line", ["l_linenumber", "l_partkey", "quantity"], "l_shipdate", "record_source", stored_.read()))
+        return stored_.read()
+
     ma = f"{diff_sql('l_linenumber', 'l_partkey', 'quantity')}"
     r.add("rv16_ma_sat", lambda s, d: rv.load_ma_sat(stg_li(s, d).withColumn("hd_line", hashdiff(["l_linenumber", "l_partkey", "quantity"])), "hk_order", "hd_line", ["l_linenumber", "l_partkey", "quantity"], "l_shipdate", "record_source"),
           with_sql("stg_li") + f""", rows_ AS (SELECT DISTINCT hk_order, {ma} AS hd_line, l_linenumber, l_partkey, quantity, l_shipdate, record_source FROM stg_li),
     sets AS (SELECT hk_order, l_shipdate, md5(string_agg(hd_line, '||' ORDER BY hd_line)) AS set_hashdiff FROM rows_ GROUP BY hk_order, l_shipdate),
     changed AS (SELECT * FROM (SELECT *, lag(set_hashdiff) OVER (PARTITION BY hk_order ORDER BY l_shipdate) AS b FROM sets) WHERE b IS DISTINCT FROM set_hashdiff)
     SELECT hk_order, set_hashdiff, hd_line, l_linenumber, l_partkey, quantity, l_shipdate, record_source FROM rows_ JOIN changed USING (hk_order, l_shipdate)""")
+    r.add("rv16_ma_sat_incremental", ma_batches, r.sql["rv16_ma_sat"])
     extract = lambda s, d, lo, hi: rv.one_per_load(stg_orders(s, d).where(f"year(o_orderdate) between {lo} and {hi}").select("hk_customer", "hd_state", F.lit(0).alias("k")), "hk_customer", "k", "hd_state")
     sql = lambda lo, hi: f"SELECT hk_customer, max(hd_state) AS hd FROM stg_orders WHERE year(o_orderdate) BETWEEN {lo} AND {hi} GROUP BY hk_customer"
     r.add("rv17_status_sat", lambda s, d: rv.load_status_sat(extract(s, d, 1995, 1996), extract(s, d, 1997, 1998), "hk_customer", "hd_state", F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")),

@@ -13,6 +13,7 @@ from vaultline.operators import raw_vault as rv
 from vaultline.queries.bindings import END, TABLES, Registry, diff_sql, projected, stg_li, stg_orders, table, with_sql
 from vaultline.queries.loads import eff_part, hub_customer, sat_priority, sat_status, shared_path
 from vaultline.sources import bronze, sinks
+from vaultline.sources.versioned import VersionedTable
 
 TODAY = "2002-01-01"
 KINDS = {"ECONOMY": "basic", "STANDARD": "basic", "PROMO": "special"}
@@ -63,6 +64,20 @@ def business(r: Registry) -> None:
         return s.read.parquet(path).withColumn("as_of_date", F.col("as_of_date").cast("timestamp_ntz"))
 
     r.add("bv3_pit_incremental", since, with_sql("pit_customer") + "SELECT * FROM pit_customer")
+
+    def carried(s: SparkSession, d: str) -> DataFrame:
+        """Satellites written once; the dates of each half year go on from the snapshot of the last one before."""
+        path, hub = shared_path(s, "pit"), hub_customer(s, d)
+        sats = [(n, sinks.as_table(sat(s, d), shared_path(s, f"sat-{n}")), "o_orderdate") for n, sat in (("status", sat_status), ("priority", sat_priority))]
+        edges = ["1997-12-31 00:00:00", "1999-12-31 00:00:00"]
+        early, middle = (months(s).where(F.col("as_of_date") <= F.lit(e).cast("timestamp_ntz")) for e in edges)
+        stored = VersionedTable(s, path)
+        stored.append(bv.pit(hub, early, sats, "hk_customer"))
+        for spine, edge in ((middle, edges[0]), (months(s), edges[1])):
+            stored.append(bv.pit_since(hub, spine, sats, "hk_customer", edge, bv.pit_state(stored.read(), edge)))
+        return stored.read()
+
+    r.add("bv3_pit_carried", carried, with_sql("pit_customer") + "SELECT * FROM pit_customer")
     r.add("bv4_bridge", customer_bridge, BRIDGE + f"SELECT o.hk_order, o.hk_customer, o.hk_order_customer, l.hk_order_part_supplier, l.hk_part, l.hk_supplier FROM link_oc o JOIN ({LINK_LINES}) l USING (hk_order) WHERE (l.hk_part, l.hk_supplier) IN (SELECT (hk_part, hk_supplier) FROM eff_part WHERE end_date = {END})")
     moment = "TIMESTAMP '1999-03-31 00:00:00'"
     r.add("bv4_bridge_as_of", lambda s, d: customer_bridge(s, d, F.lit("1999-03-31 00:00:00").cast("timestamp_ntz")), BRIDGE + f"SELECT o.hk_order, o.hk_customer, o.hk_order_customer, l.hk_order_part_supplier, l.hk_part, l.hk_supplier FROM link_oc o JOIN ({LINK_LINES}) l USING (hk_order) WHERE (l.hk_part, l.hk_supplier) IN (SELECT (hk_part, hk_supplier) FROM eff_part WHERE start_date <= {moment} AND {moment} < end_date)")
@@ -195,6 +210,7 @@ FULL = {
     "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "orders": COLUMNS["orders"],
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
 }
+DOUBLES = {"c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax"}
 FKS = "SELECT DISTINCT c.table_name, c.column_name, p.table_name AS parent_table FROM catalog_ c JOIN (SELECT DISTINCT table_name, regexp_replace(table_name, 's$', '') AS stem FROM catalog_) p ON c.table_name <> p.table_name AND regexp_replace(lower(c.column_name), '^[a-z]_', '') IN (p.stem || '_id', p.stem || 'id', p.stem || '_key', p.stem || 'key')"
 
 
@@ -202,9 +218,19 @@ def profiling(r: Registry) -> None:
     for t in ("customer", "orders", "events"):
         r.add(f"pr1_profile_{t}", lambda s, d, t=t: pr.profile(table(s, d, t)), profile_sql(t, COLUMNS[t]))
     r.add("pr1_profile_empty", lambda s, d: pr.profile(table(s, d, "region").where("r_regionkey < 0")), "SELECT column_name, CAST(0 AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_nulls, CAST(0 AS BIGINT) AS n_distinct, 0.0::DOUBLE AS null_rate, 0.0::DOUBLE AS cardinality_ratio, false AS is_likely_key FROM (VALUES ('r_regionkey'), ('r_name')) v(column_name)")
-    sample = lambda s, d: pr.profile(table(s, d, "customer"), samples=5).select("column_name", F.array_join("samples", "|").alias("samples"))
-    few = lambda c: f"SELECT '{c}' AS column_name, string_agg(v, '|' ORDER BY v) AS samples FROM (SELECT DISTINCT substr(CAST({c} AS VARCHAR), 1, 200) AS v FROM customer ORDER BY v LIMIT 5)"
-    r.add("pr2_samples", lambda s, d: sample(s, d).where("column_name <> 'c_acctbal'"), " UNION ALL ".join(few(c) for c in COLUMNS["customer"] if c != "c_acctbal"))
+    money = lambda: F.col("c_acctbal").cast("decimal(18,2)")  # noqa: E731  engines print doubles in their own ways
+    sample = lambda s, d: pr.profile(table(s, d, "customer").withColumn("c_acctbal", money()), samples=5).select("column_name", F.array_join("samples", "|").alias("samples"))
+    few = lambda c, v: f"SELECT '{c}' AS column_name, string_agg(v, '|' ORDER BY v) AS samples FROM (SELECT DISTINCT substr(CAST({v} AS VARCHAR), 1, 200) AS v FROM customer ORDER BY v LIMIT 5)"
+    r.add("pr2_samples", sample, " UNION ALL ".join(few(c, "CAST(c_acctbal AS DECIMAL(18,2))" if c == "c_acctbal" else c) for c in COLUMNS["customer"]))
+
+    def sketched(s: SparkSession, d: str) -> DataFrame:
+        """Sketches of each month's orders, merged; the last column holds them against the exact counts."""
+        o = table(s, d, "orders").withColumn("month", F.trunc("o_orderdate", "month"))
+        parts = sinks.as_table(pr.part_profiles(o, "month"), shared_path(s, "profiles"))
+        exact = pr.profile(o.drop("month")).select("column_name", F.col("n_distinct").alias("exact"))
+        return pr.merged_profile(parts).join(exact, "column_name").select("column_name", "n_rows", "n_nulls", "null_rate", (F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest("n_distinct_error", F.lit(1))).alias("within_error"))
+
+    r.add("pr1_profile_sketches", sketched, " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, round((count(*) - count({c})) / count(*), 6) AS null_rate, true AS within_error FROM orders" for c in COLUMNS["orders"]))
     r.add("pr3_likely_keys", lambda s, d: profiles(s, d).where(pr.likely_key(pr.is_system(F.col("column_name")))).select("table_name", "column_name"), " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name FROM {t} HAVING count(*) > 0 AND count({c}) = count(*) AND round(count(DISTINCT {c}) / count(*), 6) >= 0.99" for t, cs in FULL.items() for c in cs))
     r.add("pr4_profile_subset", lambda s, d: pr.profile(table(s, d, "lineitem"), ["l_partkey", "l_linenumber"]), profile_sql("lineitem", ["l_partkey", "l_linenumber"]))
     named = lambda s, d: projected(s, d, "catalog_names")[0]
@@ -222,6 +248,11 @@ def profiling(r: Registry) -> None:
 
     inc = lambda a, b, c, k: f"SELECT count(*) AS child_values, count(*) FILTER (WHERE {b} IN (SELECT {k} FROM {c})) AS found, count(*) = count(*) FILTER (WHERE {b} IN (SELECT {k} FROM {c})) AS included, '{a}.{b}>{c}.{k}' AS pair FROM (SELECT DISTINCT {b} FROM {a})"
     r.add("pr10_inclusion", included, " UNION ALL ".join([inc("orders", "o_custkey", "customer", "c_custkey"), inc("lineitem", "l_orderkey", "orders", "o_orderkey"), inc("customer", "c_nationkey", "nation", "n_nationkey"), inc("orders", "o_orderkey", "customer", "c_custkey")]))
+    whole = {t: FULL[t] for t in ("orders", "lineitem", "part", "customer", "supplier", "nation")}
+    cell = lambda c: f"'t' || strftime({c}, '%Y-%m-%d %H:%M:%S')" if c.endswith("date") else f"'d' || CAST({c} AS VARCHAR)" if c in DOUBLES else f"'i' || CAST({c} AS VARCHAR)" if c.endswith(("key", "number", "size")) else f"'s' || {c}"
+    held = " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, {cell(c)} AS v FROM {t} WHERE {c} IS NOT NULL" for t, cs in whole.items() for c in cs)
+    r.add("pr10_inclusions", lambda s, d: pr.inclusions({t: table(s, d, t) for t in whole}),
+          f"WITH held AS ({held}), sizes AS (SELECT t, c, count(*) AS child_values FROM held GROUP BY t, c), both_ AS (SELECT a.t AS child_table, a.c AS child_column, b.t AS parent_table, b.c AS parent_column, count(*) AS found FROM held a JOIN held b USING (v) WHERE (a.t, a.c) <> (b.t, b.c) GROUP BY ALL) SELECT child_table, child_column, parent_table, parent_column, child_values, found, found = child_values AS included FROM both_ JOIN sizes ON t = child_table AND c = child_column")
     keys = lambda s, d: pr.detect_bk(named(s, d)).select("table_name", F.col("business_key").alias("column_name"))
     classed = lambda s, d: pr.classify_columns(named(s, d), keys(s, d), projected(s, d, "catalog_profiles")[0])
     changing = "'^(status|state|connected|flag|active|enabled|in_service|operational|heartbeat|is_[a-z0-9_]+|has_[a-z0-9_]+|current_[a-z0-9_]+|last_[a-z0-9_]+_at)$|_(status|state|flag|state_at)$'"

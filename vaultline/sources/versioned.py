@@ -27,7 +27,8 @@ COMMIT = "commit"
 
 def merge_on(target: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """The target with the delta's rows in place of those of equal keys; keys that hold nulls equal none."""
-    return target.join(delta.select(*keys).distinct(), keys, "left_anti").unionByName(delta, allowMissingColumns=True)
+    kept = target.join(delta.select(*keys).distinct(), keys, "left_anti").select(*target.columns)
+    return kept.unionByName(delta, allowMissingColumns=True)
 
 
 class Conflict(RuntimeError):
