@@ -43,17 +43,16 @@ def brute_model(texts):
     """Kneser-Ney by dictionaries: (toxic, text) pairs to the log-likelihood ratio of a word."""
     top = {1: defaultdict(Counter), 0: defaultdict(Counter)}
     for c, text in texts:
-        for w in text.lower().split():
-            s = b" " + w.encode() + b" "
-            for i in range(1, len(s)):
-                top[c][s[max(0, i - 5) : i]][s[i]] += 1
+        spelled = [b" " + w.encode() + b" " for w in text.lower().split()]
+        for h, x in {(s[max(0, i - 5) : i], s[i]) for s in spelled for i in range(1, len(s))}:
+            top[c][h][x] += 1
     longer = {(h[j:], x) for c in top for h, row in top[c].items() for x in row for j in range(len(h))}
     low = defaultdict(Counter)
     for h, x in longer:
         low[h[1:]][x] += 1
     cut = lambda values: toxicity.discount(sum(v == 1 for v in values), sum(v == 2 for v in values))
     d = [cut([v for h, row in low.items() if len(h) == k for v in row.values()]) for k in range(5)]
-    own = {c: cut([v for row in top[c].values() for v in row.values()]) for c in top}
+    own = {1: 1.0, 0: 1.0}
 
     def shared(h, x):
         p = shared(h[1:], x) if h else 1 / 257
@@ -120,17 +119,15 @@ def test_no_labels_of_a_class(made, nothing):
 
 
 def test_counts_of_ngrams(spark):
-    texts = [(1, "abra abba"), (0, "abracadabra cab"), (0, "bad")]
+    texts = [(1, "abra abba abra"), (0, "abracadabra cab"), (0, "bad")]
     gram_counts = toxicity.counts(
         spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string"),
         spark.createDataFrame([(i, c, 2) for i, (c, _) in enumerate(texts)], "doc_id long, toxic int, fold int"),
     )
     want = Counter()
     for c, t in texts:
-        for w in t.split():
-            s = b" " + w.encode() + b" "
-            for i in range(1, len(s)):
-                want[int.from_bytes(s[max(0, i - 5) : i + 1]), c] += 1
+        spelled = [b" " + w.encode() + b" " for w in t.split()]
+        want.update({(int.from_bytes(s[max(0, i - 5) : i + 1]), c) for s in spelled for i in range(1, len(s))})
     got = Counter()
     for r in gram_counts.collect():
         for c, n in ((1, r["toxic"]), (0, r["ordinary"])):
