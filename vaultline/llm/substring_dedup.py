@@ -11,7 +11,7 @@ allow a broadcast; each shard's automaton is built where its passages are shuffl
 broadcast form, for a reference of bounded size.
 
 Cases: null and empty texts have no words; shorter documents than a window keep all; equal windows within one
-document stay, and so do rows that share a doc_id; documents with a null doc_id are neither changed nor
+document stay, and so do those of rows that share a doc_id, each of which is judged by its own text; documents with a null doc_id are neither changed nor
 compared; an empty table gives no rows; extra columns are ignored.
 """
 

@@ -12,7 +12,7 @@ A bucket's transform, row map and common prefixes are flat arrays that every rou
 with bounded buckets they fit in a task's memory, so they are not put in files.
 
 Cases: null and empty texts have no bytes; shorter documents than a window keep all; equal strings within one
-document stay, and so do rows that share a doc_id; documents with a null doc_id are neither changed nor
+document stay, and so do those of rows that share a doc_id, each of which is judged by its own text; documents with a null doc_id are neither changed nor
 compared; an empty table gives no rows; extra columns are ignored.
 """
 

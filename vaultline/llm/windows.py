@@ -26,13 +26,14 @@ one. Nothing is capped; documents meet only in buckets of anchors, never pairwis
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultline.llm.merkle import ranked
 from vaultline.llm.shared import RangeHash, mix, parts, ragged, sliced, text_bytes, texts_of, words_of, written
 
 #: Solves one bucket: (documents, contexts as one flat array, their bounds, window) to a flag for each place in the flat array.
@@ -51,6 +52,8 @@ class Symbols:
     words: bool
     window: int
     gram: int
+    #: Bits of a document's number below its doc_id, where several texts share one (see ``numbered``).
+    low: int = 0
 
     @property
     def dtype(self) -> np.dtype:
@@ -158,7 +161,7 @@ def anchor_rows(docs: DataFrame, kind: Symbols, buckets: int, refs: bool = True)
             head[1:] = (a.key[order][1:] != a.key[order][:-1]) | (context[order][1:] != context[order][:-1])
             earliest = np.empty(len(order), np.int64)  # the row of the batch's earliest document with the same context
             earliest[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1] if len(order) else order
-            later = doc > doc[earliest]
+            later = doc >> kind.low > doc[earliest] >> kind.low
             bucket = (a.key % np.uint64(buckets)).astype(np.int32)
             columns = {"keys": a.key, "contexts": context, "docs": doc, "firsts": first, "counts": a.count.astype(np.uint8)}
             # six bytes of a context's hash travel, low four and high two apart
@@ -186,7 +189,7 @@ def per_document(doc: np.ndarray, kind: int, columns: list[np.ndarray]) -> list[
     return [{"doc_id": int(doc[p[0]]), "kind": kind, "places": b"".join(c[p].tobytes() for c in columns)} for p in np.split(order, cuts)] if len(order) else []
 
 
-def settle(table: pa.Table, most: int = HOT, refs: bool = True) -> pa.Table:
+def settle(table: pa.Table, most: int = HOT, refs: bool = True, low: int = 0) -> pa.Table:
     """Finds of one bucket of anchors: kind 0, contexts that an earlier document has (``refs``: and where); kind 1, contested contexts; kind 2,
     those of anchors with over ``most``."""
     rows = table.to_pylist()
@@ -213,7 +216,7 @@ def settle(table: pa.Table, most: int = HOT, refs: bool = True) -> pa.Table:
         new_context = new_key | np.append(True, context[1:] != context[:-1])
         ref = np.flatnonzero(new_context)[np.cumsum(new_context) - 1]
         earliest = doc[ref]
-        found = doc > earliest
+        found = doc >> low > earliest >> low
         group = np.cumsum(new_key) - 1
         contexts = np.bincount(group, new_context)
         begins = np.flatnonzero(new_key)
@@ -371,8 +374,9 @@ def hot_finds(joined: DataFrame, kind: Symbols) -> DataFrame:
                 yield batch_of(per_document(doc, 0, [place.astype(np.uint32), np.ones(len(place), np.uint8)]), FIND_TYPES)
 
     rows = written(joined.select("doc_id", "text", "places").mapInArrow(run, "key long, window long, doc_id long, place long"), "hot")
-    least = rows.groupBy("key", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
-    later = rows.join(least.select("key", "window", "least"), ["key", "window"]).where("doc_id > least")
+    own = F.shiftright("doc_id", kind.low)
+    least = rows.groupBy("key", "window").agg(F.min(own).alias("least"), F.max(own).alias("last")).where("least < last")
+    later = rows.join(least.select("key", "window", "least"), ["key", "window"]).where(own > F.col("least"))
     return later.select("doc_id", "place").mapInArrow(packed, FINDS)
 
 
@@ -405,7 +409,7 @@ class Bucket:
 def solver(kind: Symbols, solve: Solve) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         own = Bucket.of(table.to_pylist(), kind)
-        return own.finds(solve(own.doc, own.flat, own.bounds, kind.window))
+        return own.finds(solve(own.doc >> kind.low, own.flat, own.bounds, kind.window))
 
     return run
 
@@ -434,7 +438,7 @@ def found_windows(
     expected = symbols * 2 // (kind.window - kind.gram + 2)
     refs = follow is not None
     rows = anchor_rows(docs, kind, parts(spark, expected, bucket_anchors), refs)
-    finds = written(rows.groupBy("bucket").applyInArrow(lambda table: settle(table, hot, refs), FINDS), "anchors")
+    finds = written(rows.groupBy("bucket").applyInArrow(lambda table: settle(table, hot, refs, kind.low), FINDS), "anchors")
     by_doc = lambda df: df.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     by_kind = lambda df: df.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "places")).alias("places"))
     with_texts = lambda df: docs.select("doc_id", "text").join(by_kind(df).hint("shuffle_hash"), "doc_id")
@@ -468,7 +472,35 @@ def covered(n: int, lists: list[bytes] | None, window: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` (doc_id, text) with ``number``, one for each distinct (doc_id, text), and how many of its low bits tell texts of one doc_id apart.
+
+    Where every doc_id has one text, as a rule, the number is the doc_id and nothing is joined.
+    """
+    print_ = {"hash": F.xxhash64("text"), "size": F.coalesce(F.octet_length("text"), F.lit(-1))}
+    texts = docs.where("doc_id is not null").select("doc_id", *(c.alias(n) for n, c in print_.items()))
+    several = texts.groupBy("doc_id").agg(F.min(F.struct("hash", "size")).alias("a"), F.max(F.struct("hash", "size")).alias("b")).where("a <> b").select("doc_id")
+    several = written(several, "several")
+    if several.isEmpty():
+        return docs.withColumn("number", F.col("doc_id")), 0
+    pairs = texts.join(several, "doc_id", "left_semi").distinct().withColumn("tree", F.col("doc_id"))
+    ranks = written(ranked(pairs, ["hash", "size"], "texts").select("doc_id", "hash", "size", "rank"), "texts-ranked")
+    low = int(ranks.agg(F.max("rank")).first()[0]).bit_length()
+    ends = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if max(-ends[0], ends[1]) >> (62 - low):  # no room for low bits: the doc_ids' order stands for them
+        ids = ranked(docs.where("doc_id is not null").select("doc_id").distinct().withColumn("tree", F.lit(0)), ["doc_id"], "ids").select("doc_id", F.col("rank").alias("place"))
+        docs = docs.join(ids, "doc_id", "left")
+    else:
+        docs = docs.withColumn("place", F.col("doc_id"))
+    known = docs.withColumns(print_)
+    same = [F.col(f"of.{c}").eqNullSafe(F.col(f"one.{c}")) for c in ("doc_id", "hash", "size")]
+    both = known.alias("of").join(ranks.alias("one"), same, "left")
+    return both.select("of.doc_id", "of.text", (F.shiftleft("of.place", low) + F.coalesce("one.rank", F.lit(0))).alias("number")), low
+
+
 def with_windows(docs: DataFrame, kind: Symbols, solve: Solve, follow: Follow | None = None) -> DataFrame:
     """doc_id, text and ``places`` (null where nothing was found) of every row of ``docs``."""
-    found = found_windows(docs.select(F.col("doc_id").cast("long"), "text"), kind, solve, follow=follow)
-    return docs.select(F.col("doc_id").cast("long"), "text").join(found.hint("shuffle_hash"), "doc_id", "left")
+    known, low = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = found_windows(known.select(F.col("number").alias("doc_id"), "text"), replace(kind, low=low), solve, follow=follow)
+    joined = known.join(found.withColumnRenamed("doc_id", "number").hint("shuffle_hash"), "number", "left")
+    return joined.select("doc_id", "text", "places")
