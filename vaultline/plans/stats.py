@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultline.functions.running import running_sums
@@ -56,21 +59,47 @@ def drawn_number(digits: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, digits), 16, 10).cast("long")
 
 
+#: Up to so many values a group's draws are picks from its values, in one row; beyond, weights of its rows.
+SMALL = 1000
+CHUNKS = 32
+#: P(Poisson(1) <= j) of 2^48, for j from 0.
+POISSON = [round(2**48 * sum(math.exp(-1) / math.factorial(x) for x in range(j + 1))) for j in range(14)]
+
+
+def places(df: DataFrame, by: list[str], value: str, order: list[str]) -> DataFrame:
+    """``df`` with ``i``, each row's place from 0 in its group by value and then ``order``; no group is sorted by one task."""
+    counted = running_sums(df.withColumn("one", F.lit(1)), by, [value, *order], {"upto": "one"})
+    return counted.withColumn("i", (F.col("upto") - 1).cast("int")).drop("one", "upto")
+
+
+def poisson_weight(number: Column) -> Column:
+    """A weight of mean 1 from a number below 2^48."""
+    return reduce(lambda a, t: a + (number >= t).cast("int"), POISSON, F.lit(0))
+
+
 def bootstrap_ci(df: DataFrame, group: str, value: str, order: list[str], iterations: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """Percentile interval of each group's mean.
 
-    Rows get a place from 0 in their group; draw i of iteration k takes the place md5(group, k, i, seed) mod n, so any engine or
-    rerun draws the same rows. Values are summed as decimals, so the order of rows does not matter. Iterations are rows that Spark
-    deals out; a group's draws are aggregated, never gathered.
+    Rows get a place from 0 in their group. In a group of at most SMALL values, draw i of iteration k takes the value at md5(group, k, i,
+    seed) mod n of the group's array. In a larger one the row at place i has a Poisson weight by the same hash, which tends to the same law,
+    and an iteration's mean is that of its weighted rows: map tasks add these up, so groups x iterations rows a task are shuffled and
+    no row is joined with a draw. Any engine or rerun draws the same; values are summed as decimals, so the order of rows does not matter.
     """
-    place = F.row_number().over(Window.partitionBy(group).orderBy(value, *order)) - 1
-    rows = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast(EXACT_VALUE).alias("v"), place.alias("i"))
+    known = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast(EXACT_VALUE).alias("v"), *order)
+    rows = places(known, [group], "v", order).select(group, "v", "i")
     mean = lambda: F.sum("v").cast("double")
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"), (mean() / F.count("*")).alias("mean"))
+    number = lambda i: drawn_number(12, F.col(group), F.col("k"), i, F.lit(seed))
+    few = rows.join(sizes.where(F.col("n") <= SMALL).select(group, "n"), group).groupBy(group, "n")
+    held = few.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vs"))
+    ranges = [F.struct(F.lit(c * iterations // CHUNKS).alias("a"), F.lit((c + 1) * iterations // CHUNKS - 1).alias("b")) for c in range(CHUNKS) if (c + 1) * iterations // CHUNKS > c * iterations // CHUNKS]
+    dealt = held.select("*", F.explode(F.array(*ranges)).alias("r")).repartition(group, "r")
+    total = F.aggregate(F.sequence(F.lit(0), F.col("n").cast("int") - 1), F.lit(0).cast("decimal(38,6)"), lambda a, i: (a + F.get("vs", F.pmod(number(i), F.col("n")).cast("int"))).cast("decimal(38,6)"))
+    picked = dealt.select(group, "n", "vs", F.explode(F.sequence("r.a", "r.b")).alias("k")).select(group, (total.cast("double") / F.col("n")).alias("m"))
     draws = df.sparkSession.range(iterations).withColumnRenamed("id", "k")
-    drawn = rows.select(group, "i").join(sizes.select(group, "n"), group).crossJoin(F.broadcast(draws))
-    picks = drawn.select(group, "k", F.pmod(drawn_number(12, F.col(group), F.col("k"), F.col("i"), F.lit(seed)), F.col("n")).cast("int").alias("i"))
-    means = picks.join(rows, [group, "i"]).groupBy(group, "k").agg((mean() / F.count("*")).alias("m"))
+    many = rows.join(sizes.where(F.col("n") > SMALL).select(group), group).crossJoin(F.broadcast(draws))
+    weighed = many.select(group, "k", "v", poisson_weight(number(F.col("i"))).alias("w")).where("w > 0").groupBy(group, "k").agg(F.sum(F.col("v") * F.col("w")).alias("s"), F.sum("w").alias("w"))
+    means = picked.unionByName(weighed.select(group, (F.col("s").cast("double") / F.col("w")).alias("m")))
     tail = (1 - level) / 2
     ends = F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail)))
     bounds = means.groupBy(group).agg(ends.alias("e"))
@@ -82,17 +111,18 @@ EXACT = 18
 
 def permutation_test(pairs: DataFrame, by: list[str], alternative: str = "two-sided", iterations: int = 20_000, seed: int = 42) -> DataFrame:
     """Paired sign-flip test of the mean difference (``d``) per group: all 2^n flips up to 18 pairs, else seeded draws with the
-    observed one counted in. Sums are decimals, so equal ones are equal and no order of rows matters."""
+    observed one counted in. Sums are decimals, so equal ones are equal and no order of rows matters. Draws meet a large group's rows
+    where these are; map tasks add up each draw, and no group is gathered or sorted by one task."""
     spark = pairs.sparkSession
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("d")) - 1
-    rows = pairs.select(*by, F.col("d").cast(EXACT_VALUE).alias("d")).withColumn("i", place)
+    rows = places(pairs.select(*by, F.col("d").cast(EXACT_VALUE).alias("d")), by, "d", [])
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("d").alias("observed"))
-    exact = sizes.where(F.col("n") <= EXACT).select(*by, "n", "observed", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("n").cast("int")) - 1)).alias("k"))
-    drawn = sizes.where(F.col("n") > EXACT).crossJoin(F.broadcast(spark.range(iterations).select(F.col("id").cast("int").alias("k"))))
-    flips = exact.unionByName(drawn.select(*by, "n", "observed", "k"))
-    coin = drawn_number(4, *map(F.col, by), F.col("k"), F.col("i"), F.lit(seed))
-    bit = F.when(F.col("n") <= EXACT, F.call_function("shiftright", F.col("k"), F.col("i")).bitwiseAND(1)).otherwise(coin.bitwiseAND(1))
-    sums = flips.join(rows, by).groupBy(*by, "n", "observed", "k").agg(F.sum(F.when(bit == 0, F.col("d")).otherwise(-F.col("d"))).alias("s"))
+    sign = lambda bit: F.sum(F.when(bit == 0, F.col("d")).otherwise(-F.col("d"))).alias("s")
+    exact = sizes.where(F.col("n") <= EXACT).select(*by, F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("n").cast("int")) - 1)).alias("k"))
+    flipped = exact.join(rows, by).groupBy(*by, "k").agg(sign(F.call_function("shiftright", F.col("k"), F.col("i")).bitwiseAND(1)))
+    coin = drawn_number(4, *map(F.col, by), F.col("k"), F.col("i"), F.lit(seed)).bitwiseAND(1)
+    draws = spark.range(iterations).select(F.col("id").cast("int").alias("k"))
+    sampled = rows.join(sizes.where(F.col("n") > EXACT).select(*by), by).crossJoin(F.broadcast(draws)).groupBy(*by, "k").agg(sign(coin))
+    sums = flipped.unionByName(sampled).join(sizes, by)
     extreme = {"two-sided": F.abs("s") >= F.abs("observed"), "greater": F.col("s") >= F.col("observed"), "less": F.col("s") <= F.col("observed")}[alternative]
     hits = sums.groupBy(*by, "n", "observed").agg(F.sum(extreme.cast("int")).alias("hits"), F.count("*").alias("flips"))
     p = F.when(F.col("n") <= EXACT, F.col("hits") / F.col("flips")).otherwise((F.col("hits") + 1) / (F.col("flips") + 1))

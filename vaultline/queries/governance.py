@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -268,11 +270,19 @@ def statistics(r: Registry) -> None:
     HEX = lambda c, n: f"CAST('0x' || substr(md5({c}), 1, {n}) AS BIGINT)"
 
     def boot_sql(rows: str, order: str, iterations: int) -> str:
-        """Parts rows_, sizes, means and ends over a relation of (g, v and order columns)."""
+        """Parts rows_, sizes, means and ends over a relation of (g, v and order columns): picks up to 1000 values, else Poisson weights."""
         draw = HEX("concat_ws('|', g, k, i, 42)", 12)
-        return f"rows_ AS (SELECT g, CAST(v AS DECIMAL(18,6)) AS v, row_number() OVER (PARTITION BY g ORDER BY v, {order}) - 1 AS i FROM {rows}), sizes AS (SELECT g, count(*) AS n, CAST(sum(v) AS DOUBLE) / count(*) AS mean FROM rows_ GROUP BY g), picks AS (SELECT g, k, {draw} % n AS i FROM (SELECT g, i, n, unnest(range({iterations})) AS k FROM rows_ JOIN sizes USING (g))), means AS (SELECT g, k, CAST(sum(v) AS DOUBLE) / count(*) AS m FROM picks JOIN rows_ USING (g, i) GROUP BY ALL), ends AS (SELECT g, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY g)"
+        weight = " + ".join(f"CAST(u >= {round(2**48 * sum(math.exp(-1) / math.factorial(x) for x in range(j + 1)))} AS INT)" for j in range(14))
+        return f"rows_ AS (SELECT g, CAST(v AS DECIMAL(18,6)) AS v, row_number() OVER (PARTITION BY g ORDER BY v, {order}) - 1 AS i FROM {rows}), sizes AS (SELECT g, count(*) AS n, CAST(sum(v) AS DOUBLE) / count(*) AS mean FROM rows_ GROUP BY g), numbers AS (SELECT g, k, i, n, v, {draw} AS u FROM (SELECT g, i, n, v, unnest(range({iterations})) AS k FROM rows_ JOIN sizes USING (g))), picks AS (SELECT g, k, u % n AS i FROM numbers WHERE n <= 1000), means AS (SELECT g, k, CAST(sum(v) AS DOUBLE) / count(*) AS m FROM picks JOIN rows_ USING (g, i) GROUP BY ALL UNION ALL SELECT g, k, CAST(sum(v * w) AS DOUBLE) / sum(w) AS m FROM (SELECT g, k, v, {weight} AS w FROM numbers WHERE n > 1000) GROUP BY ALL), ends AS (SELECT g, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY g)"
 
     r.add("st5_bootstrap_ci", interval, f"WITH base AS ({monthly}), {boot_sql('base', 'm', 10_000)} SELECT g, n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM sizes JOIN ends USING (g)")
+    prices = "SELECT o_orderpriority AS g, o_orderkey AS m, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders"
+
+    def of_rows(s: SparkSession, d: str) -> DataFrame:
+        table(s, d, "orders").createOrReplaceTempView("orders")
+        return rounded(stats.bootstrap_ci(s.sql(prices), "g", "v", ["m"], 200))
+
+    r.add("st5_bootstrap_rows", of_rows, f"WITH base AS ({prices}), {boot_sql('base', 'm', 200)} SELECT g, n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM sizes JOIN ends USING (g)")
     pairs = lambda s, d: stats.paired(projected(s, d, "study")[0], "price", "off", "on")
     yearly = lambda s, d: pairs(s, d).where("seed div 12 = 1996").withColumn("d", F.col("vb") - F.col("va"))
     PAIRS = with_sql("study") + ", pairs AS (SELECT a.system_id, a.seed, a.value AS va, b.value AS vb, CAST(b.value - a.value AS DECIMAL(18,6)) AS d FROM study a JOIN study b USING (system_id, seed) WHERE a.condition = 'off' AND b.condition = 'on'), "

@@ -61,6 +61,15 @@ def vectors(r: Registry) -> None:
 
     r.add("vs2_upsert", upserted, "SELECT vec_id, CASE WHEN vec_id % 12 = 6 THEN embedding[64] ELSE embedding[1] END AS first FROM embeddings UNION ALL SELECT vec_id + 1000000, embedding[64] FROM embeddings WHERE vec_id % 12 = 0")
     r.add("vs4_lsh_topk", lambda s, d: similarity.lsh_topk(base(s, d), asked(s, d), 5))
+    r.add("vs4_lists_topk", lambda s, d: similarity.lists_topk(base(s, d), asked(s, d), 5))
+
+    def recall(s: SparkSession, d: str) -> DataFrame:
+        """Neighbours by inverted lists against the exact ones."""
+        exact, found = (f(base(s, d), asked(s, d), 5).select("query_id", "neighbour") for f in (similarity.cosine_topk, similarity.lists_topk))
+        both = exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "neighbour"], "left")
+        return both.agg(F.count("*").alias("n_neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_of_nine_tenths"))
+
+    r.add("vs4_lists_recall", recall, "WITH n AS (SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0) SELECT least(5, (SELECT count(*) - 1 FROM n)) * count(*) AS n_neighbours, true AS recall_of_nine_tenths FROM n WHERE vec_id % 100 = 0")
 
     def misses(s: SparkSession, d: str) -> DataFrame:
         docs = table(s, d, "documents").select("doc_id", "text")
@@ -123,6 +132,29 @@ def stream_queries(r: Registry) -> None:
         return s.read.parquet(target)
 
     r.add("ss4_stream_changes", changed, with_sql("stg_events") + "SELECT hk_user AS key, ts, hd_type AS hashdiff FROM (SELECT *, lag(hd_type) OVER (PARTITION BY hk_user ORDER BY ts, hd_type) AS b FROM stg_events) WHERE b IS DISTINCT FROM hd_type")
+    def expiring(s: SparkSession, d: str) -> DataFrame:
+        e = stg_events(s, d).select("hk_user", "ts", "hd_type")
+        source, target = split(e, shared_path(s, "src"), 4), shared_path(s, "chg")
+        before = s.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+        s.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+        try:
+            changes = streams.stream_changes_expiring(streams.stream_bronze(s, source, e.schema, FILES), "hk_user", "ts", "hd_type", "1 hour", 86_400_000)
+            streams.append_stream(changes, target, shared_path(s, "ckpt")).awaitTermination()
+        finally:
+            s.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else s.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        return s.read.parquet(target).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+    r.add("ss4_stream_changes_expiring", expiring, with_sql("stg_events") + "SELECT hk_user AS key, ts, hd_type AS hashdiff FROM (SELECT *, lag(hd_type) OVER w AS b, lag(ts) OVER w AS t FROM stg_events WINDOW w AS (PARTITION BY hk_user ORDER BY ts, hd_type)) WHERE b IS DISTINCT FROM hd_type OR ts - t >= INTERVAL 1 DAY")
+
+    def divided(s: SparkSession, d: str) -> DataFrame:
+        """Events by their ids' order, so that each batch holds late ones; new and late rows with the batch that brought them."""
+        e = table(s, d, "events").select("event_id", F.when(F.col("event_id") % 50 > 0, F.col("ts")).alias("ts"))
+        source, path = split(e.withColumn("at", F.timestamp_seconds(F.pmod(F.col("event_id") * 7919, F.lit(100_000)))), shared_path(s, "src"), PARTS, "at"), shared_path(s, "split")
+        streams.stream_split(streams.stream_bronze(s, source, e.schema, FILES), "ts", path, shared_path(s, "ckpt")).awaitTermination()
+        return s.read.parquet(f"{path}/new").select("event_id", F.lit(False).alias("late")).unionByName(s.read.parquet(f"{path}/late").select("event_id", F.lit(True).alias("late")))
+
+    PARTS = 4
+    r.add("ss5_stream_split", divided, f"WITH e AS (SELECT event_id, CASE WHEN event_id % 50 > 0 THEN ts END AS ts, 1000000 * ((event_id * 7919) % 100000) AS place FROM events), p AS (SELECT *, least((place - min(place) OVER ()) * {PARTS} // (max(place) OVER () - min(place) OVER () + 1), {PARTS - 1}) AS part FROM e), m AS (SELECT part, max(ts) AS latest FROM p GROUP BY part), k AS (SELECT a.part, max(b.latest) AS mark FROM m a LEFT JOIN m b ON b.part < a.part GROUP BY a.part) SELECT event_id, ts IS NULL OR (mark IS NOT NULL AND ts <= mark) AS late FROM p JOIN k USING (part)")
     r.add("ss5_late_rows", lambda s, d: bronze.late_rows(table(s, d, "orders").select("o_orderkey", "o_orderdate"), bronze.high_water_mark(old_new(table(s, d, "orders"), "o_orderdate")[0], "o_orderdate"), "o_orderdate"), f"SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate <= TIMESTAMP '{MID}'")
     kind = lambda: F.when(F.col("event_type") == "signup", "I").when(F.col("event_type") == "error", "D").otherwise("U")
     cols = "count(*) AS n_rows, count(*) FILTER (WHERE event_type = 'signup') AS inserted, count(*) FILTER (WHERE event_type NOT IN ('signup', 'error')) AS updated, count(*) FILTER (WHERE event_type = 'error') AS deleted"

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -95,6 +98,73 @@ def stream_changes(stream: DataFrame, key: str, ts: str, diff: str) -> DataFrame
     return rows.groupBy("key").transformWithState(ChangeDetector(), "key string, ts timestamp_ntz, hashdiff string", "append", "none")
 
 
+class ExpiringChanges(StatefulProcessor):
+    """``ChangeDetector`` over batches, with a state that ends: a key that was silent for ``ttl_ms`` of event time is forgotten."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "hashdiff string, micros long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows)).sort_values(["ts", "hashdiff"], kind="stable")  # one key's rows of one micro-batch
+        micros = pd.to_datetime(batch["ts"], utc=True).astype("datetime64[us, UTC]").astype("int64").to_numpy()
+        diffs = batch["hashdiff"].to_numpy()
+        before, seen = self.last.get() if self.last.exists() else (None, None)
+        anew = np.diff(micros, prepend=micros[0] if seen is None else seen) >= self.ttl_ms * 1000
+        changed = anew | np.array([d != b for d, b in zip(diffs, [before, *diffs[:-1]])])
+        changed[0] |= seen is None
+        latest = int(micros[-1] if seen is None else max(micros[-1], seen))
+        self.last.update((diffs[-1], latest))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(latest // 1000 + self.ttl_ms + 1)
+        yield pd.DataFrame({"key": key[0], "ts": batch["ts"][changed], "hashdiff": batch["hashdiff"][changed]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_changes_expiring(stream: DataFrame, key: str, ts: str, diff: str, watermark: str, ttl_ms: int) -> DataFrame:
+    """(key, ts, hashdiff) of each change, with a state bounded by the keys of the last ``ttl_ms`` before the watermark.
+
+    A key's rows after so long a silence begin anew: the first one is a change even if it repeats the last. Rows without a time and rows
+    older than the watermark are dropped; rows within it, but older than their key's last, are compared with that last one. Null keys are
+    one key. Needs the RocksDB state store.
+    """
+    rows = timed(stream.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.col(diff).alias("hashdiff")).where("ts is not null"), "ts", watermark)
+    return rows.groupBy("key").transformWithStateInPandas(ExpiringChanges(ttl_ms), "key string, ts timestamp, hashdiff string", "append", "EventTime")
+
+
+def stream_split(stream: DataFrame, ts: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Per micro-batch, rows newer than the mark into ``path/new`` and all others (late, or without a time) into ``path/late``.
+
+    The mark is the greatest time of all batches before. Each batch writes folders named for its id, its mark last, and reads the marks
+    of lesser ids alone, so a batch that is run again, after whatever part of it failed, leaves the same rows once.
+    """
+    schema = T.StructType([T.StructField("mark", stream.schema[ts].dataType), T.StructField("batch", T.LongType())])
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            mark = stored(batch.sparkSession, f"{path}/marks", schema).where(F.col("batch") < batch_id).agg(F.max("mark")).first()[0]
+            fresh = F.col(ts).isNotNull() if mark is None else F.coalesce(F.col(ts) > F.lit(mark), F.lit(False))
+            batch.where(fresh).write.mode("overwrite").parquet(f"{path}/new/batch={batch_id}")
+            batch.where(~fresh).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+            latest = batch.agg(F.greatest(F.max(ts), F.lit(mark).cast(stream.schema[ts].dataType)).alias("mark"))
+            latest.write.mode("overwrite").parquet(f"{path}/marks/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def volume(events: DataFrame, window: Column, kind: Column, by: list[str] = ()) -> DataFrame:
     """Rows inserted, updated and deleted per window (``F.window`` or ``F.session_window``) of a table or a stream with a watermark."""
     n = lambda c: F.sum((kind == c).cast("int")).cast("long")
