@@ -245,6 +245,8 @@ def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the rules reject; only labelled ones have their statistics computed twice."""
     prefix = "_quality_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
     chosen = sample(labels)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     judged = with_statistics(docs, docs.columns, prefix)

@@ -37,36 +37,40 @@ def communication_matrix(sources: list[int], shards: int, seed: int) -> np.ndarr
 
 
 def shuffled_shards(df: DataFrame, shards: int, key: list[str], seed: int = 7, rows_per_source: int = ROWS_PER_SOURCE) -> DataFrame:
-    """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard)."""
+    """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard); columns of these two names are replaced."""
     spark = df.sparkSession
+    mark = "_"  # own columns begin so, and none of the table's
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+    source, at, edges, place, stretch, offset = (mark + n for n in ("source", "at", "limits", "rank", "stretch", "offset"))
     total = df.count()
     n_sources = max(1, min(MOST_SOURCES, -(-total // rows_per_source)))  # the matrix on the driver stays small
     rank = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *key)
-    placed = df.withColumn("_source", F.pmod(rank("source"), F.lit(n_sources)).cast("int"))
-    counts = dict(map(tuple, placed.groupBy("_source").count().collect()))
+    placed = df.withColumn(source, F.pmod(rank("source"), F.lit(n_sources)).cast("int"))
+    counts = dict(map(tuple, placed.groupBy(source).count().collect()))
     matrix = communication_matrix([counts.get(i, 0) for i in range(n_sources)], shards, seed)
-    limits = spark.createDataFrame([(i, row) for i, row in enumerate(matrix.cumsum(axis=1).tolist())], "_source int, _limits array<long>")
-    local = Window.partitionBy("_source").orderBy(rank("local"), *key)
+    limits = spark.createDataFrame([(i, row) for i, row in enumerate(matrix.cumsum(axis=1).tolist())], f"{source} int, {edges} array<long>")
+    local = Window.partitionBy(source).orderBy(rank("local"), *key)
     sent = (
-        placed.withColumn("_at", F.row_number().over(local))
-        .join(limits, "_source")
-        .withColumn("shard", F.size(F.filter("_limits", lambda x: x < F.col("_at"))))
-        .drop("_source", "_at", "_limits")
+        placed.withColumn(at, F.row_number().over(local))
+        .join(limits, source)
+        .withColumn("shard", F.size(F.filter(edges, lambda x: x < F.col(at))))
+        .drop(source, at, edges)
     )
     # ranges of the second hash: [0, 2^32) cut in equal stretches
     stretches = max(1, -(-total // (shards * rows_per_source // 4)))
-    sent = sent.withColumn("_rank", rank("slot")).withColumn(
-        "_stretch", F.floor(F.shiftrightunsigned("_rank", 32) * F.lit(stretches) / F.lit(1 << 32)).cast("int")
+    sent = sent.withColumn(place, rank("slot")).withColumn(
+        stretch, F.floor(F.shiftrightunsigned(place, 32) * F.lit(stretches) / F.lit(1 << 32)).cast("int")
     )
-    sizes = sent.groupBy("shard", "_stretch").count()
-    before = Window.partitionBy("shard").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "_stretch", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("shard", "_stretch").orderBy("_rank", *key)
+    sizes = sent.groupBy("shard", stretch).count()
+    before = Window.partitionBy("shard").orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("shard", stretch, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(offset))
+    within = Window.partitionBy("shard", stretch).orderBy(place, *key)
     return (
-        sent.withColumn("_at", F.row_number().over(within))
-        .join(offsets, ["shard", "_stretch"])
-        .withColumn("slot", (F.col("_offset") + F.col("_at") - 1).cast("long"))
-        .drop("_rank", "_stretch", "_at", "_offset")
+        sent.withColumn(at, F.row_number().over(within))
+        .join(offsets, ["shard", stretch])
+        .withColumn("slot", (F.col(offset) + F.col(at) - 1).cast("long"))
+        .drop(place, stretch, at, offset)
     )
 
 
