@@ -178,3 +178,36 @@ def test_failure_of_one_leaves_the_others_whole(spark, spec, tmp_path):
     assert {n: r["status"] for n, r in outcome.items()} == {"hub": "OK", "eff": "OK", "link": "OK", "sat": "FAILED", "none": "FAILED"}
     assert outcome["none"]["error"] == "no such source" and outcome["link"]["n_rows"] == 400
     assert VersionedTable(spark, f"{tmp_path}/v/sat").numbers() == [1] and VersionedTable(spark, f"{tmp_path}/v/sat").read().count() > 50
+
+
+@pytest.mark.parametrize("stretches", [1, 2, 16])
+def test_neighbours_in_stretches(spark, stretches):
+    from vaultline.functions.running import neighbours
+
+    rnd = random.Random(7)
+    data = [("hot", t, rnd.choice([None, "a", "b"])) for t in range(200)] + [(None, t, "n") for t in range(0, 200, 50)] + [(f"k{t}", t, "x") for t in range(20)]
+    df = spark.createDataFrame(data, "g string, t int, v string").repartition(5)
+    got = {tuple(r) for r in neighbours(df, ["g"], ["t"], {"b": "v", "bt": "t"}, {"a": "v"}, stretches).select("g", "t", "v", "b", "bt", "a").collect()}
+    want = set()
+    for key in {g for g, _, _ in data}:
+        own = sorted((t, v) for g, t, v in data if g == key)
+        for i, (t, v) in enumerate(own):
+            b, a = own[i - 1] if i else (None, None), own[i + 1] if i + 1 < len(own) else (None, None)
+            want.add((key, t, v, b[1], b[0], a[1]))
+    assert got == want
+
+
+def test_a_hot_key_is_split_over_tasks_with_the_same_result(spark):
+    rnd = random.Random(11)
+    data = [("hot" if rnd.random() < 0.4 else f"k{rnd.randint(0, 200)}", t, f"v{rnd.randint(0, 2)}") for t in range(4000)]
+    stg = versions(spark, data)
+    one, many = (rv.load_eff_sat(stg, "hd", "hk", ["v"], "load_dts", "src", stretches=n) for n in (1, 32))
+    assert one.count() == many.count() and one.exceptAll(many).count() == 0
+    assert rv.load_sat(stg, *SAT).exceptAll(rv.load_sat(stg, *SAT, stretches=8)).count() == 0
+    assert sorted(rows(rv.load_ma_sat(stg, *SAT))) == sorted(rows(rv.load_ma_sat(stg, *SAT, stretches=8)))
+    sat = rv.load_sat(stg, *SAT)
+    assert bv.scd2(sat, "hk", ["v"], "load_dts").exceptAll(bv.scd2(sat, "hk", ["v"], "load_dts", stretches=8)).count() == 0
+    from vaultline.functions.running import stretched
+
+    per_task = stretched(stg, "load_dts", 32).groupBy("hk", "_stretch").count().agg(F.max("count")).first()[0]
+    assert per_task < 0.05 * 4000  # of the key that has two fifths of the rows

@@ -12,16 +12,21 @@ from vaultline.functions.search import below
 STRETCHES = 64
 
 
+def stretched(df: DataFrame, column: str, stretches: int = STRETCHES) -> DataFrame:
+    """``df`` with ``_stretch``: between which of its quantiles a number or a time lies. Equal values are in one stretch; nulls in the first."""
+    kind, value = dict(df.dtypes)[column], F.col(column)
+    number = value.cast("double") if kind.startswith(("int", "bigint", "double", "float", "decimal")) else F.unix_micros(value.cast("timestamp")).cast("double")
+    edges = df.agg(F.percentile_approx(number, [k / stretches for k in range(1, stretches)], 10_000)).first()[0] or []
+    return df.withColumn("_stretch", below(number, sorted(set(edges))))
+
+
 def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str, str], stretches: int = STRETCHES) -> DataFrame:
     """``df`` with the sum of each column so far (``sums``: new name to column) in its group, by ``order``.
 
     The first order column (a number or a time) is cut at its quantiles, so that a large group is sorted by many tasks, stretch by
     stretch; what earlier stretches add up to is few rows. Rows of one value of that column stay together; nulls come first.
     """
-    number = F.col(order[0]) if dict(df.dtypes)[order[0]].startswith(("int", "bigint", "double", "float", "decimal")) else F.unix_micros(F.col(order[0]).cast("timestamp"))
-    number = number.cast("double")
-    edges = df.agg(F.percentile_approx(number, [k / stretches for k in range(1, stretches)], 10_000)).first()[0] or []
-    cut = df.withColumn("_stretch", below(number, sorted(set(edges))))
+    cut = stretched(df, order[0], stretches)
     parts = cut.groupBy(*by, "_stretch").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
     before = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(*(F.col(c).alias(f"_of_{c}") for c in (*by, "_stretch")), *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in sums))
@@ -29,3 +34,26 @@ def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str,
     same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_of_{c}")), by, F.col("_stretch") == F.col("_of__stretch"))
     both = cut.withColumns({n: F.sum(c).over(own) for n, c in sums.items()}).join(offsets, same)
     return both.select(*df.columns, *((F.col(n) + F.col(f"_before_{n}")).alias(n) for n in sums))
+
+
+def neighbours(df: DataFrame, by: list[str], order: list[str], before: dict[str, str], after: dict[str, str], stretches: int = 1) -> DataFrame:
+    """``df`` with columns of each group's row before and of the row after (``before`` and ``after``: new name to column), by ``order``, which
+    has no ties within a group; null at the ends.
+
+    With ``stretches`` above 1 a group is no single task: rows are sorted stretch by stretch of the first order column, and of each stretch
+    only its two outer rows, an aggregate that map tasks combine, meet those of the group's other stretches.
+    """
+    own = Window.partitionBy(*by).orderBy(*order)
+    if stretches <= 1:
+        return df.withColumns({n: F.lag(c).over(own) for n, c in before.items()} | {n: F.lead(c).over(own) for n, c in after.items()})
+    cut = stretched(df, order[0], stretches)
+    own = Window.partitionBy(*by, "_stretch").orderBy(*order)
+    outer = lambda pick, columns: pick(F.struct(F.lit(0).alias("_"), *dict.fromkeys(columns.values())), F.struct(*order))
+    ends = cut.groupBy(*by, "_stretch").agg(outer(F.max_by, before).alias("_last"), outer(F.min_by, after).alias("_first"))
+    line = Window.partitionBy(*by).orderBy("_stretch")
+    linked = ends.select(*(F.col(c).alias(f"_of_{c}") for c in (*by, "_stretch")), F.lag("_last").over(line).alias("_last"), F.lead("_first").over(line).alias("_first"))
+    near = cut.withColumns({f"_near_{n}": F.lag(F.struct(c)).over(own) for n, c in before.items()} | {f"_near_{n}": F.lead(F.struct(c)).over(own) for n, c in after.items()})
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_of_{c}")), by, F.col("_stretch") == F.col("_of__stretch"))
+    both = near.join(linked, same)
+    value = lambda n, c, end: F.when(F.col(f"_near_{n}").isNotNull(), F.col(f"_near_{n}")[c]).otherwise(F.col(end)[c]).alias(n)
+    return both.select(*df.columns, *(value(n, c, "_last") for n, c in before.items()), *(value(n, c, "_first") for n, c in after.items()))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vaultline.functions.hashing import GHOST_KEY, hashdiff
+from vaultline.functions.running import neighbours
 from vaultline.functions.search import lower_bound
 from vaultline.operators.raw_vault import end_of_time, load_sat, no_ghost
 
@@ -137,13 +138,12 @@ def checked_rules(df: DataFrame, rules: dict[str, str]) -> dict[str, Column]:
     return {n: F.expr(t) for n, t in rules.items()}
 
 
-def scd2(sat: DataFrame, pk: str, payload: list[str], ldts: str, eff: str | None = None, deleted: Column | None = None) -> DataFrame:
-    """Versions with valid_from, valid_to, is_current; without ghosts."""
+def scd2(sat: DataFrame, pk: str, payload: list[str], ldts: str, eff: str | None = None, deleted: Column | None = None, stretches: int = 1) -> DataFrame:
+    """Versions with valid_from, valid_to, is_current; without ghosts. With ``stretches`` above 1 a key's many versions are dealt out over so many tasks."""
     start = eff or ldts
-    order = Window.partitionBy(pk).orderBy(*dict.fromkeys([start, ldts]))
-    until = F.lead(start).over(order)
-    out = no_ghost(sat, pk).select(pk, *payload, F.col(start).alias("valid_from"), F.coalesce(until, end_of_time()).alias("valid_to"), until.isNull().alias("is_current"), *([deleted.alias("is_deleted")] if deleted is not None else []))
-    return out
+    rows = neighbours(no_ghost(sat, pk), [pk], list(dict.fromkeys([start, ldts])), {}, {"_until": start}, stretches)
+    until = F.col("_until")
+    return rows.select(pk, *payload, F.col(start).alias("valid_from"), F.coalesce(until, end_of_time()).alias("valid_to"), until.isNull().alias("is_current"), *([deleted.alias("is_deleted")] if deleted is not None else []))
 
 
 def as_of(sat: DataFrame, pk: str, ldts: str, payload: list[str], at: Column) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vaultline.functions.running import neighbours
+
 # Type prefixes with their types (the first that fits counts), names and prefixes of system columns, names and
 # suffixes of keys, and patterns of column names by rate of change.
 TYPES = [
@@ -269,11 +271,12 @@ def split_hint(classified: DataFrame) -> DataFrame:
     )
 
 
-def change_rate(stg: DataFrame, key: str, ldts: str, columns: list[str], order: list[str]) -> DataFrame:
-    """For each column, in which share of a key's later versions it differs from the version before."""
-    window = Window.partitionBy(key).orderBy(ldts, *order)
-    pairs = stg.select(F.row_number().over(window).alias("v"), *((~F.col(c).eqNullSafe(F.lag(c).over(window))).cast("int").alias(c) for c in columns)).where("v > 1")
-    one = pairs.agg(*(F.avg(c).alias(c) for c in columns))
+def change_rate(stg: DataFrame, key: str, ldts: str, columns: list[str], order: list[str], stretches: int = 1) -> DataFrame:
+    """For each column, in which share of a key's later versions it differs from the version before (``order`` leaves no ties). With ``stretches``
+    above 1 a key's many versions are dealt out over so many tasks."""
+    rows = stg.select(key, ldts, *(c for c in dict.fromkeys([*order, *columns]) if c not in (key, ldts)), F.lit(1).alias("_row"))
+    near = neighbours(rows, [key], [ldts, *order], {"_later": "_row"} | {f"_before_{c}": c for c in columns}, {}, stretches)
+    one = near.where("_later is not null").agg(*(F.avg((~F.col(c).eqNullSafe(F.col(f"_before_{c}"))).cast("int")).alias(c) for c in columns))
     return one.unpivot([], columns, "column_name", "rate").select("column_name", F.round("rate", 6).alias("change_rate"))
 
 

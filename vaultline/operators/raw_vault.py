@@ -9,11 +9,12 @@ from dataclasses import dataclass, field
 from functools import partial
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vaultline.functions.bloom import bloom, maybe_in
 from vaultline.functions.hashing import END_OF_TIME, GHOST_KEY
+from vaultline.functions.running import neighbours
 from vaultline.sources.versioned import VersionedTable
 
 Stages = DataFrame | list[DataFrame]
@@ -84,23 +85,25 @@ def latest(stored: DataFrame, pk: str, ldts: str, diff: str) -> DataFrame:
     return stored.groupBy(pk).agg(F.max(ldts).alias("_ldts"), F.max_by(diff, ldts).alias("_diff"))
 
 
-def load_sat(stg: DataFrame, pk: str, diff: str, payload: list[str], ldts: str, src: str, eff: str | None = None, existing: DataFrame | None = None) -> DataFrame:
+def load_sat(stg: DataFrame, pk: str, diff: str, payload: list[str], ldts: str, src: str, eff: str | None = None, existing: DataFrame | None = None, stretches: int = 1) -> DataFrame:
     """Rows whose hashdiff differs from the version just before, in the batch or stored; of stored history only the heads of keys that
-    the batch may hold are aggregated."""
+    the batch may hold are aggregated. With ``stretches`` above 1 a key's many versions are dealt out over so many tasks."""
     columns = list(dict.fromkeys([pk, diff, *payload, *([eff] if eff else []), ldts, src]))
     batch = one_per_load(stg.select(*columns).where(F.col(pk).isNotNull()), pk, ldts, diff)
-    before: Column = F.lag(diff).over(Window.partitionBy(pk).orderBy(ldts))
     if existing is not None:
         batch = batch.join(latest(touched(existing, stg, pk), pk, ldts, diff), pk, "left").where(F.col("_ldts").isNull() | (F.col(ldts) > F.col("_ldts")))
-        before = F.coalesce(before, F.col("_diff"))
-    changed = batch.withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.col(diff)))
+    else:
+        batch = batch.withColumn("_diff", F.lit(None).cast("string"))
+    before = F.coalesce("_before", "_diff")
+    changed = neighbours(batch, [pk], [ldts], {"_before": diff}, {}, stretches).where(~before.eqNullSafe(F.col(diff)))
     return changed.select(*columns)
 
 
-def load_eff_sat(stg: DataFrame, pk: str, dfk: str, sfks: list[str], ldts: str, src: str, deleted: Column | None = None, existing: DataFrame | None = None) -> DataFrame:
+def load_eff_sat(stg: DataFrame, pk: str, dfk: str, sfks: list[str], ldts: str, src: str, deleted: Column | None = None, existing: DataFrame | None = None, stretches: int = 1) -> DataFrame:
     """Intervals of each driving key's relationship: another relationship, or a delete, closes the one before.
 
-    With ``existing``, the touched driving keys' open rows rejoin the batch; merge the result on (pk, start_date).
+    With ``existing``, the touched driving keys' open rows rejoin the batch; merge the result on (driving key, start_date). With
+    ``stretches`` above 1 the dates of a driving key that very many events have are dealt out over so many tasks.
     """
     gone = F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False))
     events = stg.where(F.col(dfk).isNotNull()).select(pk, dfk, *sfks, F.col(ldts).alias("start_date"), src, gone.alias("_gone"))
@@ -110,10 +113,9 @@ def load_eff_sat(stg: DataFrame, pk: str, dfk: str, sfks: list[str], ldts: str,
     rest = [pk, *sfks, src, "_gone"]
     one = events.groupBy(dfk, "start_date").agg(F.max(F.struct("_gone", pk, *sfks, src)).alias("_row"))
     one = one.select(dfk, "start_date", *(F.col(f"_row.{c}").alias(c) for c in rest))
-    order = Window.partitionBy(dfk).orderBy("start_date")
-    state = F.when(~F.col("_gone"), F.col(pk))
-    runs = one.withColumn("_state", state).withColumn("_before", F.lag("_state").over(order)).where(~F.col("_state").eqNullSafe(F.col("_before")))
-    closed = runs.withColumn("end_date", F.coalesce(F.lead("start_date").over(order), end_of_time()))
+    state = one.withColumn("_state", F.when(~F.col("_gone"), F.col(pk)))
+    runs = neighbours(state, [dfk], ["start_date"], {"_before": "_state"}, {}, stretches).where(~F.col("_state").eqNullSafe(F.col("_before")))
+    closed = neighbours(runs, [dfk], ["start_date"], {}, {"_until": "start_date"}, stretches).withColumn("end_date", F.coalesce("_until", end_of_time()))
     return closed.where(~F.col("_gone")).select(pk, dfk, *sfks, "start_date", "end_date", F.col("start_date").alias("effective_from"), src)
 
 
@@ -134,20 +136,21 @@ def no_ghost(df: DataFrame, pk: str) -> DataFrame:
     return df.where(F.col(pk) != GHOST_KEY)
 
 
-def load_ma_sat(stg: DataFrame, pk: str, diff: str, payload: list[str], ldts: str, src: str, existing: DataFrame | None = None) -> DataFrame:
+def load_ma_sat(stg: DataFrame, pk: str, diff: str, payload: list[str], ldts: str, src: str, existing: DataFrame | None = None, stretches: int = 1) -> DataFrame:
     """A set of rows per (key, load date); the whole set is stored when it differs from the set before, in the batch or stored.
 
     With ``existing``, sets of dates up to a key's last stored one are known already and left out; of stored history only the heads of
-    keys that the batch may hold are aggregated.
+    keys that the batch may hold are aggregated. With ``stretches`` above 1 a key's many dates are dealt out over so many tasks.
     """
     rows = stg.select(pk, diff, *payload, ldts, src).where(F.col(pk).isNotNull()).dropDuplicates([pk, ldts, diff])
     sets = rows.groupBy(pk, ldts).agg(F.md5(F.array_join(F.array_sort(F.collect_list(diff)), "||")).alias("set_hashdiff"))
-    before: Column = F.lag("set_hashdiff").over(Window.partitionBy(pk).orderBy(ldts))
     if existing is not None:
         heads = latest(touched(existing, stg, pk), pk, ldts, "set_hashdiff")
         sets = sets.join(heads, pk, "left").where(F.col("_ldts").isNull() | (F.col(ldts) > F.col("_ldts")))
-        before = F.coalesce(before, F.col("_diff"))
-    changed = sets.withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.col("set_hashdiff"))).select(pk, ldts, "set_hashdiff")
+    else:
+        sets = sets.withColumn("_diff", F.lit(None).cast("string"))
+    before = F.coalesce("_before", "_diff")
+    changed = neighbours(sets, [pk], [ldts], {"_before": "set_hashdiff"}, {}, stretches).where(~before.eqNullSafe(F.col("set_hashdiff"))).select(pk, ldts, "set_hashdiff")
     return rows.join(changed, [pk, ldts]).select(pk, "set_hashdiff", diff, *payload, ldts, src)
 
 

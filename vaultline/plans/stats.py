@@ -98,7 +98,8 @@ def bootstrap_ci(df: DataFrame, group: str, value: str, order: list[str], iterat
     picked = dealt.select(group, "n", "vs", F.explode(F.sequence("r.a", "r.b")).alias("k")).select(group, (total.cast("double") / F.col("n")).alias("m"))
     draws = df.sparkSession.range(iterations).withColumnRenamed("id", "k")
     many = rows.join(sizes.where(F.col("n") > SMALL).select(group), group).crossJoin(F.broadcast(draws))
-    weighed = many.select(group, "k", "v", poisson_weight(number(F.col("i"))).alias("w")).where("w > 0").groupBy(group, "k").agg(F.sum(F.col("v") * F.col("w")).alias("s"), F.sum("w").alias("w"))
+    weighed = many.select(group, "k", "v", number(F.col("i")).alias("u")).select(group, "k", "v", poisson_weight(F.col("u")).alias("w"))
+    weighed = weighed.groupBy(group, "k").agg(F.sum(F.col("v") * F.col("w")).alias("s"), F.sum("w").alias("w"))
     means = picked.unionByName(weighed.select(group, (F.col("s").cast("double") / F.col("w")).alias("m")))
     tail = (1 - level) / 2
     ends = F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail)))

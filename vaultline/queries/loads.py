@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vaultline.functions.hashing import hash_key, hashdiff
 from vaultline.operators import raw_vault as rv
 from vaultline.operators import staging as st
-from vaultline.queries.bindings import END, GHOST, TABLES, Registry, diff_sql, key_sql, projected, stg_events, stg_li, stg_orders, table, with_sql
+from vaultline.queries.bindings import END, GHOST, PARTS, TABLES, Registry, diff_sql, key_sql, projected, stg_events, stg_li, stg_orders, table, with_sql
 from vaultline.sources import bronze, sinks
 from vaultline.sources.versioned import VersionedTable
 
@@ -318,6 +318,14 @@ def raw_vault(r: Registry) -> None:
     r.add("rv10_sat_split", split, with_sql("stg_orders") + half("state", "hd_state", "o_orderstatus") + " UNION ALL " + half("priority", "hd_priority", "o_orderpriority"))
     r.add("rv11_eff_sat", eff_part, with_sql("eff_part") + "SELECT * FROM eff_part")
 
+    def hot(s: SparkSession, d: str) -> DataFrame:
+        """A third of all rows under one driving key, in stretches of the date."""
+        one = F.when(F.col("l_linenumber") % 3 == 0, F.lit("hot")).otherwise(F.col("hk_part"))
+        return rv.load_eff_sat(stg_li(s, d).withColumn("hk_part", one), *EFF, stretches=16)
+
+    hot_events = "SELECT CASE WHEN l_linenumber % 3 = 0 THEN 'hot' ELSE hk_part END AS hk_part, l_shipdate AS start_date, max(hk_part_supplier) AS hk_part_supplier, arg_max(hk_supplier, hk_part_supplier) AS hk_supplier, 'LINEITEM' AS record_source FROM stg_li GROUP BY 1, 2"
+    r.add("rv11_eff_sat_hot", hot, with_sql("stg_li") + f", eff_events AS ({hot_events}), eff AS ({PARTS['eff_part'][1]}) SELECT * FROM eff")
+
     def eff_batches(s: SparkSession, d: str) -> DataFrame:
         stored, path = None, shared_path(s, "eff")
         for batch in batches(stg_li(s, d), "l_shipdate", ["1997-01-01 00:00:00", "1999-06-01 00:00:00"]):
