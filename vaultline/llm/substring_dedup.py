@@ -7,8 +7,9 @@ statistics give, at each word, the longest match that ends there, and a match of
 to remove. Then the passage joins the automaton.
 
 The reference of this query is the corpus itself, so its automata grow with the data and no size bound would
-allow a broadcast; each shard's automaton is built where its passages are shuffled to. ``remove_known`` is the
-broadcast form, for a reference of bounded size.
+allow a broadcast; each shard's automaton is built where its passages are shuffled to. ``remove_known`` is for a
+reference of bounded size: its texts are broadcast, and each task builds their automaton (about 370 bytes a word) before it
+streams its documents.
 
 Cases: null and empty texts have no words; shorter documents than a window keep all; equal windows within one
 document stay, and so do those of rows that share a doc_id, each of which is judged by its own text; documents with a null doc_id are neither changed nor
@@ -144,7 +145,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 
 
 def remove_known(docs: DataFrame, reference: DataFrame, window: int = WINDOW, limit: int = REFERENCE_BYTES) -> DataFrame:
-    """Like ``dedup``, but removes what occurs in ``reference`` (a column ``text``), whose automaton is broadcast.
+    """Like ``dedup``, but removes what occurs in ``reference`` (a column ``text``), which is broadcast; each task builds its automaton.
 
     A reference above ``limit`` bytes raises: ``dedup`` over the union of both tables is the way then.
     """
