@@ -92,6 +92,40 @@ def test_recall_in_a_family_of_thousands(spark):
     assert len(links) >= 3 and all(found[x] >= 0.9 * n for x, n in links.items())
 
 
+def test_pairs_of_one_template_grow_with_its_texts(spark):
+    """Texts of one template that share rare elements without being similar form hardly a pair; similar ones are all kept."""
+    pairs = {}
+    for m in (300, 600, 1200):
+        rnd = np.random.default_rng(8)
+        texts = []
+        for i in range(m):
+            words = [f"w{k}" for k in range(200)]
+            for k in rnd.choice(200, 7, replace=False):
+                words[k] = f"e{rnd.integers(0, 4)}x{k}"
+            texts.append(" ".join(words))
+        texts += [texts[i].replace("w", "v", 1) for i in range(0, m, 30)]
+        elements, owner = near_dedup.shingles(texts)
+        sets = [np.sort(elements[owner == i]) for i in range(len(texts))]
+        nodes = spark.createDataFrame([(i, i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "node long, label long, elements binary")
+        got = {(r["a"], r["b"]) for r in near_dedup.remaining_pairs(nodes, 0.8).collect()}
+        assert got >= {(30 * k, m + k) for k in range(m // 30)}
+        if m == 300:
+            known = [set(x.tolist()) for x in sets]
+            similar = {(a, b) for a in range(len(known)) for b in range(a + 1, len(known)) if len(known[a] & known[b]) >= 0.8 * len(known[a] | known[b])}
+            assert got >= similar
+        pairs[m] = len(got)
+    assert pairs[600] <= 2.5 * pairs[300] and pairs[1200] <= 2.5 * pairs[600], pairs
+
+
+def test_two_classes_under_one_doc_id_have_two_labels(spark):
+    long = lambda x: " ".join(f"{x}{k}" for k in range(40))
+    rows = [(1, long("u")), (1, long("z")), (2, long("u")), (3, long("z"))]
+    got = near_dedup.op1(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in got} == {1}
+    label = {r["doc_id"]: r["label"] for r in got if r["doc_id"] > 1}
+    assert label[2] != label[3] and {r["label"] for r in got if r["doc_id"] == 1} == set(label.values())
+
+
 def test_rows_that_share_a_doc_id_are_classed_by_text(spark):
     long = lambda x, n=40: " ".join(f"{x}{k}" for k in range(n))
     rows = [(1, long("a")), (1, long("b")), (1, long("b")), (2, long("b")), (3, long("a")), (3, long("c")), (4, long("c")), (5, ""), (5, ""), (None, long("a")), (None, long("a"))]

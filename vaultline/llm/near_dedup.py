@@ -12,9 +12,10 @@ joined band by band, and every candidate is verified on the 64-bit hashes of its
    others over all large buckets, so near the centre of its family) meets every node. Verified pairs are links; components of
    links are classes.
 3. Large buckets whose nodes are still in several components are *contested*. Their nodes are compared across components by
-   prefixes: two sets that are similar enough share one of their few rarest elements, so pairs that do not are ruled out
-   exactly and all others are verified. No pair of a bucket is left out, and a family of copies is not compared pairwise,
-   as its copies are in one component by then.
+   prefixes: two sets that are similar enough share one of their few rarest elements, and their parities (each element flips
+   one of 512 bits) differ in no more bits than the sets may differ in elements. Pairs that do not are ruled out exactly,
+   inside the join, and all others are verified. No pair of a bucket is left out, and a family of copies is not compared
+   pairwise, as its copies are in one component by then.
 
 Bands: 20 of 5 coordinates; a pair of similarity 0.8 shares no bucket with probability (1 - 0.8^5)^20 = 0.0004.
 
@@ -26,11 +27,11 @@ repeated rows are copies; an empty table gives no rows; extra columns are ignore
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultline.llm.components import components
@@ -42,6 +43,7 @@ BANDS, ROWS = 20, 5
 SMALL = 32
 COMMON = 1 << 17
 FINEST = 13
+PARITY = 8
 
 
 def shingles(texts: list[str], size: int = SHINGLE, weighted: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +141,7 @@ def band_hashes(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 SIGNED = "doc_id long, text_hash long, size int, set_a long, set_b long, bands array<long>"
 SET = ["set_a", "set_b", "size"]
+PARITIES = [f"parity_{k}" for k in range(PARITY)]
 
 
 def set_hashes(elements: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -261,6 +264,15 @@ def rare_first(nodes: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.nda
     return tokens[order], n[order]
 
 
+def parities(elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """An n x ``PARITY`` matrix of 64 bits each: every element of a set flips one bit. The bits in which two sets differ are at
+    most the elements in which they differ."""
+    width = 64 * PARITY
+    bit = (mix(elements) >> np.uint64(17)).astype(np.int64) % width
+    odd = (np.bincount(owner * width + bit, minlength=n * width) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n, PARITY)
+
+
 def prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
     """The rarest elements of every node (node, label, elements) with their places. Two sets that are similar enough share an
     element among the first ``size - ceil(similarity size) + 1`` of the larger (all rows) and the fewer of the smaller (``short``)."""
@@ -280,6 +292,7 @@ def prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity
             short = size - np.ceil(2 * similarity / (1 + similarity) * size - 1e-6).astype(np.int64) + 1
             keep = place < long[owner]
             own = owner[keep]
+            parity = parities(flat, owner, len(sets))[own]
             columns = [
                 pa.array(flat[order][keep].view(np.int64)),
                 batch.column(0).take(pa.array(own)),
@@ -287,10 +300,12 @@ def prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity
                 pa.array(size[own], pa.int32()),
                 pa.array(place[keep], pa.int32()),
                 pa.array(place[keep] < short[own]),
+                *(pa.array(parity[:, k]) for k in range(PARITY)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["token", "node", "label", "size", "place", "short"])
+            yield pa.RecordBatch.from_arrays(columns, ["token", "node", "label", "size", "place", "short", *PARITIES])
 
-    return nodes.select("node", "label", "elements").mapInArrow(run, "token long, node long, label long, size int, place int, short boolean")
+    schema = "token long, node long, label long, size int, place int, short boolean, " + ", ".join(f"{x} long" for x in PARITIES)
+    return nodes.select("node", "label", "elements").mapInArrow(run, schema)
 
 
 def remaining_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -298,17 +313,20 @@ def remaining_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     their sets.
 
     Under a token, pairs within its largest component are left out before they are formed, so one great class costs its
-    size times that of the others and not its square."""
+    size times that of the others and not its square. Texts of one template whose changes recur share rare elements without
+    being similar; their parities tell, so that the join emits hardly more pairs than are similar."""
     rows = written(prefixes(nodes.repartition("node"), rare_first(nodes), similarity), "prefixes")
     sizes = rows.groupBy("token", "label").agg(F.count("*").alias("n"), F.max("short").alias("s"))
     heads = sizes.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("head"), F.count("*").alias("labels"), F.max("s").alias("s"))
     asked = written(rows.join(heads.where("labels > 1 and s"), "token").withColumn("minor", F.col("label") != F.col("head")), "prefixes")
     t = similarity / (1 + similarity)
+    apart = reduce(Column.__add__, (F.bit_count(F.col(f"p.{x}").bitwiseXOR(F.col(f"q.{x}"))) for x in PARITIES))
     fits = (
         (F.col("p.label") != F.col("q.label")) & (F.col("p.size") <= F.col("q.size")) & (F.col("p.size") >= similarity * F.col("q.size") - 1e-6)
         & (F.least(F.col("p.size") - F.col("p.place"), F.col("q.size") - F.col("q.place")) >= t * (F.col("p.size") + F.col("q.size")) - 1e-6)
+        & (apart <= (1 - 2 * t) * (F.col("p.size") + F.col("q.size")) + 1e-6)
     )
-    side = lambda name, which: asked.where(which).select("token", F.struct("node", "label", "size", "place").alias(name))
+    side = lambda name, which: asked.where(which).select("token", F.struct("node", "label", "size", "place", *PARITIES).alias(name))
     either = side("p", "short and minor").join(side("q", "true"), "token").where(fits).select("p", "q")
     mixed = side("p", "short and not minor").join(side("q", "minor"), "token").where(fits).select("p", "q")
     return ordered_pairs(either.unionByName(mixed), similarity)
@@ -348,8 +366,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
 
 
 def near_duplicates(docs: DataFrame, **options: object) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the document's class) and n_shingles of every row of ``docs``."""
-    return near_classes(docs, **options).select("doc_id", "class_id", F.col("size").cast("long").alias("n_shingles"))
+    """doc_id, class_id (the least doc_id of the document's class), n_shingles and label of every row of ``docs``; the label tells
+    apart two classes that one doc_id heads with two texts."""
+    return near_classes(docs, **options).select("doc_id", "class_id", F.col("size").cast("long").alias("n_shingles"), "label")
 
 
 def op1(docs: DataFrame) -> DataFrame:
