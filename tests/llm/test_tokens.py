@@ -108,6 +108,20 @@ def test_long_pieces_are_dealt_out(docs, texts, library, long_text, long_leaf):
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_texts_are_read_once_where_no_piece_is_long(spark, library):
+    """A long text of short pieces takes no long way: one job writes, and none follows."""
+    text = "many short words and their ends " * 4000
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    spark.sparkContext.setJobGroup("encode-once", "")
+    try:
+        got = bpe.op7(df, PATH)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("encode-once"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == 1
+    assert {r["doc_id"]: r["n_tokens"] for r in got.collect()} == {1: len(ids_of(library, text)), 2: 0}
+
+
 def test_text_of_several_megabytes(spark, library):
     rnd = random.Random(9)
     long = "".join(rnd.choice("abcdefgh") for _ in range(300_000)) + " " + "word it's " * 150_000 + "=" * 200_000

@@ -8,6 +8,7 @@ pairwise are the encoding of their text, and the two common tokens carry the fit
 A piece of over ``leaf`` characters is such a tree inside its batch. In a text of over ``long_text`` characters, pieces of over
 ``long_leaf`` characters are dealt out leaf by leaf as rows, so that halves are encoded in parallel on all executors, and each
 level of the tree is one join of the table of encoded stretches with itself; only the last step brings a text's ids together.
+Such texts are found in the pass that encodes all others; where there are none, texts are read once and nothing else follows.
 
 Cases: a null or empty text gives no ids and decodes to the empty text; text of any length is used
 whole; rows are independent, so repeated rows repeat their result, and extra columns are ignored.
@@ -16,11 +17,12 @@ whole; rows are independent, so repeated rows repeat their result, and extra col
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vaultline.llm.pieces import Encoder, Split, Vocabulary, vocabulary
@@ -133,27 +135,42 @@ def long_ids(texts: DataFrame, tokenizer: str, long_leaf: int) -> DataFrame:
     return level.groupBy("row").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"))
 
 
-def long_apart(docs: DataFrame, tokenizer: str, long_text: int, long_leaf: int) -> tuple[DataFrame, DataFrame | None]:
-    """The texts (doc_id, text) to be encoded batch by batch, and doc_id and ids of the long ones, if there are any."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    is_long = F.coalesce(F.length("text") > long_text, F.lit(False))
-    texts = written(own.where(is_long).withColumn("row", F.monotonically_increasing_id()), "long")
-    if texts.isEmpty():
-        return own, None
-    return own.where(~is_long), texts.select("row", "doc_id").join(long_ids(texts, tokenizer, long_leaf), "row").select("doc_id", "ids")
+def in_one_pass(docs: DataFrame, tokenizer: str, columns: Callable[[Vocabulary, list[list[int]]], list[pa.Array]], schema: str, long_text: int, long_leaf: int) -> DataFrame:
+    """doc_id and ``columns`` (of ``schema``) of every text. The pass that encodes the texts also finds those with a piece to be
+    dealt out, and writes these as they are; only if there are any, the long way follows, from what was written."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(tokenizer)
+        for batch in sliced(batches):
+            texts = texts_of(batch)
+            split = Split(coder.vocab, texts)
+            late = (split.longest() > long_leaf) & (np.diff(split.text_bounds) > long_text)
+            if late.any():
+                split = Split(coder.vocab, ["" if x else t for t, x in zip(texts, late)])
+            ids, bounds = coder.of(split)
+            own = columns(coder.vocab, [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *own, pa.array([t if x else None for t, x in zip(texts, late)], pa.string())], ["doc_id", *names, "late"])
 
-def encode(docs: DataFrame, tokenizer: str, long_text: int = LONG_TEXT, long_leaf: int = LONG_LEAF) -> DataFrame:
-    """doc_id, n_tokens and ids (array of int) of every whole text."""
+    def of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(tokenizer)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns(vocab, batch.column(1).to_pylist())], ["doc_id", *names])
+
+    n_late = Observation()
+    first = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {schema}, late string")
+    first = written(first.observe(n_late, F.count("late").alias("n")), "encoded")
+    if not n_late.get["n"]:
+        return first.drop("late")
+    texts = written(first.where("late is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("late").alias("text")), "long")
+    long = texts.select("row", "doc_id").join(long_ids(texts, tokenizer, long_leaf), "row").select("doc_id", "ids").mapInArrow(of_ids, f"doc_id long, {schema}")
+    return first.where("late is null").drop("late").unionByName(long)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids in encoded_batches(batches, tokenizer):
-            columns = [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids"])
 
-    short, long = long_apart(docs, tokenizer, long_text, long_leaf)
-    out = short.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
-    return out if long is None else out.unionByName(long.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids"))
+def encode(docs: DataFrame, tokenizer: str, long_text: int = LONG_TEXT, long_leaf: int = LONG_LEAF) -> DataFrame:
+    """doc_id, n_tokens and ids (array of int) of every whole text."""
+    columns = lambda vocab, lists: [pa.array([len(x) for x in lists], pa.int64()), pa.array(lists, pa.list_(pa.int32()))]
+    return in_one_pass(docs, tokenizer, columns, "n_tokens long, ids array<int>", long_text, long_leaf)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -172,29 +189,14 @@ def decoded(vocab: Vocabulary, ids: list[int]) -> str:
     return b"".join(map(vocab.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-
-def digests(vocab: Vocabulary, doc_ids: pa.Array, lists: list[list[int]]) -> pa.RecordBatch:
+def digests(vocab: Vocabulary, lists: list[list[int]]) -> list[pa.Array]:
     digest = lambda raw: hashlib.sha256(raw).hexdigest()
-    columns = [
-        doc_ids,
+    return [
         pa.array([len(x) for x in lists], pa.int64()),
         pa.array([digest(",".join(map(str, x)).encode()) for x in lists], pa.string()),
         pa.array([digest(decoded(vocab, x).encode()) for x in lists], pa.string()),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def op7(docs: DataFrame, tokenizer: str, long_text: int = LONG_TEXT, long_leaf: int = LONG_LEAF) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids in encoded_batches(batches, tokenizer):
-            yield digests(vocabulary(tokenizer), batch.column(0), [x.tolist() for x in ids])
-
-    def of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield digests(vocabulary(tokenizer), batch.column(0), batch.column(1).to_pylist())
-
-    short, long = long_apart(docs, tokenizer, long_text, long_leaf)
-    out = short.mapInArrow(run, DIGESTS)
-    return out if long is None else out.unionByName(long.mapInArrow(of_ids, DIGESTS))
+    return in_one_pass(docs, tokenizer, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", long_text, long_leaf)

@@ -166,6 +166,12 @@ class Split:
         self.ranges = [RangeHash(symbols, base) for base in RangeHash.BASES]
         self.special_set = set(self.special)
 
+    def longest(self) -> np.ndarray:
+        """The length of each text's longest piece, in characters."""
+        out = np.zeros(len(self.bounds) - 1, np.int64)
+        np.maximum.at(out, np.repeat(np.arange(len(out)), np.diff(self.bounds)), self.ends - self.starts)
+        return out
+
     def pieces(self, table: "PieceTable", starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The table's slots of pieces of this batch."""
         return table.find(*(r.of(starts, ends) for r in self.ranges), self.text, starts, ends)
@@ -276,9 +282,11 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and ``bounds`` so that text i has ids[bounds[i] : bounds[i + 1]]."""
-        split = Split(self.vocab, texts)
+        return self.of(Split(self.vocab, texts))
+
+    def of(self, split: Split) -> tuple[np.ndarray, np.ndarray]:
         if not len(split.starts):
-            return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+            return np.empty(0, np.int32), np.zeros(len(split.bounds), np.int64)
         ids, lens = self.table.gather(split.pieces(self.table, split.starts, split.ends))
         return ids, np.concatenate(([0], np.cumsum(lens)))[split.bounds]
 
