@@ -307,6 +307,15 @@ ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
+def test_items_without_an_id_count_each(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "e f"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b"), (None, "e f"), ("x", "c d"), ("-1", "d e"), ("x", "e f"), (None, None)], "item_id string, text string")
+    for words in (1000, 2):
+        got = by_id(decontamination.contamination(docs, items, block_words=words))
+        assert {i: r["n_items"] for i, r in got.items()} == {1: 4, 2: 2, 3: 0}
+        assert got[1]["items_sha256"] == sha(b"-1,x") and got[2]["items_sha256"] == sha(b"x")
+
+
 def contaminated(texts, items):
     item_words = {k: ITEM_WORD.findall((t or "").translate(LOWER)) for k, t in items}
     out = {}

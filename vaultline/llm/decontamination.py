@@ -11,7 +11,7 @@ The patterns of a benchmark of at most ``block_words`` words are broadcast. A la
 once and stream past each block, which returns the rows with hits only. Either way every row has its own result.
 
 Cases: null and empty texts have no words and are never contaminated; null items and items without words
-match nothing; items without an id hit like others, count as one item and have no name; equal windows in several items count for each of them; rows that repeat, share a doc_id or have none
+match nothing; items without an id hit like others, count each and have no name; equal windows in several items count for each of them; rows that repeat, share a doc_id or have none
 are judged each by their own text; an empty benchmark contaminates nothing; extra columns are ignored.
 """
 
@@ -117,7 +117,7 @@ class Search:
 def judged(ids: pa.Array, n_words: list[int], spans: list[list[tuple[int, int]]], items: list[Iterable[str]]) -> pa.RecordBatch:
     n_hit = np.array([covered(x) for x in spans], np.int64)
     size = np.array(n_words, np.int64)
-    own = [sorted(i for i in x if i is not None) for x in items]
+    own = [sorted(i[1:] for i in x if i[0] == "=") for x in items]
     columns = [
         ids,
         pa.array(size),
@@ -174,7 +174,8 @@ def block_by_block(rows: DataFrame, blocks: Iterable[Search]) -> DataFrame:
 
 
 def segments(benchmark: DataFrame, window: int, most: int) -> DataFrame:
-    """item, text and n_words; an item of over ``most`` words in segments that share ``window - 1`` words."""
+    """item ("=" and its id, or "-" and a number), text and n_words; an item of over ``most`` words in segments that share
+    ``window - 1`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -186,7 +187,8 @@ def segments(benchmark: DataFrame, window: int, most: int) -> DataFrame:
                     out.append((item, b" ".join(part).decode(), len(part)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["item", "text", "n_words"])
 
-    return benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(run, "item string, text string, n_words long")
+    item = F.coalesce(F.concat(F.lit("="), F.col("item_id").cast("string")), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    return written(benchmark.select(item.alias("item"), "text").mapInArrow(run, "item string, text string, n_words long"), "items")
 
 
 def searches(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> tuple[int, Iterator[Search]]:
