@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,8 +79,11 @@ class VersionedTable:
             return None
         if not v.folders:
             return self.spark.createDataFrame([], v.schema)
+        return self._of(v, v.folders)
+
+    def _of(self, v: Version, folders: tuple[str, ...] | list[str]) -> DataFrame:
         files = self.spark.read.schema(v.schema).option("basePath", f"{self.path}/data")
-        return files.parquet(*(f"{self.path}/data/{f}" for f in v.folders)).select(*v.schema.names)
+        return files.parquet(*(f"{self.path}/data/{f}" for f in folders)).select(*v.schema.names)
 
     def _leaves(self, folder: str, depth: int) -> list[str]:
         if depth == 0:
@@ -103,12 +105,15 @@ class VersionedTable:
         return made
 
     def _write(self, df: DataFrame, keep: list[str], number: int) -> Version:
-        commit = f"{COMMIT}={number}-{uuid.uuid4().hex}"
-        writer = df.write.partitionBy(*self.partition) if self.partition else df.write
-        writer.parquet(f"{self.path}/data/{commit}")
-        written = self._leaves(commit, len(self.partition))
-        own = {w.split("/", 1)[1] for w in written} if self.partition else set()
-        return self._swap(number, [f for f in keep if f.split("/", 1)[1] not in own] + written if self.partition else [*keep, *written], df.schema)
+        written, schema = self._put(df, number, keep)
+        return self._swap(number, [*(f for f in keep if f not in written), *written], schema)
+
+    def _put(self, df: DataFrame, number: int, keep: list[str] = ()) -> tuple[list[str], StructType]:
+        """Writes rows that no version names yet, into the commit of this number among ``keep`` if that has begun; its folders and schema."""
+        begun = [f.split("/")[0] for f in keep if f.startswith(f"{COMMIT}={number}-")]
+        commit, out = begun[0] if begun else f"{COMMIT}={number}-{uuid.uuid4().hex}", self._ordered(df)
+        (out.write.partitionBy(*self.partition) if self.partition else out.write).mode("append").parquet(f"{self.path}/data/{commit}")
+        return self._leaves(commit, len(self.partition)), out.schema
 
     def _ordered(self, df: DataFrame) -> DataFrame:
         """Partition columns last, as Parquet readers have them."""
@@ -125,23 +130,31 @@ class VersionedTable:
         if v is None:
             return self.replace(df)
         df = self.spark.createDataFrame([], v.schema).unionByName(df, allowMissingColumns=True)
-        commit = f"{COMMIT}={v.number + 1}-{uuid.uuid4().hex}"
-        out = self._ordered(df)
-        (out.write.partitionBy(*self.partition) if self.partition else out.write).parquet(f"{self.path}/data/{commit}")
-        return self._swap(v.number + 1, [*v.folders, *self._leaves(commit, len(self.partition))], out.schema)
+        added, schema = self._put(df, v.number + 1)
+        return self._swap(v.number + 1, [*v.folders, *added], schema)
 
     def merge(self, delta: DataFrame, keys: list[str]) -> Version:
         """A new version in which the delta's rows stand for those of equal keys. The delta is computed against the version before,
-        and may be read from it; of its own rows of one key all are kept."""
+        and may be read from it; of its own rows of one key all are kept. It is written first, so that it is computed once: stored rows
+        are compared with what was written."""
         v = self.version()
         if v is None:
             return self.replace(delta)
         stored, keep = self.read(v.number), []
+        empty = self.spark.createDataFrame([], v.schema).unionByName(self.spark.createDataFrame([], delta.schema), allowMissingColumns=True)
+        added, schema = self._put(empty.unionByName(delta, allowMissingColumns=True), v.number + 1)
+        if not added:
+            return self._swap(v.number + 1, list(v.folders), schema)
+        new = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*(f"{self.path}/data/{f}" for f in added))
         if self.partition and set(self.partition) <= set(keys):
-            touched = delta.select(*(F.col(c).alias(f"touched_{c}") for c in self.partition)).distinct()
-            same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"touched_{c}")), self.partition, F.lit(True))
-            stored, keep = stored.join(touched, same, "left_semi"), list(v.folders)
-        return self._write(self._ordered(merge_on(stored, delta, keys)), keep, v.number + 1)
+            own = {f.split("/", 1)[1] for f in added}
+            keep = [f for f in v.folders if f.split("/", 1)[1] not in own]
+            old = [f for f in v.folders if f.split("/", 1)[1] in own]
+            if not old:
+                return self._swap(v.number + 1, [*keep, *added], schema)
+            stored = self._of(v, old)
+        kept = stored.join(new.select(*keys).distinct(), keys, "left_anti").select(*stored.columns)
+        return self._write(self._ordered(empty.unionByName(kept, allowMissingColumns=True)), [*keep, *added], v.number + 1)
 
     def expire(self, keep: int = 2) -> list[str]:
         """Drops all but the last ``keep`` versions, and the folders that no kept version names; returns these."""
