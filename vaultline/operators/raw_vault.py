@@ -9,12 +9,12 @@ from dataclasses import dataclass, field
 from functools import partial
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vaultline.functions.bloom import bloom, maybe_in
 from vaultline.functions.hashing import END_OF_TIME, GHOST_KEY
-from vaultline.functions.running import neighbours
+from vaultline.functions.running import STRETCH, dealt, neighbours
 from vaultline.sources.versioned import VersionedTable
 
 Stages = DataFrame | list[DataFrame]
@@ -74,22 +74,34 @@ def load_same_as(pairs: DataFrame, pk: str, master: str, duplicate: str, ldts: s
     return load_link(pairs, pk, [master, duplicate], ldts, src, existing)
 
 
-def one_per_load(rows: DataFrame, pk: str, ldts: str, diff: str) -> DataFrame:
+def one_per_load(rows: DataFrame, pk: str | list[str], ldts: str, diff: str) -> DataFrame:
     """At most one row per (key, load date): of ties, the greatest hashdiff."""
-    rest = [c for c in rows.columns if c not in (pk, ldts)]
-    best = rows.groupBy(pk, ldts).agg(F.max_by(F.struct(*rest), F.col(diff)).alias("_row"))
-    return best.select(pk, ldts, *(F.col(f"_row.{c}").alias(c) for c in rest))
+    key = [pk, ldts] if isinstance(pk, str) else [*pk, ldts]
+    rest = [c for c in rows.columns if c not in key]
+    best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(diff)).alias("_row"))
+    return best.select(*key, *(F.col(f"_row.{c}").alias(c) for c in rest))
 
 
 def latest(stored: DataFrame, pk: str, ldts: str, diff: str) -> DataFrame:
     return stored.groupBy(pk).agg(F.max(ldts).alias("_ldts"), F.max_by(diff, ldts).alias("_diff"))
 
 
+def by_key(rows: DataFrame, pk: str, ldts: str, stretches: int, combine: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """``combine`` (an aggregate by key and date, given the columns that stand for the key) of rows that are shuffled by their key, once:
+    aggregates, windows and joins by key follow without another shuffle. With ``stretches`` above 1 a hot key's rows, combined in map
+    tasks first, are dealt out by their dates, and ``_stretch`` is one of the columns."""
+    if stretches <= 1:
+        return combine(rows.repartition(pk), [pk])
+    cut, key = dealt(rows, [pk], ldts, stretches), [pk, STRETCH]
+    hot = combine(cut.where(F.col(STRETCH) > 0), key)
+    return combine(cut.where(F.col(STRETCH) == 0).unionByName(hot).repartition(*key), key)
+
+
 def load_sat(stg: DataFrame, pk: str, diff: str, payload: list[str], ldts: str, src: str, eff: str | None = None, existing: DataFrame | None = None, stretches: int = 1) -> DataFrame:
     """Rows whose hashdiff differs from the version just before, in the batch or stored; of stored history only the heads of keys that
     the batch may hold are aggregated. With ``stretches`` above 1 a key's many versions are dealt out over so many tasks."""
     columns = list(dict.fromkeys([pk, diff, *payload, *([eff] if eff else []), ldts, src]))
-    batch = one_per_load(stg.select(*columns).where(F.col(pk).isNotNull()), pk, ldts, diff)
+    batch = by_key(stg.select(*columns).where(F.col(pk).isNotNull()), pk, ldts, stretches, lambda rows, key: one_per_load(rows, key, ldts, diff))
     if existing is not None:
         batch = batch.join(latest(touched(existing, stg, pk), pk, ldts, diff), pk, "left").where(F.col("_ldts").isNull() | (F.col(ldts) > F.col("_ldts")))
     else:
@@ -109,10 +121,22 @@ def load_eff_sat(stg: DataFrame, pk: str, dfk: str, sfks: list[str], ldts: str,
     events = stg.where(F.col(dfk).isNotNull()).select(pk, dfk, *sfks, F.col(ldts).alias("start_date"), src, gone.alias("_gone"))
     if existing is not None:
         still = existing.where(F.col("end_date") == end_of_time()).select(pk, dfk, *sfks, "start_date", src, F.lit(False).alias("_gone"))
-        events = events.unionByName(still.join(events.select(dfk).distinct(), dfk, "left_semi"))
-    rest = [pk, *sfks, src, "_gone"]
-    one = events.groupBy(dfk, "start_date").agg(F.max(F.struct("_gone", pk, *sfks, src)).alias("_row"))
-    one = one.select(dfk, "start_date", *(F.col(f"_row.{c}").alias(c) for c in rest))
+        still = touched(still, events, dfk)
+        if stretches > 1:
+            still = still.join(events.select(dfk).distinct(), dfk, "left_semi")
+        events = events.withColumn("_new", F.lit(True)).unionByName(still.withColumn("_new", F.lit(stretches > 1)))
+    else:
+        events = events.withColumn("_new", F.lit(True))
+    row = ["_gone", pk, *sfks, src]
+
+    def combine(rows: DataFrame, key: list[str]) -> DataFrame:
+        best = rows.groupBy(*key, "start_date").agg(F.max(F.struct(*row)).alias("_row"), F.max("_new").alias("_new"))
+        return best.select(*key, "start_date", *(F.col(f"_row.{c}").alias(c) for c in row), "_new")
+
+    one = by_key(events, dfk, "start_date", stretches, combine)
+    if existing is not None and stretches <= 1:  # the Bloom filter lets some keys through that the batch has not
+        one = one.withColumn("_new", F.max("_new").over(Window.partitionBy(dfk))).where("_new")
+    one = one.drop("_new")
     state = one.withColumn("_state", F.when(~F.col("_gone"), F.col(pk)))
     runs = neighbours(state, [dfk], ["start_date"], {"_before": "_state"}, {}, stretches).where(~F.col("_state").eqNullSafe(F.col("_before")))
     closed = neighbours(runs, [dfk], ["start_date"], {}, {"_until": "start_date"}, stretches).withColumn("end_date", F.coalesce("_until", end_of_time()))
@@ -142,16 +166,21 @@ def load_ma_sat(stg: DataFrame, pk: str, diff: str, payload: list[str], ldts: st
     With ``existing``, sets of dates up to a key's last stored one are known already and left out; of stored history only the heads of
     keys that the batch may hold are aggregated. With ``stretches`` above 1 a key's many dates are dealt out over so many tasks.
     """
-    rows = stg.select(pk, diff, *payload, ldts, src).where(F.col(pk).isNotNull()).dropDuplicates([pk, ldts, diff])
-    sets = rows.groupBy(pk, ldts).agg(F.md5(F.array_join(F.array_sort(F.collect_list(diff)), "||")).alias("set_hashdiff"))
+    rows = stg.select(pk, diff, *payload, ldts, src).where(F.col(pk).isNotNull())
+    held = list(dict.fromkeys([diff, *payload, src]))
+    one = by_key(rows, pk, ldts, stretches, lambda r, key: r.dropDuplicates([*key, ldts, diff]))
+    key = [c for c in (pk, STRETCH) if c in one.columns]
+    sets = one.groupBy(*key, ldts).agg(F.collect_list(F.struct(*held)).alias("_set"))
+    sets = sets.withColumn("set_hashdiff", F.md5(F.array_join(F.array_sort(F.transform("_set", lambda x: x[diff])), "||")))
     if existing is not None:
         heads = latest(touched(existing, stg, pk), pk, ldts, "set_hashdiff")
         sets = sets.join(heads, pk, "left").where(F.col("_ldts").isNull() | (F.col(ldts) > F.col("_ldts")))
     else:
         sets = sets.withColumn("_diff", F.lit(None).cast("string"))
     before = F.coalesce("_before", "_diff")
-    changed = neighbours(sets, [pk], [ldts], {"_before": "set_hashdiff"}, {}, stretches).where(~before.eqNullSafe(F.col("set_hashdiff"))).select(pk, ldts, "set_hashdiff")
-    return rows.join(changed, [pk, ldts]).select(pk, "set_hashdiff", diff, *payload, ldts, src)
+    changed = neighbours(sets, [pk], [ldts], {"_before": "set_hashdiff"}, {}, stretches).where(~before.eqNullSafe(F.col("set_hashdiff")))
+    each = changed.select(pk, ldts, "set_hashdiff", F.explode("_set").alias("_one"))
+    return each.select(pk, "set_hashdiff", *(F.col(f"_one.{c}").alias(c) for c in [diff, *payload]), ldts, F.col(f"_one.{src}").alias(src))
 
 
 def load_status_sat(previous: DataFrame, current: DataFrame, pk: str, diff: str, at: Column) -> DataFrame:
