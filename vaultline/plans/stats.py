@@ -77,6 +77,13 @@ def poisson_weight(number: Column) -> Column:
     return reduce(lambda a, t: a + (number >= t).cast("int"), POISSON, F.lit(0))
 
 
+def weight_of(text: Column) -> Column:
+    """``poisson_weight`` of a number of 12 hexadecimal digits as text: texts of one length compare as their numbers do, and most are
+    decided by the first steps."""
+    steps = [f"{t:012x}" for t in POISSON if t < 1 << 48]
+    return reduce(lambda rest, k: F.when(text < steps[k], k).otherwise(rest), reversed(range(len(steps))), F.lit(len(steps)))
+
+
 def bootstrap_ci(df: DataFrame, group: str, value: str, order: list[str], iterations: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """Percentile interval of each group's mean.
 
@@ -86,20 +93,26 @@ def bootstrap_ci(df: DataFrame, group: str, value: str, order: list[str], iterat
     no row is joined with a draw. Any engine or rerun draws the same; values are summed as decimals, so the order of rows does not matter.
     """
     known = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast(EXACT_VALUE).alias("v"), *order)
-    rows = places(known, [group], "v", order).select(group, "v", "i")
-    mean = lambda: F.sum("v").cast("double")
-    sizes = rows.groupBy(group).agg(F.count("*").alias("n"), (mean() / F.count("*")).alias("mean"))
+    sizes = known.groupBy(group).agg(F.count("*").alias("n"), (F.sum("v").cast("double") / F.count("*")).alias("mean"))
     number = lambda i: drawn_number(12, F.col(group), F.col("k"), i, F.lit(seed))
-    few = rows.join(sizes.where(F.col("n") <= SMALL).select(group, "n"), group).groupBy(group, "n")
-    held = few.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vs"))
+    few = known.join(sizes.where(F.col("n") <= SMALL).select(group, "n"), group).groupBy(group, "n")
+    held = few.agg(F.array_sort(F.collect_list("v")).alias("vs"))
     ranges = [F.struct(F.lit(c * iterations // CHUNKS).alias("a"), F.lit((c + 1) * iterations // CHUNKS - 1).alias("b")) for c in range(CHUNKS) if (c + 1) * iterations // CHUNKS > c * iterations // CHUNKS]
     dealt = held.select("*", F.explode(F.array(*ranges)).alias("r")).repartition(group, "r")
     total = F.aggregate(F.sequence(F.lit(0), F.col("n").cast("int") - 1), F.lit(0).cast("decimal(38,6)"), lambda a, i: (a + F.get("vs", F.pmod(number(i), F.col("n")).cast("int"))).cast("decimal(38,6)"))
     picked = dealt.select(group, "n", "vs", F.explode(F.sequence("r.a", "r.b")).alias("k")).select(group, (total.cast("double") / F.col("n")).alias("m"))
-    draws = df.sparkSession.range(iterations).withColumnRenamed("id", "k")
-    many = rows.join(sizes.where(F.col("n") > SMALL).select(group), group).crossJoin(F.broadcast(draws))
-    weighed = many.select(group, "k", "v", number(F.col("i")).alias("u")).select(group, "k", "v", poisson_weight(F.col("u")).alias("w"))
-    weighed = weighed.groupBy(group, "k").agg(F.sum(F.col("v") * F.col("w")).alias("s"), F.sum("w").alias("w"))
+    draws = df.sparkSession.range(iterations).select(F.col("id").alias("k"), F.col("id").cast("string").alias("_k"))
+    large = places(known.join(sizes.where(F.col("n") > SMALL).select(group), group), [group], "v", order)
+    # a value is three longs of six digits each, whose sums are exact and cost less than those of decimals
+    micros = (F.col("v") * 1_000_000).cast("long")
+    digits = {"_low": micros % 1_000_000, "_mid": F.expr("_v div 1000000 % 1000000"), "_high": F.expr("_v div 1000000000000")}
+    texts = [F.concat_ws("|", F.col(group), F.lit("")).alias("_a"), F.concat(F.lit("|"), F.col("i").cast("string"), F.lit(f"|{seed}")).alias("_z")]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = large.withColumn("_v", micros).select(group, *(c.alias(n) for n, c in digits.items()), *texts).repartition(parts).crossJoin(F.broadcast(draws))
+    drawn = many.select(group, "k", *digits, F.substring(F.md5(F.concat("_a", "_k", "_z")), 1, 12).alias("u")).select(group, "k", *digits, weight_of(F.col("u")).cast("long").alias("w"))
+    weighed = drawn.groupBy(group, "k").agg(F.sum("w").alias("w"), *(F.sum(F.col(c) * F.col("w")).cast("decimal(38,0)").alias(c) for c in digits))
+    exact = F.col("_low") + F.col("_mid") * F.lit(1_000_000) + F.col("_high") * F.lit(1_000_000_000_000)
+    weighed = weighed.select(group, "w", (exact.cast("decimal(38,0)") / F.lit(1_000_000)).cast("decimal(38,6)").alias("s"))
     means = picked.unionByName(weighed.select(group, (F.col("s").cast("double") / F.col("w")).alias("m")))
     tail = (1 - level) / 2
     ends = F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail)))
