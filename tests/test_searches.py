@@ -82,3 +82,34 @@ def test_sums_of_large_groups_are_exact(spark):
         sizes[k] += w
     means = [float(s) / n for s, n in zip(sums, sizes)]
     assert np.allclose((got["low"], got["high"]), np.percentile(means, (2.5, 97.5)), rtol=1e-12, atol=0)
+
+
+def test_a_bridge_shuffles_active_links_only(spark):
+    from vaultline.operators import business_vault as bv
+
+    end = F.lit("9999-12-31").cast("timestamp_ntz")
+    hub = spark.range(500).select(F.col("id").cast("string").alias("hk"))
+    link = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("lk"), (F.col("id") % 500).cast("string").alias("hk"))
+    eff = spark.range(20).select(F.md5((F.col("id") * 7).cast("string")).alias("lk"), F.lit("2000-01-01").cast("timestamp_ntz").alias("start_date"), end.alias("end_date"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = bv.bridge(hub, "hk", [(link, "lk", "hk", eff)])
+        assert shuffled_rows(spark, found) < 3000
+        assert found.count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_dates_are_laid_out_after_marks_are_sorted(spark):
+    from vaultline.operators import business_vault as bv
+
+    hub = spark.range(30).select(F.col("id").cast("string").alias("hk"))
+    at = F.timestamp_seconds(F.lit(946_684_800) + F.col("id") * 86_400 * 5).cast("timestamp_ntz")
+    sat = spark.range(200).select((F.col("id") % 40).cast("string").alias("hk"), at.alias("t"))
+    out = bv.pit(hub, bv.as_of_dates(spark, "2000-01-01", "2002-06-30"), [("a", sat, "t"), ("b", sat.where("hk % 2 = 0"), "t")], "hk")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(slice") < plan.index("Window [")  # the window reads marks; dates come above it
+    assert out.count() == 30 * 912
+    want = out.alias("p").join(sat.alias("s"), F.expr("p.hk = s.hk and s.t <= p.as_of_date"), "left").groupBy("p.hk", "p.as_of_date", "a_ldts").agg(F.max("t").alias("t"))
+    assert want.where("not (coalesce(t, timestamp_ntz '1900-01-01 00:00:00') <=> a_ldts)").count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vaultline.functions.hashing import GHOST_KEY, hashdiff
 from vaultline.functions.running import neighbours
 from vaultline.functions.search import lower_bound
-from vaultline.operators.raw_vault import end_of_time, load_sat, no_ghost
+from vaultline.operators.raw_vault import end_of_time, load_sat, no_ghost, touched
 
 GHOST_DATE = "1900-01-01 00:00:00"
 #: A satellite of a point-in-time table: name, rows, load-date column.
@@ -32,7 +32,8 @@ def pit(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, state: DataF
 
     Versions of all satellites are one stream. A version finds the first of the spine's dates on or after it (binary search in the spine,
     which comes along as one array), of those that share key and date the latest counts, which map tasks combine, so neither many
-    versions of a key nor many satellites add a shuffle; then each key's dates carry the latest so far forward.
+    versions of a key nor many satellites add a shuffle; then the latest so far is carried from mark to mark, and each mark stands for the
+    dates up to the next one, so what is sorted is marks and not keys x dates.
 
     ``state`` holds what earlier versions amount to: rows (pk, {name}_ldts) as of a date before the spine's first, as in ``pit_state``.
     """
@@ -49,11 +50,12 @@ def pit(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, state: DataF
     slot = F.when(F.col("_hub") == 1, -1).otherwise(lower_bound(F.col("_days"), at))
     placed = marks.crossJoin(F.broadcast(days)).withColumn("_slot", slot).where(F.col("_slot") < F.size("_days"))
     latest = placed.groupBy(pk, "_slot").agg(*(F.max(f"{n}_ldts").alias(f"{n}_ldts") for n in names))
-    by_slot = F.map_from_entries(F.collect_list(F.struct("_slot", F.struct(*(f"{n}_ldts" for n in names)).alias("_mark"))))
-    keys = latest.groupBy(pk).agg(by_slot.alias("_marks")).where(F.map_contains_key("_marks", -1))
-    dated = keys.crossJoin(F.broadcast(days)).select(pk, "_marks", F.posexplode("_days").alias("_slot", "as_of_date"))
-    so_far = Window.partitionBy(pk).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    out = dated.select(pk, "as_of_date", *(F.max(F.try_element_at("_marks", F.col("_slot"))[f"{n}_ldts"]).over(so_far).alias(f"{n}_ldts") for n in names))
+    line = Window.partitionBy(pk).orderBy("_slot")
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    carried = latest.withColumns({f"{n}_ldts": F.max(f"{n}_ldts").over(so_far) for n in names} | {"_first": F.min("_slot").over(so_far), "_next": F.lead("_slot").over(line)})
+    held = carried.where("_first = -1").crossJoin(F.broadcast(days)).withColumns({"_slot": F.greatest("_slot", F.lit(0)), "_next": F.coalesce("_next", F.size("_days"))})
+    held = held.where("_slot < _next")
+    out = held.select(pk, F.explode(F.slice("_days", F.col("_slot") + 1, F.col("_next") - F.col("_slot"))).alias("as_of_date"), *(f"{n}_ldts" for n in names))
     ghost = F.lit(GHOST_DATE).cast("timestamp_ntz")
     cells = [c for n in names for c in (F.coalesce(f"{n}_ldts", ghost).alias(f"{n}_ldts"), F.when(F.col(f"{n}_ldts").isNull(), GHOST_KEY).otherwise(F.col(pk)).alias(f"{n}_pk"))]
     return out.select(pk, "as_of_date", *cells)
@@ -88,7 +90,8 @@ def bridge(hub: DataFrame, hub_pk: str, walk: list[tuple[DataFrame, str, str, Da
     for link, link_pk, joint, eff in walk:
         own = link.select(*(c for c in link.columns if c == link_pk or c == joint or c not in out.columns))
         if eff is not None:
-            own = own.join(active(eff, as_of).select(link_pk).distinct(), link_pk, "left_semi")
+            held = active(eff, as_of).select(link_pk)
+            own = touched(own, held, link_pk).join(held.distinct(), link_pk)  # a semi join would be moved below the filter of keys
         out = out.join(own, joint)
     return out
 

@@ -29,8 +29,10 @@ def customer_pit(s: SparkSession, d: str) -> DataFrame:
 
 def customer_bridge(s: SparkSession, d: str, at: object = None) -> DataFrame:
     orders = rv.load_link(stg_orders(s, d), "hk_order_customer", ["hk_order", "hk_customer"], "o_orderdate", "record_source").drop("o_orderdate", "record_source")
-    lines = rv.load_link(stg_li(s, d), "hk_order_part_supplier", ["hk_order", "hk_part", "hk_supplier"], "l_shipdate", "record_source").drop("l_shipdate", "record_source")
-    lines = lines.join(bv.active(eff_part(s, d), at).select("hk_part", "hk_supplier").distinct(), ["hk_part", "hk_supplier"], "left_semi")
+    held = bv.active(eff_part(s, d), at).select("hk_part_supplier", "hk_part", "hk_supplier")
+    staged = rv.touched(stg_li(s, d), held, "hk_part_supplier")  # few relationships are active: others are left away where lines are read
+    lines = rv.load_link(staged, "hk_order_part_supplier", ["hk_order", "hk_part", "hk_supplier"], "l_shipdate", "record_source").drop("l_shipdate", "record_source")
+    lines = lines.join(held.select("hk_part", "hk_supplier").distinct(), ["hk_part", "hk_supplier"], "left_semi")
     return bv.bridge(hub_customer(s, d), "hk_customer", [(orders, "hk_order_customer", "hk_customer", None), (lines, "hk_order_part_supplier", "hk_order", None)], at)
 
 
