@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -73,65 +73,87 @@ def stream_hub_keys(stream: DataFrame, key: str, ts: str, watermark: str = "1 da
     return timed(stream, ts, watermark).select(key, ts).dropDuplicatesWithinWatermark([key])
 
 
-class ChangeDetector(StatefulProcessor):
-    """Emits a key's rows whose hashdiff differs from the one before; the last one is the key's state."""
+#: A change detector keeps the states of so many buckets of keys, each as one value.
+BUCKETS = 1024
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "hashdiff string")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
-        before = self.last.get()[0] if self.last.exists() else None
-        for row in sorted(rows, key=lambda r: (r["ts"], r["hashdiff"])):
-            if row["hashdiff"] != before:
-                before = row["hashdiff"]
-                yield Row(key=key[0], ts=row["ts"], hashdiff=before)
-        if before is not None:
-            self.last.update((before,))
-
-    def close(self) -> None:
-        pass
-
-
-def stream_changes(stream: DataFrame, key: str, ts: str, diff: str) -> DataFrame:
-    """(key, ts, hashdiff) of each change. Needs the RocksDB state store."""
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.col(diff).alias("hashdiff"))
-    return rows.groupBy("key").transformWithState(ChangeDetector(), "key string, ts timestamp_ntz, hashdiff string", "append", "none")
 
+class Changes(StatefulProcessor):
+    """Emits rows whose hashdiff differs from their key's one before; each key's last one is state.
 
-class ExpiringChanges(StatefulProcessor):
-    """``ChangeDetector`` over batches, with a state that ends: a key that was silent for ``ttl_ms`` of event time is forgotten."""
+    Keys come in buckets, and a bucket's keys share one state value: a micro-batch reads and writes as many values as there are buckets,
+    however many keys it has. With ``ttl_ms``, a key that was silent for so long is forgotten, and a bucket without keys has no state.
+    """
 
-    def __init__(self, ttl_ms: int) -> None:
+    def __init__(self, ttl_ms: int | None = None) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "hashdiff string, micros long")
+        self.state = handle.getValueState("last", "keys array<string>, hashdiffs array<string>, micros array<long>, due long")
+
+    def load(self) -> tuple[dict[str | None, tuple[str | None, int]], int | None]:
+        """Each key's last hashdiff and time, and when the bucket's timer is due."""
+        found = self.state.get() if self.state.exists() else None
+        return ({}, None) if found is None else ({k: (d, m) for k, d, m in zip(*found[:3])}, found[3])
+
+    def save(self, last: dict[str | None, tuple[str | None, int]], due: int | None) -> None:
+        """Stores the bucket; its timer, due at ``due`` until now, is moved to when the first of its keys ends."""
+        end = None if self.ttl_ms is None or not last else min(m for _, m in last.values()) // 1000 + self.ttl_ms + 1
+        if end != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if end is not None:
+                self.handle.registerTimer(end)
+        if last:
+            self.state.update((list(last), [d for d, _ in last.values()], [m for _, m in last.values()], end))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["ts", "hashdiff"], kind="stable")  # one key's rows of one micro-batch
-        micros = pd.to_datetime(batch["ts"], utc=True).astype("datetime64[us, UTC]").astype("int64").to_numpy()
-        diffs = batch["hashdiff"].to_numpy()
-        before, seen = self.last.get() if self.last.exists() else (None, None)
-        anew = np.diff(micros, prepend=micros[0] if seen is None else seen) >= self.ttl_ms * 1000
-        changed = anew | np.array([d != b for d, b in zip(diffs, [before, *diffs[:-1]])])
-        changed[0] |= seen is None
-        latest = int(micros[-1] if seen is None else max(micros[-1], seen))
-        self.last.update((diffs[-1], latest))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(latest // 1000 + self.ttl_ms + 1)
-        yield pd.DataFrame({"key": key[0], "ts": batch["ts"][changed], "hashdiff": batch["hashdiff"][changed]})
+        batch = pd.concat(list(rows), ignore_index=True)  # one bucket's rows of one micro-batch
+        batch["code"] = pd.factorize(batch["key"], use_na_sentinel=False)[0]
+        batch = batch.sort_values(["code", "ts", "hashdiff"], kind="stable")
+        codes, diffs = batch["code"].to_numpy(), batch["hashdiff"].to_numpy(dtype=object)
+        keys = [None if pd.isna(k) else k for k in batch["key"]]
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        final = np.append(first[1:], len(codes)) - 1
+        last, due = self.load()
+        known = [last.get(keys[i]) for i in first]
+        before = np.concatenate(([None], diffs[:-1]))
+        before[first] = [None if k is None else k[0] for k in known]
+        changed = np.array([d != b for d, b in zip(diffs, before)])
+        micros = np.zeros(len(codes), np.int64)
+        if self.ttl_ms is not None:
+            micros = pd.to_datetime(batch["ts"], utc=True).astype("datetime64[us, UTC]").astype("int64").to_numpy()
+            since = np.diff(micros, prepend=0)
+            since[first] = [self.ttl_ms * 1000 if k is None else micros[i] - k[1] for i, k in zip(first, known)]
+            changed |= since >= self.ttl_ms * 1000
+        for i, k in zip(final, known):
+            last[keys[i]] = (diffs[i], int(micros[i]) if k is None else max(int(micros[i]), k[1]))
+        self.save(last, due)
+        yield batch.loc[changed, ["key", "ts", "hashdiff"]]
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.last.clear()
+        now, (last, _) = expiredTimerInfo.getExpiryTimeInMs(), self.load()
+        now = max(now, timerValues.getCurrentWatermarkInMs())
+        self.save({k: v for k, v in last.items() if v[1] // 1000 + self.ttl_ms + 1 > now}, None)
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def stream_changes_expiring(stream: DataFrame, key: str, ts: str, diff: str, watermark: str, ttl_ms: int) -> DataFrame:
+def by_bucket(rows: DataFrame, buckets: int) -> GroupedData:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket")
+
+
+def stream_changes(stream: DataFrame, key: str, ts: str, diff: str, buckets: int = BUCKETS) -> DataFrame:
+    """(key, ts, hashdiff) of each change. Needs the RocksDB state store."""
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.col(diff).alias("hashdiff"))
+    return by_bucket(rows, buckets).transformWithStateInPandas(Changes(), "key string, ts timestamp_ntz, hashdiff string", "append", "none")
+
+
+def stream_changes_expiring(stream: DataFrame, key: str, ts: str, diff: str, watermark: str, ttl_ms: int, buckets: int = BUCKETS) -> DataFrame:
     """(key, ts, hashdiff) of each change, with a state bounded by the keys of the last ``ttl_ms`` before the watermark.
 
     A key's rows after so long a silence begin anew: the first one is a change even if it repeats the last. Rows without a time and rows
@@ -139,7 +161,7 @@ def stream_changes_expiring(stream: DataFrame, key: str, ts: str, diff: str, wat
     one key. Needs the RocksDB state store.
     """
     rows = timed(stream.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.col(diff).alias("hashdiff")).where("ts is not null"), "ts", watermark)
-    return rows.groupBy("key").transformWithStateInPandas(ExpiringChanges(ttl_ms), "key string, ts timestamp, hashdiff string", "append", "EventTime")
+    return by_bucket(rows, buckets).transformWithStateInPandas(Changes(ttl_ms), "key string, ts timestamp, hashdiff string", "append", "EventTime")
 
 
 def stream_split(stream: DataFrame, ts: str, path: str, checkpoint: str) -> StreamingQuery:
