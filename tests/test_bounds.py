@@ -7,7 +7,11 @@ import tempfile
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from vaultline.functions.hashing import pack, unpack
+from vaultline.operators import raw_vault as rv
+from vaultline.sources.versioned import VersionedTable
 from vaultline.streaming import streams
 
 EVENTS = "key string, ts timestamp_ntz, hashdiff string"
@@ -46,3 +50,28 @@ def test_keys_share_the_state_of_their_bucket(spark, rocksdb, tmp_path, ttl):
     assert got == sorted(want)
     rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     assert max(rows) <= 16 * (1 if ttl is None else 3)  # a value, and a timer in two orders
+
+
+def test_digests_travel_as_bytes(spark, tmp_path):
+    texts = [None, "", "a" * 32, "A" * 32, "a" * 31, "0" * 64, "f" * 40, "\x01" + "a" * 31, "é", "g" * 32]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("p", pack(F.col("t")))
+    got = df.select("t", unpack(F.col("p")).alias("back"), F.octet_length("p").alias("n")).collect()
+    assert all(r["t"] == r["back"] for r in got) and {r["t"]: r["n"] for r in got}["a" * 32] == 17
+    assert df.where("p is not null").agg(F.count_distinct("p")).first()[0] == len(texts) - 1
+
+    at = F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("load_dts")
+    link = F.when(F.col("id") % 5 == 0, F.concat(F.lit("k"), (F.col("id") % 20).cast("string"))).otherwise(F.md5((F.col("id") % 77).cast("string"))).alias("lk")
+    stg = spark.range(2000).select(link, F.md5((F.col("id") % 11).cast("string")).alias("hk"), (F.col("id") % 7).alias("fk"), at, F.lit("S").alias("src"))
+    new, eff = rv.load_link(stg, "lk", ["hk", "fk"], "load_dts", "src"), rv.load_eff_sat(stg, "lk", "hk", ["fk"], "load_dts", "src")
+    for made in (new, eff):
+        assert "unhex" in made._jdf.queryExecution().executedPlan().toString() and dict(made.dtypes)["lk"] == "string"
+    first = {}
+    for r in stg.orderBy("load_dts", "hk", "fk").collect():
+        first.setdefault(r["lk"], (r["lk"], r["hk"], r["fk"], r["load_dts"], "S"))
+    assert sorted(map(tuple, new.collect())) == sorted(first.values())
+    assert rv.load_link(stg, "lk", ["hk", "fk"], "load_dts", "src", existing=new.localCheckpoint()).count() == 0
+
+    stored = VersionedTable(spark, f"{tmp_path}/eff")
+    for part in ("load_dts < timestamp_ntz '1970-01-01 12:00:00'", "load_dts >= timestamp_ntz '1970-01-01 06:00:00'"):
+        stored.merge(rv.load_eff_sat(stg.where(part), "lk", "hk", ["fk"], "load_dts", "src", existing=stored.read()), ["hk", "start_date"])
+    assert sorted(map(tuple, stored.read().collect())) == sorted(map(tuple, eff.collect()))

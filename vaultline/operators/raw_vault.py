@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vaultline.functions.bloom import bloom, maybe_in
-from vaultline.functions.hashing import END_OF_TIME, GHOST_KEY
+from vaultline.functions.hashing import END_OF_TIME, GHOST_KEY, packed, unpacked
 from vaultline.functions.running import STRETCH, dealt, neighbours
-from vaultline.sources.versioned import VersionedTable
+from vaultline.sources.versioned import COMPRESSION, VersionedTable
 
 Stages = DataFrame | list[DataFrame]
 
@@ -50,7 +50,10 @@ def absent(rows: DataFrame, existing: DataFrame | None, key: str, batch: DataFra
     if existing is None:
         return rows
     stored = existing.select(key)
-    return rows.join(stored if batch is None else touched(stored, batch, key), key, "left_anti")
+    stored = stored if batch is None else touched(stored, batch, key)
+    if rows.schema[key].dataType != stored.schema[key].dataType:  # the rows are packed
+        stored = packed(stored, [key])
+    return rows.join(stored, key, "left_anti")
 
 
 def load_hub(stages: Stages, pk: str, nk: list[str] | list[list[str]], ldts: str, src: str, existing: DataFrame | None = None) -> DataFrame:
@@ -66,7 +69,9 @@ def load_link(stages: Stages, pk: str, fks: list[str] | list[list[str]], ldts: s
     per_stage = fks if fks and isinstance(fks[0], list) else [fks]
     names = roles or per_stage[0]
     rows = united(stages, [[pk, *own, ldts, src] for own in per_stage], [pk, *names, ldts, src]).dropna(subset=[pk, *names])
-    return absent(first_seen(rows, pk, [ldts, src], names), existing, pk, rows)
+    keys = [pk, *names]
+    first = first_seen(packed(rows, keys), pk, [ldts, src], names)
+    return unpacked(absent(first, existing, pk, rows), rows, keys)
 
 
 def load_same_as(pairs: DataFrame, pk: str, master: str, duplicate: str, ldts: str, src: str, existing: DataFrame | None = None) -> DataFrame:
@@ -133,14 +138,15 @@ def load_eff_sat(stg: DataFrame, pk: str, dfk: str, sfks: list[str], ldts: str,
         best = rows.groupBy(*key, "start_date").agg(F.max(F.struct(*row)).alias("_row"), F.max("_new").alias("_new"))
         return best.select(*key, "start_date", *(F.col(f"_row.{c}").alias(c) for c in row), "_new")
 
-    one = by_key(events, dfk, "start_date", stretches, combine)
+    keys = [pk, dfk, *sfks]
+    one = by_key(packed(events, keys), dfk, "start_date", stretches, combine)
     if existing is not None and stretches <= 1:  # the Bloom filter lets some keys through that the batch has not
         one = one.withColumn("_new", F.max("_new").over(Window.partitionBy(dfk))).where("_new")
     one = one.drop("_new")
     state = one.withColumn("_state", F.when(~F.col("_gone"), F.col(pk)))
     runs = neighbours(state, [dfk], ["start_date"], {"_before": "_state"}, {}, stretches).where(~F.col("_state").eqNullSafe(F.col("_before")))
     closed = neighbours(runs, [dfk], ["start_date"], {}, {"_until": "start_date"}, stretches).withColumn("end_date", F.coalesce("_until", end_of_time()))
-    return closed.where(~F.col("_gone")).select(pk, dfk, *sfks, "start_date", "end_date", F.col("start_date").alias("effective_from"), src)
+    return unpacked(closed.where(~F.col("_gone")), events, keys).select(pk, dfk, *sfks, "start_date", "end_date", F.col("start_date").alias("effective_from"), src)
 
 
 def with_ghost(df: DataFrame, pk: str, ldts: str | None = None) -> DataFrame:
@@ -254,7 +260,7 @@ def run_vault(spark: SparkSession, spec: VaultSpec, path: str, workers: int = 4)
 
     def stage(name: str) -> int:
         df = spec.stages[name](spark)
-        df.write.parquet(f"{work}/{name}")
+        df.write.parquet(f"{work}/{name}", compression=COMPRESSION)
         frames[name] = spark.read.schema(df.schema).parquet(f"{work}/{name}")
         return 0
 

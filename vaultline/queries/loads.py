@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vaultline.functions.hashing import hash_key, hashdiff
+from vaultline.functions.hashing import hash_key, hashdiff, pack
 from vaultline.operators import raw_vault as rv
 from vaultline.operators import staging as st
 from vaultline.queries.bindings import END, GHOST, PARTS, TABLES, Registry, diff_sql, key_sql, projected, stg_events, stg_li, stg_orders, table, with_sql
@@ -368,14 +368,16 @@ def raw_vault(r: Registry) -> None:
             ("sat_status", "sat", lambda g, old: rv.load_sat(g["orders"], *SAT, existing=old)), ("sat_priority", "sat", lambda g, old: rv.load_sat(g["orders"], *PRIORITY, existing=old)),
             ("eff_part", "eff_sat", lambda g, old: rv.load_eff_sat(g["li"], *EFF, existing=old)),
         ]
+        of_orders = ["hk_customer", "o_custkey", "hk_order_customer", "hk_order", "hd_status", "o_orderstatus", "o_orderpriority", "hd_priority", "o_orderdate", "record_source"]
+        of_li = ["hk_part_supplier", "hk_part", "hk_supplier", "l_shipdate", "record_source"]
         for part in (0, None):
             first = lambda df, ts, part=part: df if part is None else old_new(df, ts)[0]
-            sources_ = {"orders": lambda sp, first=first: first(stg_orders(sp, d), "o_orderdate"), "li": lambda sp, first=first: first(stg_li(sp, d), "l_shipdate")}
+            sources_ = {"orders": lambda sp, first=first: first(stg_orders(sp, d), "o_orderdate").select(*of_orders), "li": lambda sp, first=first: first(stg_li(sp, d), "l_shipdate").select(*of_li)}
             spec = rv.VaultSpec(sources_, loaders if part is None else loaders[::-1], {"eff_part": ["hk_part", "start_date"]})
             failed = rv.run_vault(s, spec, path).where("status <> 'OK'").collect()
             if failed:
                 raise RuntimeError(str(failed))
-        digests = [VersionedTable(s, f"{path}/{n}").read().agg(F.count("*").alias("n_rows"), F.count_distinct(F.col(k)).alias("n_keys")).withColumn("entity", F.lit(n)) for n, k in KEYS.items()]
+        digests = [VersionedTable(s, f"{path}/{n}").read().agg(F.count("*").alias("n_rows"), F.count_distinct(pack(F.col(k))).alias("n_keys")).withColumn("entity", F.lit(n)) for n, k in KEYS.items()]
         return reduce(DataFrame.unionByName, digests)
 
     KEYS = {"hub_customer": "hk_customer", "link_oc": "hk_order_customer", "sat_status": "hd_status", "sat_priority": "hd_priority", "eff_part": "hk_part_supplier"}

@@ -21,7 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vaultline.functions.hashing import packed, unpacked
+
 COMMIT = "commit"
+#: Digests as text take half the room with it.
+COMPRESSION = "zstd"
 
 
 def merge_on(target: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,7 +116,7 @@ class VersionedTable:
         """Writes rows that no version names yet, into the commit of this number among ``keep`` if that has begun; its folders and schema."""
         begun = [f.split("/")[0] for f in keep if f.startswith(f"{COMMIT}={number}-")]
         commit, out = begun[0] if begun else f"{COMMIT}={number}-{uuid.uuid4().hex}", self._ordered(df)
-        (out.write.partitionBy(*self.partition) if self.partition else out.write).mode("append").parquet(f"{self.path}/data/{commit}")
+        (out.write.partitionBy(*self.partition) if self.partition else out.write).mode("append").parquet(f"{self.path}/data/{commit}", compression=COMPRESSION)
         return self._leaves(commit, len(self.partition)), out.schema
 
     def _ordered(self, df: DataFrame) -> DataFrame:
@@ -153,7 +157,8 @@ class VersionedTable:
             if not old:
                 return self._swap(v.number + 1, [*keep, *added], schema)
             stored = self._of(v, old)
-        kept = stored.join(new.select(*keys).distinct(), keys, "left_anti").select(*stored.columns)
+        moved = packed(stored, stored.columns).join(packed(new.select(*keys), keys).distinct(), keys, "left_anti")
+        kept = unpacked(moved, stored, stored.columns).select(*stored.columns)
         return self._write(self._ordered(empty.unionByName(kept, allowMissingColumns=True)), [*keep, *added], v.number + 1)
 
     def expire(self, keep: int = 2) -> list[str]:
