@@ -75,3 +75,21 @@ def test_digests_travel_as_bytes(spark, tmp_path):
     for part in ("load_dts < timestamp_ntz '1970-01-01 12:00:00'", "load_dts >= timestamp_ntz '1970-01-01 06:00:00'"):
         stored.merge(rv.load_eff_sat(stg.where(part), "lk", "hk", ["fk"], "load_dts", "src", existing=stored.read()), ["hk", "start_date"])
     assert sorted(map(tuple, stored.read().collect())) == sorted(map(tuple, eff.collect()))
+
+
+def test_elements_of_one_set_alone_are_no_prefix(spark):
+    import numpy as np
+
+    from vaultline.llm import near_dedup as nd
+
+    draw = np.random.default_rng(3)
+    common = draw.integers(1 << 40, 1 << 62, 40, dtype=np.uint64)
+    sets = [np.sort(np.concatenate((common[:30], common[30 + k % 2 * 5 :][:5], draw.integers(1 << 40, 1 << 62, 25, dtype=np.uint64)))) for k in range(200)]
+    nodes = spark.createDataFrame([(k, k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "node long, label long, elements binary").repartition(7)
+    shared = nd.recurring(nodes)
+    assert shared[nd.place_of(common)].all() and shared.sum() < 60
+    rows = nd.prefixes(nodes, nd.rare_first(nodes), 0.5, shared)
+    assert 200 <= rows.count() < 2000  # 31 of 60 elements are rare enough, 25 of them of one set alone
+    want = {(a, b) for a in range(200) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.4 * len(np.union1d(sets[a], sets[b]))}
+    got = {tuple(sorted(r, reverse=True)) for r in nd.remaining_pairs(nodes, 0.4).collect()}
+    assert want and want <= got

@@ -42,6 +42,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 SMALL = 32
 COMMON = 1 << 17
+#: Places of the map of elements that recur (1 MB), and the pieces in which tasks send theirs.
+PLACES, PIECES = 1 << 23, 64
 FINEST = 13
 PARITY = 8
 
@@ -264,6 +266,35 @@ def rare_first(nodes: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.nda
     return tokens[order], n[order]
 
 
+def place_of(elements: np.ndarray) -> np.ndarray:
+    return (mix(elements) >> np.uint64(11)).astype(np.int64) % PLACES
+
+
+def recurring(nodes: DataFrame) -> np.ndarray:
+    """By ``place_of``: whether two or more nodes (elements) may hold an element of that place. An element of one node alone makes no
+    pair; one of several is never missed, and a table with very many elements rules out fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(PLACES, bool), np.zeros(PLACES, bool)
+        for batch in batches:
+            own, n = np.unique(place_of(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)), return_counts=True)
+            twice[own[(n > 1) | once[own]]] = True
+            once[own] = True
+        sent = [[x.tobytes() for x in np.packbits(m).reshape(PIECES, -1)] for m in (once, twice)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), *(pa.array(x, pa.binary()) for x in sent)], ["piece", "once", "twice"])
+
+    def both(pieces: pa.Table) -> pa.Table:
+        once = twice = np.zeros(PLACES // PIECES // 8, np.uint8)
+        for a, b in zip(pieces.column("once"), pieces.column("twice")):
+            a, b = np.frombuffer(a.as_py(), np.uint8), np.frombuffer(b.as_py(), np.uint8)
+            once, twice = once | a, twice | b | once & a
+        return pa.table({"piece": pieces.column("piece").slice(0, 1), "twice": pa.array([twice.tobytes()], pa.binary())})
+
+    found = nodes.select("elements").mapInArrow(run, "piece int, once binary, twice binary").groupBy("piece").applyInArrow(both, "piece int, twice binary").toArrow()
+    bits = dict(zip(found.column("piece").to_pylist(), found.column("twice").to_pylist()))
+    return np.unpackbits(np.frombuffer(b"".join(bits.get(k, bytes(PLACES // PIECES // 8)) for k in range(PIECES)), np.uint8)).astype(bool)
+
+
 def parities(elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """An n x ``PARITY`` matrix of 64 bits each: every element of a set flips one bit. The bits in which two sets differ are at
     most the elements in which they differ."""
@@ -273,10 +304,12 @@ def parities(elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd).view(np.int64).reshape(n, PARITY)
 
 
-def prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+def prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float, shared: np.ndarray) -> DataFrame:
     """The rarest elements of every node (node, label, elements) with their places. Two sets that are similar enough share an
-    element among the first ``size - ceil(similarity size) + 1`` of the larger (all rows) and the fewer of the smaller (``short``)."""
+    element among the first ``size - ceil(similarity size) + 1`` of the larger (all rows) and the fewer of the smaller (``short``).
+    Of these, elements that no other node holds (see ``recurring``) are left out."""
     tokens, counts = common
+    shared = np.packbits(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,6 +324,8 @@ def prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity
             long = size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
             short = size - np.ceil(2 * similarity / (1 + similarity) * size - 1e-6).astype(np.int64) + 1
             keep = place < long[owner]
+            at = place_of(flat[order][keep])
+            keep[keep] = (shared[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
             own = owner[keep]
             parity = parities(flat, owner, len(sets))[own]
             columns = [
@@ -315,7 +350,7 @@ def remaining_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     Under a token, pairs within its largest component are left out before they are formed, so one great class costs its
     size times that of the others and not its square. Texts of one template whose changes recur share rare elements without
     being similar; their parities tell, so that the join emits hardly more pairs than are similar."""
-    rows = written(prefixes(nodes.repartition("node"), rare_first(nodes), similarity), "prefixes")
+    rows = written(prefixes(nodes.repartition("node"), rare_first(nodes), similarity, recurring(nodes)), "prefixes")
     sizes = rows.groupBy("token", "label").agg(F.count("*").alias("n"), F.max("short").alias("s"))
     heads = sizes.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("head"), F.count("*").alias("labels"), F.max("s").alias("s"))
     asked = written(rows.join(heads.where("labels > 1 and s"), "token").withColumn("minor", F.col("label") != F.col("head")), "prefixes")
