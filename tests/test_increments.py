@@ -10,6 +10,7 @@ from vaultline.functions.bloom import bloom, maybe_in
 from vaultline.functions.hashing import hash_key, hashdiff
 from vaultline.operators import business_vault as bv
 from vaultline.operators import raw_vault as rv
+from vaultline.queries import registry
 from vaultline.sources.versioned import VersionedTable
 
 START = datetime(2024, 1, 1)
@@ -211,3 +212,18 @@ def test_a_hot_key_is_split_over_tasks_with_the_same_result(spark):
 
     per_task = stretched(stg, "load_dts", 32).groupBy("hk", "_stretch").count().agg(F.max("count")).first()[0]
     assert per_task < 0.05 * 4000  # of the key that has two fifths of the rows
+
+
+def test_stored_runs_are_fewer_than_dates_and_lay_out_as_the_table(spark, sf, monkeypatch):
+    from vaultline.queries import marts
+
+    made = []
+    monkeypatch.setattr(marts, "VersionedTable", lambda *a: made.append(VersionedTable(*a)) or made[-1])
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    queries = registry.queries()
+    got, want = queries["bv3_pit_carried"](spark, sf), queries["bv2_pit"](spark, sf)
+    assert got.columns == want.columns and got.count() == want.count() and rows(got) == rows(want)
+    assert 0 < made[0].read().count() * 4 < got.count()
+    sats = [(n, None, None) for n in ("status", "priority")]
+    few = marts.months(spark).where("month(as_of_date) = 6")
+    assert rows(bv.pit_of_runs(made[0].read(), few, sats, "hk_customer")) == rows(want.where("month(as_of_date) = 6"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vaultline.functions.hashing import GHOST_KEY, hashdiff
+from vaultline.functions.hashing import GHOST_KEY, hashdiff, packed, unpacked
 from vaultline.functions.running import neighbours
 from vaultline.functions.search import lower_bound
 from vaultline.operators.raw_vault import end_of_time, load_sat, no_ghost, touched
@@ -37,6 +37,13 @@ def pit(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, state: DataF
 
     ``state`` holds what earlier versions amount to: rows (pk, {name}_ldts) as of a date before the spine's first, as in ``pit_state``.
     """
+    held, names = marked(hub, spine, sats, pk, state), [n for n, _, _ in sats]
+    days = F.slice("_days", F.col("_slot") + 1, F.col("_next") - F.col("_slot"))
+    return cells(held.select(pk, F.explode(days).alias("as_of_date"), *(f"{n}_ldts" for n in names)), pk, sats)
+
+
+def marked(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, state: DataFrame | None = None) -> DataFrame:
+    """pk, {name}_ldts, and the places ``_slot`` to before ``_next`` of the dates ``_days`` that they hold for. The key is shuffled as bytes."""
     names = [name for name, _, _ in sats]
     marks = hub.select(pk).withColumns({f"{n}_ldts": F.lit(None).cast("timestamp_ntz") for n in names}).withColumn("_hub", F.lit(1))
     for name, sat, ldts in sats:
@@ -44,21 +51,44 @@ def pit(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, state: DataF
         marks = marks.unionByName(sat.where(F.col(ldts).isNotNull()).select(pk, *own, F.lit(None).cast("int").alias("_hub")))
     if state is not None:
         known = [F.when(F.col(f"{n}_ldts") > F.lit(GHOST_DATE).cast("timestamp_ntz"), F.col(f"{n}_ldts")).alias(f"{n}_ldts") for n in names]
-        marks = marks.unionByName(state.select(pk, *known, F.lit(None).cast("int").alias("_hub")))
-    days = spine.agg(F.array_sort(F.collect_set("as_of_date")).alias("_days"))
+        marks = marks.unionByName(state.select(pk, *known, F.lit(0).alias("_hub")))
+    days, texts, marks = spine.agg(F.array_sort(F.collect_set("as_of_date")).alias("_days")), marks, packed(marks, [pk])
     at = F.greatest(*(F.col(f"{n}_ldts") for n in names)) if len(names) > 1 else F.col(f"{names[0]}_ldts")
-    slot = F.when(F.col("_hub") == 1, -1).otherwise(lower_bound(F.col("_days"), at))
+    slot = F.when(F.col("_hub") == 1, -1).when(F.col("_hub") == 0, 0).otherwise(lower_bound(F.col("_days"), at))
     placed = marks.crossJoin(F.broadcast(days)).withColumn("_slot", slot).where(F.col("_slot") < F.size("_days"))
     latest = placed.groupBy(pk, "_slot").agg(*(F.max(f"{n}_ldts").alias(f"{n}_ldts") for n in names))
     line = Window.partitionBy(pk).orderBy("_slot")
     so_far = line.rowsBetween(Window.unboundedPreceding, 0)
     carried = latest.withColumns({f"{n}_ldts": F.max(f"{n}_ldts").over(so_far) for n in names} | {"_first": F.min("_slot").over(so_far), "_next": F.lead("_slot").over(line)})
     held = carried.where("_first = -1").crossJoin(F.broadcast(days)).withColumns({"_slot": F.greatest("_slot", F.lit(0)), "_next": F.coalesce("_next", F.size("_days"))})
-    held = held.where("_slot < _next")
-    out = held.select(pk, F.explode(F.slice("_days", F.col("_slot") + 1, F.col("_next") - F.col("_slot"))).alias("as_of_date"), *(f"{n}_ldts" for n in names))
-    ghost = F.lit(GHOST_DATE).cast("timestamp_ntz")
-    cells = [c for n in names for c in (F.coalesce(f"{n}_ldts", ghost).alias(f"{n}_ldts"), F.when(F.col(f"{n}_ldts").isNull(), GHOST_KEY).otherwise(F.col(pk)).alias(f"{n}_pk"))]
-    return out.select(pk, "as_of_date", *cells)
+    return unpacked(held.where("_slot < _next"), texts, [pk]).select(pk, *(f"{n}_ldts" for n in names), "_slot", "_next", "_days")
+
+
+def cells(rows: DataFrame, pk: str, sats: list[Sat]) -> DataFrame:
+    """Load dates and keys of the satellites, with ghosts for those without a version."""
+    ghost, own = F.lit(GHOST_DATE).cast("timestamp_ntz"), []
+    for n, _, _ in sats:
+        own += [F.coalesce(f"{n}_ldts", ghost).alias(f"{n}_ldts"), F.when(F.col(f"{n}_ldts").isNull(), GHOST_KEY).otherwise(F.col(pk)).alias(f"{n}_pk")]
+    return rows.select(pk, "as_of_date", *own)
+
+
+def pit_runs(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, state: DataFrame | None = None) -> DataFrame:
+    """A point-in-time table in the form to store: a row for each run of dates (``from_date`` to ``until_date``) on which a key's load dates are the
+    same, null for satellites without a version. A key has as many rows as marks, however many dates; ``pit_of_runs`` lays them out."""
+    date = lambda place: F.element_at("_days", place)
+    held = marked(hub, spine, sats, pk, state)
+    return held.select(pk, date(F.col("_slot") + 1).alias("from_date"), date(F.col("_next")).alias("until_date"), *(f"{n}_ldts" for n, _, _ in sats))
+
+
+def pit_of_runs(runs: DataFrame, spine: DataFrame, sats: list[Sat], pk: str) -> DataFrame:
+    """The rows of ``pit`` from stored runs, on those of their spine's dates that ``spine`` has."""
+    return cells(runs.join(F.broadcast(spine), F.col("as_of_date").between(F.col("from_date"), F.col("until_date"))), pk, sats)
+
+
+def runs_state(runs: DataFrame, at: str) -> DataFrame:
+    """The snapshot that a next run carries forward: what stored runs say of one date."""
+    day = F.lit(at).cast("timestamp_ntz")
+    return runs.where((F.col("from_date") <= day) & (F.col("until_date") >= day))
 
 
 def pit_state(pit_rows: DataFrame, at: str) -> DataFrame:
@@ -66,8 +96,8 @@ def pit_state(pit_rows: DataFrame, at: str) -> DataFrame:
     return pit_rows.where(F.col("as_of_date") == F.lit(at).cast("timestamp_ntz"))
 
 
-def pit_since(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, since: str, state: DataFrame | None = None) -> DataFrame:
-    """The point-in-time rows of dates after ``since``, to overwrite just their partitions.
+def pit_since(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, since: str, state: DataFrame | None = None, runs: bool = False) -> DataFrame:
+    """The point-in-time rows (or ``runs``) of dates after ``since``, to overwrite just their partitions.
 
     With ``state``, the snapshot of ``since``, satellites are read only after that date (a literal that reaches the scan); a version that
     was loaded late, with an older date than the snapshot, needs a run without it.
@@ -75,7 +105,7 @@ def pit_since(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, since:
     mark = F.lit(since).cast("timestamp_ntz")
     if state is not None:
         sats = [(name, sat.where(F.col(ldts) > mark), ldts) for name, sat, ldts in sats]
-    return pit(hub, spine.where(F.col("as_of_date") > mark), sats, pk, state)
+    return (pit_runs if runs else pit)(hub, spine.where(F.col("as_of_date") > mark), sats, pk, state)
 
 
 def active(eff_sat: DataFrame, as_of: Column | None = None) -> DataFrame:

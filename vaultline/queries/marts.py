@@ -68,16 +68,16 @@ def business(r: Registry) -> None:
     r.add("bv3_pit_incremental", since, with_sql("pit_customer") + "SELECT * FROM pit_customer")
 
     def carried(s: SparkSession, d: str) -> DataFrame:
-        """Satellites written once; the dates of each half year go on from the snapshot of the last one before."""
-        path, hub = shared_path(s, "pit"), hub_customer(s, d)
+        """The hub's keys and satellites written once; dates go on from the snapshot of the last one before, and are stored as runs."""
+        path, hub = shared_path(s, "pit"), sinks.as_table(hub_customer(s, d).select("hk_customer"), shared_path(s, "hub"))
         sats = [(n, sinks.as_table(sat(s, d), shared_path(s, f"sat-{n}")), "o_orderdate") for n, sat in (("status", sat_status), ("priority", sat_priority))]
         edges = ["1997-12-31 00:00:00", "1999-12-31 00:00:00"]
         early, middle = (months(s).where(F.col("as_of_date") <= F.lit(e).cast("timestamp_ntz")) for e in edges)
         stored = VersionedTable(s, path)
-        stored.append(bv.pit(hub, early, sats, "hk_customer"))
+        stored.append(bv.pit_runs(hub, early, sats, "hk_customer"))
         for spine, edge in ((middle, edges[0]), (months(s), edges[1])):
-            stored.append(bv.pit_since(hub, spine, sats, "hk_customer", edge, bv.pit_state(stored.read(), edge)))
-        return stored.read()
+            stored.append(bv.pit_since(hub, spine, sats, "hk_customer", edge, bv.runs_state(stored.read(), edge), runs=True))
+        return bv.pit_of_runs(stored.read(), months(s), sats, "hk_customer")
 
     r.add("bv3_pit_carried", carried, with_sql("pit_customer") + "SELECT * FROM pit_customer")
     r.add("bv4_bridge", customer_bridge, BRIDGE + f"SELECT o.hk_order, o.hk_customer, o.hk_order_customer, l.hk_order_part_supplier, l.hk_part, l.hk_supplier FROM link_oc o JOIN ({LINK_LINES}) l USING (hk_order) WHERE (l.hk_part, l.hk_supplier) IN (SELECT (hk_part, hk_supplier) FROM eff_part WHERE end_date = {END})")
