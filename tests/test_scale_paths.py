@@ -235,3 +235,16 @@ def test_split_stream_equals_the_batch_form_and_repeats_safely(spark, tmp_path):
     assert found() == {late: sorted(keys) for late, keys in want.items()}
     streams.stream_split(stream(), "ts", f"{tmp_path}/out", f"{tmp_path}/c2").awaitTermination()  # every batch once more
     assert found() == {late: sorted(keys) for late, keys in want.items()}
+
+
+def test_exact_profiles_group_single_values(spark):
+    from vaultline.operators import profiling
+
+    rows = [(0.0, "a", 1, None, b"\xff"), (-0.0, "", 1, None, b"\xfe"), (float("nan"), None, 2, None, None), (float("nan"), "a", None, None, b"\xff")]
+    df = spark.createDataFrame(rows, "x double, t string, i int, none date, b binary").withColumn("at", F.timestamp_seconds(1_000_000 + F.col("i")))
+    got = {r["column_name"]: (r["n_rows"], r["n_nulls"], r["n_distinct"]) for r in profiling.profile(df).collect()}
+    want = df.agg(*(F.struct(F.count("*"), F.count("*") - F.count(c), F.countDistinct(c)).alias(c) for c in df.columns)).first().asDict()
+    assert got == {c: tuple(v) for c, v in want.items()}
+    assert {tuple(r)[1:4] for r in profiling.profile(df.where("false")).collect()} == {(0, 0, 0)}
+    plan = profiling.profile(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan  # whose groups are as wide as the row

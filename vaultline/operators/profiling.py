@@ -59,15 +59,23 @@ KEY_LIKE = 0.95
 def profile(df: DataFrame, columns: list[str] | None = None, samples: int = 0, exact: bool = True) -> DataFrame:
     """One row per column: rows, nulls, distinct values, null rate, cardinality ratio, likely-key flag and (if asked for) the least distinct values.
 
-    One aggregation over the whole table. ``exact`` counts of many columns expand each row by the number of columns; for
-    wide or large tables ask for approximate ones.
+    One aggregation over the whole table. ``exact`` counts of many columns expand each row by the number of columns, into a number and a text
+    each, so what a task groups is as narrow as one value; for wide or large tables ask for approximate ones.
     """
     names = columns or df.columns
     text = {c: F.col(f"`{c}`") if not df.schema[c].dataType.typeName() in ("array", "map", "struct") else F.to_json(F.col(f"`{c}`")) for c in names}
-    distinct = F.countDistinct if exact else F.approx_count_distinct
     rows = df.select(*(text[c].alias(c) for c in names))
-    one = rows.agg(F.count("*").alias("n"), *(F.count(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(names)), *(distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(names)))
-    cells = [F.struct(F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), (F.col("n") - F.col(f"k{i}")).alias("n_nulls"), F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(names)]
+    if exact:
+        values = F.array(*(F.struct(F.lit(i).alias("at"), same_text(rows, c).alias("value")) for i, c in enumerate(names)))
+        each = rows.select(F.inline(values)).groupBy("at", "value").agg(F.count("*").alias("n"))
+        nulls = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0))
+        counts = each.groupBy("at").agg(F.sum("n").alias("n_rows"), nulls.alias("n_nulls"), F.count("value").alias("n_distinct"))
+        one = counts.agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("n_rows", "n_nulls", "n_distinct")))).alias("found"))  # a row for each column
+        count = lambda i, k: F.coalesce(F.col("found")[i][k], F.lit(0).cast("long")).alias(k)
+        cells = [F.struct(F.lit(c).alias("column_name"), *(count(i, k) for k in ("n_rows", "n_nulls", "n_distinct"))) for i, c in enumerate(names)]
+    else:
+        one = rows.agg(F.count("*").alias("n"), *(F.count(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(names)), *(F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(names)))
+        cells = [F.struct(F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), (F.col("n") - F.col(f"k{i}")).alias("n_nulls"), F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(names)]
     out = one.select(F.inline(F.array(*cells)))
     known = F.col("n_rows") - F.col("n_nulls")
     out = out.withColumns({
@@ -78,6 +86,14 @@ def profile(df: DataFrame, columns: list[str] | None = None, samples: int = 0, e
     return out.join(sample_values(rows, names, samples), "column_name", "left") if samples else out
 
 
+def same_text(df: DataFrame, column: str) -> Column:
+    """A text that is equal just for equal values of this column."""
+    kind, value = df.schema[column].dataType.typeName(), F.col(f"`{column}`")
+    if kind in ("float", "double"):
+        return (value + F.lit(0.0).cast(kind)).cast("string")  # zero has two signs
+    return (F.unix_micros(value) if kind == "timestamp" else value).cast("string")
+
+
 def likely_key(system: Column | None = None) -> Column:
     ok = (F.col("n_rows") > 0) & (F.col("n_nulls") == 0) & (F.col("cardinality_ratio") >= 0.99)
     return ok if system is None else ok & ~system
@@ -280,12 +296,17 @@ def change_rate(stg: DataFrame, key: str, ldts: str, columns: list[str], order:
     return one.unpivot([], columns, "column_name", "rate").select("column_name", F.round("rate", 6).alias("change_rate"))
 
 
+def picked_once(keys: DataFrame) -> DataFrame:
+    """A row for each table of the catalog, brought to the driver: a plan that names the keys twice would profile the tables twice."""
+    return keys.sparkSession.createDataFrame(keys.collect(), keys.schema)
+
+
 def infer_model(catalog: DataFrame, profiles: DataFrame) -> DataFrame:
     """A rule-based model: a hub per table, a link per foreign key, one satellite of the rest.
 
     kind, name, source_table, columns: the key, the two hubs' tables, or the payload in column order.
     """
-    keys = pick_bk(catalog, profiles)
+    keys = picked_once(pick_bk(catalog, profiles))
     fks = detect_fk(catalog)
     hubs = keys.select(F.lit("hub").alias("kind"), F.concat(F.lit("hub_"), "table_name").alias("name"), F.col("table_name").alias("source_table"), F.col("business_key").alias("columns"))
     links = fks.select(F.lit("link").alias("kind"), F.concat(F.lit("link_"), "table_name", F.lit("_"), "parent_table").alias("name"), F.col("table_name").alias("source_table"), F.concat_ws(",", "table_name", "parent_table").alias("columns")).distinct()
