@@ -61,3 +61,31 @@ def test_a_merge_computes_its_delta_once(spark, tmp_path):
     t.merge(spark.range(50, 150).mapInArrow(counted, "id long").withColumn("v", F.lit("b")), ["id"])
     assert seen.value == 100
     assert t.read().groupBy("v").count().orderBy("v").collect() == [("a", 50), ("b", 100)]
+
+
+def test_several_moments_are_one_pass(spark, stg):
+    from vaultline.operators import business_vault as bv
+
+    moments = {str(n): F.timestamp_seconds(F.lit(1_000_000 + n * 60)).cast("timestamp_ntz") for n in (-1, 0, 20, 5000)}
+    got = bv.as_of_each(rv.load_sat(stg, "hk", "hd", ["v"], "load_dts", "src"), "hk", "load_dts", ["v"], moments)
+    assert shuffles(got, "hk") == 1
+    sat = rv.load_sat(stg, "hk", "hd", ["v"], "load_dts", "src").localCheckpoint()
+    want = {(*r, n) for n, at in moments.items() for r in bv.as_of(sat, "hk", "load_dts", ["v"], at).collect()}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 51
+
+
+def test_a_model_profiles_its_tables_once(spark, sf):
+    from vaultline.operators import profiling as pr
+    from vaultline.queries import marts
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    profiles = marts.profiles(spark, sf).select("table_name", "column_name", "is_likely_key")
+    watched = profiles.mapInArrow(counted, profiles.schema)
+    pr.infer_model(marts.catalog(spark, sf).where(F.col("table_name").isin(marts.NAMES)), watched).collect()
+    assert seen.value == sum(map(len, marts.FULL.values()))

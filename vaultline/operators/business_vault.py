@@ -184,6 +184,15 @@ def as_of(sat: DataFrame, pk: str, ldts: str, payload: list[str], at: Column) ->
     return latest_row(sat.where(F.col(ldts) <= at), pk, ldts, [ldts, *payload])
 
 
+def as_of_each(sat: DataFrame, pk: str, ldts: str, payload: list[str], moments: dict[str, Column]) -> DataFrame:
+    """``as_of`` several moments, each row with its moment's name ``at``: the satellite is read and aggregated once."""
+    row = F.struct(ldts, *payload)
+    latest = [F.max_by(F.when(F.col(ldts) <= at, row), F.when(F.col(ldts) <= at, F.col(ldts))).alias(f"_{i}") for i, at in enumerate(moments.values())]
+    cells = [F.struct(F.col(f"_{i}").alias("_row"), F.lit(name).alias("at")) for i, name in enumerate(moments)]
+    each = sat.groupBy(pk).agg(*latest).select(pk, F.inline(F.array(*cells))).where("_row is not null")
+    return each.select(pk, *(F.col(f"_row.{c}").alias(c) for c in [ldts, *payload]), "at")
+
+
 def current(sat: DataFrame, pk: str, ldts: str, payload: list[str], deleted: str | None = None) -> DataFrame:
     """Each key's latest version, unless that is a delete."""
     columns = [ldts, *payload, *([deleted] if deleted and deleted not in payload else [])]

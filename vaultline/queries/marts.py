@@ -106,7 +106,7 @@ def business(r: Registry) -> None:
     dates = ["1996-01-01 00:00:00", "1998-06-15 00:00:00", "2001-01-01 00:00:00"]
 
     def moments(s: SparkSession, d: str) -> DataFrame:
-        return dq.union_all([bv.as_of(sat_status(s, d), "hk_customer", "o_orderdate", ["o_orderstatus"], F.lit(t).cast("timestamp_ntz")).withColumn("at", F.lit(t)) for t in dates])
+        return bv.as_of_each(sat_status(s, d), "hk_customer", "o_orderdate", ["o_orderstatus"], {t: F.lit(t).cast("timestamp_ntz") for t in dates})
 
     r.add("bv10_as_of", moments, with_sql("sat_status") + " UNION ALL ".join(f"SELECT hk_customer, max(o_orderdate) AS o_orderdate, arg_max(o_orderstatus, o_orderdate) AS o_orderstatus, '{t}' AS at FROM sat_status WHERE o_orderdate <= TIMESTAMP '{t}' GROUP BY hk_customer" for t in dates))
     r.add("bv11_current", lambda s, d: bv.current(sat_status(s, d).withColumn("gone", F.col("o_orderstatus") == "P"), "hk_customer", "o_orderdate", ["o_orderstatus"], "gone"),
