@@ -279,3 +279,11 @@ def test_rates_of_change(spark):
     seen = spark.createDataFrame([("t", "serial", False, 0.96), ("t", "note", False, 0.94)], "table_name string, column_name string, is_likely_key boolean, cardinality_ratio double")
     got = {r["column_name"]: r["bucket"] for r in profiling.classify_columns(catalog, keys, seen).collect()}
     assert got == {"Status": "operational", "is_open": "operational", "note": "details", "oil_pressure": "measurements", "face_value": "details", "load_factor": "measurements", "statuses": "details"}
+
+
+def test_scores_read_the_large_tables_once(spark, sf):
+    from vaultline.queries import registry
+
+    for name in ("ev10_evaluate", "ev15_verdict"):
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "o_orderkey" not in plan  # links and satellites come from what was written
