@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,3 +228,44 @@ def test_stored_runs_are_fewer_than_dates_and_lay_out_as_the_table(spark, sf, mo
     sats = [(n, None, None) for n in ("status", "priority")]
     few = marts.months(spark).where("month(as_of_date) = 6")
     assert rows(bv.pit_of_runs(made[0].read(), few, sats, "hk_customer")) == rows(want.where("month(as_of_date) = 6"))
+
+
+def test_stored_dates_hold_load_dates_alone_and_versions_are_computed_once(spark, sf, monkeypatch):
+    from vaultline.queries import marts
+
+    seen, made = spark.sparkContext.accumulator(0), []
+    sat, write = marts.sat_status, marts.sinks.overwrite_partitions
+    schema, versions = sat(spark, sf).schema, sat(spark, sf).count()
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    def noted(df, path, *rest):
+        out = write(df, path, *rest)
+        made.append((out.columns, {(f.parent.name, f.name) for f in Path(path.removeprefix("file:")).glob("*/*.parquet")}))
+        return out
+
+    monkeypatch.setattr(marts, "sat_status", lambda s, d: sat(s, d).mapInArrow(counted, schema))
+    monkeypatch.setattr(marts.sinks, "overwrite_partitions", noted)
+    queries = registry.queries()
+    got = queries["bv3_pit_incremental"](spark, sf)
+    assert seen.value == versions  # two runs read them
+    monkeypatch.undo()
+    want = queries["bv2_pit"](spark, sf)
+    assert got.columns == want.columns and sorted(rows(got)) == sorted(rows(want))
+    (columns, first), (_, second) = made
+    assert columns == ["hk_customer", "status_ldts", "priority_ldts", "as_of_date"]  # the satellites' keys follow from these
+    assert all(name.endswith(".zstd.parquet") for _, name in first | second)
+    kept = {f for f in first if f[0] < "as_of_date=2001-06"}
+    assert kept == {f for f in second if f[0] < "as_of_date=2001-06"} and first & second == kept and len({f[0] for f in second}) == 84
+
+
+def test_stored_dates_lay_out_as_the_table(history):
+    keys, days, sats, frames, hub, spine = history
+    stored = bv.pit_dates(hub, spine, frames, "hk")
+    assert stored.columns == ["hk", "as_of_date", *(f"{n}_ldts" for n, _, _ in frames)]
+    assert set(rows(bv.pit_of_dates(stored, frames, "hk"))) == brute_pit(keys, days, sats)
+    later = bv.pit_since(hub, spine, frames, "hk", str(days[11]), dates=True)
+    assert set(rows(bv.pit_of_dates(later, frames, "hk"))) == brute_pit(keys, days[12:], sats)

@@ -37,9 +37,14 @@ def pit(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, state: DataF
 
     ``state`` holds what earlier versions amount to: rows (pk, {name}_ldts) as of a date before the spine's first, as in ``pit_state``.
     """
-    held, names = marked(hub, spine, sats, pk, state), [n for n, _, _ in sats]
+    return pit_of_dates(pit_dates(hub, spine, sats, pk, state), sats, pk)
+
+
+def pit_dates(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, state: DataFrame | None = None) -> DataFrame:
+    """A point-in-time table in the form to store in folders of dates: a row for each key and date, with load dates that are null for satellites
+    without a version. The satellites' keys follow from these, so that they are neither sorted by date nor written; ``pit_of_dates`` adds them."""
     days = F.slice("_days", F.col("_slot") + 1, F.col("_next") - F.col("_slot"))
-    return cells(held.select(pk, F.explode(days).alias("as_of_date"), *(f"{n}_ldts" for n in names)), pk, sats)
+    return marked(hub, spine, sats, pk, state).select(pk, F.explode(days).alias("as_of_date"), *(f"{n}_ldts" for n, _, _ in sats))
 
 
 def marked(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, state: DataFrame | None = None) -> DataFrame:
@@ -64,8 +69,8 @@ def marked(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, state: Da
     return unpacked(held.where("_slot < _next"), texts, [pk]).select(pk, *(f"{n}_ldts" for n in names), "_slot", "_next", "_days")
 
 
-def cells(rows: DataFrame, pk: str, sats: list[Sat]) -> DataFrame:
-    """Load dates and keys of the satellites, with ghosts for those without a version."""
+def pit_of_dates(rows: DataFrame, sats: list[Sat], pk: str) -> DataFrame:
+    """The rows of ``pit`` from stored dates: load dates and keys of the satellites, with ghosts for those without a version."""
     ghost, own = F.lit(GHOST_DATE).cast("timestamp_ntz"), []
     for n, _, _ in sats:
         own += [F.coalesce(f"{n}_ldts", ghost).alias(f"{n}_ldts"), F.when(F.col(f"{n}_ldts").isNull(), GHOST_KEY).otherwise(F.col(pk)).alias(f"{n}_pk")]
@@ -82,7 +87,7 @@ def pit_runs(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, state:
 
 def pit_of_runs(runs: DataFrame, spine: DataFrame, sats: list[Sat], pk: str) -> DataFrame:
     """The rows of ``pit`` from stored runs, on those of their spine's dates that ``spine`` has."""
-    return cells(runs.join(F.broadcast(spine), F.col("as_of_date").between(F.col("from_date"), F.col("until_date"))), pk, sats)
+    return pit_of_dates(runs.join(F.broadcast(spine), F.col("as_of_date").between(F.col("from_date"), F.col("until_date"))), sats, pk)
 
 
 def runs_state(runs: DataFrame, at: str) -> DataFrame:
@@ -96,8 +101,8 @@ def pit_state(pit_rows: DataFrame, at: str) -> DataFrame:
     return pit_rows.where(F.col("as_of_date") == F.lit(at).cast("timestamp_ntz"))
 
 
-def pit_since(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, since: str, state: DataFrame | None = None, runs: bool = False) -> DataFrame:
-    """The point-in-time rows (or ``runs``) of dates after ``since``, to overwrite just their partitions.
+def pit_since(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, since: str, state: DataFrame | None = None, runs: bool = False, dates: bool = False) -> DataFrame:
+    """The point-in-time rows (or ``runs`` or ``dates``, the forms to store) of dates after ``since``, to overwrite just their partitions.
 
     With ``state``, the snapshot of ``since``, satellites are read only after that date (a literal that reaches the scan); a version that
     was loaded late, with an older date than the snapshot, needs a run without it.
@@ -105,7 +110,7 @@ def pit_since(hub: DataFrame, spine: DataFrame, sats: list[Sat], pk: str, since:
     mark = F.lit(since).cast("timestamp_ntz")
     if state is not None:
         sats = [(name, sat.where(F.col(ldts) > mark), ldts) for name, sat, ldts in sats]
-    return (pit_runs if runs else pit)(hub, spine.where(F.col("as_of_date") > mark), sats, pk, state)
+    return (pit_runs if runs else pit_dates if dates else pit)(hub, spine.where(F.col("as_of_date") > mark), sats, pk, state)
 
 
 def active(eff_sat: DataFrame, as_of: Column | None = None) -> DataFrame:

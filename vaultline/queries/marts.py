@@ -13,7 +13,7 @@ from vaultline.operators import raw_vault as rv
 from vaultline.queries.bindings import END, TABLES, Registry, diff_sql, projected, stg_li, stg_orders, table, with_sql
 from vaultline.queries.loads import eff_part, hub_customer, sat_priority, sat_status, shared_path
 from vaultline.sources import bronze, sinks
-from vaultline.sources.versioned import VersionedTable
+from vaultline.sources.versioned import COMPRESSION, VersionedTable
 
 TODAY = "2002-01-01"
 KINDS = {"ECONOMY": "basic", "STANDARD": "basic", "PROMO": "special"}
@@ -59,11 +59,15 @@ def business(r: Registry) -> None:
     r.add("bv2_pit", customer_pit, with_sql("pit_customer") + "SELECT * FROM pit_customer")
 
     def since(s: SparkSession, d: str) -> DataFrame:
-        path, hub, sats = shared_path(s, "pit"), hub_customer(s, d), [("status", sat_status(s, d), "o_orderdate"), ("priority", sat_priority(s, d), "o_orderdate")]
+        """The hub's keys and the versions' dates are written once, for both runs; the second overwrites the dates after its mark."""
+        once = lambda df, name: sinks.as_table(df, shared_path(s, name), COMPRESSION)
+        path, hub = shared_path(s, "pit"), once(hub_customer(s, d).select("hk_customer"), "hub")
+        sats = [(n, once(sat(s, d).select("hk_customer", "o_orderdate"), f"sat-{n}"), "o_orderdate") for n, sat in (("status", sat_status), ("priority", sat_priority))]
         early = months(s).where(F.col("as_of_date") <= F.lit("2001-06-30 00:00:00").cast("timestamp_ntz"))
-        sinks.overwrite_partitions(bv.pit(hub, early, sats, "hk_customer"), path, ["as_of_date"])
-        sinks.overwrite_partitions(bv.pit_since(hub, months(s), sats, "hk_customer", "2001-05-31 00:00:00"), path, ["as_of_date"])
-        return s.read.parquet(path).withColumn("as_of_date", F.col("as_of_date").cast("timestamp_ntz"))
+        sinks.overwrite_partitions(bv.pit_dates(hub, early, sats, "hk_customer"), path, ["as_of_date"], COMPRESSION)
+        later = bv.pit_since(hub, months(s), sats, "hk_customer", "2001-05-31 00:00:00", dates=True)
+        stored = sinks.overwrite_partitions(later, path, ["as_of_date"], COMPRESSION)
+        return bv.pit_of_dates(stored.withColumn("as_of_date", F.col("as_of_date").cast("timestamp_ntz")), sats, "hk_customer")
 
     r.add("bv3_pit_incremental", since, with_sql("pit_customer") + "SELECT * FROM pit_customer")
 

@@ -16,8 +16,8 @@ def as_view(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def as_table(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
+def as_table(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return df.sparkSession.read.parquet(path)
 
 
@@ -27,9 +27,9 @@ def append_new(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def overwrite_partitions(df: DataFrame, path: str, columns: list[str]) -> DataFrame:
+def overwrite_partitions(df: DataFrame, path: str, columns: list[str], compression: str | None = None) -> DataFrame:
     """Replaces only the partitions that ``df`` has rows for."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path, compression=compression)
     return df.sparkSession.read.parquet(path)
 
 
